@@ -114,7 +114,7 @@ def knowledge_base(spark: SparkSession, sf: str) -> KnowledgeBase:
     """Snapshot tables. ``rank`` orders hits by the text itself, so it needs no global numbering."""
     docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("extract"))
     base = phrases(spark, sf)
-    number = "conv(substring(md5(phrase), 1, 6), 16, 10)"
+    number = "conv(substring(md5(phrase), 1, 12), 16, 10)"
     kb_pages = base.join(docs, "doc_id").selectExpr(
         "phrase AS title",
         "concat('https://en.wikipedia.org/wiki/', replace(phrase, ' ', '_')) AS url",

@@ -180,7 +180,7 @@ ANNOTATED_HEADINGS = """(SELECT page_id, 0 AS pos, 3 AS level, 'What is item ' |
 UNION ALL SELECT page_id, 2, 2, 'How to file page ' || page_id FROM pages UNION ALL SELECT page_id, 3, 4, 'Step 1: Open' FROM pages
 UNION ALL SELECT page_id, 4, 1, %s FROM pages)""" % H1
 SQL["page_headings"] = f"SELECT * FROM {ANNOTATED_HEADINGS} WHERE text <> ''"
-SQL["strip_boilerplate"] = f"""SELECT page_id, 5 AS removed, md5({unescape("regexp_extract(html, '<title>([^<]*)</title>', 1)")} || {ARTICLE}) AS kept_md5 FROM pages"""
+SQL["strip_boilerplate"] = f"""SELECT page_id, 5 AS removed_subtrees, md5({unescape("regexp_extract(html, '<title>([^<]*)</title>', 1)")} || {ARTICLE}) AS kept_md5 FROM pages"""
 SQL["main_content"] = f"SELECT page_id, trim({ARTICLE}, ' ' || chr(10) || chr(9) || chr(13)) AS content FROM pages"
 SQL["body_text"] = f"SELECT page_id, {BODY} AS body FROM pages"
 SQL["full_text"] = f"""SELECT page_id, concat_ws('. ', nullif({TITLE}, ''), 'About page ' || page_id, 'What is item ' || page_id, 'Q: How big is it?', 'How to file page ' || page_id,
@@ -226,3 +226,138 @@ SQL["canonical_entity"] = f"""SELECT p_partkey, CASE {ALIAS} WHEN 'college' THEN
 SQL["entity_variants"] = f"""WITH v AS (SELECT p_partkey, CASE {ALIAS} WHEN 'seo' THEN ['search engine optimization', 'seo'] WHEN 'college' THEN ['higher education', 'university', 'college']
   WHEN 'social media marketing' THEN ['social media marketing', 'smm'] WHEN 'pay per click' THEN ['pay per click', 'ppc'] ELSE [{ALIAS}] END AS l FROM part)
 SELECT p_partkey, i - 1 AS variant_pos, l[i] AS variant {ONE_LIST.format(t="v")}"""
+
+# ── linking ───────────────────────────────────────────────────────────────────
+
+WORDS = "string_split_regex({x}, '\\s+')"
+SKIPPED = f"""(len(string_split_regex(name, '\\s+')) > 5 OR lower(name) IN {in_list(rules.TEMPLATE_ENTITIES)}
+  OR (len(string_split_regex(name, '\\s+')) = 1 AND lower(name) IN {in_list(rules.GENERIC_SINGLE_WORDS)})
+  OR regexp_matches(lower(name), '{"|".join(rules.UNLIKELY_ENTITIES + rules.NON_ENTITIES)}'))"""
+SQL["skip_filter"] = f"""WITH n AS (SELECT p_partkey, CASE p_partkey % 12 WHEN 0 THEN 'Local SEO' WHEN 1 THEN p_name || ' Pricing' WHEN 2 THEN 'Newsletter' WHEN 3 THEN 'Areas' WHEN 4 THEN 'Public'
+  WHEN 5 THEN 'a b c d ' || p_name WHEN 6 THEN 'Meet & Greet' WHEN 7 THEN 'Wonder' WHEN 8 THEN 'Wonder ' || p_name WHEN 9 THEN p_name || ' report' WHEN 10 THEN 'Schema Markups' ELSE p_name END AS name FROM part)
+SELECT p_partkey, name, {SKIPPED} AS skipped FROM n"""
+SQL["base_score"] = f"""WITH {M}, b AS (SELECT page_id, pos, (pos // 5)::INT AS batch FROM m WHERE length(name) % 6 <> 0 AND NOT {SKIPPED})
+SELECT page_id, pos, batch, (count(*) OVER w - row_number() OVER (w ORDER BY pos) + 1) / count(*) OVER w * 70 AS base FROM b WINDOW w AS (PARTITION BY page_id, batch)"""
+SQL["base_score_page"] = f"""WITH {M}, b AS (SELECT page_id, pos FROM m WHERE pos < 20 AND NOT {SKIPPED})
+SELECT page_id, pos, (count(*) OVER w - row_number() OVER (w ORDER BY pos) + 1) / count(*) OVER w * 70 AS base FROM b WINDOW w AS (PARTITION BY page_id)"""
+KNOWN = "CASE p_partkey % 5 WHEN 0 THEN ' Instagram' WHEN 1 THEN 'X (formerly Twitter)' WHEN 2 THEN 'MOZ' WHEN 3 THEN 'Machine Learning' ELSE p_name END AS name"
+SQL["known_entities"] = f"""SELECT p_partkey, {KNOWN}, 'https://en.wikipedia.org/wiki/' || CASE p_partkey % 5 WHEN 0 THEN 'Instagram' WHEN 1 THEN 'Twitter' WHEN 2 THEN 'Moz_(marketing_software)' WHEN 3 THEN 'Machine_learning' END AS known_wikipedia,
+  'https://www.wikidata.org/wiki/' || CASE p_partkey % 5 WHEN 0 THEN 'Q209330' WHEN 1 THEN 'Q918' WHEN 2 THEN 'Q6913421' WHEN 3 THEN 'Q2539' END AS known_wikidata,
+  CASE p_partkey % 5 WHEN 3 THEN 'Thing' WHEN 4 THEN NULL ELSE 'Organization' END AS known_type FROM part"""
+SQL["wiki_search_terms"] = """WITH n AS (SELECT DISTINCT CASE p_partkey % 6 WHEN 0 THEN CASE WHEN p_size > 25 THEN 'SEO' ELSE 'SEOx' END WHEN 1 THEN 'O''Hare' WHEN 2 THEN
+    array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ' Airport' WHEN 3 THEN 'Academic Programs' ELSE p_name END AS name,
+    p_partkey % 6 = 3 AND p_size % 2 = 0 AS academic FROM part),
+l AS (SELECT name, academic, CASE WHEN academic THEN ['Academic program education'] WHEN name = 'SEO' THEN ['Search Engine Optimization', 'SEO Search Engine Optimization', 'Search engine optimization', 'SEO']
+  WHEN name = 'O''Hare' THEN ['O''Hare International Airport'] WHEN name LIKE '% Airport' THEN [replace(name, ' Airport', '') || ' International Airport'] ELSE [name] END AS l FROM n)
+SELECT name, academic, i - 1 AS term_pos, l[i] AS term FROM l, unnest(range(1, len(l) + 1)) AS u(i)"""
+
+# Knowledge base from documents, as in the fixtures.
+KB = f"""ph AS (SELECT phrase, min(doc_id) AS doc_id FROM (SELECT doc_id, unnest(list_filter(list_transform(regexp_extract_all(text, '{PHRASE}'), lambda x: trim(x)), lambda x: length(x) BETWEEN 3 AND 49)) AS phrase FROM documents) GROUP BY 1),
+kb AS (SELECT phrase, ph.doc_id, ('0x' || substring(md5(phrase), 1, 12))::BIGINT AS num, lpad(length(phrase)::VARCHAR, 3, '0') || phrase AS rank, lower(text) AS extract,
+  list_filter(string_split_regex(lower(phrase), '\\s+'), lambda w: w <> '') AS tok, 'https://en.wikipedia.org/wiki/' || replace(phrase, ' ', '_') AS url FROM ph JOIN documents d ON d.doc_id = ph.doc_id),
+keyed AS (SELECT *, unnest(list_transform(range(1, len(tok) + 1), lambda n: array_to_string(tok[1:n], ' '))) AS key FROM kb),
+n AS (SELECT DISTINCT name, lower(name) AS e, array_to_string(list_filter(string_split_regex(lower(name), '\\s+'), lambda w: w <> ''), ' ') AS key FROM m)"""
+
+
+def index(name: str, condition: str = "true") -> str:
+    return f"{name} AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rank) AS hit FROM keyed WHERE {condition} QUALIFY hit <= 5)"
+
+
+SHARE = "coalesce(len(list_filter(list_filter({w}, lambda x: length(x) > 2), lambda x: contains({t}, x))) / nullif({d}, 0), 0)"
+
+
+def label(entity: str, lab: str, desc: str) -> str:
+    ew, lw = (f"list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')" for x in (entity, lab))
+    bonus = f"CASE WHEN {desc} <> '' THEN {SHARE.format(w=ew, t=f'lower({desc})', d=f'greatest(len({ew}), 1)')} * 20 ELSE 0 END"
+    return f"""(CASE WHEN {entity} = {lab} THEN 100 WHEN contains({lab}, {entity}) THEN 80 WHEN contains({entity}, {lab}) THEN 70
+      ELSE len(list_filter({ew}, lambda w: list_contains({lw}, w))) / greatest(len({ew}), len({lw})) * 60 END + {bonus})"""
+
+
+LONG_WORDS = "list_filter(string_split_regex(e, '\\s+'), lambda w: length(w) > 2)"
+WIKI = f"""{KB}, {index("pidx")},
+cand AS (SELECT n.name, n.e, p.phrase AS title, lower(p.phrase) AS t, p.url, p.num, p.extract, p.hit FROM n JOIN pidx p USING (key)),
+sc AS (SELECT *, greatest(0, CASE WHEN e = t THEN 100 WHEN contains(t, e) THEN CASE WHEN len(string_split_regex(t, '\\s+')) - len(string_split_regex(e, '\\s+')) <= 2 THEN 85 ELSE 60 END WHEN contains(e, t) THEN 75 ELSE 0 END
+  + CASE WHEN regexp_matches(title, '^[A-Z][a-z]') THEN 5 ELSE 0 END - CASE WHEN length(title) > length(e) * 2.5 THEN 30 ELSE 0 END) AS score FROM cand),
+ver AS (SELECT * REPLACE (score + CASE WHEN score <= 70 THEN 0 WHEN contains(extract, e) OR {SHARE.format(w=LONG_WORDS, t="extract", d=f"len({LONG_WORDS})")} >= 0.5 THEN 10 ELSE -30 END AS score) FROM sc),
+best AS (SELECT * REPLACE (score - CASE WHEN contains(t, 'disambiguation') THEN 50 ELSE 0 END - CASE WHEN contains(t, 'redirect') OR contains(t, 'stub') THEN 30 ELSE 0 END AS score) FROM ver
+  WHERE score - CASE WHEN contains(t, 'disambiguation') THEN 50 ELSE 0 END - CASE WHEN contains(t, 'redirect') OR contains(t, 'stub') THEN 30 ELSE 0 END >= 65
+  QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, hit) = 1),
+items AS (SELECT num, CASE WHEN length(phrase) % 11 = 0 THEN '' ELSE phrase END AS label, CASE WHEN length(phrase) % 2 = 0 THEN 'the ' || lower(phrase) || ' of page ' || doc_id ELSE '' END AS description,
+  CASE length(phrase) % 6 WHEN 0 THEN 'Q5' WHEN 1 THEN 'Q43229' WHEN 2 THEN 'Q571' WHEN 3 THEN 'Q12737077' END AS p31 FROM kb),
+pg AS (SELECT b.name, b.url, b.extract, CASE WHEN label <> '' AND {label("lower(replace(b.title, ' ', '_'))", "lower(label)", "''")} >= 50 THEN 'https://www.wikidata.org/wiki/Q' || b.num END AS page_item FROM best b JOIN items USING (num))"""
+SQL["wiki_candidates"] = f"WITH {M}, {WIKI} SELECT name, hit, title, url FROM cand"
+SQL["wiki_score"] = f"WITH {M}, {WIKI} SELECT name, title, score::DOUBLE AS score FROM sc"
+SQL["wiki_verify"] = f"WITH {M}, {WIKI} SELECT name, title, score::DOUBLE AS score FROM ver"
+SQL["wiki_best"] = f"WITH {M}, {WIKI} SELECT name, title, url, score::DOUBLE AS score FROM best"
+SQL["wikidata_from_page"] = f"WITH {M}, {WIKI} SELECT name, page_item FROM pg"
+DIRECT = f"""{index("iidx")}, isc AS (SELECT n.name, i.num, i.hit, {label("n.e", "lower(it.label)", "it.description")} AS score FROM n JOIN iidx i USING (key) JOIN items it ON it.num = i.num),
+direct AS (SELECT name, 'https://www.wikidata.org/wiki/Q' || num AS direct_item, num AS direct_num, score FROM isc WHERE score >= 75 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, hit) = 1)"""
+SQL["wikidata_direct"] = f"WITH {M}, {WIKI}, {DIRECT} SELECT name, direct_item, score::DOUBLE AS score FROM direct"
+GRAPH = f"""{index("gidx", "length(phrase) % 3 <> 1")}, gsc AS (SELECT *, {label("e", "lower(phrase)", "kg_description")} AS kg_score FROM (
+  SELECT n.name, n.e, g.phrase, g.num, g.hit, CASE WHEN length(g.phrase) % 2 = 0 THEN 'a singer of ' || lower(g.phrase) ELSE '' END AS kg_description FROM n JOIN gidx g USING (key))),
+graph AS (SELECT name, 'kg:/m/' || num AS mid, kg_description, kg_score FROM gsc WHERE kg_score > 0 QUALIFY row_number() OVER (PARTITION BY name ORDER BY kg_score DESC, hit) = 1)"""
+SQL["google_kg"] = f"WITH {M}, {KB}, {GRAPH} SELECT name, mid, kg_description, kg_score::DOUBLE AS kg_score FROM graph"
+PERSON = "regexp_matches(trim({x}), '^[A-Z][a-z]+(?:\\s+[A-Z]\\.?)?\\s+[A-Z][a-z]+$')"
+SLUGS = """[array_to_string(list_transform(string_split_regex(e, '\\s+'), lambda w: upper(w[1]) || w[2:]), '_'), regexp_replace(e, '\\s+', '-', 'g'), regexp_replace(e, '\\s+', '_', 'g'), upper(e[1]) || e[2:], upper(name)]"""
+PRODUCT_PAGES = f"""urls AS (SELECT DISTINCT 'http://www.productontology.org' || CASE WHEN length(phrase) % 2 = 0 THEN '/id/' ELSE '/doc/' END || CASE WHEN length(phrase) % 3 = 0 THEN replace(lower(phrase), ' ', '-') ELSE upper(phrase) END AS url
+  FROM kb WHERE length(phrase) % 5 <> 0),
+sl AS (SELECT name, {SLUGS} AS s FROM n WHERE NOT {PERSON.format(x="name")}),
+probes AS (SELECT name, i, 'http://www.productontology.org' || CASE WHEN i <= 5 THEN '/id/' ELSE '/doc/' END || s[(i - 1) % 5 + 1] AS url FROM sl, unnest(range(1, 11)) AS u(i)),
+product AS (SELECT name, min_by(url, i) AS product_ontology_url FROM probes SEMI JOIN urls USING (url) GROUP BY name)"""
+SQL["product_ontology"] = f"WITH {M}, {KB}, {PRODUCT_PAGES} SELECT * FROM product"
+
+
+def fits(words: str, text: str, single: str) -> str:
+    pairs = f"len(list_filter(range(1, len({words})), lambda i: contains({text}, {words}[i] || ' ' || {words}[i + 1]))) > 0"
+    return f"CASE WHEN len({words}) >= 2 THEN {pairs} WHEN len({words}) = 1 THEN {single} ELSE true END"
+
+
+TOPIC_WORDS = f"list_filter(string_split(trim(regexp_replace(regexp_replace(lower(topic), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: length(w) >= 4 AND w NOT IN {in_list(rules.TOPIC_STOP_WORDS)})"
+PROFESSION = "regexp_matches(txt, '" + "|".join(rules.PROFESSIONS) + "')"
+SQL["person_context"] = f"""WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') END AS name,
+  CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN 'the services' WHEN 2 THEN 'The ' || p_type || '!' WHEN 3 THEN 'Ring & ' || lower(p_type) || ' widget-world' ELSE p_name || ' ' || p_name || ' solutions' END AS topic,
+  CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'a poet of ' || lower(p_type) || ' things' WHEN 2 THEN 'about ' || p_name || ' ' || p_name ELSE lower(p_type) || ' widget world' END AS txt FROM part), w AS (SELECT *, {TOPIC_WORDS} AS w FROM p)
+SELECT p_partkey, NOT {PERSON.format(x="name")} OR topic = '' OR (txt <> '' AND {fits("w", "txt", "contains(txt, w[1])")}) AS by_extract,
+  NOT {PERSON.format(x="name")} OR topic = '' OR txt = '' OR {fits("w", "txt", f"contains(txt, w[1]) AND NOT {PROFESSION}")} AS by_description FROM w"""
+SQL["wiki_reject"] = """SELECT p_partkey, CASE p_partkey % 7
+  WHEN 0 THEN p_size % 6 IN (0, 3, 5) WHEN 1 THEN p_size % 6 IN (1, 3, 5) WHEN 2 THEN p_size % 6 IN (0, 3, 5) WHEN 3 THEN p_size % 6 IN (2, 3, 5) ELSE p_size % 6 IN (3, 5) END AS rejected FROM part"""
+SQL["wiki_score_forms"] = """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 100 WHEN 1 THEN 85 WHEN 2 THEN CASE WHEN p_brand = 'Brand' THEN 0 ELSE 5 END WHEN 3 THEN 80 WHEN 4 THEN 75
+  WHEN 5 THEN CASE WHEN length(p_name) * 1.5 < 14 THEN 15 ELSE 45 END WHEN 6 THEN 50 ELSE CASE WHEN length(p_name) * 1.5 < 36 THEN 35 ELSE 65 END END::DOUBLE AS score FROM part"""
+SQL["label_score"] = f"""WITH p AS (SELECT p_partkey, p_name AS e, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN 'a ' || p_name WHEN 2 THEN split_part(p_name, ' ', 1) WHEN 3 THEN '' ELSE split_part(p_name, ' ', 2) || ' xx' END AS l,
+  CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'some ' || split_part(p_name, ' ', 2) ELSE upper(p_name) END AS d FROM part) SELECT p_partkey, {label("e", "l", "d")}::DOUBLE AS score FROM p"""
+SQL["academic_mismatch"] = """SELECT p_partkey, p_size % 4 IN (0, 1) OR (p_partkey % 4 = 0 AND (length(p_name) + 1) * 6 > 100) AS mismatch FROM part"""
+SQL["entity_type"] = """SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'Product' WHEN p_size % 4 = 0 THEN 'CreativeWork' WHEN p_partkey % 3 = 0 THEN 'Person' WHEN p_partkey % 3 = 1 THEN 'Organization' ELSE 'Thing' END AS type FROM part"""
+
+
+def confidence(base: str) -> str:
+    kg = "contains(google_kg_url, 'kgmid=')"
+    n = f"((wikipedia_url IS NOT NULL)::INT + (wikidata_url IS NOT NULL)::INT + {kg}::INT + (product_ontology_url IS NOT NULL)::INT)"
+    bonus = f"(wikipedia_url IS NOT NULL)::INT * 15 + (wikidata_url IS NOT NULL)::INT * 10 + {kg}::INT * 15 + (product_ontology_url IS NOT NULL)::INT * 5"
+    kind = "CASE WHEN type IN ('Person', 'Organization') THEN 10 WHEN type = 'Place' THEN 8 WHEN type IN ('Product', 'Service') THEN 6 ELSE 3 END"
+    return f"least(100, floor({base} + {bonus} + CASE WHEN {n} >= 3 THEN 20 WHEN {n} = 2 THEN 10 ELSE 0 END + {kind} + 0.5))::INT"
+
+
+SQL["confidence"] = f"WITH {M}, {SCORED} SELECT page_id, pos, {confidence('(40 - pos) / 40 * 70')} AS score FROM e"
+TOPIC = f"coalesce(nullif(trim(regexp_replace({TITLE}, '\\s*[-|]\\s*.+$', '')), ''), {TITLE})"
+SQL["linked_entities"] = f"""WITH {M}, {WIKI}, {DIRECT}, {GRAPH}, {PRODUCT_PAGES},
+topics AS (SELECT page_id, topic, {TOPIC_WORDS} AS w FROM (SELECT page_id, {TOPIC} AS topic FROM pages)),
+bs AS (SELECT *, (count(*) OVER g - row_number() OVER (g ORDER BY pos) + 1) / count(*) OVER g * 70 AS base FROM (SELECT *, pos // 5 AS batch FROM m WHERE NOT {SKIPPED}) WINDOW g AS (PARTITION BY page_id, batch)),
+j AS (SELECT bs.page_id, pos, bs.name, base, {PERSON.format(x="bs.name")} AND topic <> '' AS person, w, pg.url, pg.extract, page_item, direct_item, direct_num, mid, coalesce(kg_description, '') AS txt, kg_score, product_ontology_url
+  FROM bs JOIN topics USING (page_id) LEFT JOIN pg USING (name) LEFT JOIN direct USING (name) LEFT JOIN graph USING (name) LEFT JOIN product USING (name)),
+u AS (SELECT *, CASE WHEN NOT person OR (extract <> '' AND {fits("w", "extract", "contains(extract, w[1])")}) THEN url END AS wikipedia_url,
+  CASE WHEN kg_score >= 60 AND (NOT person OR txt = '' OR {fits("w", "lower(txt)", "contains(lower(txt), w[1]) AND NOT " + PROFESSION)})
+    THEN 'https://www.google.com/search?kgmid=' || replace(mid, 'kg:', '') ELSE 'https://www.google.com/search?q=' || url_encode(name) END AS google_kg_url FROM j),
+v AS (SELECT *, coalesce(CASE WHEN wikipedia_url IS NOT NULL THEN page_item END, direct_item) AS wikidata_url FROM u),
+t AS (SELECT v.*, coalesce(CASE p31 WHEN 'Q5' THEN 'Person' WHEN 'Q43229' THEN 'Organization' WHEN 'Q571' THEN 'CreativeWork' WHEN 'Q12737077' THEN 'Service' END,
+  CASE WHEN regexp_matches(name, '^[A-Z][a-z]+ [A-Z][a-z]+$') THEN 'Person' WHEN regexp_matches(name, '(?i)university|school') THEN 'Organization' ELSE 'Thing' END) AS type
+  FROM v LEFT JOIN items ON 'https://www.wikidata.org/wiki/Q' || items.num = wikidata_url)
+SELECT page_id, pos, name, type, wikipedia_url, wikidata_url, google_kg_url, product_ontology_url, {confidence("base")} AS confidence FROM t"""
+SQL["rank_entities"] = f"WITH {M}, {SCORED} SELECT page_id, pos, row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, pos) AS rank FROM e"
+SQL["merge_cached"] = f"""WITH {M}, {SCORED},
+c AS (SELECT lower(name) AS k, max_by(struct_pack(name := name, type := type, confidence := confidence, g := google_kg_url), (page_id, pos)) AS v FROM e WHERE length(name) % 6 = 0 GROUP BY 1),
+f AS (SELECT page_id, pos // 5 AS batch, lower(name) AS k, min_by(struct_pack(name := name, type := type, confidence := confidence, g := google_kg_url), (-confidence, pos)) AS v FROM e WHERE length(name) % 6 IN (1, 2, 3) GROUP BY 1, 2, 3),
+x AS (SELECT m.page_id, m.pos, coalesce(c.v, f.v, struct_pack(name := m.name, type := 'Thing', confidence := 0, g := NULL::VARCHAR)) AS v
+  FROM m LEFT JOIN c ON c.k = lower(m.name) LEFT JOIN f ON f.page_id = m.page_id AND f.batch = m.pos // 5 AND f.k = lower(m.name))
+SELECT page_id, pos, v.name AS name, v.type AS type, v.confidence AS confidence, v.g AS google_kg_url FROM x"""
+SQL["linkedin_person"] = "SELECT page_id, 'https://linkedin.com/in/ada-byron-' || page_id AS ada, NULL AS alan, NULL AS lower_case FROM pages"
+SQL["linkedin_company"] = "SELECT p_partkey AS page_id, 'https://linkedin.com/company/part-' || p_partkey AS company, NULL AS nobody FROM part"

@@ -250,7 +250,7 @@ def page_headings(spark, sf):
 def strip_boilerplate(spark, sf):
     stripped = P.strip_boilerplate(fx.parsed(spark, sf))
     root = F.get("nodes", F.lit(0))
-    return stripped.select("page_id", F.size("removed").alias("removed"), F.md5(N.kept_text(F.col("text"), F.col("removed"), root)).alias("kept_md5"))
+    return stripped.select("page_id", F.size("removed").alias("removed_subtrees"), F.md5(N.kept_text(F.col("text"), F.col("removed"), root)).alias("kept_md5"))
 
 
 @query
@@ -373,3 +373,210 @@ def canonical_entity(spark, sf):
 @query
 def entity_variants(spark, sf):
     return M.entity_variants(_alias_names(spark, sf)).select("p_partkey", "variant_pos", "variant")
+
+
+# ── linking ───────────────────────────────────────────────────────────────────
+
+
+def _skip_names(spark, sf):
+    texts = """CASE p_partkey % 12 WHEN 0 THEN 'Local SEO' WHEN 1 THEN concat(p_name, ' Pricing') WHEN 2 THEN 'Newsletter' WHEN 3 THEN 'Areas' WHEN 4 THEN 'Public'
+      WHEN 5 THEN concat('a b c d ', p_name) WHEN 6 THEN 'Meet & Greet' WHEN 7 THEN 'Wonder' WHEN 8 THEN concat('Wonder ', p_name) WHEN 9 THEN concat(p_name, ' report')
+      WHEN 10 THEN 'Schema Markups' ELSE p_name END"""
+    return fx.table(spark, sf, "part").selectExpr("p_partkey", f"{texts} AS name")
+
+
+@query
+def skip_filter(spark, sf):
+    return _skip_names(spark, sf).select("p_partkey", "name", L.is_skipped(F.col("name")).alias("skipped"))
+
+
+@query
+def base_score(spark, sf):
+    asked = fx.text_mentions(spark, sf).withColumn("cached", F.expr("length(name) % 6 = 0"))
+    return L.base_score(asked).select("page_id", "pos", "batch", "base")
+
+
+@query
+def base_score_page(spark, sf):
+    return L.base_score(fx.text_mentions(spark, sf), batch_size=None).select("page_id", "pos", "base")
+
+
+@query
+def known_entities(spark, sf):
+    texts = "CASE p_partkey % 5 WHEN 0 THEN ' Instagram' WHEN 1 THEN 'X (formerly Twitter)' WHEN 2 THEN 'MOZ' WHEN 3 THEN 'Machine Learning' ELSE p_name END"
+    return L.known_entities(fx.table(spark, sf, "part").selectExpr("p_partkey", f"{texts} AS name"))
+
+
+@query
+def wiki_search_terms(spark, sf):
+    texts = """CASE p_partkey % 6 WHEN 0 THEN concat('SEO', CASE WHEN p_size > 25 THEN '' ELSE 'x' END) WHEN 1 THEN "O'Hare" WHEN 2 THEN concat(initcap(p_name), ' Airport')
+      WHEN 3 THEN 'Academic Programs' ELSE p_name END"""
+    named = fx.table(spark, sf, "part").selectExpr(f"{texts} AS name", "CASE WHEN p_size % 2 = 0 THEN 'Higher Education' ELSE 'Rings' END AS topic").distinct()
+    asked = named.select("name", "topic", L.is_academic(F.col("name"), F.col("topic")).alias("academic"))
+    return L.wiki_search_terms(asked.select("name", "academic").distinct())
+
+
+@query
+def wiki_candidates(spark, sf):
+    found = L.wiki_candidates(fx.names(spark, sf), fx.knowledge_base(spark, sf).pages)
+    return found.select("name", "hit", "title", "url")
+
+
+@query
+def wiki_reject(spark, sf):
+    pairs = fx.table(spark, sf, "part").selectExpr(
+        "p_partkey",
+        "CASE p_partkey % 7 WHEN 0 THEN 'AI SEO' WHEN 1 THEN 'Analytics' WHEN 2 THEN 'SEO' WHEN 3 THEN 'Content Marketing' ELSE p_name END AS name",
+        """concat(CASE p_size % 6 WHEN 0 THEN 'Seoul' WHEN 1 THEN 'Web Analytics' WHEN 2 THEN 'Marketing Strategy' WHEN 3 THEN concat(p_name, ' (', p_brand, ')') WHEN 4 THEN p_name ELSE 'Rings in Texas' END) AS title""",
+    )
+    return pairs.select("p_partkey", L.wiki_rejected(F.col("name"), F.col("title")).alias("rejected"))
+
+
+@query
+def wiki_score(spark, sf):
+    found = L.wiki_scored(L.wiki_candidates(fx.names(spark, sf), fx.knowledge_base(spark, sf).pages))
+    return found.select("name", "title", "score")
+
+
+@query
+def wiki_score_forms(spark, sf):
+    pairs = fx.table(spark, sf, "part").selectExpr(
+        "p_partkey",
+        """CASE p_partkey % 8 WHEN 0 THEN concat(p_name, ' airport') WHEN 1 THEN concat('big ', p_name, ' airport') WHEN 2 THEN 'green airport' WHEN 3 THEN concat(p_name, ' of the ring')
+           WHEN 4 THEN concat(p_name, ' zz') WHEN 5 THEN p_name WHEN 6 THEN concat('the ', p_name, ' aa bb') ELSE p_name END AS name""",
+        """CASE p_partkey % 8 WHEN 0 THEN concat(initcap(p_name), ' International Airport') WHEN 1 THEN concat(p_name, ' Airport') WHEN 2 THEN concat(p_brand, ' Airport') WHEN 3 THEN initcap(p_name)
+           WHEN 4 THEN p_name WHEN 5 THEN concat(p_name, ' in California') WHEN 6 THEN concat('bb aa ', p_name) ELSE concat(initcap(p_name), ' aa bb cc dd ee ff gg hh ii jj kk ll') END AS title""",
+    )
+    return pairs.select("p_partkey", L.wiki_score(F.col("name"), F.col("title")).alias("score"))
+
+
+def _verified(spark, sf):
+    kb = fx.knowledge_base(spark, sf)
+    return L.wiki_verified(L.wiki_scored(L.wiki_candidates(fx.names(spark, sf), kb.pages)), kb.pages), kb
+
+
+@query
+def wiki_verify(spark, sf):
+    return _verified(spark, sf)[0].select("name", "title", "score")
+
+
+@query
+def wiki_best(spark, sf):
+    return L.wiki_best(_verified(spark, sf)[0]).select("name", "title", "url", "score")
+
+
+@query
+def wikidata_from_page(spark, sf):
+    verified, kb = _verified(spark, sf)
+    return L.wikidata_from_page(L.wiki_best(verified), kb.items).select("name", "page_item")
+
+
+@query
+def wikidata_direct(spark, sf):
+    return L.wikidata_direct(fx.names(spark, sf), fx.knowledge_base(spark, sf).items).select("name", "direct_item", "score")
+
+
+@query
+def label_score(spark, sf):
+    pairs = fx.table(spark, sf, "part").selectExpr(
+        "p_partkey", "p_name AS entity",
+        "CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN concat('a ', p_name) WHEN 2 THEN split(p_name, ' ')[0] WHEN 3 THEN '' ELSE concat(split(p_name, ' ')[1], ' xx') END AS label",
+        "CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN concat('some ', split(p_name, ' ')[1]) ELSE upper(p_name) END AS description",
+    )
+    return pairs.select("p_partkey", L.label_score(F.col("entity"), F.col("label"), F.col("description")).alias("score"))
+
+
+@query
+def academic_mismatch(spark, sf):
+    pairs = fx.table(spark, sf, "part").selectExpr(
+        "p_partkey",
+        "CASE p_partkey % 4 WHEN 0 THEN repeat(concat(p_name, ' '), 6) WHEN 1 THEN repeat(replace(p_name, ' ', ''), 20) ELSE p_name END AS label",
+        "CASE p_size % 4 WHEN 0 THEN 'Study in New  Zealand' WHEN 1 THEN 'Performance monitoring for action' WHEN 2 THEN 'bin ukulele' ELSE '' END AS description",
+    )
+    return pairs.select("p_partkey", L.academic_mismatch(F.col("label"), F.col("description")).alias("mismatch"))
+
+
+@query
+def google_kg(spark, sf):
+    return L.graph_best(fx.names(spark, sf), fx.knowledge_base(spark, sf).graph)
+
+
+@query
+def product_ontology(spark, sf):
+    return L.product_ontology(fx.names(spark, sf), fx.knowledge_base(spark, sf).urls)
+
+
+def _fit_pairs(spark, sf):
+    return fx.table(spark, sf, "part").selectExpr(
+        "p_partkey",
+        "CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE initcap(p_name) END AS name",
+        "CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN 'the services' WHEN 2 THEN concat('The ', p_type, '!') WHEN 3 THEN concat('Ring & ', lower(p_type), ' widget-world') ELSE concat(p_name, ' ', p_name, ' solutions') END AS topic",
+        "CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat('a poet of ', lower(p_type), ' things') WHEN 2 THEN concat('about ', p_name, ' ', p_name) ELSE concat(lower(p_type), ' widget world') END AS text",
+    )
+
+
+@query
+def person_context(spark, sf):
+    name, topic, text = F.col("name"), F.col("topic"), F.col("text")
+    return _fit_pairs(spark, sf).select(
+        "p_partkey", L.person_fits_extract(name, topic, text).alias("by_extract"), L.person_fits_description(name, topic, text).alias("by_description")
+    )
+
+
+@query
+def entity_type(spark, sf):
+    rows = fx.table(spark, sf, "part").selectExpr(
+        "CASE p_partkey % 3 WHEN 0 THEN initcap(p_name) WHEN 1 THEN concat(p_name, ' School') ELSE p_name END AS name",
+        "CASE WHEN p_size % 7 = 0 THEN 'Product' END AS known", "CASE p_size % 4 WHEN 0 THEN 'Q571' WHEN 1 THEN 'Q1' END AS p31", "p_partkey",
+    )
+    return rows.select("p_partkey", L.entity_type(F.col("name"), F.col("known"), F.col("p31")).alias("type"))
+
+
+@query
+def confidence(spark, sf):
+    rows = fx.scored_mentions(spark, sf).withColumn("base", F.expr("(40 - pos) / 40 * 70"))
+    columns = ("base", "wikipedia_url", "wikidata_url", "google_kg_url", "product_ontology_url", "type")
+    return rows.select("page_id", "pos", L.confidence(*[F.col(c) for c in columns]).alias("score"))
+
+
+def _topic_mentions(spark, sf):
+    """Mentions of the cleaned text with the topic from the page's title."""
+    pages = fx.pages(spark, sf)
+    title = X.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    return pages.select("page_id", X.name_from_title(title).alias("main_topic"), F.posexplode(F.slice(M.candidate_names(P.clean_text(F.col("html"))), 1, 40)).alias("pos", "name"))
+
+
+@query
+def linked_entities(spark, sf):
+    """Linking end to end: candidates, scores, topic fit, types and confidence of every mention."""
+    return L.link_mentions(_topic_mentions(spark, sf), fx.knowledge_base(spark, sf)).drop("batch")
+
+
+@query
+def rank_entities(spark, sf):
+    return L.rank_entities(fx.scored_mentions(spark, sf)).select("page_id", "pos", "rank")
+
+
+@query
+def merge_cached(spark, sf):
+    asked = fx.text_mentions(spark, sf)
+    rows = fx.scored_mentions(spark, sf)
+    cached = rows.filter("length(name) % 6 = 0").groupBy(F.lower("name").alias("lower_name")).agg(
+        F.max_by(F.struct(*L.ENTITY_FIELDS), F.struct("page_id", "pos")).alias("entity")
+    )
+    fresh = rows.filter("length(name) % 6 IN (1, 2, 3)").withColumn("batch", F.expr("CAST(floor(pos / 5) AS INT)"))
+    return L.merge_cached(asked, cached, fresh).select("page_id", "pos", "name", "type", "confidence", "google_kg_url")
+
+
+@query
+def linkedin_person(spark, sf):
+    parsed = fx.annotated_parsed(spark, sf)
+    text, nodes = F.col("text"), F.col("nodes")
+    return parsed.select("page_id", *[L.linkedin_person(text, nodes, F.lit(n)).alias(a) for n, a in (("Ada Byron", "ada"), ("Alan Turing", "alan"), ("ada byron", "lower_case"))])
+
+
+@query
+def linkedin_company(spark, sf):
+    html = F.concat(F.lit('<div><a href="https://www.linkedin.com/company/part-'), "p_partkey", F.lit('?x=1"><b>'), F.initcap("p_name"), F.lit('</b></a> <a href="http://linkedin.com/company/other">Other</a></div>'))
+    parts = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), "p_name", html.alias("html"))
+    return dom.parse_pages(parts).select("page_id", L.linkedin_company(F.col("text"), F.col("nodes"), F.col("p_name")).alias("company"), L.linkedin_company(F.col("text"), F.col("nodes"), F.lit("Nobody")).alias("nobody"))
