@@ -26,6 +26,7 @@ from pagequarry.operators import usage as U
 from pagequarry.plans import fixtures as fx
 from pagequarry.session import apply_settings
 from pagequarry.sources.pages import clean_pages, paste_to_pages
+from pagequarry.streaming import streams as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -580,3 +581,431 @@ def linkedin_company(spark, sf):
     html = F.concat(F.lit('<div><a href="https://www.linkedin.com/company/part-'), "p_partkey", F.lit('?x=1"><b>'), F.initcap("p_name"), F.lit('</b></a> <a href="http://linkedin.com/company/other">Other</a></div>'))
     parts = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), "p_name", html.alias("html"))
     return dom.parse_pages(parts).select("page_id", L.linkedin_company(F.col("text"), F.col("nodes"), F.col("p_name")).alias("company"), L.linkedin_company(F.col("text"), F.col("nodes"), F.lit("Nobody")).alias("nobody"))
+
+
+# ── salience and recommendations ──────────────────────────────────────────────
+
+
+def _page_rows(spark, sf):
+    """One row per page: text, entities and a topic."""
+    rows = E.page_entities(fx.page_texts(spark, sf), fx.scored_mentions(spark, sf))
+    topic = "CASE page_id % 4 WHEN 0 THEN 'SEO Search' WHEN 1 THEN 'Limo Hire' WHEN 2 THEN 'Higher Education' END"
+    first = F.get("entities", F.lit(0))["name"]
+    return rows.withColumn("main_topic", F.coalesce(F.expr(topic), first, F.col("title")))
+
+
+_TEXT = ("title", "headings", "body")
+
+
+@query
+def salience_score(spark, sf):
+    return E.salience_by_row(fx.scored_mentions(spark, sf))
+
+
+@query
+def salience_score_page(spark, sf):
+    return _page_rows(spark, sf).select("page_id", E.salience_score(F.col("entities")).alias("salience"))
+
+
+@query
+def topic_patterns(spark, sf):
+    topics = "CASE p_partkey % 6 WHEN 0 THEN 'Limo and SEO' WHEN 1 THEN 'Research' WHEN 2 THEN 'Higher Ed' WHEN 3 THEN 'Education search' WHEN 4 THEN '' ELSE p_name END"
+    return fx.table(spark, sf, "part").selectExpr("p_partkey", f"{topics} AS topic").select("p_partkey", E.topic_patterns(F.col("topic")).alias("pattern"))
+
+
+def _irrelevant():
+    return E.irrelevant_entities(F.col("entities"), *[F.col(c) for c in _TEXT], F.col("main_topic"))
+
+
+@query
+def irrelevant_entities(spark, sf):
+    return _page_rows(spark, sf).select("page_id", F.array_join(_irrelevant(), "|").alias("irrelevant"))
+
+
+@query
+def irrelevant_by_topic(spark, sf):
+    names = """array(named_struct('name', concat('University ', p_name), 'confidence', 50), named_struct('name', p_name, 'confidence', 39), named_struct('name', p_name, 'confidence', 40),
+      named_struct('name', 'Search College', 'confidence', 79), named_struct('name', 'Absent', 'confidence', 80), named_struct('name', 'Absent', 'confidence', 79))"""
+    rows = fx.table(spark, sf, "part").selectExpr(
+        "p_partkey", f"{names} AS entities", "concat('University ', p_name) AS title", "array(named_struct('level', 2, 'text', 'Search college')) AS headings", "'' AS body",
+        "CASE p_partkey % 4 WHEN 0 THEN 'seo' WHEN 1 THEN 'limo' WHEN 2 THEN 'education' ELSE 'rings' END AS topic",
+    )
+    found = E.irrelevant_entities(F.col("entities"), *[F.col(c) for c in _TEXT], F.col("topic"))
+    return rows.select("p_partkey", F.array_join(found, "|").alias("irrelevant"))
+
+
+def _with_tips(rows):
+    rows = rows.withColumn("irrelevant_names", _irrelevant())
+    return rows.withColumn("tips", E.salience_tips(F.col("entities"), F.col("main_topic"), F.col("irrelevant_names")))
+
+
+@query
+def salience_tips(spark, sf):
+    return _with_tips(_page_rows(spark, sf)).select("page_id", F.array_join("tips", "\n").alias("tips"))
+
+
+def _basic():
+    return E.recommend_basic(*[F.col(c) for c in ("entities", "title", "description", "headings", "body")])
+
+
+@query
+def recommend_basic(spark, sf):
+    return E.recommendation_rows(_page_rows(spark, sf).select("page_id", _basic().alias("recommendations")))
+
+
+@query
+def main_topic(spark, sf):
+    rows = fx.page_texts(spark, sf)
+    rows = rows.withColumn("names", F.slice(M.candidate_names(F.col("body")), 1, 40))
+    return rows.select("page_id", *[M.main_topic(F.col("title"), F.col("body"), F.col("names"), strategy=s).alias(s) for s in ("strict", "title", "frequent")])
+
+
+@query
+def schema_context(spark, sf):
+    docs = """CASE p_partkey % 5 WHEN 0 THEN '{"@graph":[]}' WHEN 1 THEN concat('{"@type":"WebPage","mainEntity":{"@type":"', p_type, '"},"speakable":{}}')
+      WHEN 2 THEN '{"@type":"X","mainEntity":[{"@type":"X"},{"@type":"Y"},{}],"hasPart":[],"sameAs":["u"]}' WHEN 3 THEN '{"knowsAbout":[1],"provider":{"a":1}}' END"""
+    return fx.table(spark, sf, "part").selectExpr("p_partkey", f"{docs} AS j").select("p_partkey", E.schema_context(F.col("j")).alias("context"))
+
+
+@query
+def recommendation_requests(spark, sf):
+    rows = _page_rows(spark, sf).withColumn("jsonld", F.lit('{"@type":"Article"}'))
+    asked = E.recommendation_requests(rows, prompt="Read:\n", task="\nAdvise.")
+    return asked.select("page_id", F.md5("prompt").alias("prompt_md5"), "model", "max_tokens")
+
+
+@query
+def parse_recommendations(spark, sf):
+    fallback = F.array(F.struct(F.lit("General").alias("category"), F.lit("none").alias("advice")))
+    rows = fx.recommendation_responses(spark, sf).select("page_id", E.parse_recommendations(F.col("body"), fallback).alias("recommendations"))
+    return E.recommendation_rows(rows)
+
+
+@query
+def score_bands(spark, sf):
+    rows = fx.scored_mentions(spark, sf)
+    return E.score_bands(rows, E.salience_by_row(rows))
+
+
+# ── classification ────────────────────────────────────────────────────────────
+
+
+def _classified_documents(spark, sf):
+    """Documents as page text, with ordinary words replaced by the words the patterns look for."""
+    text = """CASE doc_id % 6 WHEN 0 THEN replace(text, ' the ', ' services ') WHEN 1 THEN replace(text, ' the ', ' guide ') WHEN 2 THEN replace(replace(text, ' of ', ' tuition '), ' the ', ' shop ')
+      WHEN 3 THEN replace(replace(text, ' of ', ' limo agency '), ' the ', ' partner ') WHEN 4 THEN replace(text, ' of ', ' phd ') ELSE text END"""
+    return fx.spread(fx.table(spark, sf, "documents")).selectExpr(
+        "doc_id", "concat('Doc ', lang) AS title", "source AS description",
+        "array(named_struct('level', 1, 'text', concat('About ', lang)), named_struct('level', 2, 'text', 'More')) AS headings", f"{text} AS body",
+    )
+
+
+@query
+def schema_type(spark, sf):
+    counts = C.pattern_counts(*[F.col(c) for c in ("title", "description", "headings", "body")])
+    rows = _classified_documents(spark, sf).select("doc_id", counts.alias("c"))
+    return rows.select("doc_id", "c.*", C.schema_type(F.col("c")).alias("schema_type"))
+
+
+_SERVICE_WORDS = "CASE p_partkey % 8 WHEN 0 THEN 'Organic Search' WHEN 1 THEN 'pay-per-click ads' WHEN 2 THEN 'content marketing and SEO' WHEN 3 THEN 'Link building' WHEN 4 THEN 'limousine service' WHEN 5 THEN 'limousines' WHEN 6 THEN 'website development' ELSE '' END"
+_AUDIENCE_WORDS = "CASE p_size % 6 WHEN 0 THEN 'for universities' WHEN 1 THEN 'k-12 schools' WHEN 2 THEN 'clinic' WHEN 3 THEN 'shopify retailers' WHEN 4 THEN 'legalese' ELSE 'enterprise law firm' END"
+
+
+def _titled_parts(spark, sf):
+    return fx.table(spark, sf, "part").selectExpr(
+        "p_partkey", "p_name AS title", f"{_AUDIENCE_WORDS} AS description", f"array(named_struct('level', 1, 'text', {_SERVICE_WORDS})) AS headings"
+    )
+
+
+@query
+def service_type(spark, sf):
+    found = _titled_parts(spark, sf).select("p_partkey", C.service_type(*[F.col(c) for c in ("title", "description", "headings")]).alias("s"))
+    return found.select("p_partkey", "s.service_type", F.array_join("s.same_as", "|").alias("same_as"))
+
+
+@query
+def audience(spark, sf):
+    found = _titled_parts(spark, sf).select("p_partkey", C.audience(*[F.col(c) for c in ("title", "description", "headings")]).alias("a"))
+    return found.select("p_partkey", "a.name", "a.type", "a.industry", "a.educational_role", "a.audience_type")
+
+
+# ── structured data and JSON-LD ───────────────────────────────────────────────
+
+
+def _structured(spark, sf):
+    return J.structured_columns(fx.annotated_parsed(spark, sf))
+
+
+@query
+def contact_info(spark, sf):
+    parsed = fx.annotated_parsed(spark, sf)
+    text, nodes = F.col("text"), F.col("nodes")
+    found = parsed.select("page_id", S.telephone(text).alias("telephone"), S.address(text, nodes).alias("a"))
+    return found.select("page_id", "telephone", "a.postalCode", "a.addressRegion", "a.addressCountry", "a.streetAddress", "a.addressLocality")
+
+
+@query
+def parse_address(spark, sf):
+    texts = """CASE p_partkey % 6 WHEN 0 THEN concat(p_size, ' ', p_name, ' road, Paris, TX 75460-', lpad(p_size, 4, '0'), ' United States') WHEN 1 THEN concat(p_name, ' lane 12345') WHEN 2 THEN p_name
+      WHEN 3 THEN concat('NY ', p_name) WHEN 4 THEN concat(p_name, ', ', p_brand, ' usa') ELSE '' END"""
+    rows = fx.table(spark, sf, "part").selectExpr("p_partkey", f"{texts} AS t").select("p_partkey", S.parse_address(F.col("t")).alias("a"))
+    return rows.select("p_partkey", "a.postalCode", "a.addressRegion", "a.addressCountry", "a.streetAddress", "a.addressLocality")
+
+
+@query
+def social_links(spark, sf):
+    found = fx.annotated_parsed(spark, sf).select("page_id", F.posexplode(S.social_links(F.col("nodes"))).alias("pos", "link"))
+    return found
+
+
+@query
+def author_and_organization(spark, sf):
+    parsed = fx.annotated_parsed(spark, sf)
+    text, nodes = F.col("text"), F.col("nodes")
+    return parsed.select("page_id", S.author(text, nodes).alias("author"), S.organization(text, nodes).alias("organization"))
+
+
+@query
+def faq(spark, sf):
+    found = fx.annotated_parsed(spark, sf).select("page_id", S.faq(F.col("text"), F.col("nodes")).alias("faq"))
+    return found.select("page_id", F.posexplode("faq.mainEntity").alias("pos", "q")).select("page_id", "pos", "q.name", F.col("q.acceptedAnswer.text").alias("answer"))
+
+
+@query
+def clean_qa(spark, sf):
+    rows = fx.table(spark, sf, "documents").selectExpr(
+        "doc_id", "concat(CASE doc_id % 3 WHEN 0 THEN 'Q: ' WHEN 1 THEN 'question:' ELSE '#12. ' END, 'how ', lang, CASE WHEN doc_id % 2 = 0 THEN '.' ELSE '' END) AS q", "concat('Answer:  ', text) AS a"
+    )
+    return rows.select("doc_id", S.clean_question(F.col("q")).alias("question"), S.clean_answer(F.col("a")).alias("answer"))
+
+
+@query
+def howto(spark, sf):
+    found = fx.annotated_parsed(spark, sf).select("page_id", S.howto(F.col("text"), F.col("nodes")).alias("h"))
+    steps = F.array_join(F.transform("h.step", lambda s: F.concat_ws("/", s["position"], s["text"], s["name"])), "|")
+    return found.select("page_id", "h.name", "h.description", "h.totalTime", steps.alias("steps"), F.array_join(F.transform("h.supply", lambda s: s["name"]), "|").alias("supply"))
+
+
+@query
+def howto_from_headings(spark, sf):
+    html = "concat('<h1>How to use ', p_name, '</h1><h2>Step 1: Take ', p_name, '</h2><p>First  take it.</p><p>Then look.</p><h3>2. Turn</h3><p>Turn it ', p_size, ' times.</p><h2>End</h2><p>x</p>')"
+    parsed = dom.parse_pages(fx.table(spark, sf, "part").selectExpr("p_partkey AS page_id", f"{html} AS html"))
+    found = parsed.select("page_id", S.howto(F.col("text"), F.col("nodes")).alias("h"))
+    steps = F.array_join(F.transform("h.step", lambda s: F.concat_ws("/", s["position"], s["name"], s["text"])), "|")
+    return found.select("page_id", "h.name", steps.alias("steps"))
+
+
+@query
+def howto_time(spark, sf):
+    texts = "concat('About ', p_size, CASE p_partkey % 5 WHEN 0 THEN ' hrs and 5mins' WHEN 1 THEN ' Hours, 2 days' WHEN 2 THEN 'days' WHEN 3 THEN ' minute' ELSE ' moons' END)"
+    return fx.table(spark, sf, "part").selectExpr("p_partkey", f"{texts} AS t").select("p_partkey", S.howto_time(F.col("t")).alias("total_time"))
+
+
+@query
+def clean_step(spark, sf):
+    rows = fx.table(spark, sf, "documents").selectExpr("doc_id", "concat(CASE WHEN doc_id % 2 = 0 THEN 'Step 3:  ' ELSE '#4. ' END, text) AS t")
+    return rows.select("doc_id", S.clean_step(F.col("t")).alias("step"))
+
+
+@query
+def program_details(spark, sf):
+    texts = "concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' takes 2 years or 18 Months' WHEN 1 THEN ' 4 year HYBRID degree' WHEN 2 THEN ', 12weeks online certificate, 30 Credits' ELSE '' END)"
+    return fx.table(spark, sf, "part").selectExpr("p_partkey", f"{texts} AS t").select("p_partkey", S.program_details(F.col("t")).alias("d")).select("p_partkey", "d.*")
+
+
+def _full_rows(spark, sf):
+    """Annotated pages with text, entities and structured data, one row each."""
+    parsed = fx.annotated_parsed(spark, sf)
+    rows = P.page_text(parsed).join(J.structured_columns(parsed), "page_id")
+    return E.page_entities(rows, fx.scored_mentions(spark, sf))
+
+
+def _entity_rows(spark, sf):
+    return E.page_entities(fx.pages(spark, sf).select("page_id"), fx.scored_mentions(spark, sf))
+
+
+@query
+def about_things(spark, sf):
+    found = _entity_rows(spark, sf).select("page_id", F.posexplode(J.about_things(F.col("entities"))).alias("pos", "t"))
+    return found.select("page_id", "pos", F.to_json("t").alias("thing"))
+
+
+@query
+def knows_about(spark, sf):
+    found = _entity_rows(spark, sf).select("page_id", F.posexplode(J.knows_about(F.col("entities"))).alias("pos", "t"))
+    return found.select("page_id", "pos", F.to_json("t").alias("thing"))
+
+
+@query
+def education_provider(spark, sf):
+    rows = E.page_entities(fx.pages(spark, sf).selectExpr("page_id", "CASE WHEN page_id % 2 = 0 THEN '' ELSE concat('T', page_id, ' - x') END AS title"), fx.scored_mentions(spark, sf))
+    named = F.transform("entities", lambda e: F.when((e["pos"] == 3) & (F.col("page_id") % 3 == 0), e.withField("name", F.concat(e["name"], F.lit(" Academy")))).otherwise(e))
+    return rows.withColumn("entities", named).select("page_id", J.education_provider().alias("provider"))
+
+
+@query
+def site_nodes(spark, sf):
+    return _structured(spark, sf).select("page_id", F.to_json("org_node").alias("organization"), F.to_json("site_node").alias("website"))
+
+
+@query
+def speakable(spark, sf):
+    pages = fx.table(spark, sf, "pages")
+    return pages.select("page_id", *[F.to_json(J.speakable(n)).alias(f"speakable_{n}") for n in (4, 5, 6)])
+
+
+def _written(spark, sf, kind):
+    return _full_rows(spark, sf).select("page_id", J.WRITERS[kind]().alias("jsonld"))
+
+
+@query
+def jsonld_webpage(spark, sf):
+    return _written(spark, sf, "WebPage")
+
+
+@query
+def jsonld_article(spark, sf):
+    return _written(spark, sf, "Article")
+
+
+@query
+def jsonld_service(spark, sf):
+    return _written(spark, sf, "Service")
+
+
+@query
+def jsonld_local_business(spark, sf):
+    return _written(spark, sf, "LocalBusiness")
+
+
+@query
+def jsonld_educational(spark, sf):
+    return _written(spark, sf, "EducationalOccupationalProgram")
+
+
+@query
+def generate_jsonld(spark, sf):
+    made = J.generate_jsonld(_full_rows(spark, sf))
+    return made.groupBy("schema_type").agg(F.count("*").alias("pages"), F.count(F.when(F.length("jsonld") > 2, 1)).alias("documents"))
+
+
+# ── fan-out ───────────────────────────────────────────────────────────────────
+
+
+@query
+def semantic_chunks(spark, sf):
+    return G.chunk_rows(G.semantic_chunks(fx.annotated_parsed(spark, sf)))
+
+
+@query
+def semantic_chunks_fallback(spark, sf):
+    return G.chunk_rows(G.semantic_chunks(fx.parsed(spark, sf)))
+
+
+@query
+def fanout_requests(spark, sf):
+    docs = fx.table(spark, sf, "documents").selectExpr(
+        "doc_id AS page_id", "CASE WHEN doc_id % 2 = 0 THEN concat('https://example.org/', doc_id) ELSE '' END AS url", "md5(text) AS content_hash",
+        "array(named_struct('type', 'section', 'heading', lang, 'content', substring(text, 1, 500)), named_struct('type', 'list', 'heading', CAST(NULL AS STRING), 'content', source)) AS chunks",
+    )
+    asked = G.fanout_requests(docs, prompt="Read.\n", task="\nAnswer.")
+    return asked.select("page_id", "content_hash", "chunks_extracted", F.md5("prompt").alias("prompt_md5"), "temperature", "maxOutputTokens")
+
+
+@query
+def parse_fanout(spark, sf):
+    parsed = G.parse_fanout(fx.fanout_responses(spark, sf))
+    return parsed.select("content_hash", "primary_entity", F.size("queries").alias("n_queries"), F.array_join("follow_ups", "|").alias("follow_ups"), "coverage_score", "recommendations")
+
+
+@query
+def fanout_queries(spark, sf):
+    return G.query_rows(G.parse_fanout(fx.fanout_responses(spark, sf)))
+
+
+@query
+def coverage_pct(spark, sf):
+    return G.parse_fanout(fx.fanout_responses(spark, sf)).select("content_hash", G.coverage_pct(F.col("coverage_score")).alias("pct"))
+
+
+@query
+def coverage_rollup(spark, sf):
+    return G.coverage_rollup(G.query_rows(G.parse_fanout(fx.fanout_responses(spark, sf))), "content_hash")
+
+
+@query
+def coverage_corpus(spark, sf):
+    return G.coverage_rollup(G.query_rows(G.parse_fanout(fx.fanout_responses(spark, sf))))
+
+
+# ── results, streams, DOM ─────────────────────────────────────────────────────
+
+
+def _results(spark, sf):
+    rows = _with_tips(_page_rows(spark, sf))
+    made = rows.filter("page_id % 5 <> 4").select(
+        "page_id", F.concat(F.lit('{"n":'), "page_id", F.lit("}")).alias("jsonld"), _basic().alias("recommendations"),
+        E.salience_score(F.col("entities")).alias("salience"), "tips", F.col("irrelevant_names").alias("irrelevant"),
+    )
+    fan = fx.table(spark, sf, "pages").filter("page_id % 3 <> 2").selectExpr(
+        "page_id", "CASE WHEN page_id % 3 = 0 THEN concat('analysis ', page_id) END AS analysis", "CAST(page_id % 9 AS INT) AS chunks_extracted", "CASE WHEN page_id % 3 = 1 AND page_id % 2 = 0 THEN 'no key' END AS error"
+    )
+    return R.assemble_results(rows.select("page_id", "url", "main_topic"), rows.select("page_id", "entities"), made, fan)
+
+
+@query
+def assemble_results(spark, sf):
+    out = _results(spark, sf)
+    sizes = [F.size(c).alias(f"n_{c}") for c in ("entities", "recommendations", "tips")]
+    return out.select("page_id", "url", "main_topic", "jsonld", "salience", F.array_join("irrelevant", "|").alias("irrelevant"), *sizes, "analysis", "chunks_extracted", "error", "processing_time_ms", "cached")
+
+
+@query
+def reports(spark, sf):
+    return R.report(_results(spark, sf))
+
+
+@query
+def dom_nodes(spark, sf):
+    return dom.dom_nodes(fx.parsed(spark, sf)).groupBy("page_id").agg(
+        F.count(F.when(F.col("tag") == "p", 1)).alias("p"), F.count(F.when(F.col("tag") == "li", 1)).alias("li"), F.count(F.when(F.col("tag") == "a", 1)).alias("a"),
+        F.count(F.when(F.col("tag").isin("html", "head", "body"), 1)).alias("frame"), F.md5(F.max(F.when(F.col("tag") == "nav", F.col("text")))).alias("nav_md5"),
+    )
+
+
+@query
+def dom_nodes_documents(spark, sf):
+    parsed = dom.parse_pages(paste_to_pages(fx.spread(fx.table(spark, sf, "documents"))))
+    return parsed.select("page_id", F.md5("text").alias("text_md5"), (F.element_at("nodes", -1)["pre_end"] + 1 == F.size("nodes")).alias("closed"))
+
+
+def _stream_events(spark, sf):
+    return ST.read_stream(spark, sf, "events.parquet", fx.table(spark, sf, "events").schema)
+
+
+@query
+def stream_new_content(spark, sf):
+    keyed = _stream_events(spark, sf).selectExpr("event_id", "ts", "md5(concat('content ', user_id % 97)) AS content_hash")
+    return spark.read.parquet(ST.write_append(ST.new_content(keyed), ST.run_folder(spark, "content"))).groupBy("content_hash").agg(F.count("*").alias("extractions"))
+
+
+@query
+def stream_usage(spark, sf):
+    path = ST.write_usage(ST.usage_counts(_stream_events(spark, sf)), ST.run_folder(spark, "usage"))
+    return spark.read.parquet(path).select("user_id", "month", "runs")
+
+
+@query
+def stream_hit_rate(spark, sf):
+    cache = fx.cache_of(spark, sf, "view", "url_hash", "24 HOURS").select("url_hash", "written_at", "expires_at")
+    keyed = _stream_events(spark, sf).selectExpr("event_id", "CAST(ts AS TIMESTAMP_NTZ) AS at", "ts", "md5(concat('https://example.org/u/', user_id)) AS url_hash")
+    hit = F.coalesce((F.col("at") > F.col("written_at")) & (F.col("at") < F.col("expires_at")), F.lit(False))
+    rated = ST.hit_rate(keyed.join(cache, "url_hash", "left").withColumn("hit", hit))
+    return spark.read.parquet(ST.write_append(rated, ST.run_folder(spark, "hits"))).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@query
+def stream_pages(spark, sf):
+    arriving = ST.read_stream(spark, sf, "pages.parquet", fx.table(spark, sf, "pages").schema)
+    path = ST.write_page_texts(arriving, ST.run_folder(spark, "pages"))
+    return spark.read.parquet(path).select("page_id", "title", F.md5("body").alias("body_md5"))
