@@ -361,3 +361,246 @@ x AS (SELECT m.page_id, m.pos, coalesce(c.v, f.v, struct_pack(name := m.name, ty
 SELECT page_id, pos, v.name AS name, v.type AS type, v.confidence AS confidence, v.g AS google_kg_url FROM x"""
 SQL["linkedin_person"] = "SELECT page_id, 'https://linkedin.com/in/ada-byron-' || page_id AS ada, NULL AS alan, NULL AS lower_case FROM pages"
 SQL["linkedin_company"] = "SELECT p_partkey AS page_id, 'https://linkedin.com/company/part-' || p_partkey AS company, NULL AS nobody FROM part"
+
+# ── salience and recommendations ──────────────────────────────────────────────
+
+SALIENCE = "floor(sum(confidence) / count(*) * 0.5 + sum((confidence >= 85)::INT) / count(*) * 100 * 0.35 + sum(contains(google_kg_url, 'kgmid=')::INT) / count(*) * 100 * 0.15 + 0.5)::INT"
+SQL["salience_score"] = f"WITH {M}, {SCORED} SELECT page_id, {SALIENCE} AS salience FROM e GROUP BY page_id"
+SQL["salience_score_page"] = f"WITH {M}, {SCORED}, s AS (SELECT page_id, {SALIENCE} AS salience FROM e GROUP BY page_id) SELECT page_id, coalesce(salience, 0) AS salience FROM pages LEFT JOIN s USING (page_id)"
+PATTERNS = ["|".join(p) for _, p in rules.TOPIC_PATTERNS]
+SQL["topic_patterns"] = f"SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '{PATTERNS[0]}' WHEN 1 THEN '{PATTERNS[1]}' WHEN 2 THEN '{PATTERNS[2]}' WHEN 3 THEN '{PATTERNS[1]}' END AS pattern FROM part"
+
+
+def occurrences(hay: str, needle: str) -> str:
+    return f"((length({hay}) - length(replace({hay}, {needle}, ''))) / length({needle}))"
+
+
+ROWS = f"""pt AS (SELECT page_id, url, {TITLE} AS title, {H1} AS h1, {BODY} AS body, lower({BODY}) AS lbody FROM pages),
+first AS (SELECT page_id, name FROM e WHERE pos = 0),
+pr AS (SELECT pt.*, coalesce(CASE page_id % 4 WHEN 0 THEN 'SEO Search' WHEN 1 THEN 'Limo Hire' WHEN 2 THEN 'Higher Education' END, first.name, title) AS topic FROM pt LEFT JOIN first USING (page_id)),
+ep AS (SELECT e.*, pr.title, pr.h1, pr.topic, {occurrences("pr.lbody", "lower(e.name)")} AS n FROM e JOIN pr USING (page_id)),
+irr AS (SELECT * FROM ep WHERE confidence < 80 AND ((NOT contains(lower(title), lower(name)) AND NOT contains(lower(h1), lower(name)) AND n <= 1)
+  OR (page_id % 4 <> 3 AND confidence < 40 AND NOT regexp_matches(name, '(?i)' || CASE page_id % 4 WHEN 0 THEN '{PATTERNS[1]}' WHEN 1 THEN '{PATTERNS[0]}' ELSE '{PATTERNS[2]}' END))
+  OR (page_id % 4 = 0 AND regexp_matches(name, '(?i){rules.EXAMPLE_SCHOOL}') AND NOT regexp_matches(name, '(?i){rules.SEO_NAME}')))),
+irrelevant AS (SELECT page_id, string_agg(name, '|' ORDER BY pos) AS bar, string_agg(name, ', ' ORDER BY pos) AS comma FROM irr GROUP BY 1)"""
+SQL["irrelevant_entities"] = f"WITH {M}, {SCORED}, {ROWS} SELECT page_id, coalesce(bar, '') AS irrelevant FROM pr LEFT JOIN irrelevant USING (page_id)"
+SQL["irrelevant_by_topic"] = """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'University ' || p_name || '|' || p_name || '|Absent' WHEN 1 THEN p_name || '|Absent' WHEN 2 THEN p_name || '|Absent' ELSE 'Absent' END AS irrelevant FROM part"""
+
+
+def fill(template: str, value: str) -> str:
+    before, after = template.split("%s")
+    return f"{lit(before)} || {value} || {lit(after)}"
+
+
+TIPS = f"""ctx AS (SELECT page_id, string_agg(name, ', ' ORDER BY pos) FILTER (type IN {in_list(rules.CONTEXT_TYPES)}) AS ctx FROM e GROUP BY 1),
+subject AS (SELECT ep.page_id, arg_min(type, pos) AS type FROM ep WHERE lower(name) = lower(topic) GROUP BY 1),
+tips AS (SELECT pr.page_id, [{fill(rules.TIP_FREQUENCY, "topic")}, CASE WHEN subject.type = 'Person' THEN {fill(rules.TIP_CONTEXT, "ctx")} ELSE {fill(rules.TIP_ALIGN, "comma")} END, {fill(rules.TIP_DETAIL, "topic")}] AS l
+  FROM pr LEFT JOIN irrelevant USING (page_id) LEFT JOIN ctx USING (page_id) LEFT JOIN subject USING (page_id))"""
+SQL["salience_tips"] = f"WITH {M}, {SCORED}, {ROWS}, {TIPS} SELECT page_id, array_to_string(list_filter(l, lambda x: x IS NOT NULL), chr(10)) AS tips FROM tips"
+RECS = f"""rec AS (SELECT page_id, pos AS o, 'Entity Coverage' AS category, {fill(rules.ADVICE_ENTITY[1], "name")} AS advice FROM ep WHERE n <= 1
+  UNION ALL SELECT page_id, 1000, {lit(rules.ADVICE_TITLE[0])}, {lit(rules.ADVICE_TITLE[1])} FROM pr WHERE title = ''
+  UNION ALL SELECT page_id, 1001, {lit(rules.ADVICE_DESCRIPTION[0])}, {lit(rules.ADVICE_DESCRIPTION[1])} FROM pr
+  UNION ALL SELECT page_id, 1002, {lit(rules.ADVICE_H1[0])}, {lit(rules.ADVICE_H1[1])} FROM pr WHERE h1 = ''
+  UNION ALL SELECT page_id, 1003, {lit(rules.ADVICE_FEW[0])}, {lit(rules.ADVICE_FEW[1])} FROM pr LEFT JOIN (SELECT page_id, count(*) AS c FROM e GROUP BY 1) USING (page_id) WHERE coalesce(c, 0) < 3),
+ranked AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY o) AS rank, category, advice FROM rec QUALIFY rank <= 5)"""
+SQL["recommend_basic"] = f"WITH {M}, {SCORED}, {ROWS}, {RECS} SELECT * FROM ranked"
+BM = mentions(f"SELECT page_id, {BODY} AS t FROM pages")
+SQL["main_topic"] = f"""WITH {BM}, pt AS (SELECT page_id, {TITLE} AS title, {TOPIC} AS topic, lower({BODY}) AS lbody FROM pages), h AS (SELECT m.*, {occurrences("lbody", "lower(name)")} AS n, contains(lower(title), lower(name)) AS titled FROM m JOIN pt USING (page_id)),
+f AS (SELECT page_id, name AS frequent FROM h QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC, pos) = 1), s AS (SELECT page_id, name AS strict FROM h WHERE titled QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC, pos) = 1)
+SELECT page_id, coalesce(strict, topic) AS strict, topic AS title, coalesce(frequent, topic) AS frequent FROM pt LEFT JOIN f USING (page_id) LEFT JOIN s USING (page_id)"""
+
+
+def context(body: str) -> str:
+    return f"{lit(rules.CONTEXT_HEAD)} || {body} || {lit(rules.CONTEXT_TAIL)}"
+
+
+SQL["schema_context"] = f"""SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN {context("'Schema types: WebPage, ' || p_type || chr(10) || 'Features: Voice search optimization (speakable)'")}
+  WHEN 2 THEN {context("'Schema types: X, Y' || chr(10) || 'Features: FAQ structured data, Entity linking (sameAs)'")}
+  WHEN 3 THEN {context("'Features: Provider/organization information, Knowledge domain specification'")} ELSE '' END AS context FROM part"""
+SQL["recommendation_requests"] = f"""WITH {M}, {SCORED}, pt AS (SELECT page_id, {BODY} AS body FROM pages), t AS (SELECT page_id, string_agg(name, ', ' ORDER BY pos) AS names FROM (SELECT * FROM e WHERE confidence > 50 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 5) GROUP BY 1)
+SELECT page_id, md5('Read:' || chr(10) || substring(body, 1, 2500) || '...' || chr(10) || chr(10) || '**Most Salient Topical Entities Identified:**' || chr(10) || coalesce(names, '') || {context("'Schema types: Article'")} || chr(10) || 'Advise.') AS prompt_md5,
+  'gpt-4o' AS model, 1000 AS max_tokens FROM pt LEFT JOIN t USING (page_id)"""
+SQL["parse_recommendations"] = """SELECT page_id, i AS rank, CASE WHEN page_id % 3 = 0 THEN 'C' || page_id ELSE 'General' END AS category, CASE WHEN page_id % 3 = 0 THEN 'advice ' || page_id ELSE 'none' END AS advice
+FROM pages, unnest(range(1, CASE WHEN page_id % 3 = 0 THEN 7 ELSE 2 END)) AS u(i)"""
+SQL["score_bands"] = f"""WITH {M}, {SCORED}, s AS (SELECT page_id, {SALIENCE} AS salience FROM e GROUP BY page_id)
+SELECT 'confidence' AS kind, CASE WHEN confidence >= 70 THEN 'high' WHEN confidence >= 40 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM e GROUP BY 2
+UNION ALL SELECT 'salience', CASE WHEN salience >= 80 THEN 'Excellent' WHEN salience >= 60 THEN 'Good' WHEN salience >= 40 THEN 'Moderate' ELSE 'Limited' END, count(*) FROM s GROUP BY 2"""
+
+# ── classification ────────────────────────────────────────────────────────────
+
+TYPED = """d AS (SELECT doc_id, lower('Doc ' || lang || ' ' || source || ' About ' || lang || ' More ' || substring(CASE doc_id % 6 WHEN 0 THEN replace(text, ' the ', ' services ') WHEN 1 THEN replace(text, ' the ', ' guide ')
+  WHEN 2 THEN replace(replace(text, ' of ', ' tuition '), ' the ', ' shop ') WHEN 3 THEN replace(replace(text, ' of ', ' limo agency '), ' the ', ' partner ') WHEN 4 THEN replace(text, ' of ', ' phd ') ELSE text END, 1, 4000)) AS t FROM documents)"""
+COUNTS = ", ".join(
+    " + ".join(f"len(regexp_extract_all(t, '(?i){p.replace(chr(39), chr(39) * 2)}'))" for p in patterns) + f" AS {group}" for group, patterns in rules.PAGE_TYPE_PATTERNS.items()
+)
+SQL["schema_type"] = f"""WITH {TYPED}, c AS (SELECT doc_id, {COUNTS} FROM d), g AS (SELECT *, greatest(service, business, education, article) AS top FROM c)
+SELECT doc_id, service, agency, business, education, article, CASE WHEN service >= 2 AND agency >= 1 THEN 'Service' WHEN article >= 3 AND article > service THEN 'Article' WHEN top < 2 THEN 'WebPage'
+  WHEN service = top THEN 'Service' WHEN business = top THEN 'LocalBusiness' WHEN education = top THEN 'EducationalOccupationalProgram' ELSE 'Article' END AS schema_type FROM g"""
+SQL["service_type"] = """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'Search Engine Optimization' WHEN 1 THEN 'Pay-per-click Advertising' WHEN 2 THEN 'Search Engine Optimization' WHEN 3 THEN 'Link Building' WHEN 4 THEN 'Limousine service'
+  WHEN 6 THEN 'Web Development' ELSE 'Professional Service' END AS service_type, coalesce(CASE p_partkey % 8 WHEN 0 THEN 'https://en.wikipedia.org/wiki/Search_engine_optimization|https://www.wikidata.org/wiki/Q180711'
+  WHEN 1 THEN 'https://en.wikipedia.org/wiki/Pay-per-click|https://www.wikidata.org/wiki/Q836811' WHEN 2 THEN 'https://en.wikipedia.org/wiki/Search_engine_optimization|https://www.wikidata.org/wiki/Q180711'
+  WHEN 3 THEN 'https://en.wikipedia.org/wiki/Link_building' WHEN 4 THEN 'https://en.wikipedia.org/wiki/Limousine|https://www.wikidata.org/wiki/Q188475'
+  WHEN 6 THEN 'https://en.wikipedia.org/wiki/Web_development|https://www.wikidata.org/wiki/Q386275' END, NULL) AS same_as FROM part"""
+SQL["audience"] = """SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'Higher Education Institutions' WHEN 1 THEN 'K-12 Schools' WHEN 2 THEN 'Healthcare Organizations' WHEN 3 THEN 'E-commerce Brands' WHEN 5 THEN 'B2B Companies' END AS name,
+  CASE WHEN p_size % 6 IN (0, 1) THEN 'EducationalAudience' WHEN p_size % 6 <> 4 THEN 'Audience' END AS type,
+  CASE p_size % 6 WHEN 0 THEN 'Higher Education' WHEN 1 THEN 'K-12 Education' WHEN 2 THEN 'Healthcare' WHEN 3 THEN 'E-commerce' WHEN 5 THEN 'B2B' END AS industry,
+  CASE WHEN p_size % 6 IN (0, 1) THEN 'Administrator' END AS educational_role, CASE p_size % 6 WHEN 2 THEN 'Healthcare' WHEN 3 THEN 'E-commerce' WHEN 5 THEN 'B2B' END AS audience_type FROM part"""
+
+# ── structured data of the annotated pages ────────────────────────────────────
+
+SQL["contact_info"] = """SELECT page_id, '(312) 555-' || lpad((page_id % 10000)::VARCHAR, 4, '0') AS telephone, lpad((page_id % 100000)::VARCHAR, 5, '0') AS postalCode, 'IL' AS addressRegion, 'US' AS addressCountry,
+  (page_id + 1) || ' Main Street' AS streetAddress, 'Springfield' AS addressLocality FROM pages"""
+SQL["parse_address"] = """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '75460-' || lpad(p_size::VARCHAR, 4, '0') WHEN 1 THEN '12345' END AS postalCode, CASE p_partkey % 6 WHEN 0 THEN 'TX' WHEN 3 THEN 'NY' END AS addressRegion,
+  CASE WHEN p_partkey % 6 IN (0, 4) THEN 'US' END AS addressCountry, CASE p_partkey % 6 WHEN 0 THEN p_size || ' ' || p_name || ' road' WHEN 1 THEN p_name || ' lane' WHEN 2 THEN p_name WHEN 4 THEN p_name END AS streetAddress,
+  CASE p_partkey % 6 WHEN 0 THEN 'Paris' WHEN 4 THEN p_brand || ' usa' END AS addressLocality FROM part"""
+SQL["social_links"] = """SELECT page_id, i AS pos, CASE i WHEN 0 THEN 'https://facebook.com/f' || page_id WHEN 1 THEN 'https://twitter.com/t' || page_id ELSE 'https://www.linkedin.com/in/ada-byron-' || page_id END AS link
+FROM pages, unnest(range(0, 3)) AS u(i)"""
+AUTHOR = "CASE WHEN page_id % 3 = 0 THEN 'Ada Byron' ELSE 'Grace Brewster Murray' END"
+ORGANIZATION = "CASE WHEN page_id % 4 = 0 THEN 'Site ' || page_id ELSE 'Brand ' || page_id END"
+SQL["author_and_organization"] = f"SELECT page_id, {AUTHOR} AS author, {ORGANIZATION} AS organization FROM pages"
+
+# Paragraph texts of an article: each opens at <p> and closes at the next </p>, <p> or </article>.
+PARAGRAPHS = f"list_transform(string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')[2:], lambda p: trim({unescape(no_tags("split_part(p, '</p>', 1)"))}, ' ' || chr(9) || chr(10) || chr(13)))"
+QUESTION = r"\b(what|how|why|when|where|who|which|can|could|should|would|will|is|are|do|does|did)\b"
+
+
+def clip(x: str, limit: int, floor: int) -> str:
+    head = f"substring({x}, 1, {limit})"
+    last = f"({limit} - strpos(reverse({head}), '.'))"
+    return f"CASE WHEN length({x}) <= {limit} THEN {x} WHEN strpos(reverse({head}), '.') > 0 AND {last} > {floor} THEN substring({head}, 1, {last} + 1) ELSE {head} || '...' END"
+
+
+FAQ = f"""pp AS (SELECT page_id, html, {H1} AS h1, {PARAGRAPHS} AS ps FROM pages),
+ha AS (SELECT page_id, h1, list_filter(ps, lambda p: length(p) > 20)[1] AS a FROM pp),
+faq AS (SELECT page_id, 0 AS pos, 'What is item ' || page_id || '?' AS name, 'Item ' || page_id || ' is a part of the corpus of pages.' AS answer FROM pages
+  UNION ALL SELECT page_id, 1, 'How big is it?', 'It has ' || length(html) || ' characters of source.' FROM pages
+  UNION ALL SELECT page_id, 2, CASE WHEN regexp_matches(h1, '[?!.]$') OR NOT regexp_matches(h1, '(?i){QUESTION}') THEN h1 ELSE h1 || '?' END, {clip(collapse("a"), 1500, 1000)} FROM ha
+    WHERE length(h1) BETWEEN 10 AND 300 AND (regexp_matches(h1, '(?i){QUESTION}') OR regexp_matches(h1, '\\?$')) AND length(a) > 50)"""
+SQL["faq"] = f"WITH {FAQ} SELECT * FROM faq"
+SQL["clean_qa"] = f"""SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN '' ELSE '' END || 'how ' || lang || CASE WHEN doc_id % 2 = 0 THEN '.' ELSE '?' END AS question,
+  {clip(collapse("text"), 1500, 1000)} AS answer FROM documents"""
+SQL["howto"] = """SELECT page_id, 'How to file page ' || page_id AS name, 'Filing takes a moment and needs two tools.' AS description, 'PT' || (page_id % 50 + 1) || 'M' AS "totalTime",
+  '1/Open folder number ' || page_id || ' in the cabinet./Open|2/Spend ' || (page_id % 50 + 1) || ' minutes to put page ' || page_id || ' in.' AS steps, 'Folder|Label ' || page_id || '|Pen' AS supply FROM pages"""
+SQL["howto_from_headings"] = """SELECT p_partkey AS page_id, 'How to use ' || p_name AS name, '1/Take ' || p_name || '/First take it. Then look.|2/2. Turn/Turn it ' || p_size || ' times.' AS steps FROM part"""
+SQL["howto_time"] = """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'PT5M' WHEN 1 THEN 'PT' || p_size || 'H' WHEN 2 THEN 'P' || p_size || 'D' WHEN 3 THEN 'PT' || p_size || 'M' END AS total_time FROM part"""
+SQL["clean_step"] = f"SELECT doc_id, {clip(collapse('text'), 1000, 800)} AS step FROM documents"
+SQL["program_details"] = """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'P18M' WHEN 1 THEN 'P4Y' WHEN 2 THEN 'P12W' END AS "timeToComplete", CASE WHEN p_partkey % 4 = 2 THEN 30 END AS "numberOfCredits",
+  CASE p_partkey % 4 WHEN 1 THEN 'Degree' WHEN 2 THEN 'Certificate' END AS credential, CASE p_partkey % 4 WHEN 1 THEN 'hybrid' WHEN 2 THEN 'online' END AS mode FROM part"""
+
+
+def js(x: str) -> str:
+    return f"CASE WHEN {x} IS NOT NULL THEN to_json({x})::VARCHAR END"
+
+
+def key(name: str, value: str) -> str:
+    """An optional key with a comma before it."""
+    return f"coalesce(',\"{name}\":' || {value}, '')"
+
+
+THINGS = f"""things AS (SELECT page_id, pos, name, confidence, wikipedia_url, '{{"@type":' || {js("type")} || ',"name":' || {js("name")} || {key("additionalType", js("product_ontology_url"))}
+  || ',"sameAs":[' || concat_ws(',', {js("wikipedia_url")}, {js("wikidata_url")}, {js("google_kg_url")}) || ']}}' AS thing FROM e),
+known AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY e.pos) - 1 AS pos, '{{"@type":"Thing","name":' || {js("lower(name)")} || ',"sameAs":[' || concat_ws(',', {js("wikipedia_url")}, {js("google_kg_url")}) || ']}}' AS thing
+  FROM e WHERE confidence > 60 AND wikipedia_url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY e.pos) <= 12)"""
+SQL["about_things"] = f"WITH {M}, {SCORED}, {THINGS} SELECT page_id, pos, thing FROM things"
+SQL["knows_about"] = f"WITH {M}, {SCORED}, {THINGS} SELECT page_id, pos, thing FROM known"
+SQL["education_provider"] = f"""WITH {M}, {SCORED}, s AS (SELECT page_id, min_by(CASE WHEN pos = 3 AND page_id % 3 = 0 THEN name || ' Academy' ELSE name END, pos) FILTER ((pos = 3 AND page_id % 3 = 0) OR regexp_matches(name, '(?i){rules.SCHOOL_NAME}')) AS school,
+  min_by(name, pos) AS first FROM e GROUP BY 1) SELECT page_id, coalesce(school, CASE WHEN page_id % 2 <> 0 THEN 'T' || page_id END, first, 'Educational Institution') AS provider FROM pages LEFT JOIN s USING (page_id)"""
+SPEAKABLE = {n: '\'{"@type":"SpeakableSpecification","xpath":[' + ",".join('"' + p.replace('"', '\\"') + '"' for p in rules.SPEAKABLE[:n]) + "]}'" for n in (4, 5, 6)}
+SQL["speakable"] = "SELECT page_id, " + ", ".join(f"{v} AS speakable_{n}" for n, v in SPEAKABLE.items()) + " FROM pages"
+LABEL = "split_part(regexp_replace(regexp_extract(origin, '//(.*)$', 1), '^www\\.', ''), '.', 1)"
+SITE = f"""site AS (SELECT *, CASE WHEN page_id % 4 = 0 THEN 'Site ' || page_id ELSE array_to_string(list_transform(string_split_regex({LABEL}, '[-_]'), lambda w: upper(w[1]) || w[2:]), ' ') END AS site_name,
+  CASE WHEN page_id % 5 <> 0 THEN '/img/' || page_id || '.png' END AS image FROM (SELECT page_id, url, html, {TITLE} AS title, {TOPIC} AS name, 'About page ' || page_id AS description, {ORIGIN} AS origin FROM pages)),
+nodes AS (SELECT *, '["https://facebook.com/f' || page_id || '","https://twitter.com/t' || page_id || '","https://www.linkedin.com/in/ada-byron-' || page_id || '"]' AS socials FROM site),
+org AS (SELECT *, '{{"@type":"Organization","@id":"' || origin || '/#organization","name":' || {js("site_name")} || ',"url":"' || origin || '/"' || coalesce(',"logo":{{"@type":"ImageObject","url":"' || origin || image || '"}}', '') || ',"sameAs":' || socials || '}}' AS organization,
+  '{{"@type":"WebSite","@id":"' || origin || '/#website","url":"' || origin || '/","publisher":{{"@id":"' || origin || '/#organization"}},"name":' || {js("site_name")} || '}}' AS website FROM nodes)"""
+SQL["site_nodes"] = f"WITH {SITE} SELECT page_id, organization, website FROM org"
+
+
+def slice_json(first: int, count: int | None, table: str = "things") -> str:
+    upper = f" AND pos < {first + count}" if count else ""
+    return f"(SELECT '[' || string_agg(thing, ',' ORDER BY pos) || ']' FROM {table} t WHERE t.page_id = o.page_id AND pos >= {first}{upper})"
+
+
+DOCS = f"""fj AS (SELECT page_id, '{{"@type":"FAQPage","mainEntity":[' || string_agg('{{"@type":"Question","name":' || {js("name")} || ',"acceptedAnswer":{{"@type":"Answer","text":' || {js("answer")} || '}}}}', ',' ORDER BY pos) || ']}}' AS faq FROM faq GROUP BY 1),
+o AS (SELECT org.*, faq, {AUTHOR} AS author, {ORGANIZATION} AS org_name, '{{"@type":"HowTo","name":"How to file page ' || page_id || '","step":[{{"@type":"HowToStep","position":1,"text":"Open folder number ' || page_id || ' in the cabinet.","name":"Open"}},'
+  || '{{"@type":"HowToStep","position":2,"text":"Spend ' || (page_id % 50 + 1) || ' minutes to put page ' || page_id || ' in."}}],"description":"Filing takes a moment and needs two tools.","totalTime":"PT' || (page_id % 50 + 1)
+  || 'M","supply":[{{"@type":"HowToSupply","name":"Folder"}},{{"@type":"HowToSupply","name":"Label ' || page_id || '"}},{{"@type":"HowToSupply","name":"Pen"}}]}}' AS howto,
+  '"(312) 555-' || lpad((page_id % 10000)::VARCHAR, 4, '0') || '"' AS phone, '{{"@type":"PostalAddress","postalCode":"' || lpad((page_id % 100000)::VARCHAR, 5, '0') || '","addressRegion":"IL","addressCountry":"US","streetAddress":"' || (page_id + 1)
+  || ' Main Street","addressLocality":"Springfield"}}' AS address FROM org JOIN fj USING (page_id))"""
+PAGE_HEAD = f"""'{{"@context":"https://schema.org","@graph":[' || organization || ',' || website || ',{{"@type":"WebPage","@id":"' || url || '#webpage","url":"' || url || '","name":' || {js("title")} || ',"description":"' || description
+  || '","publisher":{{"@id":"' || origin || '/#organization"}},"isPartOf":{{"@id":"' || origin || '/#website"}}'"""
+JSONLD = f"WITH {M}, {SCORED}, {THINGS}, {FAQ}, {SITE}, {DOCS} SELECT page_id, "
+SQL["jsonld_webpage"] = f"""{JSONLD} {PAGE_HEAD} || {key("primaryImageOfPage", js("origin || image"))} || ',"author":{{"@type":"Person","name":"' || author || '"}},"mainEntity":' || howto
+  || {key("about", slice_json(0, 4))} || {key("mentions", slice_json(4, 6))} || ',"speakable":' || {SPEAKABLE[4]} || '}}]}}' AS jsonld FROM o"""
+SQL["jsonld_service"] = f"""{JSONLD} {PAGE_HEAD} || {key("primaryImageOfPage", js("image"))} || ',"mainEntity":{{"@type":"Service","name":' || {js("name")} || ',"serviceType":"Professional Service","description":"' || description
+  || '","provider":{{"@id":"' || origin || '/#organization"}}' || {key("about", slice_json(0, 3))} || {key("mentions", slice_json(3, 5))} || '}},"speakable":' || {SPEAKABLE[4]} || ',"hasPart":[' || faq || ',' || howto || ']}}]}}' AS jsonld FROM o"""
+SQL["jsonld_article"] = f"""{JSONLD} '{{"@context":"https://schema.org","@type":"WebPage","url":"' || url || '","name":' || {js("title")} || ',"description":"' || description || '","mainEntity":{{"@type":"Article","headline":' || {js("title")}
+  || ',"description":"' || description || '","author":{{"@type":"Person","name":"' || author || '"}}}},"hasPart":[' || faq || ',' || howto || ']' || {key("about", "(SELECT thing FROM things t WHERE t.page_id = o.page_id AND pos = 0)")}
+  || {key("mentions", slice_json(1, None))} || ',"publisher":{{"@type":"Organization","name":"' || org_name || '"}},"speakable":' || {SPEAKABLE[6]} || '}}' AS jsonld FROM o"""
+OFFERS = f"""(SELECT '{{"@type":"OfferCatalog","name":"Services","itemListElement":[' || string_agg('{{"@type":"Offer","itemOffered":{{"@type":"Service","name":' || {js("name")} || '}}}}', ',' ORDER BY pos) || ']}}'
+  FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS r FROM e WHERE confidence > 50 AND regexp_matches(lower(name), '{"|".join(rules.OFFER_WORDS)}')) x WHERE x.page_id = o.page_id AND r <= 5)"""
+SQL["jsonld_local_business"] = f"""{JSONLD} '{{"@context":"https://schema.org","@type":"LocalBusiness","name":' || {js("name")} || ',"url":"' || url || '","description":"' || description || '","telephone":' || phone || ',"address":' || address
+  || {key("hasOfferCatalog", OFFERS)} || {key("knowsAbout", slice_json(0, 12, "known"))} || ',"sameAs":' || socials || '}}' AS jsonld FROM o"""
+PROVIDER = f"""'{{"@type":"CollegeOrUniversity","name":' || {js("name")} || ',"description":"' || description || '","telephone":' || phone || ',"address":' || address || '}}'"""
+SQL["jsonld_educational"] = f"""{JSONLD} '{{"@context":"https://schema.org","@type":"WebPage","name":' || {js("title")} || ',"url":"' || url || '","description":"' || description || '","provider":' || {PROVIDER}
+  || ',"mainEntity":{{"@type":"EducationalOccupationalProgram","name":' || {js("title")} || ',"url":"' || url || '","description":"' || description || '","provider":' || {PROVIDER} || '}},"hasPart":' || faq
+  || {key("about", slice_json(0, 4))} || {key("mentions", slice_json(4, 4))} || ',"publisher":{{"@type":"Organization","name":"' || org_name || '"}},"speakable":' || {SPEAKABLE[5]} || '}}' AS jsonld FROM o"""
+ANNOTATED_TYPED = f"d AS (SELECT page_id, lower({TITLE} || ' About page ' || page_id || ' What is item ' || page_id || ' Q: How big is it? How to file page ' || page_id || ' Step 1: Open' || coalesce(' ' || nullif({H1}, ''), '') || ' ' || substring({BODY}, 1, 4000)) AS t FROM pages)"
+SQL["generate_jsonld"] = f"""WITH {ANNOTATED_TYPED}, c AS (SELECT page_id, {COUNTS} FROM d), g AS (SELECT *, greatest(service, business, education, article) AS top FROM c),
+k AS (SELECT CASE WHEN service >= 2 AND agency >= 1 THEN 'Service' WHEN article >= 3 AND article > service THEN 'Article' WHEN top < 2 THEN 'WebPage'
+  WHEN service = top THEN 'Service' WHEN business = top THEN 'LocalBusiness' WHEN education = top THEN 'EducationalOccupationalProgram' ELSE 'Article' END AS schema_type FROM g)
+SELECT schema_type, count(*) AS pages, count(*) AS documents FROM k GROUP BY 1"""
+
+# ── fan-out ───────────────────────────────────────────────────────────────────
+
+SQL["semantic_chunks"] = f"""SELECT page_id, 0 AS pos, 'primary_topic' AS type, NULL AS heading, substring(concat_ws(' — ', nullif({TITLE}, ''), nullif({H1}, ''), 'About page ' || page_id), 1, 600) AS content FROM pages
+UNION ALL SELECT page_id, 1, 'section', 'What is item ' || page_id, 'Item ' || page_id || ' is a part of the corpus of pages.' FROM pages
+UNION ALL SELECT page_id, 2, 'section', 'Q: How big is it?', 'no Answer: It has ' || length(html) || '  characters of source.' FROM pages
+UNION ALL SELECT page_id, 3, 'section', 'How to file page ' || page_id, 'Filing takes a moment and needs two tools. Step 1: OpenOpen folder number ' || page_id || ' in the cabinet.Spend ' || (page_id % 50 + 1) || ' minutes to put page ' || page_id
+  || ' in. FolderLabel ' || page_id || 'Pen' FROM pages
+UNION ALL SELECT page_id, 4, 'list', NULL, 'Folder | Label ' || page_id || ' | Pen' FROM pages"""
+SQL["semantic_chunks_fallback"] = f"""WITH pp AS (SELECT page_id, concat_ws(' — ', nullif({TITLE}, ''), nullif({H1}, '')) AS topic, {PARAGRAPHS} AS ps FROM pages),
+q AS (SELECT page_id, topic, list_transform(list_filter(list_transform(ps, lambda p: {collapse("p")}), lambda p: length(p) >= 80)[1:6], lambda p: substring(p, 1, 400)) AS paras,
+  list_filter(ps, lambda p: length(p) BETWEEN 2 AND 80) AS t FROM pp),
+d AS (SELECT *, list_filter(t, lambda x, i: list_position(t, x) = i)[1:20] AS terms FROM q),
+a AS (SELECT page_id, 1 AS o, 'primary_topic' AS type, substring(topic, 1, 600) AS content FROM d WHERE topic <> '' UNION ALL SELECT page_id, 2, 'paragraphs', substring(array_to_string(paras, ' | '), 1, 1200) FROM d WHERE len(paras) > 0
+  UNION ALL SELECT page_id, 3, 'key_terms', substring(array_to_string(terms, ' | '), 1, 400) FROM d WHERE len(terms) > 0)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS pos, type, NULL AS heading, content FROM a"""
+SQL["fanout_requests"] = """SELECT doc_id AS page_id, md5(text) AS content_hash, 2 AS chunks_extracted, md5('Read.' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'URL: https://example.org/' || doc_id || chr(10) || chr(10) ELSE '' END
+  || 'SEMANTIC CHUNKS FROM PAGE:' || chr(10) || '[{"type":"section","heading":' || to_json(lang)::VARCHAR || ',"content":' || to_json(substring(text, 1, 500))::VARCHAR || '},{"type":"list","content":' || to_json(source)::VARCHAR || '}]'
+  || chr(10) || 'Answer.') AS prompt_md5, 0.3::DOUBLE AS temperature, 12288 AS "maxOutputTokens" FROM documents"""
+SQL["parse_fanout"] = """SELECT md5('page ' || page_id) AS content_hash, 'Page ' || page_id AS primary_entity, CASE WHEN page_id % 3 = 0 THEN 5 ELSE 4 END AS n_queries, 'Next ' || page_id || '|Then what' AS follow_ups,
+  (page_id % 7) || '/' || (page_id % 5) || ' queries' AS coverage_score, '** add more a table and a list' AS recommendations FROM pages"""
+SQL["fanout_queries"] = """SELECT md5('page ' || page_id) AS content_hash, i AS pos, CASE i WHEN 0 THEN 'What is page ' || page_id || '?' WHEN 1 THEN 'How to read ' || page_id || '?' WHEN 2 THEN 'Compare ' || page_id WHEN 3 THEN 'Cost of ' || page_id ELSE 'bare item' END AS query,
+  CASE i WHEN 0 THEN 'Yes' WHEN 1 THEN 'Partial' WHEN 2 THEN 'No' WHEN 3 THEN 'Yes' ELSE 'Unknown' END AS coverage, CASE i WHEN 0 THEN 'title ' || page_id || ' names it' WHEN 2 THEN 'nothing there' END AS rationale
+FROM pages, unnest(range(0, CASE WHEN page_id % 3 = 0 THEN 5 ELSE 4 END)) AS u(i)"""
+SQL["coverage_pct"] = "SELECT md5('page ' || page_id) AS content_hash, CASE WHEN page_id % 5 <> 0 THEN floor((page_id % 7) / (page_id % 5) * 100 + 0.5)::INT END AS pct FROM pages"
+SQL["coverage_rollup"] = "SELECT md5('page ' || page_id) AS content_hash, 2 AS yes, 1 AS partial, 1 AS no, (page_id % 3 = 0)::INT AS unknown FROM pages"
+SQL["coverage_corpus"] = "SELECT count(*) * 2 AS yes, count(*) AS partial, count(*) AS no, count(*) FILTER (page_id % 3 = 0) AS unknown FROM pages"
+
+# ── results, streams, DOM ─────────────────────────────────────────────────────
+
+RESULTS = f"""{ROWS}, {TIPS}, {RECS}, sal AS (SELECT page_id, {SALIENCE} AS salience FROM e GROUP BY 1), ne AS (SELECT page_id, count(*) AS n FROM e GROUP BY 1), nr AS (SELECT page_id, count(*) AS n FROM ranked GROUP BY 1),
+res AS (SELECT pr.page_id, pr.url, topic AS main_topic, made, CASE WHEN made THEN '{{"n":' || pr.page_id || '}}' ELSE '{{}}' END AS jsonld, CASE WHEN made THEN coalesce(salience, 0) ELSE 0 END AS salience, CASE WHEN made THEN coalesce(bar, '') ELSE '' END AS irrelevant,
+  coalesce(ne.n, 0) AS n_entities, CASE WHEN made THEN coalesce(nr.n, 0) ELSE 0 END AS n_recommendations, CASE WHEN made THEN list_filter(tips.l, lambda x: x IS NOT NULL) ELSE [] END AS tip_list,
+  CASE WHEN pr.page_id % 3 = 0 THEN 'analysis ' || pr.page_id END AS analysis, CASE WHEN pr.page_id % 3 <> 2 THEN (pr.page_id % 9)::INT END AS chunks_extracted, CASE WHEN pr.page_id % 3 = 1 AND pr.page_id % 2 = 0 THEN 'no key' END AS error
+  FROM (SELECT *, page_id % 5 <> 4 AS made FROM pr) pr LEFT JOIN sal USING (page_id) LEFT JOIN irrelevant USING (page_id) LEFT JOIN ne USING (page_id) LEFT JOIN nr USING (page_id) LEFT JOIN tips USING (page_id))"""
+SQL["assemble_results"] = f"""WITH {M}, {SCORED}, {RESULTS} SELECT page_id, url, main_topic, jsonld, salience, irrelevant, n_entities, n_recommendations, len(tip_list) AS n_tips, analysis, chunks_extracted, error,
+  0 AS processing_time_ms, false AS cached FROM res"""
+SQL["reports"] = f"""WITH {M}, {SCORED}, {RESULTS}, er AS (SELECT page_id, string_agg('| ' || name || ' | ' || type || ' | ' || confidence || '% | ' || coalesce(wikipedia_url, '-') || ' | ' || coalesce(wikidata_url, '-') || ' |', chr(10) ORDER BY pos) AS t FROM e GROUP BY 1),
+rr AS (SELECT page_id, string_agg(rank || '. **[' || category || ']** ' || advice, chr(10) ORDER BY rank) AS t FROM ranked GROUP BY 1)
+SELECT page_id, array_to_string(list_filter(['# Analysis Report', '', '**Processing Time:** 0ms', '**Main Topic:** ' || main_topic, '**Salience Score:** ' || salience, '**Cached:** No', '',
+  '## Entities' || chr(10) || chr(10) || '| Name | Type | Confidence | Wikipedia | Wikidata |' || chr(10) || '|------|------|-----------|-----------|----------|' || chr(10) || er.t || chr(10),
+  CASE WHEN made THEN '## JSON-LD' || chr(10) || chr(10) || '```json' || chr(10) || jsonld || chr(10) || '```' || chr(10) END,
+  CASE WHEN made THEN '## Recommendations' || chr(10) || chr(10) || rr.t || chr(10) END,
+  CASE WHEN made THEN '## Salience Tips' || chr(10) || chr(10) || array_to_string(list_transform(tip_list, lambda x: '- ' || x), chr(10)) || chr(10) END,
+  CASE WHEN chunks_extracted IS NOT NULL THEN '## Fan-out Analysis' || chr(10) || chr(10) || 'Semantic chunks extracted: ' || chunks_extracted || chr(10) || chr(10)
+    || CASE WHEN error IS NOT NULL THEN '> **Fan-out unavailable:** ' || error WHEN analysis IS NOT NULL THEN analysis ELSE '> No fan-out analysis was generated.' END || chr(10) END], lambda x: x IS NOT NULL), chr(10)) AS report
+FROM res LEFT JOIN er USING (page_id) LEFT JOIN rr USING (page_id)"""
+SQL["dom_nodes"] = f"""SELECT page_id, len(regexp_extract_all(html, '<p>')) AS p, len(regexp_extract_all(html, '<li>')) AS li, len(regexp_extract_all(html, '<a ')) AS a, 3 AS frame,
+  md5({unescape(no_tags("regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1)"))}) AS nav_md5 FROM pages"""
+SQL["stream_usage"] = "SELECT user_id, date_trunc('month', ts)::DATE AS month, count(*) AS runs FROM events GROUP BY 1, 2"
+SQL["stream_hit_rate"] = f"""WITH {REQUESTS}, {cache("c", "view", "url_hash", "24 HOURS")}, h AS (SELECT date_trunc('hour', ts) AS hour, coalesce(ts > written_at AND ts < expires_at, false) AS hit FROM requests LEFT JOIN c USING (url_hash))
+SELECT hour, count(*) AS requests, sum(hit::INT)::BIGINT AS hits FROM h GROUP BY 1 HAVING hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events)"""
+SQL["stream_new_content"] = "SELECT md5('content ' || user_id % 97) AS content_hash, 1 AS extractions FROM events GROUP BY 1"
+SQL["stream_pages"] = f"SELECT page_id, {TITLE} AS title, md5({BODY}) AS body_md5 FROM pages"
