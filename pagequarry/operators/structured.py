@@ -152,13 +152,20 @@ def faq(text: Column, nodes: Column) -> Column:
     def marks(found: Column, enough: int) -> Column:
         return F.transform(found, lambda n: F.struct(n["pre"].alias("pre"), F.lit(enough).alias("enough"))).cast(kind)
 
+    def flagged(n: Column) -> Column:
+        flags = F.array(*[N.selector(s)(n) for s in rules.FAQ_QUESTIONS])
+        return F.struct(n["pre"].alias("pre"), flags.alias("is"))
+
     def in_container(c: Column) -> Column:
-        inner = F.filter(N.inside(nodes, c), N.selector(*rules.FAQ_QUESTIONS))
-        by_selector = lambda i: F.concat(*[marks(F.filter(i, N.selector(s)), 20) for s in rules.FAQ_QUESTIONS])
-        return X.let(inner, by_selector)
+        # Every selector is tested once per node; the selectors' turns are then read from the flags.
+        matched = F.filter(F.transform(N.inside(nodes, c), flagged), lambda x: F.array_contains(x["is"], True))
+        turns = F.sequence(F.lit(0), F.lit(len(rules.FAQ_QUESTIONS) - 1))
+        by_turn = lambda m: F.flatten(F.transform(turns, lambda i: F.filter(m, lambda x: F.get(x["is"], i))))
+        return marks(X.let(matched, by_turn), 20)
 
-    contained = [F.flatten(F.transform(N.select(nodes, s), in_container)) for s in rules.FAQ_CONTAINERS]
-    asked = F.array_distinct(F.concat(*contained, marks(N.select(nodes, *rules.HEADINGS), 50)))
+    containers = F.concat(*[N.select(nodes, s) for s in rules.FAQ_CONTAINERS])
+    contained = F.flatten(F.transform(containers, in_container))
+    asked = F.array_distinct(F.concat(contained, marks(N.select(nodes, *rules.HEADINGS), 50)))
 
     def qa(m: Column) -> Column:
         return X.let(F.get(nodes, m["pre"]), lambda node: qa_of(node, m["enough"]))
@@ -232,7 +239,8 @@ def _supplies(text: Column, nodes: Column, inner: Column) -> Column:
         rows = F.transform(F.slice(names, 1, 10), lambda t: F.struct(F.lit("HowToSupply"), t).cast(SUPPLY))
         return X.let(rows, some)
 
-    return F.coalesce(*[under(N.select(nodes, sel)) for sel in rules.HOWTO_SUPPLIES])
+    groups = F.array(*[N.select(nodes, sel) for sel in rules.HOWTO_SUPPLIES])
+    return F.get(F.array_compact(F.transform(groups, under)), F.lit(0))
 
 
 def _remove_first(text: Column, part: Column) -> Column:
@@ -276,12 +284,23 @@ def _steps(text: Column, nodes: Column, container: Column, inner: Column) -> Col
             ).cast(STEP),
         )
 
-    sets = [from_elements(F.filter(inner, N.selector(s))) for s in rules.HOWTO_STEPS]
-    sets.append(from_elements(F.filter(inner, lambda n: (n["tag"] == "li") & (N.parent(nodes, n)["tag"] == "ol"))))
+    def flagged(n: Column) -> Column:
+        ordered = (n["tag"] == "li") & (N.parent(nodes, n)["tag"] == "ol")
+        return F.struct(n.alias("node"), F.array(*[N.selector(s)(n) for s in rules.HOWTO_STEPS], ordered).alias("is"))
+
+    def by_turn(marked: Column) -> Column:
+        turns = F.sequence(F.lit(0), F.lit(len(rules.HOWTO_STEPS)))
+        chosen = lambda i: F.transform(F.filter(marked, lambda x: F.get(x["is"], i)), lambda x: x["node"])
+        return F.transform(turns, lambda i: from_elements(chosen(i)))
+
+    matched = F.filter(F.transform(inner, flagged), lambda x: F.array_contains(x["is"], True))
+    structured = F.get(F.filter(X.let(matched, by_turn), lambda found: F.size(found) > 0), F.lit(0))
     body = N.node_text(text, container)
-    sets.append(_numbered(body, r"(?:^|\n)\s*(\d+)[.)]\s*([^\n]+)", "m"))
-    sets.append(_numbered(body, r"(?:^|\n)\s*Step\s+(\d+):?\s*([^\n]+)", "im"))
-    return F.slice(F.coalesce(*[X.let(s, some) for s in sets], none), 1, 25)
+    numbered = [
+        _numbered(body, r"(?:^|\n)\s*(\d+)[.)]\s*([^\n]+)", "m"),
+        _numbered(body, r"(?:^|\n)\s*Step\s+(\d+):?\s*([^\n]+)", "im"),
+    ]
+    return F.slice(F.coalesce(structured, *[X.let(s, some) for s in numbered], none), 1, 25)
 
 
 def howto(text: Column, nodes: Column) -> Column:
