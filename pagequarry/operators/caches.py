@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry import rules
 from pagequarry.functions.text import md5_key
-from pagequarry.session import checkpoint_dir
+from pagequarry.session import settle
 
 
 def live(cache: DataFrame, as_of: Column) -> DataFrame:
@@ -131,8 +131,6 @@ def replay_ttl(
     in slices of one TTL. Only the open entries travel from slice to slice, and they are checkpointed, so each slice
     is planned on its own and a lost executor repeats one slice.
     """
-    spark = requests.sparkSession
-    _ensure_checkpoints(spark)
     interval = f"{int(ttl.total_seconds())} SECONDS"
     done, lower = None, start
     state = _no_entries(requests, key, ts, row_id)
@@ -145,7 +143,8 @@ def replay_ttl(
             touched = result.filter(~F.col("hit")).select(key, "entry_ts", "entry_id", "expires_at")
             carried = state.join(touched.select(key), key, "left_anti")
             boundary = F.lit(upper).cast(_type(requests, ts))
-            state = carried.unionByName(touched).filter(F.col("expires_at") > boundary).checkpoint()
+            state = carried.unionByName(touched).filter(F.col("expires_at") > boundary)
+            state = settle(state)
         lower = upper
     return done
 
@@ -160,11 +159,6 @@ def _no_entries(requests: DataFrame, key: str, ts: str, row_id: str) -> DataFram
     ).filter(F.lit(False))
 
 
-def _ensure_checkpoints(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-
-
 def cache_hit_counts(replayed: DataFrame, key: str) -> DataFrame:
     """Hits per entry, from :func:`replay_ttl`; writing an entry starts its count at 0."""
     return replayed.groupBy(key, "entry_id").agg(F.sum(F.col("hit").cast("int")).alias("hit_count"))

@@ -26,8 +26,8 @@ def pattern_counts(title: Column, description: Column, headings: Column, body: C
         _heading_text(headings),
         F.substring(F.coalesce(body, F.lit("")), 1, 4000),
     )
-    text = F.lower(sample)
-    return F.struct(*[X.count_matches(text, patterns).alias(k) for k, patterns in rules.PAGE_TYPE_PATTERNS.items()])
+    count = lambda text: F.struct(*[X.count_matches(text, p).alias(k) for k, p in rules.PAGE_TYPE_PATTERNS.items()])
+    return X.let(X.ascii_words(F.lower(sample)), count)
 
 
 def schema_type(counts: Column, has_html: Column | bool = True) -> Column:

@@ -65,7 +65,7 @@ def semantic_chunks(parsed: DataFrame, read_ldjson: bool = False) -> DataFrame:
     )
 
     def section(h: Column) -> Column:
-        later = F.filter(N.later_siblings(nodes, h), lambda s: ~F.array_contains(F.transform(removed, lambda r: r["pre"]), s["pre"]))
+        later = F.filter(N.later_siblings(nodes, h), lambda s: ~F.exists(removed, lambda r: r["pre"] == s["pre"]))
         within = until(later, lambda s: _level(s["tag"]) <= _level(h["tag"]))
         texts = F.filter(F.transform(within, shown), lambda t: t != "")
         return _chunk("section", F.array_join(texts, " "), 500, shown(h))

@@ -88,9 +88,8 @@ def search_index(table: DataFrame, lookup: str) -> DataFrame:
     Search is then an equi-join on the key. The row limit per key is applied per task before the shuffle, so a first
     word shared by a third of the table costs five rows per task.
     """
-    tokens = X.real_words(F.lower(lookup))
-    keys = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda n: F.array_join(F.slice(tokens, 1, n), " "))
-    per_key = table.filter(F.size(tokens) > 0).withColumn("key", F.explode(keys))
+    prefixes = lambda t: F.transform(t, lambda _, i: F.array_join(F.slice(t, F.lit(1), i + 1), " "))
+    per_key = table.withColumn("key", F.explode(X.let(X.real_words(F.lower(lookup)), prefixes)))
     best = Window.partitionBy("key").orderBy("rank")
     return per_key.withColumn("hit", F.row_number().over(best)).filter(F.col("hit") <= HITS_PER_SEARCH)
 
@@ -146,7 +145,7 @@ def wiki_rejected(name: Column, title: Column) -> Column:
 
 
 def _shared(entity_words: Column, other_words: Column) -> Column:
-    return F.size(F.filter(entity_words, lambda w: F.array_contains(other_words, w)))
+    return X.let(other_words, lambda other: F.size(F.filter(entity_words, lambda w: F.array_contains(other, w))))
 
 
 def wiki_score(name: Column, title: Column) -> Column:
@@ -204,12 +203,15 @@ def in_extract(name: Column, extract: Column) -> Column:
 def wiki_verified(scored: DataFrame, pages: DataFrame) -> DataFrame:
     """``score`` after the content check: above 70 it gains 10 or loses 30.
 
-    Only candidates above 70 meet the wide ``extract`` column.
+    Only candidates above 70 meet the wide ``extract`` column. The join is inner, as every candidate came from
+    ``pages``: the smaller side can be the one that is broadcast, and tags are stripped from the extracts that are
+    needed, after the join.
     """
     low, high = scored.filter(F.col("score") <= 70), scored.filter(F.col("score") > 70)
-    checked = high.join(pages.select("url", plain_extract(F.col("extract")).alias("_extract")), "url", "left")
-    change = F.when(in_extract(F.col("name"), F.col("_extract")), F.lit(10.0)).otherwise(F.lit(-30.0))
-    high = checked.withColumn("score", F.col("score") + change).drop("_extract")
+    checked = high.join(pages.select("url", "extract"), "url")
+    fits = X.let(plain_extract(F.col("extract")), lambda e: in_extract(F.col("name"), e))
+    change = F.when(fits, F.lit(10.0)).otherwise(F.lit(-30.0))
+    high = checked.withColumn("score", F.col("score") + change).drop("extract")
     return low.unionByName(high)
 
 
@@ -283,10 +285,12 @@ def label_score(entity: Column, label: Column, description: Column) -> Column:
         .when(F.contains(entity, label), F.lit(70.0))
         .otherwise(ratio * 60)
     )
-    text = F.lower(F.coalesce(description, F.lit("")))
-    found = F.size(F.filter(e_words, lambda w: (F.length(w) > 2) & F.contains(text, w)))
-    bonus = F.when(text != "", found / F.greatest(F.size(e_words), F.lit(1)) * 20).otherwise(F.lit(0.0))
-    return score + bonus
+
+    def bonus(text: Column) -> Column:
+        found = F.size(F.filter(e_words, lambda w: (F.length(w) > 2) & F.contains(text, w)))
+        return F.when(text != "", found / F.greatest(F.size(e_words), F.lit(1)) * 20).otherwise(F.lit(0.0))
+
+    return score + X.let(F.lower(F.coalesce(description, F.lit(""))), bonus)
 
 
 def academic_mismatch(label: Column, description: Column) -> Column:
@@ -413,8 +417,8 @@ def name_links(names: DataFrame, kb: KnowledgeBase) -> DataFrame:
     best = wikidata_from_page(wiki_best(wiki_verified(wiki_scored(wiki_candidates(names, kb.pages)), kb.pages)), kb.items)
     direct = wikidata_direct(names, kb.items).drop("score")
     persons = best.filter(X.person_shaped(F.col("name")))
-    extracts = persons.join(kb.pages.select("url", plain_extract(F.col("extract")).alias("page_extract")), "url").select(
-        "name", "academic", "page_extract"
+    extracts = persons.join(kb.pages.select("url", "extract"), "url").select(
+        "name", "academic", plain_extract(F.col("extract")).alias("page_extract")
     )
     classes = kb.items.select(F.concat(F.lit(rules.WIKIDATA), "id").alias("_item"), "p31")
     by_class = lambda column, alias: classes.select(F.col("_item").alias(column), F.col("p31").alias(alias))

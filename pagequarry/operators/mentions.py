@@ -11,12 +11,13 @@ from pagequarry.functions import text as X
 
 _WORD = r"[A-Z][a-zA-Z&]+"
 _EDGE = X.BOUNDARY
-#: A run of capitalised words. The loop is possessive: a page-long run costs one pass and no stack.
-PHRASE = rf"{_EDGE}(?:{_WORD}{X.SPACE}+(?={_WORD}{_EDGE}))*+{_WORD}{_EDGE}"
+#: A run of capitalised words. The loop is possessive: a page-long run costs one pass and no stack. A boundary before a
+#: word character only has to look back.
+PHRASE = rf"(?<!\w)(?:{_WORD}{X.SPACE}+(?={_WORD}{_EDGE}))*+{_WORD}{_EDGE}"
 _ANY = r"[a-zA-Z][a-z]+"
 _SUFFIX = "(?:" + "|".join(rules.PRODUCT_SUFFIXES) + ")"
 #: A run of words, for :func:`product_names`.
-WORD_RUN = rf"(?i){_EDGE}{_ANY}(?:{X.SPACE}++{_ANY}+)*+\w*+"
+WORD_RUN = rf"(?i)(?<!\w){_ANY}(?:{X.SPACE}++{_ANY}+)*+\w*+"
 
 
 def capitalised_phrases(text: Column) -> Column:
@@ -191,9 +192,11 @@ def main_topic(
 ) -> Column:
     """The page's topic where the response gave none. Strategies: ``strict``, ``title``, ``frequent``, ``pattern``."""
     from_title = X.name_from_title(title)
-    counted = F.transform(
-        names, lambda n, i: F.struct(X.count_occurrences(F.lower(text), F.lower(n)).alias("hits"), (-i).alias("early"), n.alias("name"))
-    )
+    def count(low: Column) -> Column:
+        hits = lambda n: X.count_occurrences(low, F.lower(n)).alias("hits")
+        return F.transform(names, lambda n, i: F.struct(hits(n), (-i).alias("early"), n.alias("name")))
+
+    counted = X.let(F.lower(text), count)
     if strategy == "title":
         return from_title
     if strategy == "frequent":

@@ -9,6 +9,7 @@ from pagequarry import rules
 from pagequarry.functions import nodes as N
 from pagequarry.functions import text as X
 from pagequarry.functions import urls as U
+from pagequarry.session import settle
 
 HEADING_KIND = "array<struct<pos:int,level:int,text:string>>"
 
@@ -33,11 +34,14 @@ def with_keys(pages: DataFrame) -> DataFrame:
 def content_groups(pages: DataFrame) -> DataFrame:
     """Pages with their content hash, and the page that stands for it (the lowest id) with the group size.
 
-    Only ``(page_id, hash)`` travels. Counts and minima are combined before the shuffle, so a hash shared by a third
+    Only ``(page_id, hash)`` travels, settled once so that the pages are read and hashed once; a ``content_hash``
+    column is used where the table has it. Counts and minima are combined before the shuffle, so a hash shared by a third
     of the corpus costs one row per task; the way back is a join on the hash whose hot keys the adaptive skew join
     splits.
     """
-    hashed = pages.select("page_id", content_hash(F.col("html")).alias("content_hash"))
+    given = "content_hash" in pages.columns
+    hashed = pages.select("page_id", "content_hash" if given else content_hash(F.col("html")).alias("content_hash"))
+    hashed = hashed if given else settle(hashed)
     groups = hashed.groupBy("content_hash").agg(F.min("page_id").alias("representative"), F.count("*").alias("copies"))
     return hashed.join(groups, "content_hash").select("page_id", "content_hash", "representative", "copies")
 

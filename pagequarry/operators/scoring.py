@@ -85,13 +85,22 @@ def _topic_relevant(topic: Column, name: Column) -> Column:
 
 def irrelevant_entities(entities: Column, title: Column, headings: Column, body: Column, topic: Column) -> Column:
     """Names below confidence 80 that the page hardly mentions, or that do not fit its topic."""
-    low_body, low_title, low_topic = F.lower(body), F.lower(title), F.lower(F.coalesce(topic, F.lit("")))
+    low = F.struct(
+        F.lower(body).alias("body"), F.lower(title).alias("title"), F.transform(headings, lambda h: F.lower(h["text"])).alias("headings")
+    )
+    return X.let(low, lambda page: _irrelevant(entities, page, topic))
+
+
+def _irrelevant(entities: Column, page: Column, topic: Column) -> Column:
+    low_topic = F.lower(F.coalesce(topic, F.lit("")))
     seo_topic = F.contains(low_topic, F.lit("seo")) | F.contains(low_topic, F.lit("search"))
 
     def irrelevant(e: Column) -> Column:
-        name = F.lower(e["name"])
-        named = X.contains(low_title, name) | F.exists(headings, lambda h: F.contains(F.lower(h["text"]), name))
-        absent = ~named & (X.count_occurrences(low_body, name) <= 1)
+        return X.let(F.lower(e["name"]), lambda name: judge(e, name))
+
+    def judge(e: Column, name: Column) -> Column:
+        named = X.contains(page["title"], name) | F.exists(page["headings"], lambda h: F.contains(h, name))
+        absent = ~named & (X.count_occurrences(page["body"], name) <= 1)
         relevant = _topic_relevant(topic, name)
         example = seo_topic & X.hits(name, rules.EXAMPLE_SCHOOL) & ~X.hits(name, rules.SEO_NAME)
         off_topic = relevant.isNotNull() & (((e["confidence"] < 40) & ~relevant) | example)
@@ -122,9 +131,8 @@ RECOMMENDATION = "array<struct<category:string,advice:string>>"
 
 def recommend_basic(entities: Column, title: Column, description: Column, headings: Column, body: Column) -> Column:
     """The first five rule-based recommendations of a page."""
-    low = F.lower(body)
     before, after = rules.ADVICE_ENTITY[1].split("%s")
-    rare = F.filter(entities, lambda e: X.count_occurrences(low, F.lower(e["name"])) <= 1)
+    rare = X.let(F.lower(body), lambda low: F.filter(entities, lambda e: X.count_occurrences(low, F.lower(e["name"])) <= 1))
     per_entity = F.transform(
         F.slice(rare, 1, 5),
         lambda e: F.struct(F.lit(rules.ADVICE_ENTITY[0]).alias("category"), F.concat(F.lit(before), e["name"], F.lit(after)).alias("advice")),

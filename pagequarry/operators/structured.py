@@ -70,10 +70,11 @@ def social_links(nodes: Column) -> Column:
     links = F.transform(N.select(nodes, "a[href]"), lambda a: a["attrs"]["href"])
     absolute = F.filter(links, U.is_absolute)
 
-    def of(domain: str) -> Column:
-        return F.filter(absolute, lambda h: F.contains(h, F.lit(domain)))
+    def by_network(hrefs: Column) -> Column:
+        of = lambda domain: F.filter(hrefs, lambda h: F.contains(h, F.lit(domain)))
+        return F.array_distinct(F.concat(*[of(d) for d in rules.SOCIAL_DOMAINS]))
 
-    return F.array_distinct(F.concat(*[of(d) for d in rules.SOCIAL_DOMAINS]))
+    return X.let(absolute, by_network)
 
 
 def clean_author(text: Column) -> Column:

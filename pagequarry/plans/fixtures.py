@@ -13,6 +13,7 @@ from pagequarry.operators import dom
 from pagequarry.operators import mentions as M
 from pagequarry.operators import page_text as P
 from pagequarry.operators.linking import KnowledgeBase
+from pagequarry.session import settle
 from pagequarry.sources.pages import clean_pages
 
 #: Scans below this size are spread over the cores first; larger ones have enough splits.
@@ -113,7 +114,7 @@ def phrases(spark: SparkSession, sf: str) -> DataFrame:
 def knowledge_base(spark: SparkSession, sf: str) -> KnowledgeBase:
     """Snapshot tables. ``rank`` orders hits by the text itself, so it needs no global numbering."""
     docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("extract"))
-    base = phrases(spark, sf)
+    base = settle(phrases(spark, sf))
     number = "conv(substring(md5(phrase), 1, 12), 16, 10)"
     kb_pages = base.join(docs, "doc_id").selectExpr(
         "phrase AS title",

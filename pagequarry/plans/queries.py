@@ -23,8 +23,9 @@ from pagequarry.operators import report as R
 from pagequarry.operators import scoring as E
 from pagequarry.operators import structured as S
 from pagequarry.operators import usage as U
+from pagequarry.plans import corpus
 from pagequarry.plans import fixtures as fx
-from pagequarry.session import apply_settings
+from pagequarry.session import apply_settings, settle
 from pagequarry.sources.pages import clean_pages, paste_to_pages
 from pagequarry.streaming import streams as ST
 
@@ -227,7 +228,7 @@ def content_hash(spark, sf):
 
 @query
 def content_groups(spark, sf):
-    return P.content_groups(paste_to_pages(fx.table(spark, sf, "documents")))
+    return P.content_groups(paste_to_pages(fx.spread(fx.table(spark, sf, "documents"))).drop("content_hash"))
 
 
 @query
@@ -550,7 +551,7 @@ def _topic_mentions(spark, sf):
 @query
 def linked_entities(spark, sf):
     """Linking end to end: candidates, scores, topic fit, types and confidence of every mention."""
-    return L.link_mentions(_topic_mentions(spark, sf), fx.knowledge_base(spark, sf)).drop("batch")
+    return L.link_mentions(settle(_topic_mentions(spark, sf)), fx.knowledge_base(spark, sf)).drop("batch")
 
 
 @query
@@ -979,6 +980,13 @@ def dom_nodes_documents(spark, sf):
     return parsed.select("page_id", F.md5("text").alias("text_md5"), (F.element_at("nodes", -1)["pre_end"] + 1 == F.size("nodes")).alias("closed"))
 
 
+@query
+def analyse_corpus(spark, sf):
+    """Every stage in turn over the annotated pages, with stored stage tables."""
+    results = corpus.analyse(spark, fx.annotated(spark, sf), fx.knowledge_base(spark, sf), ST.run_folder(spark, "corpus"))
+    return results.select("page_id", "url", F.size("entities").alias("n_entities"), F.size("recommendations").alias("n_recommendations"), "chunks_extracted", F.get_json_object("jsonld", "$['@context']").alias("context"))
+
+
 def _stream_events(spark, sf):
     return ST.read_stream(spark, sf, "events.parquet", fx.table(spark, sf, "events").schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that change results (time zone) or keep memory per task flat (batch sizes).
 SETTINGS = {
@@ -35,6 +35,14 @@ def apply_settings(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written once to the checkpoint folder: later uses read it, and a lost executor does not repeat its work."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a fresh temporary one only where none is set (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
