@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from pagequarry import rules
 from pagequarry.functions import text as X
+from pagequarry.functions.skew import spread_join
 
 _WORD = r"[A-Z][a-zA-Z&]+"
 _EDGE = X.BOUNDARY
@@ -124,19 +125,17 @@ def parse_extraction(responses: DataFrame) -> DataFrame:
 
 
 def extract_entities(pages: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
-    """``(page_id, content_hash, main_topic, confidence, names)``: the parsed response if usable, else the patterns.
+    """``pages`` with ``main_topic``, ``confidence`` and ``names``: the parsed response if usable, else the patterns.
 
-    ``pages`` is ``(page_id, content_hash, full_text)``.
+    ``pages`` has ``page_id``, ``content_hash`` and ``full_text``; its other columns are kept. Pages that share a hash
+    share the response; a hash that many pages share is spread over tasks.
     """
     by_pattern = F.slice(candidate_names(F.col("full_text")), 1, rules.MAX_MENTIONS)
     if extracted is None:
-        return pages.select(
-            "page_id", "content_hash", F.lit("").alias("main_topic"), F.lit(0.0).alias("confidence"), by_pattern.alias("names")
-        )
+        return pages.select("*", F.lit("").alias("main_topic"), F.lit(0.0).alias("confidence"), by_pattern.alias("names"))
     usable = extracted.filter(F.col("names").isNotNull()).select("content_hash", "main_topic", "confidence", "names")
-    return pages.join(usable, "content_hash", "left").select(
-        "page_id",
-        "content_hash",
+    return spread_join(pages, usable, ["content_hash"], F.col("page_id")).select(
+        *pages.columns,
         F.coalesce("main_topic", F.lit("")).alias("main_topic"),
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
         F.when(F.col("names").isNotNull(), F.col("names")).otherwise(by_pattern).alias("names"),

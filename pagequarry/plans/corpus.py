@@ -53,11 +53,11 @@ def analyse(
     structured = _store(J.structured_columns(parsed), root, "structured")
     chunks = _store(G.semantic_chunks(parsed), root, "chunks")
 
-    found = M.extract_entities(text.select("page_id", "content_hash", "full_text"), extracted).drop("content_hash")
+    found = M.extract_entities(text, extracted)
     kind = C.service_type(F.col("title"), F.col("description"), F.col("headings"))["service_type"]
     derived = M.main_topic(F.col("title"), F.col("full_text"), F.col("names"), kind, topic_strategy)
     topic = F.coalesce(X.not_blank(F.col("main_topic")), derived)
-    named = found.join(text, "page_id").withColumn("main_topic", topic).select("page_id", "main_topic", "names")
+    named = found.withColumn("main_topic", topic).select("page_id", "main_topic", "names")
     mentions = _store(M.explode_names(named), root, "mentions")
 
     fresh = L.link_mentions(mentions, kb, batch_size)
