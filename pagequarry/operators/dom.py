@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -72,6 +73,7 @@ class _Tree:
         self.text: list[str] = []
         self.size = 0
         self.stack: list[int] = []
+        self.opened: Counter[str] = Counter()  # open elements by tag: a search for an absent tag need not walk the stack
         self.active: list[int | None] = []  # formatting elements to re-open; None is a marker
         self.in_body = False
 
@@ -85,10 +87,12 @@ class _Tree:
         self.t0.append(self.size)
         self.t1.append(-1)
         self.stack.append(pre)
+        self.opened[tag] += 1
         return pre
 
     def pop(self) -> int:
         pre = self.stack.pop()
+        self.opened[self.tag[pre]] -= 1
         if self.end[pre] < 0:
             self.end[pre], self.t1[pre] = len(self.tag) - 1, self.size
         if self.tag[pre] in MARKERS:
@@ -98,6 +102,8 @@ class _Tree:
 
     def pop_to(self, tags, stop=SCOPE_END) -> bool:
         """Close up to and including the nearest of ``tags``, if it is in scope."""
+        if not any(self.opened[t] for t in tags):
+            return False
         for at in range(len(self.stack) - 1, 1, -1):
             name = self.tag[self.stack[at]]
             if name in tags:
@@ -121,8 +127,7 @@ class _Tree:
     def reopen(self) -> None:
         """Re-open formatting elements that were closed by a block, in order."""
         at = len(self.active)
-        on_stack = set(self.stack)
-        while at and self.active[at - 1] is not None and self.active[at - 1] not in on_stack:
+        while at and self.active[at - 1] is not None and self.end[self.active[at - 1]] >= 0:
             at -= 1
         for i in range(at, len(self.active)):
             old = self.active[i]
@@ -135,12 +140,13 @@ class _Tree:
                 break
             if self.tag[pre] == tag:
                 del self.active[at]
-                if pre not in self.stack:
+                if self.end[pre] >= 0:
                     return
                 depth = self.stack.index(pre)
                 if any(self.tag[p] in SPECIAL for p in self.stack[depth + 1 :]):
                     # A block is still open inside: end the element here and leave the block open.
                     self.end[pre], self.t1[pre] = len(self.tag) - 1, self.size
+                    self.opened[tag] -= 1
                     del self.stack[depth]
                 else:
                     while len(self.stack) > depth:
@@ -149,6 +155,8 @@ class _Tree:
         self.close_other(tag)
 
     def close_other(self, tag: str) -> None:
+        if not self.opened[tag]:
+            return
         for at in range(len(self.stack) - 1, 1, -1):
             name = self.tag[self.stack[at]]
             if name == tag:

@@ -96,7 +96,7 @@ def semantic_chunks(parsed: DataFrame, read_ldjson: bool = False) -> DataFrame:
     )
 
     scope = F.col("scope")
-    inner = F.filter(N.inside(nodes, scope), visible)
+    inner = F.filter(live, lambda n: (n["pre"] > scope["pre"]) & (n["pre"] <= scope["pre_end"]))
     squeezed = lambda n: X.trim(X.collapse(N.kept_text(text, removed, n)))
     long = F.filter(F.transform(F.filter(inner, lambda n: n["tag"] == "p"), squeezed), lambda t: F.length(t) >= 80)
     paragraphs = F.transform(F.slice(long, 1, 6), lambda t: F.substring(t, 1, 400))

@@ -54,19 +54,23 @@ def hit_rate(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
 def write_usage(counts: DataFrame, folder: str) -> str:
     """Upsert each batch of :func:`usage_counts` into a versioned table under ``folder``; returns the last version.
 
-    A batch writes a version named by its number, so a repeated batch overwrites its own version only.
+    A batch reads the version of the batch before it and writes one under its own number, so a repeated batch
+    overwrites its own version only and a restarted stream goes on where it stopped.
     """
-    spark = counts.sparkSession
-    last = {"path": None}
+    spark, root = counts.sparkSession, f"{folder}/usage"
 
     def upsert(batch: DataFrame, number: int) -> None:
         rows = batch.withColumn("key", F.concat_ws("/", "user_id", "month"))
-        before = spark.read.parquet(last["path"]) if last["path"] else K.expiring(rows, "1 DAY").filter("false")
-        last["path"] = K.write_version(K.cache_upsert(before, rows, "key", "31 DAYS"), f"{folder}/usage", f"{number:09d}")
+        before = spark.read.parquet(_version(root, number - 1)) if number else K.expiring(rows, "1 DAY").filter("false")
+        K.write_version(K.cache_upsert(before, rows, "key", "31 DAYS"), root, f"{number:09d}")
 
-    stream = counts.writeStream.outputMode("update").foreachBatch(upsert)
-    finish(stream, folder)
-    return last["path"]
+    finish(counts.writeStream.outputMode("update").foreachBatch(upsert), folder)
+    latest = spark.read.parquet(root).agg(F.max(F.col("version").cast("int"))).first()[0]
+    return _version(root, latest)
+
+
+def _version(root: str, number: int) -> str:
+    return f"{root}/version={number:09d}"
 
 
 def write_page_texts(pages: DataFrame, folder: str) -> str:

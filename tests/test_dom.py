@@ -48,6 +48,13 @@ def test_empty_and_broken_pages():
         assert tree.tag[:3] == ["html", "head", "body"] and not tree.stack
 
 
+def test_deep_and_wide_pages_stay_linear():
+    deep = parse_html("<body>" + "<div>" * 50_000 + "x" + "</section>" * 1000)
+    assert len(deep.tag) == 50_003
+    wide = parse_html("<body>" + "<p><b>x<br>" * 3_000)
+    assert wide.tag.count("p") == 3_000
+
+
 _piece = st.sampled_from(
     ["<p>", "</p>", "<b>", "</b>", "<div class='a'>", "</div>", "<li>", "<ul>", "</ul>", "<a href=x>", "</a>", "text ", "<br>", "<td>", "<table>", "</table>", "<i>", "</i>", "<h2>", "</h3>", "&amp;", "<script>x</script>"]
 )
