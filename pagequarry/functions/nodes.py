@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,12 +40,12 @@ def _tests(selector: str) -> list[tuple[str, str, str]]:
 
 def _check(node: Column, kind: str, name: str, values: Sequence[str]) -> Column:
     if kind == "tag":
-        return node["tag"].isin(*values)
+        return node["tag"] == values[0] if len(values) == 1 else node["tag"].isin(*values)
     value = attr(node, name)
     if kind == "has":
         return value.isNotNull()
     if kind == "=":
-        return value.isin(*values)
+        return value == values[0] if len(values) == 1 else value.isin(*values)
     either = "|".join(re.escape(v) for v in values)
     return value.rlike(either if kind == "*=" else rf"(?:^|{SPACE})(?:{either})(?:{SPACE}|\z)")
 
@@ -65,15 +67,11 @@ def selector(*selectors: str) -> Predicate:
             compound.append(tests)
 
     def matches(node: Column) -> Column:
-        hit = F.lit(False)
-        for (kind, name), values in single.items():
-            hit = hit | F.coalesce(_check(node, kind, name, values), F.lit(False))
+        # NULL (the attribute is absent) counts as no match wherever predicates are used.
+        hits = [_check(node, kind, name, values) for (kind, name), values in single.items()]
         for tests in compound:
-            every = F.lit(True)
-            for kind, name, value in tests:
-                every = every & F.coalesce(_check(node, kind, name, [value]), F.lit(False))
-            hit = hit | every
-        return hit
+            hits.append(reduce(and_, [_check(node, kind, name, [value]) for kind, name, value in tests]))
+        return reduce(or_, hits)
 
     return matches
 
