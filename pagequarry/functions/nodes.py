@@ -86,6 +86,30 @@ def first(nodes: Column, *selectors: str) -> Column:
     return F.get(select(nodes, *selectors), F.lit(0))
 
 
+def turns(nodes: Column, *selectors: str) -> Column:
+    """For each selector in turn, its matching nodes in document order. Every selector is tested once per node."""
+
+    def flagged(n: Column) -> Column:
+        return F.struct(n.alias("node"), F.array(*[selector(s)(n) for s in selectors]).alias("is"))
+
+    def by_turn(matched: Column) -> Column:
+        chosen = lambda i: F.filter(matched, lambda x: F.get(x["is"], i))
+        numbers = F.sequence(F.lit(0), F.lit(len(selectors) - 1))
+        return F.transform(numbers, lambda i: F.transform(chosen(i), lambda x: x["node"]))
+
+    return let(F.filter(F.transform(nodes, flagged), lambda x: F.array_contains(x["is"], True)), by_turn)
+
+
+def first_value(values: Column) -> Column:
+    """First element that is not NULL; NULL if there is none."""
+    return F.get(F.array_compact(values), F.lit(0))
+
+
+def first_of_each(nodes: Column, selectors: Sequence[str], value: Callable[[Column], Column]) -> Column:
+    """``value`` of the first match of each selector in turn; the first that is not NULL."""
+    return first_value(F.transform(turns(nodes, *selectors), lambda found: value(F.get(found, F.lit(0)))))
+
+
 def inside(nodes: Column, node: Column) -> Column:
     """Descendants of ``node``: a slice, because the array is in document order."""
     return let(node, lambda n: F.slice(nodes, n["pre"] + 2, n["pre_end"] - n["pre"]))

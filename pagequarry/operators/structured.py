@@ -59,10 +59,7 @@ def telephone(text: Column) -> Column:
 
 def address(text: Column, nodes: Column) -> Column:
     """Address of the first element of each selector, if its text has 11 to 199 characters."""
-    found = []
-    for sel in rules.ADDRESS_ELEMENTS:
-        found.append(parse_address(X.longer(X.trim(N.node_text(text, N.first(nodes, sel))), 11, 199)))
-    return F.coalesce(*found)
+    return N.first_of_each(nodes, rules.ADDRESS_ELEMENTS, lambda n: parse_address(X.longer(X.trim(N.node_text(text, n)), 11, 199)))
 
 
 def social_links(nodes: Column) -> Column:
@@ -83,23 +80,20 @@ def clean_author(text: Column) -> Column:
     return X.longer(F.array_join(F.slice(X.words(bare), 1, 3), " "), 3, 99)
 
 
-def _meta_names(nodes: Column, selectors: tuple[str, ...]) -> list[Column]:
-    names = []
-    for sel in selectors:
-        names.append(X.longer(X.trim(N.first(nodes, sel)["attrs"]["content"]), 3))
-    return names
+def _meta_name(nodes: Column, selectors: tuple[str, ...]) -> Column:
+    return N.first_of_each(nodes, selectors, lambda n: X.longer(X.trim(n["attrs"]["content"]), 3))
 
 
 def author(text: Column, nodes: Column) -> Column:
     """Author name from meta tags, else from the first element of each selector."""
-    elements = [clean_author(N.node_text(text, N.first(nodes, s))) for s in rules.AUTHOR_ELEMENTS]
-    return F.coalesce(*_meta_names(nodes, rules.AUTHOR_META), *elements)
+    element = N.first_of_each(nodes, rules.AUTHOR_ELEMENTS, lambda n: clean_author(N.node_text(text, n)))
+    return F.coalesce(_meta_name(nodes, rules.AUTHOR_META), element)
 
 
 def organization(text: Column, nodes: Column) -> Column:
     """Organisation name, in the same way."""
-    elements = [X.longer(X.trim(N.node_text(text, N.first(nodes, s))), 3, 199) for s in rules.ORGANIZATION_ELEMENTS]
-    return F.coalesce(*_meta_names(nodes, rules.ORGANIZATION_META), *elements)
+    element = N.first_of_each(nodes, rules.ORGANIZATION_ELEMENTS, lambda n: X.longer(X.trim(N.node_text(text, n)), 3, 199))
+    return F.coalesce(_meta_name(nodes, rules.ORGANIZATION_META), element)
 
 
 # ── FAQ ───────────────────────────────────────────────────────────────────────
@@ -132,14 +126,14 @@ def find_answer(text: Column, nodes: Column, question: Column) -> Column:
 
 def _answer_among(text: Column, later: Column) -> Column:
     long_enough = lambda n: X.longer(X.trim(N.node_text(text, n)), 21)
-    by_class = [long_enough(N.first(later, sel)) for sel in rules.FAQ_ANSWERS]
+    by_class = N.first_of_each(later, rules.FAQ_ANSWERS, long_enough)
 
     def first_long(candidates: Column) -> Column:
         # The first three are tried one by one; all are cut out only when those fail.
         quick = [long_enough(F.get(candidates, F.lit(i))) for i in range(3)]
-        return F.coalesce(*quick, F.get(F.array_compact(F.transform(candidates, long_enough)), F.lit(0)))
+        return F.coalesce(*quick, N.first_value(F.transform(candidates, long_enough)))
 
-    return F.coalesce(*by_class, X.let(F.filter(later, lambda n: (n["t1"] - n["t0"]) > 20), first_long))
+    return F.coalesce(by_class, X.let(F.filter(later, lambda n: (n["t1"] - n["t0"]) > 20), first_long))
 
 
 def faq(text: Column, nodes: Column) -> Column:
@@ -153,18 +147,10 @@ def faq(text: Column, nodes: Column) -> Column:
     def marks(found: Column, enough: int) -> Column:
         return F.transform(found, lambda n: F.struct(n["pre"].alias("pre"), F.lit(enough).alias("enough"))).cast(kind)
 
-    def flagged(n: Column) -> Column:
-        flags = F.array(*[N.selector(s)(n) for s in rules.FAQ_QUESTIONS])
-        return F.struct(n["pre"].alias("pre"), flags.alias("is"))
-
     def in_container(c: Column) -> Column:
-        # Every selector is tested once per node; the selectors' turns are then read from the flags.
-        matched = F.filter(F.transform(N.inside(nodes, c), flagged), lambda x: F.array_contains(x["is"], True))
-        turns = F.sequence(F.lit(0), F.lit(len(rules.FAQ_QUESTIONS) - 1))
-        by_turn = lambda m: F.flatten(F.transform(turns, lambda i: F.filter(m, lambda x: F.get(x["is"], i))))
-        return marks(X.let(matched, by_turn), 20)
+        return marks(F.flatten(N.turns(N.inside(nodes, c), *rules.FAQ_QUESTIONS)), 20)
 
-    containers = F.concat(*[N.select(nodes, s) for s in rules.FAQ_CONTAINERS])
+    containers = F.flatten(N.turns(nodes, *rules.FAQ_CONTAINERS))
     contained = F.flatten(F.transform(containers, in_container))
     asked = F.array_distinct(F.concat(contained, marks(N.select(nodes, *rules.HEADINGS), 50)))
 
@@ -240,8 +226,7 @@ def _supplies(text: Column, nodes: Column, inner: Column) -> Column:
         rows = F.transform(F.slice(names, 1, 10), lambda t: F.struct(F.lit("HowToSupply"), t).cast(SUPPLY))
         return X.let(rows, some)
 
-    groups = F.array(*[N.select(nodes, sel) for sel in rules.HOWTO_SUPPLIES])
-    return F.get(F.array_compact(F.transform(groups, under)), F.lit(0))
+    return N.first_value(F.transform(N.turns(nodes, *rules.HOWTO_SUPPLIES), under))
 
 
 def _remove_first(text: Column, part: Column) -> Column:
@@ -285,17 +270,9 @@ def _steps(text: Column, nodes: Column, container: Column, inner: Column) -> Col
             ).cast(STEP),
         )
 
-    def flagged(n: Column) -> Column:
-        ordered = (n["tag"] == "li") & (N.parent(nodes, n)["tag"] == "ol")
-        return F.struct(n.alias("node"), F.array(*[N.selector(s)(n) for s in rules.HOWTO_STEPS], ordered).alias("is"))
-
-    def by_turn(marked: Column) -> Column:
-        turns = F.sequence(F.lit(0), F.lit(len(rules.HOWTO_STEPS)))
-        chosen = lambda i: F.transform(F.filter(marked, lambda x: F.get(x["is"], i)), lambda x: x["node"])
-        return F.transform(turns, lambda i: from_elements(chosen(i)))
-
-    matched = F.filter(F.transform(inner, flagged), lambda x: F.array_contains(x["is"], True))
-    structured = F.get(F.filter(X.let(matched, by_turn), lambda found: F.size(found) > 0), F.lit(0))
+    ordered = F.filter(inner, lambda n: (n["tag"] == "li") & (N.parent(nodes, n)["tag"] == "ol"))
+    found = F.transform(F.array_append(N.turns(inner, *rules.HOWTO_STEPS), ordered), from_elements)
+    structured = F.get(F.filter(found, lambda steps: F.size(steps) > 0), F.lit(0))
     body = N.node_text(text, container)
     numbered = [
         _numbered(body, r"(?:^|\n)\s*(\d+)[.)]\s*([^\n]+)", "m"),
@@ -313,19 +290,20 @@ def howto(text: Column, nodes: Column) -> Column:
         return X.let(N.inside(nodes, c), lambda inner: described(c, inner))
 
     def described(c: Column, inner: Column) -> Column:
-        heading = F.coalesce(*[N.first(inner, s) for s in rules.HOWTO_TITLES])
+        heading = F.get(F.flatten(N.turns(inner, *rules.HOWTO_TITLES)), F.lit(0))
         title = F.coalesce(N.text_or_null(text, heading), named)
         long = lambda n: X.longer(X.trim(N.node_text(text, n)), 31)
-        description = F.coalesce(*[long(N.first(inner, s)) for s in (*rules.HOWTO_DESCRIPTIONS, "p")])
+        description = N.first_of_each(inner, (*rules.HOWTO_DESCRIPTIONS, "p"), long)
         whole = lambda steps: _part(
             "HowTo", name=title, steps=steps, description=description, time=X.let(N.node_text(text, c), howto_time),
             supply=howto_supplies(text, nodes, c),
         )
         return X.let(howto_steps(text, nodes, c), lambda steps: F.when(F.size(steps) > 0, whole(steps)))
 
-    containers = F.array_distinct(F.array_compact(F.array(*[N.first(nodes, s)["pre"] for s in rules.HOWTO_CONTAINERS])))
+    firsts = F.transform(N.turns(nodes, *rules.HOWTO_CONTAINERS), lambda found: F.get(found, F.lit(0))["pre"])
+    containers = F.array_distinct(F.array_compact(firsts))
     built = F.transform(containers, lambda p: X.let(F.get(nodes, p), from_container))
-    return F.coalesce(F.get(F.array_compact(built), F.lit(0)), howto_from_headings(text, nodes))
+    return F.coalesce(N.first_value(built), howto_from_headings(text, nodes))
 
 
 def howto_from_headings(text: Column, nodes: Column) -> Column:
