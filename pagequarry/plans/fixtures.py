@@ -182,9 +182,10 @@ def cache_of(spark: SparkSession, sf: str, kind: str, key: str, ttl: str) -> Dat
 
 
 def profiles(spark: SparkSession, sf: str) -> DataFrame:
-    """A profile for every user but those whose number ends in 37."""
+    """A profile for every user whose first event was not an error."""
+    first = F.min_by("event_type", F.struct("ts", "event_id")).alias("first")
     return (
-        events(spark, sf).select("user_id").distinct().filter("user_id % 100 <> 37")
+        events(spark, sf).groupBy("user_id").agg(first).filter("first <> 'error'")
         .selectExpr(
             "user_id",
             "concat('u', user_id, CASE WHEN user_id % 10 = 0 THEN '@Partner.example' ELSE '@mail.example' END) AS email",

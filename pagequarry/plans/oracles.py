@@ -67,7 +67,7 @@ SELECT r.event_id, r.url_hash, c.payload, c.expires_at FROM requests r JOIN c US
 SQL["cache_misses"] = f"""WITH {REQUESTS}, {cache("c", "view", "url_hash", "24 HOURS")}
 SELECT event_id, url_hash FROM requests WHERE url_hash NOT IN (SELECT url_hash FROM c WHERE expires_at > {AS_OF})"""
 SQL["cache_lookup_batch"] = """
-WITH c AS (SELECT md5(lower(p_name)) AS k, min(p_brand) AS data FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1)
+WITH c AS (SELECT md5(lower(p_name)) AS k, min(p_brand) AS data FROM part WHERE p_type <> 'SMALL' GROUP BY 1)
 SELECT p_partkey, lower(' ' || p_name) AS lower_name, CASE WHEN data < 'Brand#2' THEN data END AS data FROM part LEFT JOIN c ON k = md5(lower(p_name))"""
 SQL["cache_upsert"] = f"""WITH {REQUESTS}, {cache("c", "view", "url_hash", "24 HOURS")},
 n AS (SELECT url_hash, ts AS written_at, event_id AS payload, ts + INTERVAL 1 HOUR AS expires_at, 1 AS new FROM requests WHERE event_type = 'click' AND user_id % 9 <> 0),
@@ -147,7 +147,7 @@ RUNS = """runs AS (SELECT user_id, 'https://example.org/u/' || user_id AS url,
 log AS (SELECT * FROM runs WHERE analysis_type IS NOT NULL)"""
 PROFILES = """profiles AS (SELECT user_id, 'u' || user_id || CASE WHEN user_id % 10 = 0 THEN '@Partner.example' ELSE '@mail.example' END AS email,
   (user_id % 8)::INT AS free_analyses_used, TIMESTAMP '2024-01-01' + to_days((user_id % 40)::INT) AS free_analyses_reset_at
-  FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 100 <> 37)"""
+  FROM (SELECT user_id, min_by(event_type, (ts, event_id)) AS first FROM events GROUP BY 1) WHERE first <> 'error')"""
 SQL["append_log"] = f"WITH {RUNS} SELECT * FROM log"
 SQL["check_usage"] = f"""WITH {PROFILES}, u AS (SELECT DISTINCT user_id FROM events), j AS (SELECT u.user_id, p.email IS NULL AS missing,
   coalesce(split_part(lower(email), '@', 2) = 'partner.example', false) AS un, coalesce({AS_OF} > free_analyses_reset_at, false) AS due, greatest(0, 5 - free_analyses_used) AS left_
@@ -354,8 +354,8 @@ t AS (SELECT v.*, coalesce(CASE p31 WHEN 'Q5' THEN 'Person' WHEN 'Q43229' THEN '
 SELECT page_id, pos, name, type, wikipedia_url, wikidata_url, google_kg_url, product_ontology_url, {confidence("base")} AS confidence FROM t"""
 SQL["rank_entities"] = f"WITH {M}, {SCORED} SELECT page_id, pos, row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, pos) AS rank FROM e"
 SQL["merge_cached"] = f"""WITH {M}, {SCORED},
-c AS (SELECT lower(name) AS k, max_by(struct_pack(name := name, type := type, confidence := confidence, g := google_kg_url), (page_id, pos)) AS v FROM e WHERE length(name) % 6 = 0 GROUP BY 1),
-f AS (SELECT page_id, pos // 5 AS batch, lower(name) AS k, min_by(struct_pack(name := name, type := type, confidence := confidence, g := google_kg_url), (-confidence, pos)) AS v FROM e WHERE length(name) % 6 IN (1, 2, 3) GROUP BY 1, 2, 3),
+c AS (SELECT lower(name) AS k, max_by(struct_pack(name := name, type := type, confidence := confidence, g := google_kg_url), (page_id, pos)) AS v FROM e WHERE length(name) <= 5 GROUP BY 1),
+f AS (SELECT page_id, pos // 5 AS batch, lower(name) AS k, min_by(struct_pack(name := name, type := type, confidence := confidence, g := google_kg_url), (-confidence, pos)) AS v FROM e WHERE length(name) BETWEEN 6 AND 9 GROUP BY 1, 2, 3),
 x AS (SELECT m.page_id, m.pos, coalesce(c.v, f.v, struct_pack(name := m.name, type := 'Thing', confidence := 0, g := NULL::VARCHAR)) AS v
   FROM m LEFT JOIN c ON c.k = lower(m.name) LEFT JOIN f ON f.page_id = m.page_id AND f.batch = m.pos // 5 AND f.k = lower(m.name))
 SELECT page_id, pos, v.name AS name, v.type AS type, v.confidence AS confidence, v.g AS google_kg_url FROM x"""
@@ -583,8 +583,8 @@ SQL["coverage_corpus"] = "SELECT count(*) * 2 AS yes, count(*) AS partial, count
 RESULTS = f"""{ROWS}, {TIPS}, {RECS}, sal AS (SELECT page_id, {SALIENCE} AS salience FROM e GROUP BY 1), ne AS (SELECT page_id, count(*) AS n FROM e GROUP BY 1), nr AS (SELECT page_id, count(*) AS n FROM ranked GROUP BY 1),
 res AS (SELECT pr.page_id, pr.url, topic AS main_topic, made, CASE WHEN made THEN '{{"n":' || pr.page_id || '}}' ELSE '{{}}' END AS jsonld, CASE WHEN made THEN coalesce(salience, 0) ELSE 0 END AS salience, CASE WHEN made THEN coalesce(bar, '') ELSE '' END AS irrelevant,
   coalesce(ne.n, 0) AS n_entities, CASE WHEN made THEN coalesce(nr.n, 0) ELSE 0 END AS n_recommendations, CASE WHEN made THEN list_filter(tips.l, lambda x: x IS NOT NULL) ELSE [] END AS tip_list,
-  CASE WHEN pr.page_id % 3 = 0 THEN 'analysis ' || pr.page_id END AS analysis, CASE WHEN pr.page_id % 3 <> 2 THEN (pr.page_id % 9)::INT END AS chunks_extracted, CASE WHEN pr.page_id % 3 = 1 AND pr.page_id % 2 = 0 THEN 'no key' END AS error
-  FROM (SELECT *, page_id % 5 <> 4 AS made FROM pr) pr LEFT JOIN sal USING (page_id) LEFT JOIN irrelevant USING (page_id) LEFT JOIN ne USING (page_id) LEFT JOIN nr USING (page_id) LEFT JOIN tips USING (page_id))"""
+  CASE WHEN fanned AND pr.page_id % 3 = 0 THEN 'analysis ' || pr.page_id END AS analysis, CASE WHEN fanned THEN (pr.page_id % 9)::INT END AS chunks_extracted, CASE WHEN fanned AND pr.page_id % 3 = 1 THEN 'no key' END AS error
+  FROM (SELECT *, length(title) < 58 AS made, NOT contains(url, '?') AS fanned FROM pr) pr LEFT JOIN sal USING (page_id) LEFT JOIN irrelevant USING (page_id) LEFT JOIN ne USING (page_id) LEFT JOIN nr USING (page_id) LEFT JOIN tips USING (page_id))"""
 SQL["assemble_results"] = f"""WITH {M}, {SCORED}, {RESULTS} SELECT page_id, url, main_topic, jsonld, salience, irrelevant, n_entities, n_recommendations, len(tip_list) AS n_tips, analysis, chunks_extracted, error,
   0 AS processing_time_ms, false AS cached FROM res"""
 SQL["reports"] = f"""WITH {M}, {SCORED}, {RESULTS}, er AS (SELECT page_id, string_agg('| ' || name || ' | ' || type || ' | ' || confidence || '% | ' || coalesce(wikipedia_url, '-') || ' | ' || coalesce(wikidata_url, '-') || ' |', chr(10) ORDER BY pos) AS t FROM e GROUP BY 1),

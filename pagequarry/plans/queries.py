@@ -84,7 +84,7 @@ def cache_misses(spark, sf):
 @query
 def cache_lookup_batch(spark, sf):
     part = fx.table(spark, sf, "part")
-    cache = part.filter("p_partkey % 3 <> 0").groupBy(X.md5_key(F.col("p_name")).alias("entity_hash")).agg(F.min("p_brand").alias("data"))
+    cache = part.filter("p_type <> 'SMALL'").groupBy(X.md5_key(F.col("p_name")).alias("entity_hash")).agg(F.min("p_brand").alias("data"))
     cache = cache.withColumn("expires_at", F.expr(f"{fx.AS_OF} + CASE WHEN data < 'Brand#2' THEN INTERVAL 1 HOURS ELSE INTERVAL 0 HOURS END"))
     asked = part.select("p_partkey", F.concat(F.lit(" "), F.upper("p_name")).alias("name"))
     return K.cache_lookup_batch(asked, cache, _as_of()).select("p_partkey", "lower_name", "data")
@@ -563,10 +563,10 @@ def rank_entities(spark, sf):
 def merge_cached(spark, sf):
     asked = fx.text_mentions(spark, sf)
     rows = fx.scored_mentions(spark, sf)
-    cached = rows.filter("length(name) % 6 = 0").groupBy(F.lower("name").alias("lower_name")).agg(
+    cached = rows.filter("length(name) <= 5").groupBy(F.lower("name").alias("lower_name")).agg(
         F.max_by(F.struct(*L.ENTITY_FIELDS), F.struct("page_id", "pos")).alias("entity")
     )
-    fresh = rows.filter("length(name) % 6 IN (1, 2, 3)").withColumn("batch", F.expr("CAST(floor(pos / 5) AS INT)"))
+    fresh = rows.filter("length(name) BETWEEN 6 AND 9").withColumn("batch", F.expr("CAST(floor(pos / 5) AS INT)"))
     return L.merge_cached(asked, cached, fresh).select("page_id", "pos", "name", "type", "confidence", "google_kg_url")
 
 
@@ -944,12 +944,12 @@ def coverage_corpus(spark, sf):
 
 def _results(spark, sf):
     rows = _with_tips(_page_rows(spark, sf))
-    made = rows.filter("page_id % 5 <> 4").select(
+    made = rows.filter("length(title) < 58").select(
         "page_id", F.concat(F.lit('{"n":'), "page_id", F.lit("}")).alias("jsonld"), _basic().alias("recommendations"),
         E.salience_score(F.col("entities")).alias("salience"), "tips", F.col("irrelevant_names").alias("irrelevant"),
     )
-    fan = fx.table(spark, sf, "pages").filter("page_id % 3 <> 2").selectExpr(
-        "page_id", "CASE WHEN page_id % 3 = 0 THEN concat('analysis ', page_id) END AS analysis", "CAST(page_id % 9 AS INT) AS chunks_extracted", "CASE WHEN page_id % 3 = 1 AND page_id % 2 = 0 THEN 'no key' END AS error"
+    fan = fx.table(spark, sf, "pages").filter("NOT contains(url, '?')").selectExpr(
+        "page_id", "CASE WHEN page_id % 3 = 0 THEN concat('analysis ', page_id) END AS analysis", "CAST(page_id % 9 AS INT) AS chunks_extracted", "CASE WHEN page_id % 3 = 1 THEN 'no key' END AS error"
     )
     return R.assemble_results(rows.select("page_id", "url", "main_topic"), rows.select("page_id", "entities"), made, fan)
 
