@@ -200,19 +200,25 @@ def in_extract(name: Column, extract: Column) -> Column:
     return F.coalesce((extract != "") & (F.contains(extract, entity) | enough), F.lit(False))
 
 
+def with_extract(rows: DataFrame, pages: DataFrame, wanted: Column) -> DataFrame:
+    """``rows`` with the ``extract`` of their ``url`` where ``wanted``, in one pass.
+
+    The others carry a key that no page has, and that differs from row to row, so they spread over the tasks.
+    """
+    probe = F.when(wanted, F.col("url")).otherwise(F.concat(F.lit("-"), F.col("name"), F.col("url")))
+    extracts = pages.select(F.col("url").alias("_probe"), "extract")
+    return rows.withColumn("_probe", probe).join(extracts, "_probe", "left").drop("_probe")
+
+
 def wiki_verified(scored: DataFrame, pages: DataFrame) -> DataFrame:
     """``score`` after the content check: above 70 it gains 10 or loses 30.
 
-    Only candidates above 70 meet the wide ``extract`` column. The join is inner, as every candidate came from
-    ``pages``: the smaller side can be the one that is broadcast, and tags are stripped from the extracts that are
-    needed, after the join.
+    Only candidates above 70 meet the wide ``extract`` column; tags are stripped after the join, from those alone.
     """
-    low, high = scored.filter(F.col("score") <= 70), scored.filter(F.col("score") > 70)
-    checked = high.join(pages.select("url", "extract"), "url")
+    high = F.col("score") > 70
     fits = X.let(plain_extract(F.col("extract")), lambda e: in_extract(F.col("name"), e))
-    change = F.when(fits, F.lit(10.0)).otherwise(F.lit(-30.0))
-    high = checked.withColumn("score", F.col("score") + change).drop("extract")
-    return low.unionByName(high)
+    change = F.when(high, F.when(fits, F.lit(10.0)).otherwise(F.lit(-30.0))).otherwise(F.lit(0.0))
+    return with_extract(scored, pages, high).withColumn("score", F.col("score") + change).drop("extract")
 
 
 def wiki_best(verified: DataFrame) -> DataFrame:
@@ -416,15 +422,11 @@ def name_links(names: DataFrame, kb: KnowledgeBase) -> DataFrame:
     """
     best = wikidata_from_page(wiki_best(wiki_verified(wiki_scored(wiki_candidates(names, kb.pages)), kb.pages)), kb.items)
     direct = wikidata_direct(names, kb.items).drop("score")
-    persons = best.filter(X.person_shaped(F.col("name")))
-    extracts = persons.join(kb.pages.select("url", "extract"), "url").select(
-        "name", "academic", plain_extract(F.col("extract")).alias("page_extract")
-    )
+    best = with_extract(best, kb.pages, X.person_shaped(F.col("name"))).withColumn("page_extract", plain_extract(F.col("extract")))
     classes = kb.items.select(F.concat(F.lit(rules.WIKIDATA), "id").alias("_item"), "p31")
     by_class = lambda column, alias: classes.select(F.col("_item").alias(column), F.col("p31").alias(alias))
     return (
-        names.join(best.select("name", "academic", F.col("url").alias("page_url"), "page_item"), ["name", "academic"], "left")
-        .join(extracts, ["name", "academic"], "left")
+        names.join(best.select("name", "academic", F.col("url").alias("page_url"), "page_item", "page_extract"), ["name", "academic"], "left")
         .join(direct, ["name", "academic"], "left")
         .join(graph_best(names, kb.graph), "name", "left")
         .join(product_ontology(names, kb.urls), "name", "left")
