@@ -13,8 +13,9 @@ from pagequarry.functions.skew import spread_join
 _WORD = r"[A-Z][a-zA-Z&]+"
 _EDGE = X.BOUNDARY
 #: A run of capitalised words. The loop is possessive: a page-long run costs one pass and no stack. A boundary before a
-#: word character only has to look back.
-PHRASE = rf"(?<!\w)(?:{_WORD}{X.SPACE}+(?={_WORD}{_EDGE}))*+{_WORD}{_EDGE}"
+#: word character only has to look back. The look-ahead keeps a word that can end the phrase in sight: one capital with
+#: ampersands cannot end it, but may stand inside.
+PHRASE = rf"(?<!\w)(?:{_WORD}{X.SPACE}+(?=(?:[A-Z]&+{X.SPACE}+)*+{_WORD}{_EDGE}))*+{_WORD}{_EDGE}"
 _ANY = r"[a-zA-Z][a-z]+"
 _SUFFIX = "(?:" + "|".join(rules.PRODUCT_SUFFIXES) + ")"
 #: A run of words, for :func:`product_names`.
