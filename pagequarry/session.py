@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,11 +27,29 @@ def session(master: str | None = None, partitions: int | None = None, app: str =
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers of the session, once, so that jobs run from any working folder."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="run-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _SHIPPED.add(context.applicationId)
+    return spark
 
 
 def apply_settings(spark: SparkSession) -> None:
     """Set the runtime-changeable part of :data:`SETTINGS` on a session somebody else made."""
+    ship(spark)
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
 
@@ -44,8 +63,12 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh temporary one only where none is set (tests)."""
+    """The cluster's shared checkpoint folder. Only a local session, as in tests, gets a temporary one where it is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
-    return tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="run-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
