@@ -76,3 +76,11 @@ def op10_token_counts(spark, sf):
     from pagequarry.llm import token_counts as C
 
     return C.token_counts(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+@query
+def op8_minhash(spark, sf):
+    """Near-duplicate classes of all documents at a similarity of 0.85."""
+    from pagequarry.llm import minhash as M
+
+    return M.near_duplicates(_table(spark, sf, "documents"), threshold=85, size=5)
