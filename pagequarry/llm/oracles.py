@@ -28,3 +28,21 @@ FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 
 def registry() -> dict[str, str]:
     return dict(_TWINS)
+
+_TWINS["op4_substrings"] = rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents
+), win AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 11)) AS pos, unnest(list_transform(range(1, len(ws) - 11), lambda k: array_to_string(ws[k:k + 12], ' '))) AS seq
+  FROM w WHERE len(ws) >= 13
+), m AS (SELECT seq, min(doc_id) AS first_doc FROM win GROUP BY 1),
+gone AS (
+  SELECT doc_id, list(DISTINCT p) AS ps FROM (
+    SELECT win.doc_id, unnest(range(pos, pos + 13)) AS p FROM win JOIN m USING (seq) WHERE first_doc < win.doc_id) GROUP BY 1
+), kept AS (
+  SELECT w.doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed,
+    CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END AS ks
+  FROM w LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(ks, ' ')) AS kept_sha256 FROM kept
+"""

@@ -84,3 +84,11 @@ def op8_minhash(spark, sf):
     from pagequarry.llm import minhash as M
 
     return M.near_duplicates(_table(spark, sf, "documents"), threshold=85, size=5)
+
+
+@query
+def op4_substrings(spark, sf):
+    """Words of each document left after repeats of 13 words or more are removed."""
+    from pagequarry.llm import substrings as S
+
+    return S.digests(_table(spark, sf, "documents"), size=13)
