@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def profiles(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, ranks: int = R
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang in set(batch["lang"].to_pylist()):
-                texts = batch.filter(pa.compute.equal(batch["lang"], lang))["text"].to_pylist()
+                texts = batch.filter(pc.equal(batch["lang"], lang))["text"].to_pylist()
                 found = list(grams(texts))
                 hashes, back = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
                 sums = np.bincount(back, weights=np.concatenate([c for _, c in found]), minlength=len(hashes))

@@ -46,3 +46,52 @@ gone AS (
 )
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(ks, ' ')) AS kept_sha256 FROM kept
 """
+
+_QUOTAS = "(0, '', 30), (1, 'src0', 150), " + ", ".join(f"({k}, '{name}', {100 if name in ('src1', 'src2', 'src3', 'src4') else 28})" for k, name in enumerate(sorted(f"src{n}" for n in range(1, 20)), 2))
+
+_TWINS["op2_mixing"] = f"""
+WITH RECURSIVE q(i, pool, quota) AS (VALUES {_QUOTAS}),
+a AS (SELECT list(quota ORDER BY i) AS av FROM q),
+edf(t, ks, pick) AS (
+  SELECT 0, list_transform(av, lambda x: 0), 0 FROM a
+  UNION ALL
+  SELECT t + 1, list_transform(ks, lambda k, i: CASE WHEN i = p THEN k + 1 ELSE k END), p FROM (
+    SELECT t, ks, list_min(list_filter(list_transform(ks, lambda k, i: CASE WHEN k < av[i] AND (k * 1000) // av[i] <= t
+      THEN {{'d': CAST(ceil((k + 1) * 1000.0 / av[i]) AS BIGINT), 'i': i}} END), lambda x: x IS NOT NULL)).i AS p
+    FROM edf, a WHERE t < 1000)
+), slots AS (
+  SELECT q.pool, q.quota, e.ks[e.pick] - 1 AS k, e.t - 1 AS slot FROM edf e JOIN q ON q.i + 1 = e.pick WHERE e.t > 0
+), d AS (
+  SELECT doc_id, source, coalesce(q.pool, '') AS pool,
+    (row_number() OVER (PARTITION BY coalesce(q.pool, '') ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1) // 8 AS block
+  FROM documents LEFT JOIN q ON q.pool = source AND source <> ''
+)
+SELECT doc_id, source, block, (block // quota) * 1000 + (k * 1000) // quota AS release,
+  (block // quota) * 1000 + CAST(ceil((k + 1) * 1000.0 / quota) AS BIGINT) AS deadline, (block // quota) * 1000 + slot AS slot
+FROM d JOIN slots ON slots.pool = d.pool AND slots.k = block % quota
+"""
+
+_TWINS["op5_nearest"] = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, len(embedding) AS n FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(range(1, a.n + 1), lambda i: a.e[i] * b.e[i])) AS dot,
+    sqrt(list_sum(list_transform(a.e, lambda x: x * x))) AS na, sqrt(list_sum(list_transform(b.e, lambda x: x * x))) AS nb
+  FROM v a JOIN v b ON a.n = b.n AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), r AS (SELECT query_id, vec_id, dot / (na * nb) AS score, row_number() OVER (PARTITION BY query_id ORDER BY dot / (na * nb) DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+_TWINS["op3_embedding_duplicates"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, len(embedding) AS n FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.n = b.n AND a.vec_id <> b.vec_id
+  WHERE list_sum(list_transform(range(1, a.n + 1), lambda i: a.e[i] * b.e[i])) / (sqrt(list_sum(list_transform(a.e, lambda x: x * x))) * sqrt(list_sum(list_transform(b.e, lambda x: x * x)))) >= 0.98
+), reach(x, y) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+), c AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY 1), k AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c USING (vec_id) LEFT JOIN k USING (vec_id)
+"""

@@ -92,3 +92,34 @@ def op4_substrings(spark, sf):
     from pagequarry.llm import substrings as S
 
     return S.digests(_table(spark, sf, "documents"), size=13)
+
+
+#: Target weights of the mixture: one large source held back, four preferred, the others even.
+MIX = {"src0": 0.15, **{f"src{k}": 0.1 for k in range(1, 5)}, **{f"src{k}": 0.028 for k in range(5, 20)}}
+MIX_REST = 0.03
+
+
+@query
+def op2_mixing(spark, sf):
+    """Slot of every document in the mixture of sources."""
+    from pagequarry.llm import mixing as X
+
+    placed = X.place(_table(spark, sf, "documents").select("doc_id", "source"), MIX, MIX_REST)
+    return placed.select("doc_id", "source", F.col("_block").alias("block"), F.col("_release").alias("release"), F.col("_due").alias("deadline"), F.col("_slot").alias("slot"))
+
+
+@query
+def op5_nearest(spark, sf):
+    """Five nearest vectors of every 50th vector."""
+    from pagequarry.llm import nearest as N
+
+    vectors = _table(spark, sf, "embeddings")
+    return N.nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+@query
+def op3_embedding_duplicates(spark, sf):
+    """Links and classes of vectors of one label with a cosine of 0.98 or more."""
+    from pagequarry.llm import hamming as H
+
+    return H.links(_table(spark, sf, "embeddings"), least=0.98)
