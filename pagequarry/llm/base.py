@@ -53,6 +53,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, each: bool, s
     return written(docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts(rows: int, per_part: int) -> int:
     return max(1, math.ceil(rows / per_part))
 

@@ -68,7 +68,8 @@ def period(quota: dict[str, int]) -> dict[str, list[tuple[int, int, int]]]:
 
 
 def place(docs: DataFrame, weights: dict[str, float], rest: float, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION) -> DataFrame:
-    """``docs`` with ``_pool, _order, _block, _release, _due, _slot`` of each row."""
+    """``docs`` with ``_pool, _order, _block, _release, _due, _slot`` of each row, in place of columns of these names."""
+    docs = docs.drop("_bucket", "_rank", "_offset", "_quota", "_releases", "_dues", "_slots", "_pool", "_block")
     quota = quotas(weights, rest, resolution)
     plan = [(name, quota[name], [b[0] for b in blocks], [b[1] for b in blocks], [b[2] for b in blocks]) for name, blocks in period(quota).items()]
     spark = docs.sparkSession
@@ -92,5 +93,6 @@ def place(docs: DataFrame, weights: dict[str, float], rest: float, block_rows: i
 
 def in_order(docs: DataFrame, weights: dict[str, float], rest: float, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION) -> DataFrame:
     """The rows of ``docs``, its columns only, in the order of the schedule: ranges of slots, in order inside and across partitions."""
-    placed = written(place(docs, weights, rest, block_rows, resolution))
-    return placed.repartitionByRange("_slot", "_order").sortWithinPartitions("_slot", "_order").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source")
+    placed = written(place(whole, weights, rest, block_rows, resolution).select("row", "_slot", "_order"))
+    return placed.repartitionByRange("_slot", "_order").sortWithinPartitions("_slot", "_order").select("row.*")

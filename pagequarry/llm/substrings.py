@@ -37,8 +37,8 @@ GROUP_ROWS, TASK_HASHES = 4096, 1_500_000
 PROBE_BITS = 46
 
 
-def _grouped(docs: DataFrame, columns: list[str], groups: int) -> DataFrame:
-    return docs.select(F.expr(f"CAST(pmod(xxhash64(doc_id, text), {groups}) AS INT)").alias("_group"), *columns).groupBy("_group")
+def _grouped(docs: DataFrame, columns: list[str], groups: int, name: str = "_group") -> DataFrame:
+    return docs.select(F.expr(f"CAST(pmod(xxhash64(doc_id, text), {groups}) AS INT)").alias(name), *columns).groupBy(name)
 
 
 def _words(table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
@@ -129,7 +129,7 @@ def repeats(docs: DataFrame, size: int = 13) -> tuple[DataFrame, int]:
         order = np.lexsort((found, group))
         found, group = found[order], group[order]
         names, at = np.unique(group, return_index=True)
-        cut = [_planes(found[i:j]) for i, j in zip(at, np.append(at[1:], len(found)), strict=True)]
+        cut = [_planes(found[i:j]) for i, j in zip(at, np.append(at[1:], len(found))[: len(at)], strict=True)]
         return pa.table({"_group": pa.array(names.astype(np.int32)), "bucket": pa.array([key[0].as_py()] * len(names), pa.int32()), "payload": pa.array(cut, pa.binary())})
 
     sent = _grouped(docs, ["doc_id", "text"], groups).applyInArrow(probes, "bucket int, _group int, payload binary")
@@ -169,7 +169,7 @@ def repeats(docs: DataFrame, size: int = 13) -> tuple[DataFrame, int]:
         one, two, best, group = one[keep], two[keep], best[keep], group[keep]
         order = np.argsort(group, kind="stable")
         names, at = np.unique(group[order], return_index=True)
-        ends = np.append(at[1:], len(order))
+        ends = np.append(at[1:], len(order))[: len(at)]
         cut = lambda v: pa.array([base.packed(v[order[i:j]]) for i, j in zip(at, ends, strict=True)], pa.binary())
         return pa.table({"_group": pa.array(names.astype(np.int32)), "first": cut(one), "second": cut(two), "least": cut(best)})
 
@@ -239,12 +239,13 @@ def digests(docs: DataFrame, size: int = 13) -> DataFrame:
     return met.applyInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
-def drop_repeats(docs: DataFrame, size: int = 13, column: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
     """``docs`` with every column, repeated words cut out of ``text`` with the blanks behind them; a text without any stays as it is."""
     known, groups = repeats(docs, size)
+    group = base.free_name(docs, "_group")
 
     def run(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
-        table = table.drop_columns(["_group"])
+        table = table.drop_columns([group])
         whole = table["text"].combine_chunks().to_pylist()
         for row, data, starts, ends, gone in _removed(table, known, size):
             if gone.any():
@@ -257,5 +258,5 @@ def drop_repeats(docs: DataFrame, size: int = 13, column: str = "text") -> DataF
                 whole[row] = (raw[: starts[0] - first] + b"".join(raw[i - first : j - first] for i, j in zip(starts[~gone], stops[~gone], strict=True))).decode()
         return table.set_column(table.column_names.index("text"), "text", pa.array(whole, table.schema.field("text").type))
 
-    met = _grouped(docs, docs.columns, groups).cogroup(known.groupBy("_group"))
+    met = _grouped(docs, docs.columns, groups, group).cogroup(known.groupBy("_group"))
     return met.applyInArrow(run, docs.schema)
