@@ -39,6 +39,8 @@ SAMPLE_ROWS = 1500
 #: What makes a word of toxic documents a toxic word.
 CONTEXTS, LIFT, MOST_WORDS = 8, 10.0, 10_000
 PASSES, RATE = 12, 0.5
+#: Chances below this are those of unknown words; they do not add up to a toxic document however long it is.
+DOUBT = 0.3
 
 
 @dataclass
@@ -269,7 +271,7 @@ def tag(texts: list[str], model: Model | None) -> list[tuple[float, list[tuple[i
         chance = marginals(model.weights[features(hashes)].sum(axis=1), begins, model)
         at = np.flatnonzero(begins)
         most[low + owner[at]] = np.maximum.reduceat(chance, at)
-        total[low + owner[at]] = np.add.reduceat(np.where(chance >= 0.1, chance, 0.0), at)
+        total[low + owner[at]] = np.add.reduceat(np.where(chance >= DOUBT, chance, 0.0), at)
         before = np.concatenate([[0], np.cumsum([len(t) for t in some])])
         hot = chance >= 0.5
         follows = np.concatenate([[False], hot[:-1]]) & ~begins
