@@ -123,3 +123,21 @@ def op3_embedding_duplicates(spark, sf):
     from pagequarry.llm import hamming as H
 
     return H.links(_table(spark, sf, "embeddings"), least=0.98)
+
+
+@query
+def op7_pieces(spark, sf):
+    """Ids of every text by the 32k vocabulary, and whether they decode to the text."""
+    import public_tokenizers
+
+    from pagequarry.llm import pieces as S
+
+    return S.encode_and_check(_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def pipeline(spark, sf):
+    """The stages of ``corpus_pipeline.py`` over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
