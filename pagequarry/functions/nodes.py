@@ -117,7 +117,7 @@ def inside(nodes: Column, node: Column) -> Column:
 
 def node_text(text: Column, node: Column) -> Column:
     """Text of the subtree."""
-    return let(node, lambda n: F.substring(text, n["t0"] + 1, n["t1"] - n["t0"]))
+    return let(node, lambda n: F.array_join(F.slice(text, n["t0"] + 1, n["t1"] - n["t0"]), ""))
 
 
 def parent(nodes: Column, node: Column) -> Column:
@@ -147,20 +147,45 @@ def text_or_null(text: Column, node: Column) -> Column:
 # ── removed subtrees ──────────────────────────────────────────────────────────
 
 
-def outermost(matched: Column) -> Column:
-    """Matched nodes that lie in no other matched node, as ``(pre, pre_end, t0, t1)`` ranges in document order.
+def outermost(nodes: Column, *selectors: str) -> Column:
+    """Matching nodes that lie in no other matching node, as ``(pre, pre_end, t0, t1)`` ranges in document order.
 
-    One pass: the accumulator remembers how far the last kept subtree reaches.
+    Every node is tested once; a match then looks at its ancestors only, so the cost follows the page, not its square.
     """
-    kind = "struct<upto:int,ranges:array<struct<pre:int,pre_end:int,t0:int,t1:int>>>"
-    start = F.struct(F.lit(-1).alias("upto"), F.array().alias("ranges")).cast(kind)
 
-    def step(acc: Column, n: Column) -> Column:
-        one = F.struct(n["pre"], n["pre_end"], n["t0"], n["t1"])
-        grown = F.struct(n["pre_end"].alias("upto"), F.array_append(acc["ranges"], one).alias("ranges"))
-        return F.when(n["pre"] > acc["upto"], grown.cast(kind)).otherwise(acc)
+    def of(flags: Column) -> Column:
+        def covered(n: Column) -> Column:
+            start = F.struct(n["parent"].alias("at"), F.lit(False).alias("hit"))
+            up = lambda acc, _: F.struct(
+                F.coalesce(F.get(nodes, acc["at"])["parent"], F.lit(-1)).alias("at"),
+                (acc["hit"] | F.coalesce(F.get(flags, acc["at"]) & (F.get(nodes, acc["at"])["pre_end"] >= n["pre"]), F.lit(False))).alias("hit"),
+            )
+            return F.aggregate(F.sequence(F.lit(0), n["depth"]), start, up, lambda acc: acc["hit"])
 
-    return F.aggregate(matched, start, step, lambda acc: acc["ranges"])
+        outer = F.filter(nodes, lambda n: F.get(flags, n["pre"]) & ~covered(n))
+        return F.transform(outer, lambda n: F.struct(n["pre"], n["pre_end"], n["t0"], n["t1"]))
+
+    return let(F.transform(nodes, lambda n: F.coalesce(selector(*selectors)(n), F.lit(False))), of)
+
+
+def ranges_upto(ranges: Column, pre: Column) -> Column:
+    """How many of the ordered ranges begin at ``pre`` or before, by halving."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ranges) + 1)).cast("int"))
+    start = F.struct(F.lit(0).alias("low"), F.size(ranges).alias("high"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        before = F.get(ranges, middle)["pre"] <= pre
+        low = F.when((acc["low"] < acc["high"]) & before, middle + 1).otherwise(acc["low"])
+        high = F.when((acc["low"] < acc["high"]) & ~before, middle).otherwise(acc["high"])
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    return F.aggregate(steps, start, halve, lambda acc: acc["low"])
+
+
+def within(ranges: Column, node: Column) -> Column:
+    """Whether the node lies in one of the ordered, separate ranges."""
+    return let(node, lambda n: F.coalesce(n["pre"] <= F.get(ranges, ranges_upto(ranges, n["pre"]) - 1)["pre_end"], F.lit(False)))
 
 
 def without(nodes: Column, ranges: Column) -> Column:
@@ -176,11 +201,14 @@ def kept_text(text: Column, ranges: Column, node: Column) -> Column:
 
 
 def _kept_text(text: Column, ranges: Column, node: Column) -> Column:
-    return let(F.filter(ranges, lambda r: (r["pre"] > node["pre"]) & (r["pre"] <= node["pre_end"])), lambda w: _cut(text, node, w))
+    def inner(first: Column) -> Column:
+        return F.slice(ranges, first + 1, F.greatest(ranges_upto(ranges, node["pre_end"]) - first, F.lit(0)))
+
+    return let(let(ranges_upto(ranges, node["pre"]), inner), lambda w: _cut(text, node, w))
 
 
-def _cut(text: Column, node: Column, within: Column) -> Column:
-    starts = F.concat(F.array(node["t0"]), F.transform(within, lambda r: r["t1"]))
-    ends = F.concat(F.transform(within, lambda r: r["t0"]), F.array(node["t1"]))
-    pieces = F.zip_with(starts, ends, lambda s, e: F.substring(text, s + 1, e - s))
+def _cut(text: Column, node: Column, inner: Column) -> Column:
+    starts = F.concat(F.array(node["t0"]), F.transform(inner, lambda r: r["t1"]))
+    ends = F.concat(F.transform(inner, lambda r: r["t0"]), F.array(node["t1"]))
+    pieces = F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(text, s + 1, F.greatest(e - s, F.lit(0)))))
     return F.when(node.isNotNull(), F.array_join(pieces, ""))

@@ -1,8 +1,8 @@
 """The DOM job: HTML text to one row per page with its element tree.
 
-A page becomes ``(page_id, url, text, nodes)``. ``text`` is the text of the whole document. ``nodes`` holds the
-elements in document order, so a node's ``pre`` is its array index, its subtree is the slice up to ``pre_end``, and
-its text is ``text[t0:t1]``. Everything downstream navigates that array with built-in array functions: there is no
+A page becomes ``(page_id, url, text, nodes)``. ``text`` holds the document's runs of text between tags, in order.
+``nodes`` holds the elements in document order, so a node's ``pre`` is its array index, its subtree is the slice up to
+``pre_end``, its text is the runs ``t0`` to ``t1`` put together, ``chars`` long: no node rescans the page. Everything downstream navigates that array with built-in array functions: there is no
 join, no window and no shuffle until entity names leave their page.
 """
 
@@ -22,7 +22,7 @@ NODE = T.StructType(
     [T.StructField(n, T.IntegerType()) for n in ("pre", "pre_end", "parent", "depth")]
     + [T.StructField(n, T.StringType()) for n in ("tag", "cls", "elem_id", "role")]
     + [T.StructField("attrs", T.MapType(T.StringType(), T.StringType()))]
-    + [T.StructField(n, T.IntegerType()) for n in ("t0", "t1")]
+    + [T.StructField(n, T.IntegerType()) for n in ("t0", "t1", "chars")]
 )
 
 # Fixed values of the HTML standard: element groups that decide where elements close.
@@ -70,6 +70,7 @@ class _Tree:
         self.end: list[int] = []
         self.t0: list[int] = []
         self.t1: list[int] = []
+        self.chars: list[int] = []
         self.text: list[str] = []
         self.size = 0
         self.stack: list[int] = []
@@ -82,10 +83,11 @@ class _Tree:
         self.tag.append(tag)
         self.attrs.append(attrs)
         self.parent.append(self.stack[-1] if self.stack else -1)
-        self.depth.append(len(self.stack))
+        self.depth.append(self.depth[self.stack[-1]] + 1 if self.stack else 0)
         self.end.append(-1)
-        self.t0.append(self.size)
+        self.t0.append(len(self.text))
         self.t1.append(-1)
+        self.chars.append(-self.size)
         self.stack.append(pre)
         self.opened[tag] += 1
         return pre
@@ -94,12 +96,16 @@ class _Tree:
         pre = self.stack.pop()
         self.opened[self.tag[pre]] -= 1
         if self.end[pre] < 0:
-            self.end[pre], self.t1[pre] = len(self.tag) - 1, self.size
+            self.close(pre)
         if self.tag[pre] in MARKERS:
             while self.active and self.active.pop() is not None:
                 pass
         return pre
 
+    def close(self, pre: int) -> None:
+        self.end[pre], self.t1[pre] = len(self.tag) - 1, len(self.text)
+        self.chars[pre] += self.size
+
     def pop_to(self, tags, stop=SCOPE_END) -> bool:
         """Close up to and including the nearest of ``tags``, if it is in scope."""
         if not any(self.opened[t] for t in tags):
@@ -145,7 +151,7 @@ class _Tree:
                 depth = self.stack.index(pre)
                 if any(self.tag[p] in SPECIAL for p in self.stack[depth + 1 :]):
                     # A block is still open inside: end the element here and leave the block open.
-                    self.end[pre], self.t1[pre] = len(self.tag) - 1, self.size
+                    self.close(pre)
                     self.opened[tag] -= 1
                     del self.stack[depth]
                 else:
@@ -316,13 +322,13 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Arrow in, Arrow out: columns are built flat, so no per-node Python object crosses the boundary."""
     ints, strings = pa.int32(), pa.string()
     for batch in batches:
-        texts: list[str] = []
+        texts: list[list[str]] = []
         offsets = [0]
         cols: dict[str, list] = {name: [] for name in NODE.names}
         for source in batch.column(batch.schema.get_field_index("html")).to_pylist():
             tree = parse_html(source or "")
             count = len(tree.tag)
-            texts.append("".join(tree.text))
+            texts.append(tree.text)
             offsets.append(offsets[-1] + count)
             cols["pre"].extend(range(count))
             cols["pre_end"].extend(tree.end)
@@ -331,6 +337,7 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             cols["tag"].extend(tree.tag)
             cols["t0"].extend(tree.t0)
             cols["t1"].extend(tree.t1)
+            cols["chars"].extend(tree.chars)
             for attrs in tree.attrs:
                 cols["cls"].append(attrs.get("class"))
                 cols["elem_id"].append(attrs.get("id"))
@@ -344,17 +351,17 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
         keep = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "html"]
         names = [f.name for f in batch.schema if f.name != "html"]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(texts, strings), nodes], names=[*names, "text", "nodes"])
+        yield pa.RecordBatch.from_arrays([*keep, pa.array(texts, pa.list_(strings)), nodes], names=[*names, "text", "nodes"])
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html, …)`` to ``(page_id, url, …, text, nodes)``; each page is parsed once."""
     kept = [f for f in pages.schema.fields if f.name != "html"]
-    schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("nodes", T.ArrayType(NODE))])
+    schema = T.StructType([*kept, T.StructField("text", T.ArrayType(T.StringType())), T.StructField("nodes", T.ArrayType(NODE))])
     return pages.select(*[F.col(f.name) for f in kept], "html").mapInArrow(_parse_batches, schema)
 
 
 def dom_nodes(parsed: DataFrame) -> DataFrame:
     """The tree as rows: one per element, with the text of its subtree."""
-    body = F.substring(F.col("text"), F.col("n.t0") + 1, F.col("n.t1") - F.col("n.t0"))
+    body = F.array_join(F.slice("text", F.col("n.t0") + 1, F.col("n.t1") - F.col("n.t0")), "")
     return parsed.select("page_id", "text", F.explode("nodes").alias("n")).select("page_id", "n.*", body.alias("text"))

@@ -48,9 +48,9 @@ def semantic_chunks(parsed: DataFrame, read_ldjson: bool = False) -> DataFrame:
     With ``read_ldjson`` structured data is read before scripts are removed; by default it never appears.
     """
     text, nodes, removed, live = F.col("text"), F.col("nodes"), F.col("removed"), F.col("live")
-    base = parsed.withColumn("removed", N.outermost(N.select(nodes, *rules.FANOUT_NOISE))).withColumn("live", N.without(nodes, removed))
+    base = parsed.withColumn("removed", N.outermost(nodes, *rules.FANOUT_NOISE)).withColumn("live", N.without(nodes, removed))
     shown = lambda n: X.trim(N.kept_text(text, removed, n))
-    visible = lambda n: ~F.exists(removed, lambda r: n["pre"].between(r["pre"], r["pre_end"]))
+    visible = lambda n: ~N.within(removed, n)
 
     title = X.trim(F.array_join(F.transform(N.select(live, "title"), lambda n: N.kept_text(text, removed, n)), ""))
     topic = F.array_compact(
@@ -65,7 +65,7 @@ def semantic_chunks(parsed: DataFrame, read_ldjson: bool = False) -> DataFrame:
     )
 
     def section(h: Column) -> Column:
-        later = F.filter(N.later_siblings(nodes, h), lambda s: ~F.exists(removed, lambda r: r["pre"] == s["pre"]))
+        later = F.filter(N.later_siblings(nodes, h), lambda s: ~N.within(removed, s))
         within = until(later, lambda s: _level(s["tag"]) <= _level(h["tag"]))
         texts = F.filter(F.transform(within, shown), lambda t: t != "")
         return _chunk("section", F.array_join(texts, " "), 500, shown(h))

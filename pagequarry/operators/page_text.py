@@ -69,7 +69,7 @@ def page_headings(text: Column, nodes: Column) -> Column:
 
 def boilerplate(nodes: Column) -> Column:
     """Outermost boilerplate subtrees as ranges."""
-    return N.outermost(N.select(nodes, *rules.BOILERPLATE))
+    return N.outermost(nodes, *rules.BOILERPLATE)
 
 
 def strip_boilerplate(parsed: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def main_content(text: Column, nodes: Column, removed: Column) -> Column:
     the text is only cut out for the candidates.
     """
     candidates = N.select(nodes, *rules.MAIN_CONTENT)
-    outside = F.filter(candidates, lambda n: ~F.exists(removed, lambda r: n["pre"].between(r["pre"], r["pre_end"])))
+    outside = F.filter(candidates, lambda n: ~N.within(removed, n))
 
     def rank(n: Column) -> Column:
         order = F.lit(len(rules.MAIN_CONTENT))

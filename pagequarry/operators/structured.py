@@ -54,7 +54,7 @@ def _address(text: Column, rest: Column) -> Column:
 
 def telephone(text: Column) -> Column:
     """First phone number in the document text; the patterns are tried in order."""
-    return X.trim(F.coalesce(*[X.first_match(text, p, 0, "") for p in rules.PHONES]))
+    return X.let(F.array_join(text, ""), lambda t: X.trim(F.coalesce(*[X.first_match(t, p, 0, "") for p in rules.PHONES])))
 
 
 def address(text: Column, nodes: Column) -> Column:
@@ -133,7 +133,7 @@ def _answer_among(text: Column, later: Column) -> Column:
         quick = [long_enough(F.get(candidates, F.lit(i))) for i in range(3)]
         return F.coalesce(*quick, N.first_value(F.transform(candidates, long_enough)))
 
-    return F.coalesce(by_class, X.let(F.filter(later, lambda n: (n["t1"] - n["t0"]) > 20), first_long))
+    return F.coalesce(by_class, X.let(F.filter(later, lambda n: n["chars"] > 20), first_long))
 
 
 def faq(text: Column, nodes: Column) -> Column:

@@ -977,7 +977,7 @@ def dom_nodes(spark, sf):
 @query
 def dom_nodes_documents(spark, sf):
     parsed = dom.parse_pages(paste_to_pages(fx.spread(fx.table(spark, sf, "documents"))))
-    return parsed.select("page_id", F.md5("text").alias("text_md5"), (F.element_at("nodes", -1)["pre_end"] + 1 == F.size("nodes")).alias("closed"))
+    return parsed.select("page_id", F.md5(F.array_join("text", "")).alias("text_md5"), (F.element_at("nodes", -1)["pre_end"] + 1 == F.size("nodes")).alias("closed"))
 
 
 @query

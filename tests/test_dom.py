@@ -64,12 +64,13 @@ _piece = st.sampled_from(
 @given(st.lists(_piece, max_size=40).map("".join))
 def test_tree_invariants(html):
     tree = parse_html(html)
-    count, size = len(tree.tag), len("".join(tree.text))
+    count, size = len(tree.tag), len(tree.text)
     for i in range(count):
         assert i <= tree.end[i] < count
         assert 0 <= tree.t0[i] <= tree.t1[i] <= size
+        assert tree.chars[i] == len("".join(tree.text[tree.t0[i] : tree.t1[i]]))
+        assert tree.depth[i] == (tree.depth[tree.parent[i]] + 1 if i else 0)
         assert tree.parent[i] < i
-        assert i == 0 or tree.depth[i] > tree.depth[tree.parent[i]] - 1
     assert tree.end[0] == count - 1 and tree.t1[0] == size
 
 
