@@ -1,35 +1,26 @@
-"""A join that keeps one hot key from landing in one task."""
+"""A join that keeps one hot key, or the missing ones, from landing in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key with more rows than this is split.
-HOT_ROWS = 1_000_000
-#: Parts a hot key is split into.
+from pagequarry.session import settle
+
+#: Parts that rows without a key are dealt over.
 PARTS = 64
 
 
-def spread_join(
-    left: DataFrame, right: DataFrame, on: list[str], by: Column, counts: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS, parts: int = PARTS,
-) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: str) -> DataFrame:
     """Left join of a possibly skewed ``left`` with a ``right`` that has one row per key.
 
-    Only keys above ``hot_rows`` are salted: their left rows by ``by``, their one right row by repetition. The table
-    of hot keys has at most ``rows / hot_rows`` rows (a million rows of input per entry), which bounds its broadcast.
-    ``counts`` (the keys with their row number ``_n``) saves a pass where the caller has it.
+    ``right`` is written first. Then both sides meet in plain exchanges, of which the adaptive skew join splits any
+    partition that a hot key fills; above an aggregate or a window it could not. Rows with a NULL key match nothing and
+    are dealt out by a hash of ``by``.
     """
-    if counts is None:
-        counts = left.groupBy(*on).agg(F.count("*").alias("_n"))
-    hot = F.broadcast(counts.filter(F.col("_n") > hot_rows).select(*on, F.lit(True).alias("_hot")))
     blank = F.lit(False)
     for key in on:
-        blank = blank | F.col(key).isNull()  # NULL keys match nothing but would share a task
-    part = F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")
-    salt = F.when(F.coalesce("_hot", F.lit(False)) | blank, part).otherwise(F.lit(0))
-    salted = left.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted.join(repeated, [*on, "_salt"], "left").drop("_salt")
+        blank = blank | F.col(key).isNull()
+    part = F.when(blank, F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int")).otherwise(F.lit(0))
+    salted = left.withColumn("_salt", part)
+    return salted.join(settle(right).withColumn("_salt", F.lit(0)), [*on, "_salt"], "left").drop("_salt")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry import rules
+from pagequarry.functions.skew import spread_join
 from pagequarry.functions.text import md5_key
 from pagequarry.session import settle
 
@@ -168,17 +169,16 @@ def partition_by_cache_tier(requests: DataFrame, tiers: list[tuple[str, str, Dat
     """Where each request is answered: the first tier with a live entry, ``none`` if all miss.
 
     ``tiers`` is ``(name, key column, cache)`` in short-circuit order. ``clear_cache`` requests skip every tier except
-    the entity tier. One left join per tier against the keys it serves; a request that skips a tier or has no key for
-    it carries a NULL key there, so it takes no part in that join.
+    the entity tier. A tier is asked only by requests that no earlier tier has answered: the others, and those without a
+    key, carry no key into its join and are dealt out evenly.
     """
-    out, tier = requests, F.lit(None).cast("string")
+    out = requests.withColumn("_tier", F.lit(None).cast("string"))
     for name, key, cache in tiers:
-        flag, probe = f"_hit_{name}", f"_key_{name}"
-        served = live(cache, as_of).select(F.col(key).alias(probe), F.lit(True).alias(flag))
-        asks = F.when(~F.col("clear_cache") | F.lit(name == "entity"), F.col(key))
-        out = out.withColumn(probe, asks).join(served, probe, "left")
-        tier = F.coalesce(tier, F.when(F.col(flag), F.lit(name)))
-    return out.select(*requests.columns, F.coalesce(tier, F.lit("none")).alias("tier"))
+        served = live(cache, as_of).select(F.col(key).alias("_key"), F.lit(name).alias("_found"))
+        asks = F.when(F.col("_tier").isNull() & (~F.col("clear_cache") | F.lit(name == "entity")), F.col(key))
+        out = spread_join(out.withColumn("_key", asks), served, ["_key"], requests.columns[0])
+        out = out.withColumn("_tier", F.coalesce("_tier", "_found")).drop("_key", "_found")
+    return out.select(*requests.columns, F.coalesce("_tier", F.lit("none")).alias("tier"))
 
 
 def fanout_cacheable(results: DataFrame) -> DataFrame:

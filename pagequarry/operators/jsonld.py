@@ -97,25 +97,29 @@ def _website(nodes: Column, url: Column, origin: Column) -> Column:
     return F.when(origin != "", node)
 
 
-def structured_columns(parsed: DataFrame) -> DataFrame:
-    """``(page_id, telephone, address, socials, author, organization, faq, howto, org_node, site_node, og_image)``.
-
-    A map over the parsed pages. The result is small, so it can meet the entities after the wide columns are gone.
-    """
-    text, nodes = F.col("text"), F.col("nodes")
-    return parsed.select("page_id", "url", text, nodes, S.social_links(nodes).alias("socials")).select(
-        "page_id",
+def structured_values() -> list[Column]:
+    """Telephone, address, social links, author, organisation, FAQ, how-to, site nodes and image of a parsed page."""
+    text, nodes, socials = F.col("text"), F.col("nodes"), S.social_links(F.col("nodes"))
+    return [
         S.telephone(text).alias("telephone"),
         S.address(text, nodes).alias("address"),
-        "socials",
+        socials.alias("socials"),
         S.author(text, nodes).alias("author"),
         S.organization(text, nodes).alias("organization"),
         S.faq(text, nodes).alias("faq"),
         S.howto(text, nodes).alias("howto"),
-        organization_node(nodes, F.col("url"), F.col("socials")).alias("org_node"),
+        organization_node(nodes, F.col("url"), socials).alias("org_node"),
         website_node(nodes, F.col("url")).alias("site_node"),
         X.not_blank(N.first(nodes, 'meta[property="og:image"]')["attrs"]["content"]).alias("og_image"),
-    )
+    ]
+
+
+def structured_columns(parsed: DataFrame) -> DataFrame:
+    """``(page_id, telephone, address, socials, author, organization, faq, howto, org_node, site_node, og_image)``.
+
+    A map over the parsed pages; :func:`pagequarry.operators.page_text.page_text` takes the same values beside its own.
+    """
+    return parsed.select("page_id", *structured_values())
 
 
 def _first_name(default: str) -> Column:
@@ -287,14 +291,13 @@ def generate_jsonld(pages: DataFrame) -> DataFrame:
 def person_links(parsed: DataFrame, entities: DataFrame) -> DataFrame:
     """``entities(page_id, entities)`` with ``linkedin_url`` filled for persons from links on their page.
 
-    Only pages that have such a link take part: their anchors are cut out first, so the join moves few rows.
+    Each page that has such links is mapped to one small row of them (address, label and nearby text that is short
+    enough to count), and only those rows meet the entities.
     """
-    linked_pages = parsed.filter(F.exists("nodes", N.selector('a[href*="linkedin.com/in/"]')))
-    joined = entities.join(linked_pages.select("page_id", "text", "nodes"), "page_id", "left")
+    anchors = parsed.select("page_id", L.person_anchors(F.col("text"), F.col("nodes")).alias("_anchors")).filter(F.size("_anchors") > 0)
+    joined = entities.join(anchors, "page_id", "left")
     url = lambda e: F.when(
-        (e["type"] == "Person") & F.col("nodes").isNotNull(), L.linkedin_person(F.col("text"), F.col("nodes"), e["name"])
+        (e["type"] == "Person") & F.col("_anchors").isNotNull(), L.person_link(F.col("_anchors"), e["name"])
     )
     filled = F.transform("entities", lambda e: e.withField("linkedin_url", url(e)))
     return joined.select(*[c for c in entities.columns if c != "entities"], filled.alias("entities"))
-
-

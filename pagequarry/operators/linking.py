@@ -12,6 +12,8 @@ found by; ``rank`` is its order among hits.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from pagequarry.functions import nodes as N
 from pagequarry.functions import text as X
 from pagequarry.functions.skew import spread_join
 
+#: Entries that a search term finds unless asked otherwise.
 HITS_PER_SEARCH = 5
 
 
@@ -49,19 +52,19 @@ def is_skipped(name: Column) -> Column:
     )
 
 
-def base_score(mentions: DataFrame, batch_size: int | None = rules.BATCH_SIZE) -> DataFrame:
+def base_score(mentions: DataFrame, batch_size: int | None = rules.BATCH_SIZE, most: int | None = rules.MAX_LINKED) -> DataFrame:
     """Adds ``batch`` and ``base`` to ``(page_id, pos, name, …)``; skipped and cached names drop out.
 
     ``(n - i) / n * 70`` with the position among the names that remain in the batch. ``batch_size=None`` takes the
-    whole page with its first 20 names. A ``cached`` column, where present, removes cache hits before the cap. The
-    windows run inside a page, which holds at most 40 mentions.
+    whole page as one batch. ``most`` names of a batch are linked (``None``: all). A ``cached`` column, where present,
+    removes cache hits before that. The windows run inside a page.
     """
     rows = mentions.filter(~F.coalesce(F.col("cached"), F.lit(False))) if "cached" in mentions.columns else mentions
     batch = F.lit(0) if batch_size is None else F.floor(F.col("pos") / batch_size).cast("int")
     group = Window.partitionBy("page_id", "batch")
     ordered = group.orderBy("pos")
     rows = rows.withColumn("batch", batch)
-    rows = rows.withColumn("_cap", F.row_number().over(ordered)).filter(F.col("_cap") <= rules.MAX_LINKED)
+    rows = rows.withColumn("_cap", F.row_number().over(ordered)).filter(F.lit(True) if most is None else F.col("_cap") <= most)
     rows = rows.filter(~is_skipped(F.col("name")))
     total, at = F.count("*").over(group), F.row_number().over(ordered) - 1
     return rows.withColumn("base", (total - at) / total * 70).drop("_cap")
@@ -82,22 +85,24 @@ def known_entities(names: DataFrame) -> DataFrame:
 # ── candidate retrieval ───────────────────────────────────────────────────────
 
 
-def search_index(table: DataFrame, lookup: str) -> DataFrame:
-    """``table`` by search key: every run of leading words of ``lookup``, with its five best-ranked entries.
+def search_index(table: DataFrame, lookup: str, hits: int = HITS_PER_SEARCH, asked: DataFrame | None = None) -> DataFrame:
+    """``table`` by search key: every run of leading words of ``lookup``, with its ``hits`` best-ranked entries.
 
-    Search is then an equi-join on the key. The row limit per key is applied per task before the shuffle, so a first
-    word shared by a third of the table costs five rows per task.
+    Search is then an equi-join on the key. With ``asked(key)`` only those keys are ranked, in the exchange that ranking
+    needs anyway. The row limit per key is applied per task before the shuffle, so a first word shared by a third of the
+    table costs ``hits`` rows per task.
     """
     prefixes = lambda t: F.transform(t, lambda _, i: F.array_join(F.slice(t, F.lit(1), i + 1), " "))
     per_key = table.withColumn("key", F.explode(X.let(X.real_words(F.lower(lookup)), prefixes)))
+    per_key = per_key if asked is None else per_key.join(asked, "key", "left_semi")
     best = Window.partitionBy("key").orderBy("rank")
-    return per_key.withColumn("hit", F.row_number().over(best)).filter(F.col("hit") <= HITS_PER_SEARCH)
+    return per_key.withColumn("hit", F.row_number().over(best)).filter(F.col("hit") <= hits)
 
 
-def search(terms: DataFrame, index: DataFrame) -> DataFrame:
-    """``terms(…, term)`` with the index entries each term finds, as ``hit`` 1 to 5."""
+def search(terms: DataFrame, table: DataFrame, lookup: str, hits: int = HITS_PER_SEARCH) -> DataFrame:
+    """``terms(…, term)`` with the entries of ``table`` that each term finds, as ``hit`` 1 to ``hits``."""
     keyed = terms.withColumn("key", F.array_join(X.real_words(F.lower("term")), " "))
-    return keyed.join(index, "key").drop("key")
+    return keyed.join(search_index(table, lookup, hits, keyed.select("key").distinct()), "key").drop("key")
 
 
 def is_academic(name: Column, topic: Column) -> Column:
@@ -127,8 +132,7 @@ def wiki_search_terms(names: DataFrame) -> DataFrame:
 
 def wiki_candidates(names: DataFrame, pages: DataFrame) -> DataFrame:
     """Up to five titles per search term: ``(name, academic, term_pos, term, hit, title, url, wikibase_item)``."""
-    index = search_index(pages.select("title", "url", "wikibase_item", "rank"), "title")
-    return search(wiki_search_terms(names), index).drop("rank")
+    return search(wiki_search_terms(names), pages.select("title", "url", "wikibase_item", "rank"), "title").drop("rank")
 
 
 def wiki_rejected(name: Column, title: Column) -> Column:
@@ -312,14 +316,15 @@ def wikidata_from_page(best: DataFrame, items: DataFrame) -> DataFrame:
 
     The page title is the last part of the URL, underscores included.
     """
-    labels = items.select(F.col("id").alias("wikibase_item"), F.lower("label").alias("_label"))
+    labels = items.select(F.col("id").alias("_item_key"), F.lower("label").alias("_label"))
     page = F.lower(F.try_url_decode(F.replace(F.substring_index("url", "/", -1), F.lit("+"), F.lit("%2B"))))
     verified = (F.coalesce("_label", F.lit("")) != "") & (label_score(page, F.col("_label"), F.lit("")) >= 50)
     accepted = (F.coalesce("wikibase_item", F.lit("")) != "") & (F.contains(page, F.lit("airport")) | verified)
     return (
-        best.join(labels, "wikibase_item", "left")
+        best.withColumn("_item_key", F.coalesce("wikibase_item", F.concat(F.lit("none "), "url")))
+        .join(labels, "_item_key", "left")
         .withColumn("page_item", F.when(accepted, F.concat(F.lit(rules.WIKIDATA), "wikibase_item")))
-        .drop("_label")
+        .drop("_label", "_item_key")
     )
 
 
@@ -328,8 +333,7 @@ def wikidata_direct(names: DataFrame, items: DataFrame) -> DataFrame:
     academic = F.array(*[F.lit(t) for t in rules.ACADEMIC_DATA_TERMS], F.col("name"))
     terms = F.when(F.col("academic"), academic).otherwise(F.array("name"))
     asked = names.select("name", "academic", F.posexplode(terms).alias("term_pos", "term"))
-    index = search_index(items.select("id", "label", "description", "lookup", "rank"), "lookup")
-    found = search(asked, index).filter(~academic_mismatch(F.col("label"), F.col("description")))
+    found = search(asked, items.select("id", "label", "description", "lookup", "rank"), "lookup").filter(~academic_mismatch(F.col("label"), F.col("description")))
     scored = found.withColumn("score", label_score(F.lower("name"), F.lower("label"), F.col("description")))
     order = Window.partitionBy("name", "academic").orderBy("term_pos", F.col("score").desc(), "hit")
     return (
@@ -342,8 +346,8 @@ def wikidata_direct(names: DataFrame, items: DataFrame) -> DataFrame:
 
 def graph_best(names: DataFrame, graph: DataFrame) -> DataFrame:
     """``(name, mid, kg_description, kg_score)``: best of five entries per name, whatever its score above 0."""
-    index = search_index(graph.select("mid", F.col("name").alias("kg_name"), "description", "lookup", "rank"), "lookup")
-    found = search(names.select("name").distinct().withColumn("term", F.col("name")), index)
+    entries = graph.select("mid", F.col("name").alias("kg_name"), "description", "lookup", "rank")
+    found = search(names.select("name").distinct().withColumn("term", F.col("name")), entries, "lookup")
     scored = found.withColumn("kg_score", label_score(X.trim(F.lower("name")), F.lower("kg_name"), F.col("description")))
     order = Window.partitionBy("name").orderBy(F.col("kg_score").desc(), "hit")
     return (
@@ -424,14 +428,17 @@ def name_links(names: DataFrame, kb: KnowledgeBase) -> DataFrame:
     direct = wikidata_direct(names, kb.items).drop("score")
     best = with_extract(best, kb.pages, X.person_shaped(F.col("name"))).withColumn("page_extract", plain_extract(F.col("extract")))
     classes = kb.items.select(F.concat(F.lit(rules.WIKIDATA), "id").alias("_item"), "p31")
-    by_class = lambda column, alias: classes.select(F.col("_item").alias(column), F.col("p31").alias(alias))
+    by_class = lambda column, alias: classes.select(F.col("_item").alias(f"_{column.removesuffix('_item')}_key"), F.col("p31").alias(alias))
     return (
         names.join(best.select("name", "academic", F.col("url").alias("page_url"), "page_item", "page_extract"), ["name", "academic"], "left")
         .join(direct, ["name", "academic"], "left")
         .join(graph_best(names, kb.graph), "name", "left")
         .join(product_ontology(names, kb.urls), "name", "left")
-        .join(by_class("page_item", "page_p31"), "page_item", "left")
-        .join(by_class("direct_item", "direct_p31"), "direct_item", "left")
+        # A name without an item asks for its own name, which is no item: the missing ones do not share a task.
+        .withColumns({f"_{k}_key": F.coalesce(f"{k}_item", F.concat(F.lit("none "), "name")) for k in ("page", "direct")})
+        .join(by_class("page_item", "page_p31"), "_page_key", "left")
+        .join(by_class("direct_item", "direct_p31"), "_direct_key", "left")
+        .drop("_page_key", "_direct_key")
     )
 
 
@@ -439,7 +446,7 @@ def link_names(keys: DataFrame, kb: KnowledgeBase) -> DataFrame:
     """Links for distinct ``(name, topic_key)``: four URLs and the type."""
     keyed = known_entities(keys).withColumn("academic", is_academic(F.col("name"), F.col("topic_key")))
     names = keyed.select("name", "academic").distinct()
-    joined = spread_join(keyed, name_links(names, kb), ["name", "academic"], F.col("topic_key"))
+    joined = spread_join(keyed, name_links(names, kb), ["name", "academic"], "topic_key")
     name, topic, known = F.col("name"), F.col("topic_key"), F.col("known_wikipedia").isNotNull()
     fits = person_fits_extract(name, topic, F.col("page_extract"))
     page = F.when(~known & fits, F.col("page_url"))
@@ -467,9 +474,8 @@ def link_mentions(mentions: DataFrame, kb: KnowledgeBase, batch_size: int | None
     Skipped names and cache hits are not in the result; :func:`merge_cached` puts them back.
     """
     scored = base_score(mentions, batch_size).withColumn("topic_key", topic_key(F.col("name"), F.col("main_topic")))
-    counts = scored.groupBy("name", "topic_key").agg(F.count("*").alias("_n"))
-    links = link_names(counts.select("name", "topic_key"), kb)
-    linked = spread_join(scored, links, ["name", "topic_key"], F.col("page_id"), counts)
+    links = link_names(scored.select("name", "topic_key").distinct(), kb)
+    linked = spread_join(scored, links, ["name", "topic_key"], "page_id")
     score = confidence(*[F.col(c) for c in ("base", "wikipedia_url", "wikidata_url", "google_kg_url", "product_ontology_url", "type")])
     return linked.select("page_id", "pos", "batch", "name", *LINK_COLUMNS, score.alias("confidence"))
 
@@ -494,7 +500,7 @@ def merge_cached(mentions: DataFrame, cached: DataFrame, fresh: DataFrame) -> Da
         F.min_by(entity, F.struct((-F.col("confidence")).alias("c"), F.col("pos"))).alias("_fresh")
     )
     keyed = mentions.withColumns({"lower_name": F.lower("name"), "batch": F.floor(F.col("pos") / rules.BATCH_SIZE).cast("int")})
-    joined = spread_join(keyed, cached.select("lower_name", F.col("entity").alias("_cached")), ["lower_name"], F.col("page_id"))
+    joined = spread_join(keyed, cached.select("lower_name", F.col("entity").alias("_cached")), ["lower_name"], "page_id")
     joined = joined.join(new, ["page_id", "batch", "lower_name"], "left")
     default = F.struct(
         F.col("name"), F.lit("Thing").alias("type"), *[F.lit(None).cast("string").alias(c) for c in LINK_COLUMNS[1:]],
@@ -519,25 +525,38 @@ def _points(hit: Column, points: int) -> Column:
     return F.when(F.coalesce(hit, F.lit(False)), F.lit(points)).otherwise(F.lit(0))
 
 
-def linkedin_person(text: Column, nodes: Column, name: Column) -> Column:
-    """Profile link on the page that belongs to ``name``; NULL without a strong signal."""
-    anchors = N.select(nodes, 'a[href*="linkedin.com/in/"]')
-    link = lambda a: F.concat(F.lit("https://linkedin.com"), F.substring(X.first_match(a["attrs"]["href"], rules.LINKEDIN_PERSON), 13, 5000000))
+def person_anchors(text: Column, nodes: Column) -> Column:
+    """Links to personal profiles on a page: ``url``, ``label``, ``aria``, ``title``, and nearby text where it is short."""
+    short = lambda t, n: F.when(F.length(t) < n, t)
 
-    def score(a: Column) -> Column:
+    def one(a: Column) -> Column:
         up = N.parent(nodes, a)
-        up2 = N.parent(nodes, up)
-        near, far = N.node_text(text, up), N.node_text(text, up2)
-        return (
-            _points(X.name_in(name, N.node_text(text, a)), 80)
-            + _points(X.name_in(name, a["attrs"]["aria-label"]), 60)
-            + _points(X.name_in(name, a["attrs"]["title"]), 50)
-            + _points(X.name_in(name, link(a)), 40)
-            + _points((F.length(near) < 600) & X.name_in(name, near), 30)
-            + _points((F.length(far) < 1200) & X.name_in(name, far), 15)
+        path = X.first_match(a["attrs"]["href"], rules.LINKEDIN_PERSON)
+        return F.struct(
+            X.let(path, lambda p: F.concat(F.lit("https://linkedin.com"), F.substring(p, F.lit(13), F.length(p)))).alias("url"),
+            N.node_text(text, a).alias("label"),
+            a["attrs"]["aria-label"].alias("aria"),
+            a["attrs"]["title"].alias("title"),
+            short(N.node_text(text, up), 600).alias("near"),
+            short(N.node_text(text, N.parent(nodes, up)), 1200).alias("far"),
         )
 
-    return F.when(X.starts_like_person(name), _best_link(anchors, score, link))
+    return F.transform(N.select(nodes, 'a[href*="linkedin.com/in/"]'), one)
+
+
+def person_link(anchors: Column, name: Column) -> Column:
+    """Of :func:`person_anchors`, the profile that belongs to ``name``; NULL without a strong signal."""
+    points = (("label", 80), ("aria", 60), ("title", 50), ("url", 40), ("near", 30), ("far", 15))
+
+    def score(a: Column) -> Column:
+        return reduce(add, [_points(X.name_in(name, a[field]), n) for field, n in points])
+
+    return F.when(X.starts_like_person(name), _best_link(anchors, score, lambda a: a["url"]))
+
+
+def linkedin_person(text: Column, nodes: Column, name: Column) -> Column:
+    """Profile link on the page that belongs to ``name``; NULL without a strong signal."""
+    return X.let(person_anchors(text, nodes), lambda anchors: person_link(anchors, name))
 
 
 def linkedin_company(text: Column, nodes: Column, name: Column) -> Column:

@@ -53,10 +53,16 @@ def candidate_names(text: Column) -> Column:
     return F.filter(names, lambda n: ~is_common(n))
 
 
-def mentions(pages: DataFrame, text: Column | str = "full_text", cap: int = rules.MAX_MENTIONS) -> DataFrame:
-    """``(page_id, pos, name)``: the first ``cap`` names of each page, ``pos`` from 0."""
+def leading_names(text: Column, cap: int | None = rules.MAX_MENTIONS) -> Column:
+    """The first ``cap`` candidate names, all of them for ``None``; the default is the reference behaviour."""
+    names = candidate_names(text)
+    return names if cap is None else F.slice(names, 1, cap)
+
+
+def mentions(pages: DataFrame, text: Column | str = "full_text", cap: int | None = rules.MAX_MENTIONS) -> DataFrame:
+    """``(page_id, pos, name)``: the first ``cap`` names of each page (``None``: all), ``pos`` from 0."""
     text = F.col(text) if isinstance(text, str) else text
-    return pages.select("page_id", F.posexplode(F.slice(candidate_names(text), 1, cap)).alias("pos", "name"))
+    return pages.select("page_id", F.posexplode(leading_names(text, cap)).alias("pos", "name"))
 
 
 # ── extraction requests and responses ─────────────────────────────────────────
@@ -75,14 +81,14 @@ Content:
 """
 
 
-def extraction_requests(pages: DataFrame, prompt: str = DEFAULT_EXTRACTION_PROMPT) -> DataFrame:
-    """One request row per content hash: prompt plus the first 8,000 characters, and the model settings.
+def extraction_requests(pages: DataFrame, prompt: str = DEFAULT_EXTRACTION_PROMPT, chars: int | None = rules.EXTRACTION_TEXT_CHARS) -> DataFrame:
+    """One request row per content hash: prompt plus the first ``chars`` characters (``None``: all), and the model settings.
 
     ``pages`` holds cache misses, ``(content_hash, full_text)``; pages that share a hash share the request.
     """
     settings = rules.EXTRACTION_MODEL
     return pages.groupBy("content_hash").agg(
-        F.min(F.substring("full_text", 1, rules.EXTRACTION_TEXT_CHARS)).alias("content")
+        F.min(F.substring("full_text", 1, chars) if chars else F.col("full_text")).alias("content")
     ).select(
         "content_hash",
         F.concat(F.lit(prompt), "content").alias("prompt"),
@@ -125,17 +131,17 @@ def parse_extraction(responses: DataFrame) -> DataFrame:
     )
 
 
-def extract_entities(pages: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
+def extract_entities(pages: DataFrame, extracted: DataFrame | None = None, cap: int | None = rules.MAX_MENTIONS) -> DataFrame:
     """``pages`` with ``main_topic``, ``confidence`` and ``names``: the parsed response if usable, else the patterns.
 
     ``pages`` has ``page_id``, ``content_hash`` and ``full_text``; its other columns are kept. Pages that share a hash
-    share the response; a hash that many pages share is spread over tasks.
+    share the response; a hash that many pages share is spread over tasks. ``cap`` limits the names found by pattern.
     """
-    by_pattern = F.slice(candidate_names(F.col("full_text")), 1, rules.MAX_MENTIONS)
+    by_pattern = leading_names(F.col("full_text"), cap)
     if extracted is None:
         return pages.select("*", F.lit("").alias("main_topic"), F.lit(0.0).alias("confidence"), by_pattern.alias("names"))
     usable = extracted.filter(F.col("names").isNotNull()).select("content_hash", "main_topic", "confidence", "names")
-    return spread_join(pages, usable, ["content_hash"], F.col("page_id")).select(
+    return spread_join(pages, usable, ["content_hash"], "page_id").select(
         *pages.columns,
         F.coalesce("main_topic", F.lit("")).alias("main_topic"),
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"),

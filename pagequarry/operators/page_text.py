@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +38,14 @@ def content_groups(pages: DataFrame) -> DataFrame:
 
     Only ``(page_id, hash)`` travels, settled once so that the pages are read and hashed once; a ``content_hash``
     column is used where the table has it. Counts and minima are combined before the shuffle, so a hash shared by a third
-    of the corpus costs one row per task; the way back is a join on the hash whose hot keys the adaptive skew join
-    splits.
+    of the corpus costs one row per task. The groups are written before the way back, so that the join on the hash is
+    one of plain exchanges, whose hot keys the adaptive skew join splits.
     """
     given = "content_hash" in pages.columns
     hashed = pages.select("page_id", "content_hash" if given else content_hash(F.col("html")).alias("content_hash"))
     hashed = hashed if given else settle(hashed)
     groups = hashed.groupBy("content_hash").agg(F.min("page_id").alias("representative"), F.count("*").alias("copies"))
-    return hashed.join(groups, "content_hash").select("page_id", "content_hash", "representative", "copies")
+    return hashed.join(settle(groups), "content_hash").select("page_id", "content_hash", "representative", "copies")
 
 
 def page_title(text: Column, nodes: Column) -> Column:
@@ -107,8 +109,8 @@ def main_content(text: Column, nodes: Column, removed: Column) -> Column:
     return F.coalesce(picked, X.trim(N.kept_text(text, removed, N.first(nodes, "body"))), F.lit(""))
 
 
-def page_text(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(page_id, url, title, description, headings, body)`` per page, plus the columns named in ``keep``.
+def page_text(parsed: DataFrame, keep: tuple[str, ...] = (), also: Sequence[Column] = ()) -> DataFrame:
+    """``(page_id, url, title, description, headings, body)`` per page, plus the columns named in ``keep`` and given in ``also``.
 
     A map over the parsed pages: no shuffle.
     """
@@ -122,6 +124,7 @@ def page_text(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         page_description(nodes).alias("description"),
         page_headings(text, nodes).alias("headings"),
         X.trim(X.collapse(main_content(text, nodes, F.col("removed")))).alias("body"),
+        *also,
     )
 
 

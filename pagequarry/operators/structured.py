@@ -332,7 +332,7 @@ def _headed_steps(text: Column, nodes: Column, title: Column) -> Column:
 def program_details(body: Column) -> Column:
     """Duration, credits, credential and mode named in the text."""
     length = F.coalesce(*[F.concat(F.lit("P"), X.first_match(body, p, 1), F.lit(u)) for p, u in rules.PROGRAM_LENGTHS])
-    proper = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 100)))
+    proper = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, F.lit(2), F.length(c))))
     return F.struct(
         length.alias("timeToComplete"),
         X.first_match(body, rules.PROGRAM_CREDITS, 1).cast("bigint").alias("numberOfCredits"),

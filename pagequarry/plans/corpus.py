@@ -47,10 +47,9 @@ def analyse(
     """
     hashed = pages.withColumn("content_hash", P.content_hash(F.col("html")))
     parsed = _store(dom.parse_pages(hashed), root, "parsed")
-    text = P.page_text(parsed, keep=("content_hash",))
+    text = P.page_text(parsed, keep=("content_hash",), also=J.structured_values())
     full = P.full_text(*[F.col(c) for c in ("title", "description", "headings", "body")])
     text = _store(text.withColumn("full_text", full), root, "page_text")
-    structured = _store(J.structured_columns(parsed), root, "structured")
     chunks = _store(G.semantic_chunks(parsed), root, "chunks")
 
     found = M.extract_entities(text, extracted)
@@ -69,7 +68,6 @@ def analyse(
     empty = F.array().cast(entities.schema["entities"].dataType)
     rows = (
         text.drop("full_text")
-        .join(structured, "page_id")
         .join(entities, "page_id", "left")
         .join(topics, "page_id", "left")
         .withColumn("entities", F.coalesce("entities", empty))

@@ -6,7 +6,7 @@ from ``documents``, response bodies from page and document keys. Everything grow
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.operators import dom
@@ -16,19 +16,14 @@ from pagequarry.operators.linking import KnowledgeBase
 from pagequarry.session import settle
 from pagequarry.sources.pages import clean_pages
 
-#: Scans below this size are spread over the cores first; larger ones have enough splits.
-SMALL_SCAN_BYTES = 512 << 20
-
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a scan of one or two splits; a large scan is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SMALL_SCAN_BYTES else df
+    """Rows dealt out evenly: the given tables are single files, and a page's work is far dearer than moving it once."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,9 +154,10 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-def requests(spark: SparkSession, sf: str) -> DataFrame:
-    """One request per event with the keys of every tier; errors ask for a fresh run."""
-    return events(spark, sf).selectExpr(
+def requests(spark: SparkSession, sf: str, which: Column | None = None) -> DataFrame:
+    """One request per event (those that ``which`` holds for) with the keys of every tier; errors ask for a fresh run."""
+    found = events(spark, sf)
+    return (found if which is None else found.filter(which)).selectExpr(
         "event_id", "ts", "user_id",
         "md5(concat('https://example.org/u/', user_id)) AS url_hash",
         "md5(concat('content ', user_id % 97)) AS content_hash",
@@ -172,7 +168,7 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
 
 def cache_of(spark: SparkSession, sf: str, kind: str, key: str, ttl: str) -> DataFrame:
     """A cache written by the events of one type: per key the last write before the reference time."""
-    asked = requests(spark, sf).join(events(spark, sf).filter(F.col("event_type") == kind).select("event_id"), "event_id", "left_semi")
+    asked = requests(spark, sf, F.col("event_type") == kind)
     return (
         asked.filter(f"ts < {AS_OF}")
         .groupBy(key)

@@ -46,7 +46,7 @@ CLEAN = collapse(
 
 # ── sources and caches ────────────────────────────────────────────────────────
 
-SQL["read_pages"] = "SELECT page_id, url, md5(substring(html, 1, 5000000)) AS html_md5, length(substring(html, 1, 5000000)) AS chars FROM pages"
+SQL["read_pages"] = "SELECT page_id, url, md5(html) AS html_md5, length(html) AS chars FROM pages"
 SQL["paste_pages"] = """
 WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN ' ' || chr(10) || '<p>' || text || '</p>' ELSE text END AS text FROM documents)
 SELECT doc_id AS page_id, '' AS url, md5(CASE WHEN starts_with(ltrim(text, ' ' || chr(10)), '<') THEN text ELSE '<html><body>' || text || '</body></html>' END) AS html_md5,
@@ -601,6 +601,11 @@ SQL["dom_nodes"] = f"""SELECT page_id, len(regexp_extract_all(html, '<p>')) AS p
   md5({unescape(no_tags("regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1)"))}) AS nav_md5 FROM pages"""
 SQL["stream_usage"] = "SELECT user_id, date_trunc('month', ts)::DATE AS month, count(*) AS runs FROM events GROUP BY 1, 2"
 SQL["stream_hit_rate"] = f"""WITH {REQUESTS}, {cache("c", "view", "url_hash", "24 HOURS")}, h AS (SELECT date_trunc('hour', ts) AS hour, coalesce(ts > written_at AND ts < expires_at, false) AS hit FROM requests LEFT JOIN c USING (url_hash))
-SELECT hour, count(*) AS requests, sum(hit::INT)::BIGINT AS hits FROM h GROUP BY 1 HAVING hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events)"""
-SQL["stream_new_content"] = "SELECT md5('content ' || user_id % 97) AS content_hash, 1 AS extractions FROM events GROUP BY 1"
+SELECT hour, count(*) AS requests, sum(hit::INT)::BIGINT AS hits FROM h GROUP BY 1"""
+SQL["stream_new_content"] = """WITH RECURSIVE r AS (SELECT md5('content ' || user_id % 97) AS h, ts FROM events),
+opened(h, ts) AS (
+  SELECT h, min(ts) FROM r GROUP BY 1
+  UNION ALL
+  SELECT h, later FROM (SELECT o.h, (SELECT min(r.ts) FROM r WHERE r.h = o.h AND r.ts >= o.ts + INTERVAL 24 HOURS) AS later FROM opened o) WHERE later IS NOT NULL)
+SELECT h AS content_hash, count(*) AS extractions FROM opened GROUP BY 1"""
 SQL["stream_pages"] = f"SELECT page_id, {TITLE} AS title, md5({BODY}) AS body_md5 FROM pages"

@@ -33,6 +33,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
 
 DOMAINS = ("partner.example",)
+#: Rows of the report of most frequent names.
+TOP = 100
 
 
 def query(fn: Query) -> Query:
@@ -333,7 +335,8 @@ def mentions(spark, sf):
 
 @query
 def top_mentions(spark, sf):
-    return fx.text_mentions(spark, sf).groupBy("name").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page")).orderBy(F.col("pages").desc(), "name").limit(100)
+    """A report of the :data:`TOP` names on most pages."""
+    return fx.text_mentions(spark, sf).groupBy("name").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page")).orderBy(F.col("pages").desc(), "name").limit(TOP)
 
 
 @query
@@ -545,7 +548,7 @@ def _topic_mentions(spark, sf):
     """Mentions of the cleaned text with the topic from the page's title."""
     pages = fx.pages(spark, sf)
     title = X.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
-    return pages.select("page_id", X.name_from_title(title).alias("main_topic"), F.posexplode(F.slice(M.candidate_names(P.clean_text(F.col("html"))), 1, 40)).alias("pos", "name"))
+    return pages.select("page_id", X.name_from_title(title).alias("main_topic"), F.posexplode(M.leading_names(P.clean_text(F.col("html")))).alias("pos", "name"))
 
 
 @query
@@ -657,7 +660,7 @@ def recommend_basic(spark, sf):
 @query
 def main_topic(spark, sf):
     rows = fx.page_texts(spark, sf)
-    rows = rows.withColumn("names", F.slice(M.candidate_names(F.col("body")), 1, 40))
+    rows = rows.withColumn("names", M.leading_names(F.col("body")))
     return rows.select("page_id", *[M.main_topic(F.col("title"), F.col("body"), F.col("names"), strategy=s).alias(s) for s in ("strict", "title", "frequent")])
 
 
@@ -817,7 +820,7 @@ def program_details(spark, sf):
 def _full_rows(spark, sf):
     """Annotated pages with text, entities and structured data, one row each."""
     parsed = fx.annotated_parsed(spark, sf)
-    rows = P.page_text(parsed).join(J.structured_columns(parsed), "page_id")
+    rows = P.page_text(parsed, also=J.structured_values())
     return E.page_entities(rows, fx.scored_mentions(spark, sf))
 
 
@@ -994,13 +997,13 @@ def _stream_events(spark, sf):
 @query
 def stream_new_content(spark, sf):
     keyed = _stream_events(spark, sf).selectExpr("event_id", "ts", "md5(concat('content ', user_id % 97)) AS content_hash")
+    keyed = keyed.withColumn("ts", F.col("ts").cast("timestamp"))
     return spark.read.parquet(ST.write_append(ST.new_content(keyed), ST.run_folder(spark, "content"))).groupBy("content_hash").agg(F.count("*").alias("extractions"))
 
 
 @query
 def stream_usage(spark, sf):
-    path = ST.write_usage(ST.usage_counts(_stream_events(spark, sf)), ST.run_folder(spark, "usage"))
-    return spark.read.parquet(path).select("user_id", "month", "runs")
+    return ST.write_usage(ST.usage_counts(_stream_events(spark, sf)), ST.run_folder(spark, "usage")).select("user_id", "month", "runs")
 
 
 @query
@@ -1009,7 +1012,7 @@ def stream_hit_rate(spark, sf):
     keyed = _stream_events(spark, sf).selectExpr("event_id", "CAST(ts AS TIMESTAMP_NTZ) AS at", "ts", "md5(concat('https://example.org/u/', user_id)) AS url_hash")
     hit = F.coalesce((F.col("at") > F.col("written_at")) & (F.col("at") < F.col("expires_at")), F.lit(False))
     rated = ST.hit_rate(keyed.join(cache, "url_hash", "left").withColumn("hit", hit))
-    return spark.read.parquet(ST.write_append(rated, ST.run_folder(spark, "hits"))).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    return ST.write_hit_rate(rated, ST.run_folder(spark, "hits")).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
 @query

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry import rules
 from pagequarry.functions.text import trim
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """``(page_id, url, html)`` from parquet: bodies cut at 5,000,000 characters, failed responses left out."""
-    return clean_pages(spark.read.parquet(path))
+def read_pages(spark: SparkSession, path: str, max_chars: int | None = None) -> DataFrame:
+    """``(page_id, url, html)`` from parquet, failed responses left out."""
+    return clean_pages(spark.read.parquet(path), max_chars)
 
 
-def clean_pages(pages: DataFrame) -> DataFrame:
-    """The fetch rules on a page table; ``status`` (HTTP status) is honoured where the table has it."""
+def clean_pages(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """The fetch rules on a page table; ``status`` (HTTP status) is honoured where the table has it.
+
+    Bodies are whole; ``max_chars=rules.MAX_HTML_CHARS`` cuts them where a fetcher would have.
+    """
     if "status" in pages.columns:
         pages = pages.filter(F.col("status").between(200, 299))
-    return pages.select("page_id", "url", F.substring("html", 1, rules.MAX_HTML_CHARS).alias("html"))
+    return pages.select("page_id", "url", (F.substring("html", 1, max_chars) if max_chars else F.col("html")).alias("html"))
 
 
 def paste_to_pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState
 
 from pagequarry import rules
-from pagequarry.operators import caches as K
 from pagequarry.operators import dom
 from pagequarry.operators import page_text as P
 from pagequarry.session import checkpoint_dir
@@ -32,45 +36,104 @@ def event_time(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def new_content(requests: DataFrame, delay: str = rules.EXTRACTION_TTL) -> DataFrame:
-    """First request per ``content_hash``: the ones that need extraction. State expires with the watermark."""
-    return event_time(requests).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["content_hash"])
+def new_content(requests: DataFrame, ttl: str = rules.EXTRACTION_TTL) -> DataFrame:
+    """Requests that need extraction: the first of each ``content_hash``, and again the first once an entry is ``ttl`` old.
 
-
-def usage_counts(runs: DataFrame) -> DataFrame:
-    """Runs and the latest run per user and month, for update mode."""
-    month = F.trunc(F.col("ts").cast("date"), "MM")
-    return event_time(runs).groupBy("user_id", month.alias("month")).agg(F.count("*").alias("runs"), F.max("ts").alias("written_at"))
+    The open entry of each hash is kept as state and decided on by event time, so one batch and many give the same
+    rows as long as batches follow each other in time. State goes when the watermark passes an entry's end. A task holds
+    the requests of one hash in one batch, which the source's files per trigger bound.
+    """
+    length = pd.Timedelta(ttl.lower()).value // 1000
+    requests = event_time(requests)
+
+    def opened(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        until = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        times = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+        at, chosen = 0, []
+        while True:
+            at = at if until is None else max(at, int(np.searchsorted(times, until)))
+            if at == len(times):
+                break
+            chosen.append(at)
+            until = int(times[at]) + length
+        if until // 1000 > state.getCurrentWatermarkMs():
+            state.update((until,))
+            state.setTimeoutTimestamp(until // 1000)
+        elif state.exists:
+            state.remove()
+        yield rows.iloc[chosen]
+
+    grouped = requests.withWatermark("ts", ttl).groupBy("content_hash")
+    return grouped.applyInPandasWithState(opened, requests.schema, "until long", "append", "EventTimeTimeout")
+
+
+def usage_counts(runs: DataFrame, delay: str = "31 days") -> DataFrame:
+    """Runs and the latest run per user and day, for update mode; state of days that ``delay`` has passed goes."""
+    daily = event_time(runs).withWatermark("ts", delay).groupBy("user_id", F.window("ts", "1 day").alias("w"))
+    counted = daily.agg(F.count("*").alias("runs"), F.max("ts").alias("written_at"))
+    return counted.select("user_id", F.col("w.start").cast("date").alias("day"), "runs", "written_at")
 
 
 def hit_rate(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Requests and hits per hour, for append mode; rows later than ``delay`` are dropped. ``requests`` has ``hit``."""
-    counted = event_time(requests).withWatermark("ts", delay).groupBy(F.window("ts", "1 hour"))
+    """Requests and hits per hour, for update mode; rows later than ``delay`` are dropped. ``requests`` has ``hit``."""
+    counted = event_time(requests).withWatermark("ts", delay).groupBy(F.window("ts", "1 hour").alias("w"))
     return counted.agg(F.count("*").alias("requests"), F.sum(F.col("hit").cast("int")).alias("hits")).select(
-        F.col("window.start").alias("hour"), "requests", "hits"
+        F.col("w.start").alias("hour"), "requests", "hits"
     )
 
 
-def write_usage(counts: DataFrame, folder: str) -> str:
-    """Upsert each batch of :func:`usage_counts` into a versioned table under ``folder``; returns the last version.
+def write_usage(counts: DataFrame, folder: str) -> DataFrame:
+    """Keep :func:`usage_counts` as a table under ``folder``; returns runs and the latest run per user and month."""
+    month = F.trunc("day", "MM")
+    kept = write_upserts(counts, f"{folder}/usage", folder, ["user_id", "day"], month)
+    return kept.groupBy("user_id", month.alias("month")).agg(F.sum("runs").alias("runs"), F.max("written_at").alias("written_at"))
 
-    A batch reads the version of the batch before it and writes one under its own number, so a repeated batch
-    overwrites its own version only and a restarted stream goes on where it stopped.
-    """
-    spark, root = counts.sparkSession, f"{folder}/usage"
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("key", F.concat_ws("/", "user_id", "month"))
-        before = spark.read.parquet(_version(root, number - 1)) if number else K.expiring(rows, "1 DAY").filter("false")
-        K.write_version(K.cache_upsert(before, rows, "key", "31 DAYS"), root, f"{number:09d}")
+def write_hit_rate(rates: DataFrame, folder: str) -> DataFrame:
+    """Keep :func:`hit_rate` as a table under ``folder``, hours that are still open included; returns it."""
+    return write_upserts(rates, f"{folder}/rates", folder, ["hour"], F.trunc(F.col("hour").cast("date"), "MM"))
 
-    finish(counts.writeStream.outputMode("update").foreachBatch(upsert), folder)
-    latest = spark.read.parquet(root).agg(F.max(F.col("version").cast("int"))).first()[0]
-    return _version(root, latest)
 
+def write_upserts(rows: DataFrame, root: str, folder: str, keys: list[str], part: Column) -> DataFrame:
+    """Upsert each batch of update-mode ``rows`` by ``keys`` into a table of parts under ``root``; returns the table.
 
-def _version(root: str, number: int) -> str:
-    return f"{root}/version={number:09d}"
+    A batch writes new versions of the parts that it touches, under its own number, from the newest versions of
+    earlier batches. A repeated batch overwrites its own versions only, and a skipped number does no harm.
+    """
+    spark, names = rows.sparkSession, rows.columns
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        batch = batch.withColumn("part", part)
+        before = _newest(spark, root, number)
+        if before is not None:
+            old = before.join(F.broadcast(batch.select("part").distinct().limit(MOST_PARTS)), "part", "left_semi")
+            batch = old.join(batch, keys, "left_anti").unionByName(batch)
+        out = batch.withColumn("version", F.lit(number)).write.partitionBy("part", "version")
+        out.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)
+
+    finish(rows.writeStream.outputMode("update").foreachBatch(upsert), folder)
+    return _newest(spark, root).select(*names)
+
+
+#: Parts (months) that one batch may touch: 100 years.
+MOST_PARTS = 1200
+
+
+def _newest(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
+    """The newest version of each part, of batches before number ``before``; nothing where none was written."""
+    try:
+        table = spark.read.parquet(root)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    table = table if before is None else table.filter(F.col("version") < before)
+    newest = table.groupBy("part").agg(F.max("version").alias("version"))
+    return table.join(newest, ["part", "version"], "left_semi").drop("version")
 
 
 def write_page_texts(pages: DataFrame, folder: str) -> str:

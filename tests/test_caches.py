@@ -111,16 +111,29 @@ def test_streams_over_arriving_files(spark, tmp_path):
     arriving = ST.read_stream(spark, folder, "*.parquet", spark.read.parquet(folder).schema)
     usage_folder, rate_folder, content_folder = (str(tmp_path / n) for n in ("usage", "rate", "content"))
     ST.write_usage(ST.usage_counts(arriving), usage_folder)
-    ST.write_append(ST.hit_rate(arriving), rate_folder)
+    ST.write_hit_rate(ST.hit_rate(arriving), rate_folder)
     ST.write_append(ST.new_content(arriving), content_folder)
     spark.createDataFrame(second, schema).coalesce(1).write.mode("append").parquet(folder)
-    rates = spark.read.parquet(ST.write_append(ST.hit_rate(arriving), rate_folder))
-    # Event 4 is later than the watermark and is dropped; the open hour of event 5 is not emitted yet.
-    assert sorted((r["requests"], r["hits"]) for r in rates.collect()) == [(1, 0), (1, 1), (1, 1)]
+    rates = ST.write_hit_rate(ST.hit_rate(arriving), rate_folder)
+    # Event 4 is later than the watermark and is dropped; the open hour of event 5 is there.
+    assert sorted((r["requests"], r["hits"]) for r in rates.collect()) == [(1, 0), (1, 1), (1, 1), (1, 1)]
     content = spark.read.parquet(ST.write_append(ST.new_content(arriving), content_folder))
     assert sorted(r["event_id"] for r in content.collect()) == [1, 3, 4]
 
 
+def test_new_content_is_the_same_for_one_batch_and_many(spark, tmp_path):
+    """Entries expire by event time: hash h is needed at hours 0, 25 and 49, however the log is cut."""
+    hours = [(1, 0, "h"), (2, 1, "g"), (3, 23, "h"), (4, 25, "h"), (5, 26, "g"), (6, 48, "h"), (7, 49, "h"), (8, 80, "g")]
+    rows = [(i, NOW + timedelta(hours=t), h) for i, t, h in hours]
+    for cut in (8, 3, 1):
+        folder, out = str(tmp_path / f"in{cut}"), str(tmp_path / f"out{cut}")
+        for at in range(0, 8, cut):
+            spark.createDataFrame(rows[at : at + cut], "event_id long, ts timestamp_ntz, content_hash string").coalesce(1).write.mode("append").parquet(folder)
+        arriving = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        path = ST.write_append(ST.new_content(arriving), out)
+        assert sorted(r["event_id"] for r in spark.read.parquet(path).collect()) == [1, 2, 4, 5, 7, 8]
+
+
 def test_stream_usage_keeps_the_latest_count(spark, tmp_path):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "event_id long, ts timestamp_ntz, user_id long"
@@ -128,9 +141,9 @@ def test_stream_usage_keeps_the_latest_count(spark, tmp_path):
         rows = [(batch * 10 + i, NOW + timedelta(days=batch, minutes=i), i % 2) for i in range(4)]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
     arriving = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    path = ST.write_usage(ST.usage_counts(arriving), out)
-    assert sorted((r["user_id"], r["runs"]) for r in spark.read.parquet(path).collect()) == [(0, 6), (1, 6)]
+    kept = ST.write_usage(ST.usage_counts(arriving), out)
+    assert sorted((r["user_id"], r["runs"]) for r in kept.collect()) == [(0, 6), (1, 6)]
     # A later run goes on from the stored state.
     spark.createDataFrame([(99, NOW, 0)], schema).coalesce(1).write.mode("append").parquet(folder)
-    path = ST.write_usage(ST.usage_counts(arriving), out)
-    assert sorted((r["user_id"], r["runs"]) for r in spark.read.parquet(path).collect()) == [(0, 7), (1, 6)]
+    kept = ST.write_usage(ST.usage_counts(arriving), out)
+    assert sorted((r["user_id"], r["runs"]) for r in kept.collect()) == [(0, 7), (1, 6)]

@@ -114,7 +114,15 @@ def test_merge_fills_and_keeps_order(spark):
 def test_spread_join_splits_hot_and_null_keys(spark):
     left = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN NULL ELSE concat('k', id % 50) END AS k")
     right = left.select("k").distinct().filter("k <> 'k1'").selectExpr("k", "upper(k) AS v")
-    joined = spread_join(left, right, ["k"], F.col("id"), hot_rows=100, parts=8)
+    settings = {"autoBroadcastJoinThreshold": "-1", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "adaptive.advisoryPartitionSizeInBytes": "1k", "adaptive.coalescePartitions.enabled": "false", "adaptive.skewJoin.skewedPartitionFactor": "2", "shuffle.partitions": "16"}
+    for key, value in settings.items():
+        spark.conf.set(f"spark.sql.{key}", value)
+    joined = spread_join(left, right, ["k"], "id")
+    joined.collect()
+    assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    for key in settings:
+        spark.conf.unset(f"spark.sql.{key}")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert joined.count() == 3000
     assert joined.filter("k = 'k1' OR k IS NULL").filter("v IS NOT NULL").count() == 0
     assert joined.filter("k IS NOT NULL AND k <> 'k1'").filter("v = upper(k)").count() == left.filter("k IS NOT NULL AND k <> 'k1'").count()

@@ -1,23 +1,16 @@
-"""Registered queries against their SQL twins on the smallest tables. ``ALL_QUERIES=1`` runs every one."""
+"""Registered queries against their SQL twins on the smallest tables."""
 
 import collections
 import datetime
-import os
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from pagequarry.plans import oracles as _oracles
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = (
-    "top_mentions cache_hits cache_upsert purge_expired cache_tiers check_usage quota_replay usage_report content_groups page_headings "
-    "strip_boilerplate main_content site_ids product_names extract_entities base_score wiki_score_forms label_score person_context "
-    "irrelevant_entities salience_tips recommend_basic schema_type audience contact_info parse_address fanout_queries coverage_rollup reports"
-).split()
-
-
 def plain(value):
     if isinstance(value, float):
         return round(value, 6)
@@ -39,7 +32,7 @@ def oracle():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.oracle_sql()) if os.environ.get("ALL_QUERIES") else SOME)
+@pytest.mark.parametrize("name", sorted(_oracles.registry()))
 def test_matches_sql(spark, oracle, name):
     found = entry_points.queries()[name](spark, SF)
     wanted = oracle.sql(entry_points.oracle_sql()[name])
