@@ -10,8 +10,9 @@ tables with a chance of 1e-5, at 0.85 of 4e-7.
    buckets with two members or more go on.
 3. In each bucket every member is compared with one pivot, the member that meets most others; this joins tight groups
    with as many comparisons as members.
-4. What is left in a bucket in different components is compared pairwise, inside tasks and in blocks of a fixed size; a
-   longer signature drops pairs that are far from the threshold (a pair at it passes with a chance above 1 - 2e-5).
+4. What is left in a bucket in different components is compared pairwise, inside tasks and in blocks of a fixed size,
+   each pair in the first table that it shares; a longer signature drops pairs that are far from the threshold (a pair at
+   it passes with a chance above 1 - 2e-5).
 5. Every link is confirmed on full sets; links make components.
 
 Defined results: a document without words, or with a null text, has an empty set and links with nothing; one with fewer
@@ -34,7 +35,7 @@ from pagequarry.llm.base import written
 from pagequarry.llm.components import components
 
 #: Keys per collection, minhashes per key, minhashes of the longer signature.
-HALF, EACH, LONG = 12, 2, 128
+HALF, EACH, LONG = 12, 2, 256
 #: Members of a bucket that are compared as one block; rows of one comparing task.
 BLOCK, TASK_ROWS = 1000, 20_000
 
@@ -62,11 +63,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[n
                 yield hashes[:0]
 
 
-def minhashes(sets: list[np.ndarray]) -> np.ndarray:
-    """``LONG`` minhashes of each non-empty set, a row each."""
+def minhashes(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """``n`` minhashes of each non-empty set, a row each."""
     every = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    return np.stack([np.minimum.reduceat((every ^ x) * odd, starts) for x, odd in zip(_XOR, _ODD, strict=True)], axis=1)
+    return np.stack([np.minimum.reduceat((every ^ x) * odd, starts) for x, odd in zip(_XOR[:n], _ODD[:n], strict=True)], axis=1)
+
+
+def _some(sets: list[np.ndarray], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Numbers and members of the non-empty sets, in runs of a bounded size."""
+    full = np.flatnonzero([len(s) for s in sets])
+    bounds = np.concatenate([[0], np.cumsum([len(sets[k]) for k in full])])
+    for a, b in base.runs(bounds, most) if len(full) else ():
+        yield full[a:b], [sets[k] for k in full[a:b]]
 
 
 def half_keys(low: np.ndarray) -> np.ndarray:
@@ -79,7 +88,7 @@ def half_keys(low: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, n, low, high, first, second, long)``: set size, set identity, half keys, long signature."""
+    """``(doc_id, n, low, high, first, second)``: set size, set identity, half keys of both collections."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,20 +97,16 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             sets = list(shingle_sets(data, offsets, size))
             n = np.array([len(s) for s in sets], dtype=np.int64)
             low, high = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-            keys, long = np.zeros((len(sets), 2 * HALF), np.uint64), np.zeros((len(sets), LONG), np.uint8)
-            full = np.flatnonzero(n)
-            for a, b in base.runs(np.concatenate([[0], np.cumsum(n[full])]), 1 << 18) if len(full) else ():
-                some = [sets[k] for k in full[a:b]]
-                mins = minhashes(some)
-                keys[full[a:b]], long[full[a:b]] = half_keys(mins), mins.astype(np.uint8)
+            keys = np.zeros((len(sets), 2 * HALF), np.uint64)
+            for at, some in _some(sets):
+                keys[at] = half_keys(minhashes(some, 2 * HALF * EACH))
                 starts = np.concatenate([[0], np.cumsum([len(s) for s in some])[:-1]])
                 every = np.concatenate(some)
-                low[full[a:b]], high[full[a:b]] = np.add.reduceat(every, starts), np.add.reduceat(text.mix(every ^ _XOR[0]), starts)
+                low[at], high[at] = np.add.reduceat(every, starts), np.add.reduceat(text.mix(every ^ _XOR[0]), starts)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(k).view(np.int64).reshape(-1)), HALF).cast(pa.list_(pa.int64())) for k in (keys[:, :HALF], keys[:, HALF:])]
-            columns = [batch["doc_id"], pa.array(n), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), *lists, pa.array([r.tobytes() for r in long], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "low", "high", "first", "second", "long"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), *lists], names=["doc_id", "n", "low", "high", "first", "second"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, low long, high long, first array<long>, second array<long>, long binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, low long, high long, first array<long>, second array<long>")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
@@ -109,12 +114,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, size: int = 5) -> Data
     rows = written(signatures(docs, size))
     identity = ["low", "high", "n"]
     known = rows.filter("doc_id IS NOT NULL AND n > 0")
-    reps = written(known.groupBy(*identity).agg(F.min("doc_id").alias("id"), F.first("first").alias("first"), F.first("second").alias("second"), F.first("long").alias("long")))
+    reps = written(known.groupBy(*identity).agg(F.min("doc_id").alias("id"), F.first("first").alias("first"), F.first("second").alias("second")))
     members = written(bucket_members(reps))
     sets = written(_sets(docs, members.select("id").distinct(), size))
-    near = written(confirmed(written(_pivot_pairs(members, reps, threshold)), sets, threshold))
+    near = written(confirmed(written(_pivot_pairs(members)), sets, threshold))
     found = components(near)
-    rest = written(_rest_pairs(members, found, reps, threshold))
+    points = reps.select("id", "n", "first", "second").join(sets.select("id", "long"), "id")
+    rest = written(_rest_pairs(members, found, points, threshold))
     more = written(confirmed(rest, sets, threshold))
     if more.head(1):
         found = components(near.union(more))
@@ -126,27 +132,31 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, size: int = 5) -> Data
 
 
 def bucket_members(reps: DataFrame) -> DataFrame:
-    """``(key, id)`` of every table bucket that has two members or more."""
+    """``(key, a, b, id)`` of every table bucket that has two members or more; ``a`` and ``b`` are the halves of its key."""
     first = reps.select("id", F.explode("first").alias("a"))
     shared = written(first.groupBy("a").agg(F.count("*").alias("_n")).filter("_n > 1").select("a"))
     some = written(first.join(shared, "a").groupBy("id").agg(F.collect_list("a").alias("a")))
     keys = some.join(reps.select("id", "second"), "id").select("id", F.explode("a").alias("a"), "second").select("id", "a", F.explode("second").alias("b"))
-    keys = written(keys.select("id", F.xxhash64("a", "b").alias("key")))
+    keys = written(keys.select("id", "a", "b", F.xxhash64("a", "b").alias("key")))
     full = written(keys.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key"))
-    return keys.join(full, "key").select("key", "id")
+    return keys.join(full, "key").select("key", "a", "b", "id")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """``(id, shingles)``: sorted 64-bit hashes of the documents named in ``ids``."""
+    """``(id, shingles, long)`` of the documents named in ``ids``: sorted 64-bit hashes, and a byte of each long minhash."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = base.strings(batch["text"])
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([s.tobytes() for s in shingle_sets(data, offsets, size)], pa.binary())], names=["id", "shingles"])
+            sets = list(shingle_sets(data, offsets, size))
+            long = np.zeros((len(sets), LONG), np.uint8)
+            for at, some in _some(sets):
+                long[at] = minhashes(some, LONG).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch["id"], *(pa.array([r.tobytes() for r in v], pa.binary()) for v in (sets, long))], names=["id", "shingles", "long"])
 
     wanted = docs.select(F.col("doc_id").alias("id"), "text").join(written(ids), "id", "left_semi")
-    return wanted.mapInArrow(run, f"id {kind}, shingles binary").dropDuplicates(["id"])
+    return wanted.mapInArrow(run, f"id {kind}, shingles binary, long binary").dropDuplicates(["id"])
 
 
 def least_agreement(threshold: int) -> int:
@@ -155,45 +165,33 @@ def least_agreement(threshold: int) -> int:
     return math.floor(LONG * share - 4.2 * math.sqrt(LONG * share * (1 - share)))
 
 
-def _pivot_pairs(members: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
+def _pivot_pairs(members: DataFrame) -> DataFrame:
+    """``(x, y)``: each member with the pivot of each of its buckets."""
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     met = members.join(written(sizes), "key").groupBy("id").agg(F.sum("size").alias("met"))
     ranked = members.join(written(met), "id")
     pivots = written(ranked.groupBy("key").agg(F.min(F.struct((-F.col("met")).alias("_m"), "id")).alias("_best")).select("key", F.col("_best.id").alias("y")))
-    pairs = members.join(pivots, "key").filter("id <> y").select(F.col("id").alias("x"), "y").distinct()
-    kept = reps.select("id", "n", "long")
-    both = pairs.join(kept.toDF("x", "nx", "lx"), "x").join(kept.toDF("y", "ny", "ly"), "y")
-    least = least_agreement(threshold)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, LONG) for c in ("lx", "ly"))
-                nx, ny = batch["nx"].to_numpy(), batch["ny"].to_numpy()
-                ok = ((x == y).sum(axis=1) >= least) & (100 * np.minimum(nx, ny) >= threshold * np.maximum(nx, ny))
-                yield batch.select(["x", "y"]).filter(pa.array(ok))
-
-    return both.mapInArrow(run, pairs.schema)
+    return members.join(pivots, "key").filter("id <> y").select(F.col("id").alias("x"), "y").distinct()
 
 
-def _rest_pairs(members: DataFrame, found: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
+def _rest_pairs(members: DataFrame, found: DataFrame, points: DataFrame, threshold: int) -> DataFrame:
     """Pairs of a bucket that are in different components: compared in blocks, each pair in one table only."""
-    placed = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = members.join(found, "id", "left").select("key", "a", "b", "id", F.coalesce("component", "id").alias("component"))
     open_ = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("_l"), F.max("component").alias("_h")).filter("_l < _h").select("key", "size")
     placed = written(placed.join(written(open_), "key"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = placed.withColumn("blocks", blocks).withColumn("mine", F.expr("CAST(pmod(xxhash64(id), blocks) AS INT)"))
     placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    spread = placed.select("key", "id", "component", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    spread = placed.select("key", "a", "b", "id", "component", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     tasks = base.parts(spread.count(), TASK_ROWS)
-    spread = spread.join(reps.select("id", "n", "first", "second", "long"), "id")
+    spread = spread.join(points, "id")
     spread = spread.withColumn("task", F.expr(f"CAST(pmod(xxhash64(key, i, j), {tasks}) AS INT)"))
     least = least_agreement(threshold)
-    kind = reps.schema["id"].dataType.simpleString()
+    kind = points.schema["id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("id", "ascending")])
-        key, i, j, mine, ids, comp, n = (table[c].to_numpy() for c in ("key", "i", "j", "mine", "id", "component", "n"))
+        key, left, right, i, j, mine, ids, comp, n = (table[c].to_numpy() for c in ("key", "a", "b", "i", "j", "mine", "id", "component", "n"))
         first, second = (np.array(table[c].combine_chunks().flatten()).reshape(-1, HALF) for c in ("first", "second"))
         long = np.frombuffer(b"".join(table["long"].to_pylist()), np.uint8).reshape(-1, LONG)
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
@@ -206,17 +204,22 @@ def _rest_pairs(members: DataFrame, found: DataFrame, reps: DataFrame, threshold
             x, y = x[ok], y[ok]
             for a in range(0, len(x), 1 << 15):
                 p, q = x[a : a + (1 << 15)], y[a : a + (1 << 15)]
+                # The first half keys that both have name the one table in which the pair is looked at.
+                one, two = (first[p] == first[q]).argmax(axis=1), (second[p] == second[q]).argmax(axis=1)
+                here = (first[p, one] == left[p]) & (second[p, two] == right[p])
+                p, q = p[here], q[here]
                 near = (long[p] == long[q]).sum(axis=1) >= least
                 p, q = p[near], q[near]
                 out.append(np.stack([ids[p], ids[q]]))
         pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), ids.dtype)
         return pa.table({"x": pairs[0], "y": pairs[1]})
 
-    return spread.drop("blocks").groupBy("task").applyInArrow(run, f"x {kind}, y {kind}").distinct()
+    return spread.drop("blocks").groupBy("task").applyInArrow(run, f"x {kind}, y {kind}")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """``(a, b)`` of the pairs whose full sets are similar enough."""
+    sets = sets.select("id", "shingles")
     both = pairs.join(sets.toDF("x", "sx"), "x").join(sets.toDF("y", "sy"), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
