@@ -584,7 +584,7 @@ RESULTS = f"""{ROWS}, {TIPS}, {RECS}, sal AS (SELECT page_id, {SALIENCE} AS sali
 res AS (SELECT pr.page_id, pr.url, topic AS main_topic, made, CASE WHEN made THEN '{{"n":' || pr.page_id || '}}' ELSE '{{}}' END AS jsonld, CASE WHEN made THEN coalesce(salience, 0) ELSE 0 END AS salience, CASE WHEN made THEN coalesce(bar, '') ELSE '' END AS irrelevant,
   coalesce(ne.n, 0) AS n_entities, CASE WHEN made THEN coalesce(nr.n, 0) ELSE 0 END AS n_recommendations, CASE WHEN made THEN list_filter(tips.l, lambda x: x IS NOT NULL) ELSE [] END AS tip_list,
   CASE WHEN fanned AND pr.page_id % 3 = 0 THEN 'analysis ' || pr.page_id END AS analysis, CASE WHEN fanned THEN (pr.page_id % 9)::INT END AS chunks_extracted, CASE WHEN fanned AND pr.page_id % 3 = 1 THEN 'no key' END AS error
-  FROM (SELECT *, length(title) < 58 AS made, NOT contains(url, '?') AS fanned FROM pr) pr LEFT JOIN sal USING (page_id) LEFT JOIN irrelevant USING (page_id) LEFT JOIN ne USING (page_id) LEFT JOIN nr USING (page_id) LEFT JOIN tips USING (page_id))"""
+  FROM (SELECT *, page_id % 3 <> 2 AS made, page_id IN (SELECT doc_id FROM labels) AS fanned FROM pr) pr LEFT JOIN sal USING (page_id) LEFT JOIN irrelevant USING (page_id) LEFT JOIN ne USING (page_id) LEFT JOIN nr USING (page_id) LEFT JOIN tips USING (page_id))"""
 SQL["assemble_results"] = f"""WITH {M}, {SCORED}, {RESULTS} SELECT page_id, url, main_topic, jsonld, salience, irrelevant, n_entities, n_recommendations, len(tip_list) AS n_tips, analysis, chunks_extracted, error,
   0 AS processing_time_ms, false AS cached FROM res"""
 SQL["reports"] = f"""WITH {M}, {SCORED}, {RESULTS}, er AS (SELECT page_id, string_agg('| ' || name || ' | ' || type || ' | ' || confidence || '% | ' || coalesce(wikipedia_url, '-') || ' | ' || coalesce(wikidata_url, '-') || ' |', chr(10) ORDER BY pos) AS t FROM e GROUP BY 1),

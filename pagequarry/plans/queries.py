@@ -166,7 +166,11 @@ def fanout_cacheable(spark, sf):
 
 @query
 def append_log(spark, sf):
-    return U.log_rows(fx.runs(spark, sf))
+    """Runs of both key sources appended to the log one after the other, and the log as it is read back."""
+    runs, path = fx.runs(spark, sf), ST.run_folder(spark, "log")
+    for source in ("byok", "free_tier"):
+        U.append_log(runs.filter(F.col("key_source") == source), path)
+    return spark.read.parquet(path).select(*U.log_rows(runs).columns)
 
 
 @query
@@ -947,11 +951,14 @@ def coverage_corpus(spark, sf):
 
 def _results(spark, sf):
     rows = _with_tips(_page_rows(spark, sf))
-    made = rows.filter("length(title) < 58").select(
+    # Pages whose response is broken have no recommendations, pages that were not labelled no fan-out result.
+    answered = fx.recommendation_responses(spark, sf).filter(F.from_json("body", "recommendations array<string>").isNotNull() & ~F.startswith("body", F.lit("broken")))
+    made = rows.join(answered.select("page_id"), "page_id", "left_semi").select(
         "page_id", F.concat(F.lit('{"n":'), "page_id", F.lit("}")).alias("jsonld"), _basic().alias("recommendations"),
         E.salience_score(F.col("entities")).alias("salience"), "tips", F.col("irrelevant_names").alias("irrelevant"),
     )
-    fan = fx.table(spark, sf, "pages").filter("NOT contains(url, '?')").selectExpr(
+    labelled = fx.table(spark, sf, "labels").select(F.col("doc_id").alias("page_id"))
+    fan = fx.table(spark, sf, "pages").join(labelled, "page_id", "left_semi").selectExpr(
         "page_id", "CASE WHEN page_id % 3 = 0 THEN concat('analysis ', page_id) END AS analysis", "CAST(page_id % 9 AS INT) AS chunks_extracted", "CASE WHEN page_id % 3 = 1 THEN 'no key' END AS error"
     )
     return R.assemble_results(rows.select("page_id", "url", "main_topic"), rows.select("page_id", "entities"), made, fan)
@@ -966,7 +973,10 @@ def assemble_results(spark, sf):
 
 @query
 def reports(spark, sf):
-    return R.report(_results(spark, sf))
+    """Reports written as files and read back."""
+    path = ST.run_folder(spark, "reports")
+    R.write_reports(_results(spark, sf), path)
+    return spark.read.schema("page_id long, report string").json(path).select("page_id", "report")
 
 
 @query
