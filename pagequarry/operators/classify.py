@@ -17,14 +17,14 @@ def _topline(title: Column, description: Column, headings: Column) -> Column:
     return F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit("")), _heading_text(headings)))
 
 
-def pattern_counts(title: Column, description: Column, headings: Column, body: Column) -> Column:
-    """Matches per pattern group in the lower-cased head and the first 4,000 characters of the body."""
+def pattern_counts(title: Column, description: Column, headings: Column, body: Column, chars: int | None = None) -> Column:
+    """Matches per pattern group in the lower-cased head and the body, or its first ``chars`` characters."""
     sample = F.concat_ws(
         " ",
         F.coalesce(title, F.lit("")),
         F.coalesce(description, F.lit("")),
         _heading_text(headings),
-        F.substring(F.coalesce(body, F.lit("")), 1, 4000),
+        F.coalesce(F.substring(body, 1, chars) if chars else body, F.lit("")),
     )
     count = lambda text: F.struct(*[X.count_matches(text, p).alias(k) for k, p in rules.PAGE_TYPE_PATTERNS.items()])
     return X.let(X.ascii_words(F.lower(sample)), count)

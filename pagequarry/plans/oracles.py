@@ -428,8 +428,8 @@ UNION ALL SELECT 'salience', CASE WHEN salience >= 80 THEN 'Excellent' WHEN sali
 
 # ── classification ────────────────────────────────────────────────────────────
 
-TYPED = """d AS (SELECT doc_id, lower('Doc ' || lang || ' ' || source || ' About ' || lang || ' More ' || substring(CASE doc_id % 6 WHEN 0 THEN replace(text, ' the ', ' services ') WHEN 1 THEN replace(text, ' the ', ' guide ')
-  WHEN 2 THEN replace(replace(text, ' of ', ' tuition '), ' the ', ' shop ') WHEN 3 THEN replace(replace(text, ' of ', ' limo agency '), ' the ', ' partner ') WHEN 4 THEN replace(text, ' of ', ' phd ') ELSE text END, 1, 4000)) AS t FROM documents)"""
+TYPED = """d AS (SELECT doc_id, lower('Doc ' || lang || ' ' || source || ' About ' || lang || ' More ' || CASE doc_id % 6 WHEN 0 THEN replace(text, ' the ', ' services ') WHEN 1 THEN replace(text, ' the ', ' guide ')
+  WHEN 2 THEN replace(replace(text, ' of ', ' tuition '), ' the ', ' shop ') WHEN 3 THEN replace(replace(text, ' of ', ' limo agency '), ' the ', ' partner ') WHEN 4 THEN replace(text, ' of ', ' phd ') ELSE text END) AS t FROM documents)"""
 COUNTS = ", ".join(
     " + ".join(f"len(regexp_extract_all(t, '(?i){p.replace(chr(39), chr(39) * 2)}'))" for p in patterns) + f" AS {group}" for group, patterns in rules.PAGE_TYPE_PATTERNS.items()
 )
@@ -441,6 +441,7 @@ SQL["service_type"] = """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'Searc
   WHEN 1 THEN 'https://en.wikipedia.org/wiki/Pay-per-click|https://www.wikidata.org/wiki/Q836811' WHEN 2 THEN 'https://en.wikipedia.org/wiki/Search_engine_optimization|https://www.wikidata.org/wiki/Q180711'
   WHEN 3 THEN 'https://en.wikipedia.org/wiki/Link_building' WHEN 4 THEN 'https://en.wikipedia.org/wiki/Limousine|https://www.wikidata.org/wiki/Q188475'
   WHEN 6 THEN 'https://en.wikipedia.org/wiki/Web_development|https://www.wikidata.org/wiki/Q386275' END, NULL) AS same_as FROM part"""
+SQL["main_topic_pattern"] = f"SELECT p_partkey, CASE WHEN service_type <> {lit(rules.DEFAULT_SERVICE_TYPE)} THEN service_type ELSE p_name END AS topic FROM ({SQL['service_type']}) s JOIN part USING (p_partkey)"
 SQL["audience"] = """SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'Higher Education Institutions' WHEN 1 THEN 'K-12 Schools' WHEN 2 THEN 'Healthcare Organizations' WHEN 3 THEN 'E-commerce Brands' WHEN 5 THEN 'B2B Companies' END AS name,
   CASE WHEN p_size % 6 IN (0, 1) THEN 'EducationalAudience' WHEN p_size % 6 <> 4 THEN 'Audience' END AS type,
   CASE p_size % 6 WHEN 0 THEN 'Higher Education' WHEN 1 THEN 'K-12 Education' WHEN 2 THEN 'Healthcare' WHEN 3 THEN 'E-commerce' WHEN 5 THEN 'B2B' END AS industry,
@@ -545,7 +546,7 @@ PROVIDER = f"""'{{"@type":"CollegeOrUniversity","name":' || {js("name")} || ',"d
 SQL["jsonld_educational"] = f"""{JSONLD} '{{"@context":"https://schema.org","@type":"WebPage","name":' || {js("title")} || ',"url":"' || url || '","description":"' || description || '","provider":' || {PROVIDER}
   || ',"mainEntity":{{"@type":"EducationalOccupationalProgram","name":' || {js("title")} || ',"url":"' || url || '","description":"' || description || '","provider":' || {PROVIDER} || '}},"hasPart":' || faq
   || {key("about", slice_json(0, 4))} || {key("mentions", slice_json(4, 4))} || ',"publisher":{{"@type":"Organization","name":"' || org_name || '"}},"speakable":' || {SPEAKABLE[5]} || '}}' AS jsonld FROM o"""
-ANNOTATED_TYPED = f"d AS (SELECT page_id, lower({TITLE} || ' About page ' || page_id || ' What is item ' || page_id || ' Q: How big is it? How to file page ' || page_id || ' Step 1: Open' || coalesce(' ' || nullif({H1}, ''), '') || ' ' || substring({BODY}, 1, 4000)) AS t FROM pages)"
+ANNOTATED_TYPED = f"d AS (SELECT page_id, lower({TITLE} || ' About page ' || page_id || ' What is item ' || page_id || ' Q: How big is it? How to file page ' || page_id || ' Step 1: Open' || coalesce(' ' || nullif({H1}, ''), '') || ' ' || {BODY}) AS t FROM pages)"
 SQL["generate_jsonld"] = f"""WITH {ANNOTATED_TYPED}, c AS (SELECT page_id, {COUNTS} FROM d), g AS (SELECT *, greatest(service, business, education, article) AS top FROM c),
 k AS (SELECT CASE WHEN service >= 2 AND agency >= 1 THEN 'Service' WHEN article >= 3 AND article > service THEN 'Article' WHEN top < 2 THEN 'WebPage'
   WHEN service = top THEN 'Service' WHEN business = top THEN 'LocalBusiness' WHEN education = top THEN 'EducationalOccupationalProgram' ELSE 'Article' END AS schema_type FROM g)

@@ -731,6 +731,14 @@ def service_type(spark, sf):
     return found.select("p_partkey", "s.service_type", F.array_join("s.same_as", "|").alias("same_as"))
 
 
+@query
+def main_topic_pattern(spark, sf):
+    """Topics by the ``pattern`` strategy: the service that title, description and headings name, else the title."""
+    parts = _titled_parts(spark, sf)
+    kind = C.service_type(*[F.col(c) for c in ("title", "description", "headings")])["service_type"]
+    return parts.select("p_partkey", M.main_topic(F.col("title"), F.col("description"), F.array().cast("array<string>"), kind, "pattern").alias("topic"))
+
+
 @query
 def audience(spark, sf):
     found = _titled_parts(spark, sf).select("p_partkey", C.audience(*[F.col(c) for c in ("title", "description", "headings")]).alias("a"))
