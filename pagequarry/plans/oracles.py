@@ -600,6 +600,7 @@ SELECT page_id, array_to_string(list_filter(['# Analysis Report', '', '**Process
 FROM res LEFT JOIN er USING (page_id) LEFT JOIN rr USING (page_id)"""
 SQL["dom_nodes"] = f"""SELECT page_id, len(regexp_extract_all(html, '<p>')) AS p, len(regexp_extract_all(html, '<li>')) AS li, len(regexp_extract_all(html, '<a ')) AS a, 3 AS frame,
   md5({unescape(no_tags("regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1)"))}) AS nav_md5 FROM pages"""
+SQL["dom_nodes_documents"] = "SELECT doc_id AS page_id, md5(text) AS text_md5, true AS closed FROM documents WHERE length(text) > 0"
 SQL["stream_usage"] = "SELECT user_id, date_trunc('month', ts)::DATE AS month, count(*) AS runs FROM events GROUP BY 1, 2"
 SQL["stream_hit_rate"] = f"""WITH {REQUESTS}, {cache("c", "view", "url_hash", "24 HOURS")}, h AS (SELECT date_trunc('hour', ts) AS hour, coalesce(ts > written_at AND ts < expires_at, false) AS hit FROM requests LEFT JOIN c USING (url_hash))
 SELECT hour, count(*) AS requests, sum(hit::INT)::BIGINT AS hits FROM h GROUP BY 1"""
