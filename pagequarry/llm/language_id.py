@@ -28,6 +28,9 @@ LONGEST, RANKS = 5, 400
 #: Rows per language that profiles are learned from (on average; rows are chosen by a hash of their id).
 SAMPLE_ROWS = 2000
 
+#: Languages a model may have, which bounds the profiles that travel to the tasks; more are an error.
+MOST_LANGUAGES = 1000
+
 _BLANK = np.uint32(32)
 
 
@@ -77,9 +80,12 @@ def top(hashes: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
 def profiles(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, ranks: int = RANKS) -> DataFrame:
     """``(lang, rank, gram)``: the profile of each language in ``labelled(doc_id, text, lang)``."""
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+    sizes = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    wanted = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], sample_rows / r["count"])]) if sizes else F.create_map().cast("map<string,double>")
     share = F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)) / F.lit(float(1 << 63))
-    sample = rows.join(F.broadcast(sizes.limit(MOST_LANGUAGES)), "lang").filter((share + 1) / 2 < sample_rows / F.col("_n"))
+    sample = rows.filter((share + 1) / 2 < wanted[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,14 +104,10 @@ def profiles(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, ranks: int = R
     return totals.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= ranks).select("lang", "rank", "gram")
 
 
-#: Languages a model may have; the profiles that travel to the tasks are this many times RANKS at most.
-MOST_LANGUAGES = 1000
-
-
 def identify(docs: DataFrame, profile: DataFrame, ranks: int = RANKS) -> DataFrame:
     """``(doc_id, lang_pred, score)`` of each row. ``score`` is 0.5 where two languages are equally near, 1 at a perfect fit."""
     model: dict[str, list[int]] = {}
-    for row in profile.orderBy("lang", "rank").limit(MOST_LANGUAGES * ranks).collect():
+    for row in profile.orderBy("lang", "rank").collect():  # as many rows as languages times ranks
         model.setdefault(row["lang"], []).append(row["gram"])
     names = sorted(model)
     known = np.unique(np.array([g for grams_ in model.values() for g in grams_], dtype=np.int64).view(np.uint64))
