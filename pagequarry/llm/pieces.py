@@ -4,8 +4,7 @@ A text is marked as the vocabulary wants it (blanks become ``▁``, one is put i
 across: before each run of ``▁``, around line ends, and before marks that follow a letter in no piece. The distinct marked words of a batch are sorted, which is a
 depth-first walk of their trie: what the forward pass found for a common beginning is kept for the next word.
 
-The forward pass holds, for every beginning of a word, its best segmentation's last piece, where that piece begins and
-the sum of scores. For a vocabulary of merges (the kind given here) the best segmentation is the one that merging by
+The forward pass holds, for every beginning of a word, its best segmentation's last piece and where that piece begins. For a vocabulary of merges (the kind given here) the best segmentation is the one that merging by
 score leaves: a piece may follow another if merging the two together keeps them apart, and exactly one piece can end a
 given beginning. (The path with the largest sum of scores would differ from the library's ids, so it is not used.)
 Characters without a piece become their UTF-8 bytes.
@@ -19,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 _WORDS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-#: Words, and parts of words, whose ids a worker remembers before it starts over.
-CACHE = 400_000
+#: Words whose ids a worker remembers before it begins a new generation; of the generation before, words in use stay.
+CACHE = 350_000
 
 
 class Pieces:
@@ -52,19 +52,24 @@ class Pieces:
             else:
                 self.scores[piece], self.ids[piece] = model.get_score(k), k
                 self.raw.append(piece.replace(MARK, " ").encode())
-        # How long the pieces are that end in two given characters, longest first.
+        self.good = {p for p in self.ids if self.merged(p) == [p]}
+        # How long the pieces are that end in two or three given characters, longest first.
         lengths: dict[str, set[int]] = {}
-        for piece in self.ids:
-            if len(piece) > 1:
-                lengths.setdefault(piece[-2:], set()).add(len(piece))
-        self.lengths = {k: (*sorted(v, reverse=True), 1) for k, v in lengths.items()}
+        for piece in self.good:
+            for n in (2, 3):
+                if len(piece) >= n:
+                    lengths.setdefault(piece[-n:], set()).add(len(piece))
+        for end in [e for e in lengths if len(e) == 3]:
+            lengths[end] |= {n for n in lengths.get(end[1:], ()) if n == 2}
+        self.lengths = {k: (*sorted(v, reverse=True), 1) for k, v in lengths.items() if len(k) == 3}
+        self.pairs = {k: (2, 1) for k in lengths if len(k) == 2 and k in self.good}
         after_letter = {b for piece in self.ids for a, b in zip(piece, piece[1:], strict=False) if a.isalpha()}
         marks = re.escape("".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after_letter))
         self.seam = re.compile(f"(?<=[^\\W\\d_])(?=[{marks}])")
+        self.flat: np.ndarray | None = None
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.apart = functools.lru_cache(1 << 18)(lambda a, b: self.merged(a + b) == [a, b])
-        self.whole = functools.lru_cache(1 << 16)(lambda a: self.merged(a) == [a])
+        self.older: dict[str, bytes] = {}
+        self.apart = functools.lru_cache(1 << 17)(lambda a, b: self.merged(a + b) == [a, b])
 
     def merged(self, word: str) -> list[str]:
         """Pieces of a short word by merging: the best score first, the leftmost of equals."""
@@ -79,59 +84,76 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def _unknown(self, words: set[str]) -> set[str]:
+        """The words that are in neither generation; those of the older one move to the newer one."""
+        missing = words - self.known.keys()
+        kept = missing & self.older.keys()
+        self.known.update(zip(kept, map(self.older.__getitem__, kept), strict=True))
+        return missing - kept
+
     def learn(self, words: set[str]) -> None:
-        """Ids of words not seen before: one sorted walk over all of their parts."""
-        for cache in (self.known, self.parts):
-            if len(cache) + len(words) > CACHE:
-                cache.clear()
-        cut = {w: self.seam.split(w) for w in words}
-        self._walk({part for parts in cut.values() for part in parts} - self.parts.keys())
-        known = self.parts.__getitem__
-        self.known.update((w, b"".join(map(known, parts))) for w, parts in cut.items())
+        """Ids of all the words: one sorted walk over the parts that are not known yet."""
+        if len(self.known) + len(words) > CACHE:
+            self.older, self.known = self.known, {}
+        cut = {w: self.seam.split(w) for w in self._unknown(words)}
+        self._walk(self._unknown({part for parts in cut.values() for part in parts}))
+        known = self.known
+        known.update((w, b"".join(map(known.__getitem__, parts))) for w, parts in cut.items() if len(parts) > 1)
 
     def _walk(self, words: set[str]) -> None:
-        last: list[str] = [""]
-        begin, total = [0], [0.0]
+        last, begin = [""], [0]
         before, single = "", (1,)
-        lengths, scores, apart, whole = self.lengths, self.scores, self.apart, self.whole
+        lengths, pairs, good, apart, ids, parts = self.lengths.get, self.pairs.get, self.good, self.apart, self.ids.get, self.known
         for word in sorted(words):
             same, most = 0, min(len(before), len(word))
             while same < most and before[same] == word[same]:
                 same += 1
-            del last[same + 1 :], begin[same + 1 :], total[same + 1 :]
+            del last[same + 1 :], begin[same + 1 :]
             for end in range(same + 1, len(word) + 1):
-                for size in lengths.get(word[end - 2 : end], single) if end > 1 else single:
+                sizes = lengths(word[end - 3 : end]) if end > 2 else None
+                for size in sizes or (pairs(word[end - 2 : end], single) if end > 1 else single):
                     start = end - size
                     if start < 0:
                         continue
                     piece = word[start:end]
-                    if (size == 1 or piece in scores) and (not start or apart(last[start], piece)) and whole(piece):
+                    if (size == 1 or piece in good) and (not start or apart(last[start], piece)):
                         break
-                else:
-                    raise AssertionError(f"no piece ends {word[:end]!r}")
                 last.append(piece)
                 begin.append(start)
-                total.append(total[start] + scores.get(piece, 0.0))
-            out: list[int] = []
+            out = array("i")
             end = len(word)
             while end:
-                piece = last[end]
-                found = self.ids.get(piece)
-                out.extend([found] if found is not None else [self.bytes[b] for b in reversed(piece.encode("utf-8", "surrogatepass"))])
+                found = ids(last[end])
+                if found is not None:
+                    out.append(found)
+                else:
+                    out.extend(self.bytes[b] for b in reversed(last[end].encode("utf-8", "surrogatepass")))
                 end = begin[end]
-            self.parts[word] = np.array(out[::-1], dtype=np.int32).tobytes()
+            out.reverse()
+            parts[word] = out.tobytes()
             before = word
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as the bytes of 32-bit numbers."""
         cut = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = {w for words in cut for w in words} - self.known.keys()
-        if fresh:
-            if len(self.known) + len(fresh) > CACHE:
-                fresh = {w for words in cut for w in words}
-            self.learn(fresh)
+        self.learn(set().union(*cut))
         return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
+    def forget(self) -> None:
+        """Give back the memory of words and seams."""
+        self.known, self.older = {}, {}
+        self.apart.cache_clear()
+
+    def raw_bytes(self, ids: np.ndarray) -> np.ndarray:
+        """UTF-8 bytes of all the ids, one piece after the other."""
+        if self.flat is None:
+            self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
+            self.sizes = np.array([len(r) for r in self.raw])
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids, without the blank put in front."""
         raw = b"".join(map(self.raw.__getitem__, ids))
@@ -156,22 +178,21 @@ def _runs(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
         yield some
 
 
-def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, *keep, n_tokens, ids)`` of each text by the vocabulary file at ``path``."""
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = (), remember: bool = False) -> DataFrame:
+    """``(doc_id, *keep, n_tokens, ids)`` of each text by the vocabulary file at ``path``.
+
+    Workers outlive their tasks. With ``remember`` they keep the words they know for the next task, which suits a job that
+    only encodes; without it they give the memory back to whatever runs next.
+    """
     columns = ["doc_id", *keep]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", n_tokens long, ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = pieces(path)
-        for batch in batches:
-            at = 0
-            for texts in _runs([t or "" for t in batch["text"].to_pylist()]):
-                found = vocabulary.encode(texts)
-                sizes = np.array([len(f) // 4 for f in found], dtype=np.int64)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                part = batch.slice(at, len(texts))
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in columns), pa.array(sizes), ids], names=[*columns, "n_tokens", "ids"])
+        for _, part, ids in _encoded(batches, pieces(path)):
+            sizes = np.diff(np.asarray(ids.offsets)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in columns), pa.array(sizes), ids], names=[*columns, "n_tokens", "ids"])
+        if not remember:
+            pieces(path).forget()
 
     return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema)
 
@@ -190,14 +211,30 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def encode_and_check(docs: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids, same)``: ids of each text, and whether they decode to it."""
-    encoded = encode(docs, path, keep=("text",))
+    """``(doc_id, n_tokens, ids, same)``: ids of each text, and whether they decode to it. Workers remember their words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(path)
-        for batch in batches:
-            same = [vocabulary.decode(ids) == (t or "").replace(MARK, " ") for ids, t in zip(batch["ids"].to_pylist(), batch["text"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_tokens"], batch["ids"], pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "same"])
-
-    return encoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, same boolean")
+        for texts, part, ids in _encoded(batches, vocabulary):
+            bounds = np.asarray(ids.offsets)
+            raw = vocabulary.raw_bytes(np.asarray(ids.values)).tobytes()
+            wanted = [b" " + t.replace(MARK, " ").encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+            same = [True] * len(texts)
+            if raw != b"".join(wanted):  # then text by text
+                values = np.asarray(ids.values)
+                same = [vocabulary.raw_bytes(values[a:b]).tobytes() == w for a, b, w in zip(bounds[:-1], bounds[1:], wanted, strict=True)]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(np.diff(bounds).astype(np.int64)), ids, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "same"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, same boolean")
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Pieces) -> Iterator[tuple[list[str], pa.RecordBatch, pa.ListArray]]:
+    """Runs of texts, their rows, and their ids."""
+    for batch in batches:
+        at = 0
+        for texts in _runs([t or "" for t in batch["text"].to_pylist()]):
+            found = vocabulary.encode(texts)
+            offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
+            yield texts, batch.slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
+            at += len(texts)
