@@ -7,6 +7,9 @@ of ``documents``. Rows with a null ``doc_id`` and null or empty texts pass every
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,19 @@ from pyspark.sql import functions as F
 from pagequarry.llm import base, minhash, mixing, pieces, substrings, toxicity
 from pagequarry.llm.queries import MIX, MIX_REST
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(fn: Stage) -> Stage:
+    """A stage that sets what its operators rely on, such as the size of Arrow batches, also when it is called alone."""
+
+    @functools.wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return fn(base.prepare(spark), docs, sf_dir)
+
+    return run_stage
+
+
 #: A document with this toxicity score or more is rejected.
 TOXIC = 0.7
 #: Similarity of near duplicates, per cent of the union of their five-word shingles.
@@ -22,28 +38,33 @@ SIMILAR = 80
 PASSAGE = 13
 
 
+@stage
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the field, learned from ``labels``, does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
     return toxicity.reject(docs, toxicity.train(docs, labels), TOXIC)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class."""
     return minhash.keep_one(docs, SIMILAR)
 
 
+@stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the passages that a document with a smaller id has; ``n_chars`` follows the text."""
     cut = substrings.drop_repeats(docs, PASSAGE)
     return cut.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text"))).select(*docs.columns) if "n_chars" in docs.columns else cut
 
 
+@stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, in the order of the schedule: the files, read in order, are the mixture."""
     return mixing.in_order(docs, MIX, MIX_REST)
 
 
+@stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, lang, source, n_tokens, ids)`` in the order of the input."""
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("lang", "source"))
@@ -65,6 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written to the shared folder and read again by the next."""
     base.prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = base.written(stage(spark, docs, sf_dir))
+    for _, step in STAGES[:-1]:
+        docs = base.written(step(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
