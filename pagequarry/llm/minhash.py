@@ -35,7 +35,7 @@ from pagequarry.llm.base import written
 from pagequarry.llm.components import components
 
 #: Keys per collection, minhashes per key, minhashes of the longer signature.
-HALF, EACH, LONG = 12, 2, 256
+HALF, EACH, LONG = 12, 2, 512
 #: Members of a bucket that are compared as one block; rows of one comparing task.
 BLOCK, TASK_ROWS = 1000, 20_000
 
