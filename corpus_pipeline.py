@@ -60,14 +60,19 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, in the order of the schedule: the files, read in order, are the mixture."""
+    """Every document, in the order of the schedule. Spark's scan does not keep the order of files: :func:`encoded` gives it as columns."""
     return mixing.in_order(docs, MIX, MIX_REST)
 
 
 @stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, lang, source, n_tokens, ids)`` in the order of the input."""
-    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("lang", "source"))
+    """``(doc_id, lang, source, slot, block, deadline, n_tokens, ids)``: the mixture is the order of ``slot``.
+
+    The schedule follows from ids and sources alone, so it is derived again here instead of being taken from the files.
+    """
+    placed = mixing.place(docs.select("doc_id", "lang", "source", "text"), MIX, MIX_REST)
+    timed = placed.select("doc_id", "lang", "source", F.col("_slot").alias("slot"), F.col("_block").alias("block"), F.col("_due").alias("deadline"), "text")
+    return pieces.encode(timed, public_tokenizers.path("piece_bpe_32k.model"), keep=("lang", "source", "slot", "block", "deadline"))
 
 
 STAGES = [

@@ -7,7 +7,7 @@ import public_tokenizers
 from helpers import SF, near_duplicates, odd_documents, passages
 
 import corpus_pipeline
-from pagequarry.llm import base, queries
+from pagequarry.llm import base, mixing, queries
 
 
 def test_stages_on_their_own_inputs(spark):
@@ -59,3 +59,25 @@ def test_odd_documents_pass(spark, tmp_path):
             assert name == "sentencepiece" or out.columns == docs.columns
         assert out.count() == (0 if rows is not docs else 11)
     assert np.isfinite(corpus_pipeline.TOXIC)
+
+
+def test_mixture_is_in_the_rows(spark):
+    """Shares after any number of slots, from the rows of ``run`` after they were written and read again."""
+    base.prepare(spark)
+    rows = base.written(corpus_pipeline.run(spark, SF)).select("doc_id", "source", "slot", "block", "deadline").collect()
+    assert rows
+    pool = lambda s: s if s in queries.MIX else mixing.REST
+    at = {}  # the slot of each block of a source
+    for r in rows:
+        key = (pool(r["source"]), r["block"])
+        assert at.setdefault(key, (r["slot"], r["deadline"])) == (r["slot"], r["deadline"]) and r["slot"] < r["deadline"]
+    assert len({slot for slot, _ in at.values()}) == len(at)
+    assert max(collections.Counter((pool(r["source"]), r["block"]) for r in rows).values()) <= mixing.BLOCK_ROWS
+    quota = mixing.quotas(queries.MIX, queries.MIX_REST)
+    for name, q in quota.items():
+        slots = sorted(slot for (p, _), (slot, _) in at.items() if p == name)
+        assert [at[name, k][0] for k in range(len(slots))] == slots
+        taken = 0
+        for n in range(1, slots[-1] + 2 if slots else 1):  # while the source has blocks left
+            taken += taken < len(slots) and slots[taken] < n
+            assert abs(taken - n * q / mixing.RESOLUTION) < 1
