@@ -70,12 +70,12 @@ def op9_toxicity(spark, sf):
 
 @query
 def op10_token_counts(spark, sf):
-    """Tokens of every text by the 50k byte-level vocabulary."""
+    """Tokens of every text and of each of its prefixes by the 50k byte-level vocabulary."""
     import public_tokenizers
 
     from pagequarry.llm import token_counts as C
 
-    return C.token_counts(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+    return C.token_counts(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024, prefixes=True)
 
 
 @query

@@ -12,17 +12,23 @@ whole. A special token's string inside a text is one token, as the tokenizer's d
 
 from __future__ import annotations
 
-import bisect
 import functools
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from pagequarry.llm.base import runs
+
 #: How byte-level vocabularies cut a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What the pattern cuts in another way when the text ends inside.
+BLANKS = regex.compile(r"\s{2,}+")
+#: Characters whose prefix counts a worker holds at a time; a longer text is held alone.
+RUN_CHARS = 1 << 21
 #: Pieces whose counts a worker remembers before it starts over.
 CACHE = 600_000
 
@@ -93,6 +99,7 @@ class Counter(dict):
         ids = {raw(k): v for k, v in model["vocab"].items() if k not in specials}
         self.merges = Merges(ids, [(raw(a), raw(b)) for a, b in pairs])
         self.pieces = regex.compile(PATTERN)
+        self.known: dict[str, bytes] = {}
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) or r"(?!)")
 
     def __missing__(self, piece: str) -> int:
@@ -126,30 +133,65 @@ class Counter(dict):
             return sum(map(self.__getitem__, self.pieces.findall(text)))
         return sum(self[m.group()] for m in self.pieces.finditer(text))
 
-    def prefixes(self, text: str) -> tuple[list[int], list[int]]:
-        """Where each piece ends, in characters, and the tokens up to there."""
-        ends, counts, total = [], [], 0
+    def steps(self, piece: str) -> bytes:
+        """How the count changes with each character of ``piece``, as packed 32-bit numbers."""
+        found = self.known.get(piece)
+        if found is None and piece in ("'re", "'ve", "'ll"):
+            found = self.known[piece] = np.array([1, 1, self[piece] - 2], np.int32).tobytes()  # cut inside, it is two pieces
+        elif found is None:
+            at = np.zeros(len(piece) + 1, np.int64)
+            np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in piece], out=at[1:])
+            found = np.diff(np.array(self.merges.prefix_counts(piece.encode("utf-8", "surrogatepass")))[at]).astype(np.int32).tobytes()
+            if len(piece) <= 64:
+                if len(self.known) >= CACHE:
+                    self.known.clear()
+                self.known[piece] = found
+        return found
+
+    def prefix_counts(self, text: str) -> np.ndarray:
+        """Tokens of ``text[:n]`` for every ``n`` from 0."""
+        counts = np.zeros(len(text) + 1, np.int32)
+        if "<|" not in text or not self.special.search(text):
+            self._prefix_counts(text, 0, counts)
+            return counts
+        before = base = 0
         for a, b, special in self.plain_spans(text):
-            for m in [None] if special else self.pieces.finditer(text, a, b):
-                total += 1 if special else self[m.group()]
-                ends.append(b if special else m.end())
-                counts.append(total)
-        return ends, counts
-
-    def at(self, text: str, ends: list[int], counts: list[int], n: int) -> int:
-        """Tokens of ``text[:n]`` from the stored prefixes: only the piece that ``n`` cuts is looked at again."""
-        n = max(0, min(n, len(text)))
-        k = bisect.bisect_right(ends, n)
-        # A cut can change how spaces before it were grouped, so blank pieces before the cut one are looked at too.
-        while k and text[ends[k - 2] if k > 1 else 0 : ends[k - 1]].isspace():
-            k -= 1
-        start = ends[k - 1] if k else 0
-        return (counts[k - 1] if k else 0) + self.count(text[start:n])
-
-    def budget(self, ends: list[int], counts: list[int], tokens: int) -> int:
-        """Characters of the longest run of whole pieces from the start that takes up to ``tokens`` tokens."""
-        k = bisect.bisect_right(counts, tokens)
-        return ends[k - 1] if k else 0
+            if special:
+                # A cut token is plain text and joins what stands before it, from the start of the last piece.
+                for n in range(a + 1, b):
+                    counts[n] = base + self.count(text[before:n])
+                counts[b] = counts[a] + 1
+                before, base = b, counts[b]
+            else:
+                last = self._prefix_counts(text[a:b], a, counts)
+                before, base = b - len(last), counts[b] - self[last]
+        return counts
+
+    def _prefix_counts(self, text: str, start: int, counts: np.ndarray) -> str:
+        """Fill ``counts`` after ``start`` for ``text``, which stands there and has no special token; its last piece."""
+        found = self.pieces.findall(text)
+        steps = np.frombuffer(b"".join(map(self.steps, found)), np.int32)
+        np.cumsum(steps, out=counts[start + 1 : start + len(text) + 1])
+        counts[start + 1 : start + len(text) + 1] += counts[start]
+        # Cut inside, a run of blanks is one piece.
+        for m in BLANKS.finditer(text):
+            a, b = start + m.start(), start + m.end()
+            counts[a + 1 : b + 1] = counts[a] + np.cumsum(np.frombuffer(self.steps(m.group()), np.int32))
+        return found[-1] if found else ""
+
+    def prefixes(self, text: str) -> tuple[Sequence[int], np.ndarray]:
+        """The length of each prefix but the empty one, in characters, and its tokens."""
+        return range(1, len(text) + 1), self.prefix_counts(text)[1:]
+
+    def at(self, text: str, ends: Sequence[int], counts: Sequence[int], n: int) -> int:
+        """Tokens of ``text[:n]`` from the stored prefixes."""
+        n = max(0, min(n, len(ends)))
+        return int(counts[n - 1]) if n else 0
+
+    def budget(self, ends: Sequence[int], counts: Sequence[int], tokens: int) -> int:
+        """Characters of the longest prefix that takes up to ``tokens`` tokens. Counts can fall, so the last one decides."""
+        fits = np.flatnonzero(np.asarray(counts) <= tokens)
+        return int(ends[fits[-1]]) if len(fits) else 0
 
 
 @functools.cache
@@ -160,27 +202,30 @@ def counter(path: str) -> Counter:
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, prefixes: bool = False) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens, over_limit)`` of each text by the vocabulary file at ``path``.
 
-    With ``prefixes`` also ``piece_ends`` (characters) and ``piece_tokens`` (tokens up to there), for :meth:`Counter.at`
-    and :meth:`Counter.budget`.
+    With ``prefixes`` also ``piece_tokens``, the tokens of the first 1, 2, ... characters, up to the whole text, for
+    :meth:`Counter.at` and :meth:`Counter.budget`.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean"
-    schema += ", piece_ends array<int>, piece_tokens array<int>" if prefixes else ""
+    schema += ", piece_tokens array<int>" if prefixes else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = counter(path)
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]
-            counts = [tokens.count(t) for t in texts]
-            columns = [
-                batch["doc_id"],
-                pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
-                pa.array(counts, pa.int64()),
-                pa.array([c > limit for c in counts], pa.bool_()),
-            ]
-            if prefixes:
-                found = [tokens.prefixes(t) for t in texts]
-                columns += [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "piece_ends", "piece_tokens"][: len(columns)])
+            for low, high in runs(np.cumsum([0, *map(len, texts)]), RUN_CHARS):
+                some = texts[low:high]
+                found = [tokens.prefix_counts(t) for t in some] if prefixes else []
+                counts = [int(f[-1]) for f in found] if prefixes else [tokens.count(t) for t in some]
+                columns = [
+                    batch["doc_id"].slice(low, high - low),
+                    pa.array([len(t.encode("utf-8", "surrogatepass")) for t in some], pa.int64()),
+                    pa.array(counts, pa.int64()),
+                    pa.array([c > limit for c in counts], pa.bool_()),
+                ]
+                if prefixes:
+                    ends = np.cumsum([0, *map(len, some)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f[1:] for f in found]))))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "piece_tokens"][: len(columns)])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -146,6 +146,23 @@ def test_token_counts_are_the_librarys(spark, odd, texts):
     assert token_counts.token_counts(odd.filter("false"), BPE).count() == 0
 
 
+def test_every_prefix_has_its_tokens(spark):
+    from tokenizers import Tokenizer
+
+    library, mine = Tokenizer.from_file(BPE), token_counts.counter(BPE)
+    random.seed(7)
+    some = ["".join(random.choice(["a", "b c", "  ", "'", "'re", "'ll", "!", "\n\n", "日", "<|endoftext|>", "<|", "1", "🙂"]) for _ in range(random.randint(1, 25))) for _ in range(150)]
+    some += ["日本語の文章は空白がない" * 15, "QmFzZTY0IGlzIGxvbmc" * 15, "=-" * 150, "", "a \n\n\nb<|endoftext|>", "a   <|endoftext|>"]
+    for t in some:
+        brute = [len(e) for e in library.encode_batch([t[:n] for n in range(len(t) + 1)], add_special_tokens=False)]
+        ends, counts = mine.prefixes(t)
+        assert [mine.at(t, ends, counts, n) for n in range(len(t) + 1)] == brute, t
+        for tokens in (0, 1, 7, 40):
+            assert mine.budget(ends, counts, tokens) == max(n for n, c in enumerate(brute) if c <= tokens), (t, tokens)
+    found = queries.registry()["op10_token_counts"](spark, SF).collect()
+    assert found and all(len(r["piece_tokens"]) >= r["n_bytes"] / 4 and (not r["piece_tokens"] or r["piece_tokens"][-1] == r["n_tokens"]) for r in found)
+
+
 def test_pieces_are_the_librarys_and_decode(spark, odd, texts):
     import sentencepiece
 
