@@ -8,8 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState
@@ -89,51 +88,28 @@ def hit_rate(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
 def write_usage(counts: DataFrame, folder: str) -> DataFrame:
     """Keep :func:`usage_counts` as a table under ``folder``; returns runs and the latest run per user and month."""
     month = F.trunc("day", "MM")
-    kept = write_upserts(counts, f"{folder}/usage", folder, ["user_id", "day"], month)
+    kept = write_upserts(counts, f"{folder}/usage", folder, ["user_id", "day"])
     return kept.groupBy("user_id", month.alias("month")).agg(F.sum("runs").alias("runs"), F.max("written_at").alias("written_at"))
 
 
 def write_hit_rate(rates: DataFrame, folder: str) -> DataFrame:
     """Keep :func:`hit_rate` as a table under ``folder``, hours that are still open included; returns it."""
-    return write_upserts(rates, f"{folder}/rates", folder, ["hour"], F.trunc(F.col("hour").cast("date"), "MM"))
+    return write_upserts(rates, f"{folder}/rates", folder, ["hour"])
 
 
-def write_upserts(rows: DataFrame, root: str, folder: str, keys: list[str], part: Column) -> DataFrame:
-    """Upsert each batch of update-mode ``rows`` by ``keys`` into a table of parts under ``root``; returns the table.
+def write_upserts(rows: DataFrame, root: str, folder: str, keys: list[str]) -> DataFrame:
+    """Append each batch of update-mode ``rows`` under its number; returns the newest row of each of ``keys``.
 
-    A batch writes new versions of the parts that it touches, under its own number, from the newest versions of
-    earlier batches. A repeated batch overwrites its own versions only, and a skipped number does no harm.
+    A repeated batch overwrites its own rows only, and a skipped number does no harm.
     """
     spark, names = rows.sparkSession, rows.columns
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        batch = batch.withColumn("part", part)
-        before = _newest(spark, root, number)
-        if before is not None:
-            old = before.join(F.broadcast(batch.select("part").distinct().limit(MOST_PARTS)), "part", "left_semi")
-            batch = old.join(batch, keys, "left_anti").unionByName(batch)
-        out = batch.withColumn("version", F.lit(number)).write.partitionBy("part", "version")
-        out.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)
-
-    finish(rows.writeStream.outputMode("update").foreachBatch(upsert), folder)
-    return _newest(spark, root).select(*names)
-
-
-#: Parts (months) that one batch may touch: 100 years.
-MOST_PARTS = 1200
-
-
-def _newest(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of each part, of batches before number ``before``; nothing where none was written."""
-    try:
-        table = spark.read.parquet(root)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    table = table if before is None else table.filter(F.col("version") < before)
-    newest = table.groupBy("part").agg(F.max("version").alias("version"))
-    return table.join(newest, ["part", "version"], "left_semi").drop("version")
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={number}")
+
+    finish(rows.writeStream.outputMode("update").foreachBatch(append), folder)
+    newest = F.max_by(F.struct(*names), "batch").alias("row")
+    return spark.read.parquet(root).groupBy(*keys).agg(newest).select("row.*")
 
 
 def write_page_texts(pages: DataFrame, folder: str) -> str:
