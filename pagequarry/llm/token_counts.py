@@ -14,7 +14,10 @@ from __future__ import annotations
 
 import functools
 import json
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import accumulate
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +32,20 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 BLANKS = regex.compile(r"\s{2,}+")
 #: Characters whose prefix counts a worker holds at a time; a longer text is held alone.
 RUN_CHARS = 1 << 21
-#: Pieces whose counts a worker remembers before it starts over.
-CACHE = 600_000
+#: Pieces whose counts a worker remembers before it starts over, and the most characters of one.
+CACHE, LONGEST = 600_000, 64
 
 
 class Merges:
     """A BPE vocabulary as merges: which two tokens made a token, and when."""
 
     def __init__(self, ids: dict[bytes, int], pairs: list[tuple[bytes, bytes]]) -> None:
-        self.ids, self.longest = ids, max(map(len, ids))
+        self.ids = ids
+        #: The longest token with each last three bytes.
+        self.reach: dict[bytes, int] = {}
+        for token in ids:
+            if len(token) > 2:
+                self.reach[token[-3:]] = max(len(token), self.reach.get(token[-3:], 2))
         self.rank: dict[tuple[int, int], int] = {}
         self.made: dict[int, tuple[int, int, int]] = {}
         for at, (left, right) in enumerate(pairs):
@@ -63,18 +71,21 @@ class Merges:
             else:
                 return True
 
-    def prefix_counts(self, piece: bytes) -> list[int]:
-        """Tokens of ``piece[:i]`` for every ``i`` from 0."""
-        n, ids, apart = len(piece), self.ids, self.apart
-        counts, last = [0] * (n + 1), [-1] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = ids.get(piece[start:end])
-                if token is None or (start and (last[start] < 0 or not apart(last[start], token))):
-                    continue
-                last[end], counts[end] = token, counts[start] + 1
-                break
-        return counts
+    def extend(self, piece: bytes, counts: list[int], last: list[int]) -> None:
+        """Carry on from the first bytes of ``piece``: tokens of ``piece[:i]`` and the last of them, for every ``i``."""
+        find, apart, reach = self.ids.get, self.apart, self.reach.get
+        for end in range(len(counts), len(piece) + 1):
+            # No token that ends with these three bytes is longer than ``reach``.
+            far = end - reach(piece[end - 3 : end], 2) if end > 2 else 0
+            for start in range(far if far > 0 else 0, end):
+                token = find(piece[start:end])
+                if token is not None and (not start or (last[start] >= 0 and apart(last[start], token))):
+                    last.append(token)
+                    counts.append(counts[start] + 1)
+                    break
+            else:
+                last.append(-1)
+                counts.append(0)
 
 
 @functools.cache
@@ -86,7 +97,10 @@ def byte_names() -> dict[str, int]:
 
 
 class Counter(dict):
-    """Tokens of each piece; unknown pieces are counted when first asked for."""
+    """How the count changes with each character of a piece, as packed 32-bit numbers.
+
+    :meth:`learn` keeps the pieces of many texts at once; any other piece is worked out when asked for.
+    """
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
@@ -99,17 +113,36 @@ class Counter(dict):
         ids = {raw(k): v for k, v in model["vocab"].items() if k not in specials}
         self.merges = Merges(ids, [(raw(a), raw(b)) for a, b in pairs])
         self.pieces = regex.compile(PATTERN)
-        self.known: dict[str, bytes] = {}
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) or r"(?!)")
 
-    def __missing__(self, piece: str) -> int:
-        count = self.merges.prefix_counts(piece.encode("utf-8", "surrogatepass"))[-1]
-        if len(piece) > 64:
-            return count
-        if len(self) >= CACHE:
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Work out unknown pieces in sorted order: each takes over the prefix it shares with the one before it."""
+        new = sorted(p for p in pieces if p not in self and len(p) <= LONGEST)
+        before, counts, last = b"", [0], [-1]
+        if len(self) + len(new) > CACHE:
             self.clear()
-        self[piece] = count
-        return count
+        for piece in new:
+            coded = piece.encode("utf-8", "surrogatepass")
+            same, most = 0, min(len(coded), len(before))
+            while same < most and coded[same] == before[same]:
+                same += 1
+            del counts[same + 1 :], last[same + 1 :]
+            self.merges.extend(coded, counts, last)
+            self[piece] = self._steps(piece, len(coded), counts)
+            before = coded
+
+    def __missing__(self, piece: str) -> bytes:
+        coded, counts = piece.encode("utf-8", "surrogatepass"), [0]
+        self.merges.extend(coded, counts, [-1])
+        return self._steps(piece, len(coded), counts)
+
+    def _steps(self, piece: str, n_bytes: int, counts: list[int]) -> bytes:
+        if piece in ("'re", "'ve", "'ll"):
+            counts = [0, 1, 2, counts[-1]]  # cut inside, it is two pieces
+        elif n_bytes > len(piece):  # only the counts where a character ends
+            ends = accumulate((len(c.encode("utf-8", "surrogatepass")) for c in piece), initial=0)
+            counts = [counts[end] for end in ends]
+        return array("i", map(sub, counts[1:], counts)).tobytes()
 
     def plain_spans(self, text: str) -> Iterator[tuple[int, int, bool]]:
         """Spans of the text and whether each is a special token."""
@@ -130,29 +163,14 @@ class Counter(dict):
 
     def _count(self, text: str) -> int:
         if len(text) < 1 << 20:
-            return sum(map(self.__getitem__, self.pieces.findall(text)))
-        return sum(self[m.group()] for m in self.pieces.finditer(text))
-
-    def steps(self, piece: str) -> bytes:
-        """How the count changes with each character of ``piece``, as packed 32-bit numbers."""
-        found = self.known.get(piece)
-        if found is None and piece in ("'re", "'ve", "'ll"):
-            found = self.known[piece] = np.array([1, 1, self[piece] - 2], np.int32).tobytes()  # cut inside, it is two pieces
-        elif found is None:
-            at = np.zeros(len(piece) + 1, np.int64)
-            np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in piece], out=at[1:])
-            found = np.diff(np.array(self.merges.prefix_counts(piece.encode("utf-8", "surrogatepass")))[at]).astype(np.int32).tobytes()
-            if len(piece) <= 64:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[piece] = found
-        return found
-
-    def prefix_counts(self, text: str) -> np.ndarray:
-        """Tokens of ``text[:n]`` for every ``n`` from 0."""
+            return sum(array("i", b"".join(map(self.__getitem__, self.pieces.findall(text)))))
+        return sum(sum(array("i", self[m.group()])) for m in self.pieces.finditer(text))
+
+    def prefix_counts(self, text: str, cut: list[str] | None = None) -> np.ndarray:
+        """Tokens of ``text[:n]`` for every ``n`` from 0; ``cut`` are the pieces of the text, where they are known."""
         counts = np.zeros(len(text) + 1, np.int32)
         if "<|" not in text or not self.special.search(text):
-            self._prefix_counts(text, 0, counts)
+            self._prefix_counts(text, 0, counts, cut)
             return counts
         before = base = 0
         for a, b, special in self.plain_spans(text):
@@ -164,19 +182,19 @@ class Counter(dict):
                 before, base = b, counts[b]
             else:
                 last = self._prefix_counts(text[a:b], a, counts)
-                before, base = b - len(last), counts[b] - self[last]
+                before, base = b - len(last), counts[b] - sum(array("i", self[last]))
         return counts
 
-    def _prefix_counts(self, text: str, start: int, counts: np.ndarray) -> str:
+    def _prefix_counts(self, text: str, start: int, counts: np.ndarray, cut: list[str] | None = None) -> str:
         """Fill ``counts`` after ``start`` for ``text``, which stands there and has no special token; its last piece."""
-        found = self.pieces.findall(text)
-        steps = np.frombuffer(b"".join(map(self.steps, found)), np.int32)
+        found = self.pieces.findall(text) if cut is None else cut
+        steps = np.frombuffer(b"".join(map(self.__getitem__, found)), np.int32)
         np.cumsum(steps, out=counts[start + 1 : start + len(text) + 1])
         counts[start + 1 : start + len(text) + 1] += counts[start]
         # Cut inside, a run of blanks is one piece.
         for m in BLANKS.finditer(text):
             a, b = start + m.start(), start + m.end()
-            counts[a + 1 : b + 1] = counts[a] + np.cumsum(np.frombuffer(self.steps(m.group()), np.int32))
+            counts[a + 1 : b + 1] = counts[a] + np.cumsum(np.frombuffer(self[m.group()], np.int32))
         return found[-1] if found else ""
 
     def prefixes(self, text: str) -> tuple[Sequence[int], np.ndarray]:
@@ -215,7 +233,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, prefixes: bool =
             texts = [t or "" for t in batch["text"].to_pylist()]
             for low, high in runs(np.cumsum([0, *map(len, texts)]), RUN_CHARS):
                 some = texts[low:high]
-                found = [tokens.prefix_counts(t) for t in some] if prefixes else []
+                cut = [tokens.pieces.findall(t) for t in some]
+                tokens.learn(set().union(*cut))
+                found = [tokens.prefix_counts(t, c) for t, c in zip(some, cut, strict=True)] if prefixes else []
                 counts = [int(f[-1]) for f in found] if prefixes else [tokens.count(t) for t in some]
                 columns = [
                     batch["doc_id"].slice(low, high - low),
