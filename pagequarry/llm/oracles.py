@@ -95,3 +95,33 @@ WITH RECURSIVE v AS (
 ), c AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY 1), k AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY 1)
 SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c USING (vec_id) LEFT JOIN k USING (vec_id)
 """
+
+_TWINS["op11_line_dedup"] = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, r, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE doc_id <> last) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE last IS NULL OR doc_id IS NULL OR doc_id = last), '')) AS kept_sha256
+FROM k LEFT JOIN f USING (key) GROUP BY r, doc_id
+"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+_TWINS["op13_lexical_search"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, '{_TERM}') AS ts FROM documents),
+n AS (SELECT r, doc_id, len(ts) AS size FROM d WHERE len(ts) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(size) AS BIGINT) AS terms FROM n),
+q AS (SELECT item_id, t, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all({_LOWERED}, '{_TERM}')) AS t FROM benchmark) GROUP BY ALL),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM f, s),
+c AS (
+  SELECT item_id, r, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * size * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN w USING (t) JOIN p USING (t) JOIN n USING (r), s GROUP BY item_id, r
+), k AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM c JOIN n USING (r) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""

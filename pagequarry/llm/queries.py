@@ -135,6 +135,30 @@ def op7_pieces(spark, sf):
     return S.encode_and_check(_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op11_line_dedup(spark, sf):
+    """Lines left in each document after those of 40 characters or more that five documents share are dropped from all but the last."""
+    from pagequarry.llm import lines as N
+
+    return N.digests(_table(spark, sf, "documents"), least_chars=40, least_docs=5)
+
+
+@query
+def op12_whitening(spark, sf):
+    """Every vector on the first four whitened components."""
+    from pagequarry.llm import whitening as W
+
+    return W.whiten(_table(spark, sf, "embeddings"), components=4)
+
+
+@query
+def op13_lexical_search(spark, sf):
+    """The ten best documents for each item of ``benchmark``."""
+    from pagequarry.llm import lexical as S
+
+    return S.search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), k=10)
+
+
 @query
 def pipeline(spark, sf):
     """The stages of ``corpus_pipeline.py`` over all documents."""

@@ -16,7 +16,7 @@ def plain(value):
 @pytest.mark.parametrize("name", sorted(oracles.registry()))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     found, wanted = queries.registry()[name](spark, SF), con.sql(oracles.registry()[name])
     columns = sorted(wanted.columns)
