@@ -212,3 +212,28 @@ def _cut(text: Column, node: Column, inner: Column) -> Column:
     ends = F.concat(F.transform(inner, lambda r: r["t0"]), F.array(node["t1"]))
     pieces = F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(text, s + 1, F.greatest(e - s, F.lit(0)))))
     return F.when(node.isNotNull(), F.array_join(pieces, ""))
+
+
+def by_position(ranges: Column, size: Column, low: Callable[[Column], Column], high: Callable[[Column], Column], keep, drop) -> Column:
+    """An array over positions 0 to ``size``: ``keep(start, count)`` between the ordered ranges, ``drop(count)`` inside them."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(ranges, high))
+    ends = F.concat(F.transform(ranges, low), F.array(size))
+    kept = F.zip_with(starts, ends, lambda s, e: keep(s, F.greatest(e - s, F.lit(0))))
+    dropped = F.concat(F.transform(ranges, lambda r: drop(high(r) - low(r))), F.array(drop(F.lit(0))))
+    return F.flatten(F.zip_with(kept, dropped, lambda k, d: F.concat(k, d)))
+
+
+def removed_flags(nodes: Column, ranges: Column) -> Column:
+    """For each node, by its ``pre``, whether it lies in a removed range: one look-up instead of a search."""
+    flag = lambda value: lambda *args: F.array_repeat(F.lit(value), args[-1])
+    return by_position(ranges, F.size(nodes), lambda r: r["pre"], lambda r: r["pre_end"] + 1, flag(False), flag(True))
+
+
+def kept_runs(text: Column, ranges: Column) -> Column:
+    """The text runs with those in removed ranges made empty, in their places, so that a slice is the kept text of a subtree."""
+    return by_position(ranges, F.size(text), lambda r: r["t0"], lambda r: r["t1"], lambda s, n: F.slice(text, s + 1, n), lambda n: F.array_repeat(F.lit(""), n))
+
+
+def run_text(runs: Column, node: Column) -> Column:
+    """Text of the subtree of ``node``, which is a variable or a field: :func:`node_text` without binding it."""
+    return F.array_join(F.slice(runs, node["t0"] + 1, node["t1"] - node["t0"]), "")

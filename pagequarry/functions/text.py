@@ -6,8 +6,10 @@ Java's regular expressions differ from ECMAScript's in ``\\b`` (Unicode-aware),
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+_BUILT: dict[tuple, object] = {}
+
+
+def built_once(make: Callable) -> Callable:
+    """A builder of columns that depends on its (hashable) arguments alone: the columns are kept for the session.
+
+    A large expression takes seconds of driver time to put together, and columns that name their inputs can be used again.
+    """
+
+    @functools.wraps(make)
+    def kept(*args, **settings):
+        key = (SparkContext._active_spark_context.applicationId, make.__module__, make.__qualname__, args, tuple(sorted(settings.items())))
+        if key not in _BUILT:
+            _BUILT[key] = make(*args, **settings)
+        return _BUILT[key]
+
+    return kept
+
+
 def rx(pattern: str, flags: str = "", boundary: str = BOUNDARY) -> str:
     """``pattern`` (ECMAScript syntax) as an equivalent Java pattern."""
     out, i, in_class = [], 0, False
@@ -103,6 +124,16 @@ def sub_first(col: Column, pattern: str, flags: str = "") -> Column:
     return F.regexp_replace(col, rx(pattern, flags), "")
 
 
+def head(items: Column, most: int | None) -> Column:
+    """The first ``most`` items, all of them for ``None``."""
+    return items if most is None else F.slice(items, 1, most)
+
+
+def cut(text: Column, most: int | None) -> Column:
+    """The first ``most`` characters, all of them for ``None``."""
+    return text if most is None else F.substring(text, 1, most)
+
+
 def trim(col: Column) -> Column:
     """Strip ECMAScript white space at both ends, in linear time."""
     return F.btrim(col, F.lit(SPACE_CHARS))
@@ -129,8 +160,8 @@ def js_round(col: Column) -> Column:
 
 
 def not_blank(col: Column) -> Column:
-    """NULL for the empty string."""
-    return let(col, lambda c: F.when(c != "", c))
+    """NULL for the empty string. The value is evaluated once, without a lambda, which is dear to build."""
+    return F.get(F.array_except(F.array(col), F.array(F.lit(""))), F.lit(0))
 
 
 def longer(col: Column, low: int, high: int | None = None) -> Column:

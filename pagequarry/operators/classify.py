@@ -62,9 +62,9 @@ def service_type(title: Column, description: Column, headings: Column) -> Column
     return F.coalesce(out, default.cast(kind))
 
 
-def audience(title: Column, description: Column, headings: Column) -> Column:
+def audience(title: Column, description: Column, headings: Column, limits: rules.Limits = rules.LIMITS) -> Column:
     """The audience object of the first matching pattern with its industry label, NULL if none matches."""
-    text = _topline(title, description, F.slice(headings, 1, 10))
+    text = _topline(title, description, X.head(headings, limits.audience_headings))
     kind = "struct<type:string,name:string,educational_role:string,audience_type:string,industry:string>"
     out = F.lit(None).cast(kind)
     for pattern, type_, name, field, value, label in reversed(rules.AUDIENCES):

@@ -13,8 +13,8 @@ CHUNKS = "array<struct<type:string,heading:string,content:string>>"
 
 
 def _level(tag: Column) -> Column:
-    """Heading level of a tag, NULL for other tags."""
-    return F.when(tag.rlike(r"^h[1-6]\z"), F.substring(tag, 2, 1).cast("int"))
+    """Heading level of a tag, 0 for other tags."""
+    return F.find_in_set(tag, F.lit("h1,h2,h3,h4,h5,h6"))
 
 
 def until(items: Column, stop) -> Column:
@@ -26,84 +26,97 @@ def until(items: Column, stop) -> Column:
     return X.let(items, leading)
 
 
-def _chunk(kind: str, content: Column, limit: int, heading: Column | None = None) -> Column:
-    body = F.substring(content, 1, limit)
+def _chunk(kind: str, content: Column, limit: int | None, heading: Column | None = None) -> Column:
     return F.struct(
         F.lit(kind).alias("type"),
         (F.lit(None).cast("string") if heading is None else heading).alias("heading"),
-        body.alias("content"),
+        X.cut(content, limit).alias("content"),
     )
 
 
-def _some(kind: str, parts: Column, limit: int) -> Column:
+def _some(kind: str, parts: Column, limit: int | None) -> Column:
     """A list of one chunk from joined parts, empty when there are none."""
-    none = F.array().cast(CHUNKS)
-    one = lambda p: F.when(F.size(p) > 0, F.array(_chunk(kind, F.array_join(p, " | "), limit)).cast(CHUNKS)).otherwise(none)
-    return X.let(parts, one)
+    return F.when(F.size(parts) > 0, F.array(_chunk(kind, F.array_join(parts, " | "), limit)).cast(CHUNKS)).otherwise(F.array().cast(CHUNKS))
 
 
-def semantic_chunks(parsed: DataFrame, read_ldjson: bool = False) -> DataFrame:
+def semantic_chunks(parsed: DataFrame, read_ldjson: bool = False, limits: rules.Limits = rules.LIMITS) -> DataFrame:
     """``(page_id, chunks)``: the page's content blocks in order, after its noise elements are cut out.
 
-    With ``read_ldjson`` structured data is read before scripts are removed; by default it never appears.
+    With ``read_ldjson`` structured data is read before scripts are removed; by default it never appears. What is removed is
+    worked out once a page, as a flag for each node and as text runs with gaps; a chunk is then a slice of those arrays.
     """
-    text, nodes, removed, live = F.col("text"), F.col("nodes"), F.col("removed"), F.col("live")
-    base = parsed.withColumn("removed", N.outermost(nodes, *rules.FANOUT_NOISE)).withColumn("live", N.without(nodes, removed))
-    shown = lambda n: X.trim(N.kept_text(text, removed, n))
-    visible = lambda n: ~N.within(removed, n)
+    out = parsed
+    for columns in _chunk_steps(read_ldjson, limits):
+        out = out.select(*columns)
+    return out
 
-    title = X.trim(F.array_join(F.transform(N.select(live, "title"), lambda n: N.kept_text(text, removed, n)), ""))
-    topic = F.array_compact(
-        F.array(
-            X.not_blank(title),
-            X.not_blank(shown(N.first(live, "h1"))),
-            X.not_blank(X.trim(N.meta(live, 'meta[name="description"]', 'meta[property="og:description"]'))),
-        )
-    )
-    primary = F.when(F.size(topic) > 0, F.array(_chunk("primary_topic", F.array_join(topic, " — "), 600))).otherwise(
-        F.array().cast(CHUNKS)
-    )
+
+@X.built_once
+def _chunk_steps(read_ldjson: bool, limits: rules.Limits) -> list[list[Column | str]]:
+    """The columns of each step from a parsed page to its chunks."""
+    nodes, text, gone, live = F.col("nodes"), F.col("kept"), F.col("gone"), F.col("live")
+    ranges = ["page_id", "text", "nodes", N.outermost(nodes, *rules.FANOUT_NOISE).alias("removed")]
+    base = [
+        "page_id", "text", "nodes",
+        N.kept_runs(F.col("text"), F.col("removed")).alias("kept"),
+        N.removed_flags(nodes, F.col("removed")).alias("gone"),
+        N.without(nodes, F.col("removed")).alias("live"),
+    ]
+    shown = lambda n: X.trim(N.run_text(text, n))
+    visible = lambda n: ~F.get(gone, n["pre"])
+
+    # Elements that several expressions look at are columns of their own, found once.
+    wanted = [
+        "*",
+        X.trim(F.array_join(F.transform(N.select(live, "title"), lambda n: N.run_text(text, n)), "")).alias("title"),
+        N.first(live, "h1").alias("h1"),
+        N.select(live, "meta").alias("metas"),
+        N.select(live, "h2", "h3").alias("heads"),
+        N.select(live, "ul", "ol").alias("groups"),
+        F.coalesce(N.first(live, *rules.FANOUT_ROOT), N.first(live, "body")).alias("scope"),
+    ]
+    meta = lambda *sel: X.trim(N.meta(F.col("metas"), *sel))
+    topic = F.filter(F.array(F.col("title"), shown(F.col("h1")), meta('meta[name="description"]', 'meta[property="og:description"]')), lambda t: F.coalesce(t, F.lit("")) != "")
 
     def section(h: Column) -> Column:
-        later = F.filter(N.later_siblings(nodes, h), lambda s: ~N.within(removed, s))
-        within = until(later, lambda s: _level(s["tag"]) <= _level(h["tag"]))
+        level = lambda s: _level(s["tag"])
+        later = F.filter(N.later_siblings(nodes, h), visible)
+        within = until(later, lambda s: level(s).between(1, level(h)))
         texts = F.filter(F.transform(within, shown), lambda t: t != "")
-        return _chunk("section", F.array_join(texts, " "), 500, shown(h))
-
-    sections = F.filter(F.transform(N.select(live, "h2", "h3"), section), lambda c: c["content"] != "")
+        return _chunk("section", F.array_join(texts, " "), limits.section_chars, shown(h))
 
     def items(u: Column) -> Column:
-        inner = F.filter(N.inside(nodes, u), lambda n: (n["tag"] == "li") & visible(n))
+        inner = F.filter(F.slice(nodes, u["pre"] + 2, u["pre_end"] - u["pre"]), lambda n: (n["tag"] == "li") & visible(n))
         return F.transform(inner, shown)
 
-    long_lists = F.slice(F.filter(F.transform(N.select(live, "ul", "ol"), items), lambda i: F.size(i) > 2), 1, 5)
-    lists = F.transform(long_lists, lambda i: _chunk("list", F.array_join(i, " | "), 300))
-
     data = F.array().cast(CHUNKS)
     if read_ldjson:
-        raw = F.transform(N.select(nodes, 'script[type="application/ld+json"]'), lambda n: X.trim(X.collapse(N.node_text(text, n))))
+        raw = F.transform(N.select(nodes, 'script[type="application/ld+json"]'), lambda n: X.trim(X.collapse(N.run_text(F.col("text"), n))))
         kind = lambda t: F.get_json_object(t, "$['@type']")
         data = F.transform(
             F.filter(raw, lambda t: F.coalesce(kind(t), F.lit("")) != ""),
-            lambda t: _chunk("structured_data", F.concat(F.lit("Type: "), kind(t), F.lit(", "), F.substring(t, 1, 200)), 5_000_000),
+            lambda t: _chunk("structured_data", F.concat(F.lit("Type: "), kind(t), F.lit(", "), X.cut(t, limits.ldjson_chars)), None),
         )
 
-    first = base.select(
-        "page_id", "text", "nodes", "removed", "live",
-        primary.cast(CHUNKS).alias("primary"), sections.cast(CHUNKS).alias("sections"), lists.cast(CHUNKS).alias("lists"),
+    long_lists = X.head(F.filter(F.transform("groups", items), lambda i: F.size(i) > 2), limits.lists)
+    first = [
+        "page_id", "kept", "live", "metas", "scope",
+        topic.alias("topic"),
+        F.filter(F.transform("heads", section), lambda c: c["content"] != "").cast(CHUNKS).alias("sections"),
+        F.transform(long_lists, lambda i: _chunk("list", F.array_join(i, " | "), limits.list_chars)).cast(CHUNKS).alias("lists"),
         data.cast(CHUNKS).alias("data"),
-        F.coalesce(N.first(live, *rules.FANOUT_ROOT), N.first(live, "body")).alias("scope"),
-    )
+    ]
 
-    scope = F.col("scope")
+    few, scope = F.size("sections") < 3, F.col("scope")
     inner = F.filter(live, lambda n: (n["pre"] > scope["pre"]) & (n["pre"] <= scope["pre_end"]))
-    squeezed = lambda n: X.trim(X.collapse(N.kept_text(text, removed, n)))
+    none = lambda column: F.when(few, column).otherwise(F.array().cast("array<string>"))
+    squeezed = lambda n: X.trim(X.collapse(N.run_text(text, n)))
     long = F.filter(F.transform(F.filter(inner, lambda n: n["tag"] == "p"), squeezed), lambda t: F.length(t) >= 80)
-    paragraphs = F.transform(F.slice(long, 1, 6), lambda t: F.substring(t, 1, 400))
+    paragraphs = F.transform(X.head(long, limits.paragraphs), lambda t: X.cut(t, limits.paragraph_chars))
     sentences = F.split(squeezed(scope), rf"(?<=[.!?]){X.SPACE}+", -1)
     asked = F.filter(sentences, lambda s: F.contains(s, F.lit("?")) & F.length(s).between(11, 249))
     terms = F.filter(F.transform(F.filter(inner, N.selector(*rules.FANOUT_TERMS)), shown), lambda t: F.length(t).between(2, 80))
-    signal = lambda label, *sel: F.concat(F.lit(label), X.not_blank(N.meta(live, *sel)))
+    signal = lambda label, *sel: F.concat(F.lit(label), X.not_blank(N.meta(F.col("metas"), *sel)))
     signals = F.array_compact(
         F.array(
             signal("og:type=", 'meta[property="og:type"]'),
@@ -111,20 +124,28 @@ def semantic_chunks(parsed: DataFrame, read_ldjson: bool = False) -> DataFrame:
             signal("twitter:title=", 'meta[name="twitter:title"]'),
         )
     )
-    extra = F.concat(
-        _some("paragraphs", paragraphs, 1200),
-        _some("questions_on_page", F.slice(asked, 1, 6), 600),
-        _some("key_terms", F.slice(F.array_distinct(terms), 1, 20), 400),
-        _some("page_metadata", signals, 300),
-    )
-    few = F.size("sections") < 3
-    chunks = F.concat("primary", "sections", "lists", "data", F.when(few, extra).otherwise(F.array().cast(CHUNKS)))
-    return first.select("page_id", chunks.alias("chunks"))
+    second = [
+        "page_id", "topic", "sections", "lists", "data",
+        none(paragraphs).alias("paragraphs"), none(X.head(asked, limits.questions)).alias("asked"),
+        none(X.head(F.array_distinct(terms), limits.terms)).alias("terms"), none(signals).alias("signals"),
+    ]
+    primary = F.when(F.size("topic") > 0, F.array(_chunk("primary_topic", F.array_join("topic", " — "), limits.topic_chars)).cast(CHUNKS)).otherwise(F.array().cast(CHUNKS))
+    chunks = F.concat(
+        primary, "sections", "lists", "data",
+        _some("paragraphs", F.col("paragraphs"), limits.paragraphs_chars),
+        _some("questions_on_page", F.col("asked"), limits.questions_chars),
+        _some("key_terms", F.col("terms"), limits.terms_chars),
+        _some("page_metadata", F.col("signals"), limits.metadata_chars),
+    )
+    return [ranges, base, wanted, first, second, ["page_id", chunks.alias("chunks")]]
 
 
 def chunk_rows(chunked: DataFrame) -> DataFrame:
-    """``(page_id, pos, type, heading, content)``."""
-    return chunked.select("page_id", F.posexplode("chunks").alias("pos", "c")).select("page_id", "pos", "c.*")
+    """``(page_id, pos, type, heading, content)``.
+
+    The outer form keeps the optimiser from asking for the array's size before, which would work the chunks out twice.
+    """
+    return chunked.select("page_id", F.posexplode_outer("chunks").alias("pos", "c")).filter("pos IS NOT NULL").select("page_id", "pos", "c.*")
 
 
 DEFAULT_FANOUT_PROMPT = (

@@ -97,23 +97,33 @@ def _website(nodes: Column, url: Column, origin: Column) -> Column:
     return F.when(origin != "", node)
 
 
-def structured_values() -> list[Column]:
-    """Telephone, address, social links, author, organisation, FAQ, how-to, site nodes and image of a parsed page."""
-    text, nodes, socials = F.col("text"), F.col("nodes"), S.social_links(F.col("nodes"))
+@X.built_once
+def content_values() -> list[Column]:
+    """What follows from the markup alone, whatever the page's address: telephone, address, social links, author, organisation, FAQ, how-to, image."""
+    text, nodes = F.col("text"), F.col("nodes")
     return [
         S.telephone(text).alias("telephone"),
         S.address(text, nodes).alias("address"),
-        socials.alias("socials"),
+        S.social_links(nodes).alias("socials"),
         S.author(text, nodes).alias("author"),
         S.organization(text, nodes).alias("organization"),
         S.faq(text, nodes).alias("faq"),
         S.howto(text, nodes).alias("howto"),
-        organization_node(nodes, F.col("url"), socials).alias("org_node"),
-        website_node(nodes, F.col("url")).alias("site_node"),
         X.not_blank(N.first(nodes, 'meta[property="og:image"]')["attrs"]["content"]).alias("og_image"),
     ]
 
 
+def site_values(nodes: Column, url: Column, socials: Column) -> list[Column]:
+    """The site nodes of a page at ``url``; of ``nodes`` only the ``meta`` elements count."""
+    return [organization_node(nodes, url, socials).alias("org_node"), website_node(nodes, url).alias("site_node")]
+
+
+def structured_values() -> list[Column]:
+    """:func:`content_values` and :func:`site_values` of a parsed page."""
+    nodes = F.col("nodes")
+    return [*content_values(), *site_values(nodes, F.col("url"), S.social_links(nodes))]
+
+
 def structured_columns(parsed: DataFrame) -> DataFrame:
     """``(page_id, telephone, address, socials, author, organization, faq, howto, org_node, site_node, og_image)``.
 
@@ -161,6 +171,7 @@ def _graph(page: Column) -> Column:
     return F.concat(F.lit('{"@context":"https://schema.org","@graph":['), F.array_join(nodes, ","), F.lit("]}"))
 
 
+@X.built_once
 def jsonld_webpage() -> Column:
     return _graph(
         _page_node(
@@ -175,6 +186,7 @@ def jsonld_webpage() -> Column:
     )
 
 
+@X.built_once
 def jsonld_service() -> Column:
     name = F.coalesce(X.not_blank(X.name_from_title(F.col("title"))), _first_name("Professional Service"))
     kind = C.service_type(F.col("title"), F.col("description"), F.col("headings"))
@@ -202,6 +214,7 @@ def jsonld_service() -> Column:
     )
 
 
+@X.built_once
 def jsonld_article() -> Column:
     article = obj(type_=F.lit("Article"), headline=F.coalesce("title", F.lit("")), description=_DESCRIPTION(), author=_named("Person", F.col("author")))
     things = about_things(F.col("entities"))
@@ -215,18 +228,18 @@ def jsonld_article() -> Column:
     )
 
 
-def jsonld_local_business() -> Column:
+@X.built_once
+def jsonld_local_business(limits: rules.Limits = rules.LIMITS) -> Column:
     name = F.coalesce(X.not_blank(X.name_from_title(F.col("title"))), _first_name("Local Business"))
-    offered = F.slice(
-        F.filter("entities", lambda e: (e["confidence"] > 50) & F.lower(e["name"]).rlike("|".join(rules.OFFER_WORDS))), 1, 5
-    )
+    wanted = lambda e: (e["confidence"] > 50) & F.lower(e["name"]).rlike("|".join(rules.OFFER_WORDS))
+    offered = X.head(F.filter("entities", wanted), limits.offers)
     offers = F.transform(offered, lambda e: obj(type_=F.lit("Offer"), itemOffered=obj(type_=F.lit("Service"), name=e["name"])))
     return F.to_json(
         obj(
             context_=F.lit(CONTEXT), type_=F.lit("LocalBusiness"), name=name, url=F.coalesce("url", F.lit("")), description=_DESCRIPTION(),
             telephone=F.col("telephone"), address=F.col("address"),
             hasOfferCatalog=F.when(F.size(offers) > 0, obj(type_=F.lit("OfferCatalog"), name=F.lit("Services"), itemListElement=offers)),
-            knowsAbout=some(knows_about(F.col("entities"))), sameAs=some(F.col("socials")),
+            knowsAbout=some(knows_about(F.col("entities"), limits.knows_about)), sameAs=some(F.col("socials")),
         )
     )
 
@@ -237,6 +250,7 @@ def education_provider() -> Column:
     return F.coalesce(school, X.not_blank(X.name_from_title(F.col("title"))), _first_name("Educational Institution"))
 
 
+@X.built_once
 def jsonld_educational() -> Column:
     name = F.coalesce(_TITLE(), _first_name("Educational Program"))
     details = S.program_details(F.col("body"))
@@ -274,18 +288,25 @@ def with_schema_type(pages: DataFrame) -> DataFrame:
     return pages.withColumn("_counts", counts).withColumn("schema_type", C.schema_type(F.col("_counts"))).drop("_counts")
 
 
-def generate_jsonld(pages: DataFrame) -> DataFrame:
-    """``(page_id, schema_type, jsonld)``, one row per page.
+@X.built_once
+def document() -> Column:
+    """The JSON-LD document of a page row with ``schema_type``: the type picks the writer, ``CASE`` evaluates one branch."""
+    out = None
+    for kind, writer in WRITERS.items():
+        out = (F.when if out is None else out.when)(F.col("schema_type") == kind, writer())
+    return out
 
-    The type picks the writer inside the row (``CASE`` evaluates one branch), so the pages are read once rather than
-    once per type.
-    """
+
+def generate_jsonld(pages: DataFrame) -> DataFrame:
+    """``(page_id, schema_type, jsonld)``, one row per page; the pages are read once rather than once per type."""
     typed = pages if "schema_type" in pages.columns else with_schema_type(pages)
-    document = None
-    for kind, writer in WRITERS.items():
-        when = F.when if document is None else document.when
-        document = when(F.col("schema_type") == kind, writer())
-    return typed.select("page_id", "schema_type", document.alias("jsonld"))
+    return typed.select("page_id", "schema_type", document().alias("jsonld"))
+
+
+def with_profiles(entities: Column, anchors: Column) -> Column:
+    """``entities`` with ``linkedin_url`` filled for persons from the page's :func:`pagequarry.operators.linking.person_anchors`."""
+    url = lambda e: F.when((e["type"] == "Person") & anchors.isNotNull(), L.person_link(anchors, e["name"]))
+    return F.transform(entities, lambda e: e.withField("linkedin_url", url(e)))
 
 
 def person_links(parsed: DataFrame, entities: DataFrame) -> DataFrame:
@@ -296,8 +317,4 @@ def person_links(parsed: DataFrame, entities: DataFrame) -> DataFrame:
     """
     anchors = parsed.select("page_id", L.person_anchors(F.col("text"), F.col("nodes")).alias("_anchors")).filter(F.size("_anchors") > 0)
     joined = entities.join(anchors, "page_id", "left")
-    url = lambda e: F.when(
-        (e["type"] == "Person") & F.col("_anchors").isNotNull(), L.person_link(F.col("_anchors"), e["name"])
-    )
-    filled = F.transform("entities", lambda e: e.withField("linkedin_url", url(e)))
-    return joined.select(*[c for c in entities.columns if c != "entities"], filled.alias("entities"))
+    return joined.select(*[c for c in entities.columns if c != "entities"], with_profiles(F.col("entities"), F.col("_anchors")).alias("entities"))

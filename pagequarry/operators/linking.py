@@ -11,7 +11,9 @@ found by; ``rank`` is its order among hits.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import add
 
@@ -29,12 +31,21 @@ HITS_PER_SEARCH = 5
 
 @dataclass(frozen=True)
 class KnowledgeBase:
-    """The four snapshot tables."""
+    """The four snapshot tables, and where they were built, stored search indexes by ``pages``, ``items`` and ``graph``."""
 
     pages: DataFrame
     items: DataFrame
     graph: DataFrame
     urls: DataFrame
+    index: Mapping[str, SearchIndex] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class SearchIndex:
+    """A stored :func:`search_index`, bucketed and sorted by key: a search shuffles its terms, never the snapshot."""
+
+    table: DataFrame
+    hits: int
 
 
 # ── which names are linked, and their base score ──────────────────────────────
@@ -99,9 +110,45 @@ def search_index(table: DataFrame, lookup: str, hits: int = HITS_PER_SEARCH, ask
     return per_key.withColumn("hit", F.row_number().over(best)).filter(F.col("hit") <= hits)
 
 
-def search(terms: DataFrame, table: DataFrame, lookup: str, hits: int = HITS_PER_SEARCH) -> DataFrame:
-    """``terms(…, term)`` with the entries of ``table`` that each term finds, as ``hit`` 1 to ``hits``."""
+def store_index(table: DataFrame, lookup: str, folder: str, buckets: int, hits: int = HITS_PER_SEARCH) -> SearchIndex:
+    """Build the index of ``table`` once, as a table in ``folder`` with ``buckets`` files, bucketed and sorted by key."""
+    keys = search_index(table, lookup, hits).repartition(buckets, "key")
+    name = f"search_{uuid.uuid4().hex}"
+    keys.write.bucketBy(buckets, "key").sortBy("key", "hit").option("path", folder).saveAsTable(name)
+    return SearchIndex(keys.sparkSession.table(name), hits)
+
+
+def open_index(spark: SparkSession, folder: str, buckets: int, hits: int = HITS_PER_SEARCH) -> SearchIndex:
+    """An index that another session stored in ``folder``."""
+    name = f"search_{uuid.uuid4().hex}"
+    fields = spark.read.parquet(folder).schema
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (key) SORTED BY (key, hit) INTO {buckets} BUCKETS LOCATION '{folder}'")
+    return SearchIndex(spark.table(name), hits)
+
+
+#: What a search needs of each snapshot table, and the column it is found by.
+SEARCHED = {
+    "pages": (("title", "url", "wikibase_item", "rank"), "title"),
+    "items": (("id", "label", "description", "lookup", "rank"), "lookup"),
+    "graph": (("mid", "name", "description", "lookup", "rank"), "lookup"),
+}
+
+
+def indexed(kb: KnowledgeBase, folder: str, buckets: int = 512, hits: int = HITS_PER_SEARCH) -> KnowledgeBase:
+    """``kb`` with its search indexes stored under ``folder``. Take at least as many buckets as shuffle partitions."""
+    build = lambda name, columns, lookup: store_index(getattr(kb, name).select(*columns), lookup, f"{folder}/{name}", buckets, hits)
+    return replace(kb, index={name: build(name, *spec) for name, spec in SEARCHED.items()})
+
+
+def search(terms: DataFrame, table: DataFrame, lookup: str, hits: int = HITS_PER_SEARCH, index: SearchIndex | None = None) -> DataFrame:
+    """``terms(…, term)`` with the entries of ``table`` that each term finds, as ``hit`` 1 to ``hits``.
+
+    With a stored ``index`` of as many hits, its buckets are read; else keys that are asked for are ranked now.
+    """
     keyed = terms.withColumn("key", F.array_join(X.real_words(F.lower("term")), " "))
+    if index is not None and index.hits >= hits:
+        return keyed.join(index.table.filter(F.col("hit") <= hits), "key").drop("key")
     return keyed.join(search_index(table, lookup, hits, keyed.select("key").distinct()), "key").drop("key")
 
 
@@ -130,9 +177,9 @@ def wiki_search_terms(names: DataFrame) -> DataFrame:
     return names.select("name", "academic", F.posexplode(terms).alias("term_pos", "term"))
 
 
-def wiki_candidates(names: DataFrame, pages: DataFrame) -> DataFrame:
+def wiki_candidates(names: DataFrame, pages: DataFrame, index: SearchIndex | None = None) -> DataFrame:
     """Up to five titles per search term: ``(name, academic, term_pos, term, hit, title, url, wikibase_item)``."""
-    return search(wiki_search_terms(names), pages.select("title", "url", "wikibase_item", "rank"), "title").drop("rank")
+    return search(wiki_search_terms(names), pages.select("title", "url", "wikibase_item", "rank"), "title", index=index).drop("rank")
 
 
 def wiki_rejected(name: Column, title: Column) -> Column:
@@ -328,12 +375,12 @@ def wikidata_from_page(best: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def wikidata_direct(names: DataFrame, items: DataFrame) -> DataFrame:
+def wikidata_direct(names: DataFrame, items: DataFrame, index: SearchIndex | None = None) -> DataFrame:
     """``(name, academic, direct_item)``: best item of 75 or more, from the first search term that has one."""
     academic = F.array(*[F.lit(t) for t in rules.ACADEMIC_DATA_TERMS], F.col("name"))
     terms = F.when(F.col("academic"), academic).otherwise(F.array("name"))
     asked = names.select("name", "academic", F.posexplode(terms).alias("term_pos", "term"))
-    found = search(asked, items.select("id", "label", "description", "lookup", "rank"), "lookup").filter(~academic_mismatch(F.col("label"), F.col("description")))
+    found = search(asked, items.select("id", "label", "description", "lookup", "rank"), "lookup", index=index).filter(~academic_mismatch(F.col("label"), F.col("description")))
     scored = found.withColumn("score", label_score(F.lower("name"), F.lower("label"), F.col("description")))
     order = Window.partitionBy("name", "academic").orderBy("term_pos", F.col("score").desc(), "hit")
     return (
@@ -344,11 +391,12 @@ def wikidata_direct(names: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def graph_best(names: DataFrame, graph: DataFrame) -> DataFrame:
+def graph_best(names: DataFrame, graph: DataFrame, index: SearchIndex | None = None) -> DataFrame:
     """``(name, mid, kg_description, kg_score)``: best of five entries per name, whatever its score above 0."""
-    entries = graph.select("mid", F.col("name").alias("kg_name"), "description", "lookup", "rank")
-    found = search(names.select("name").distinct().withColumn("term", F.col("name")), entries, "lookup")
-    scored = found.withColumn("kg_score", label_score(X.trim(F.lower("name")), F.lower("kg_name"), F.col("description")))
+    asked = names.select("name").distinct().select(F.col("name").alias("asked"), F.col("name").alias("term"))
+    found = search(asked, graph.select("mid", "name", "description", "lookup", "rank"), "lookup", index=index)
+    scored = found.withColumnRenamed("name", "kg_name").withColumnRenamed("asked", "name")
+    scored = scored.withColumn("kg_score", label_score(X.trim(F.lower("name")), F.lower("kg_name"), F.col("description")))
     order = Window.partitionBy("name").orderBy(F.col("kg_score").desc(), "hit")
     return (
         scored.filter(F.col("kg_score") > 0)
@@ -424,15 +472,15 @@ def name_links(names: DataFrame, kb: KnowledgeBase) -> DataFrame:
 
     Every join here is between distinct names and distinct snapshot keys.
     """
-    best = wikidata_from_page(wiki_best(wiki_verified(wiki_scored(wiki_candidates(names, kb.pages)), kb.pages)), kb.items)
-    direct = wikidata_direct(names, kb.items).drop("score")
+    best = wikidata_from_page(wiki_best(wiki_verified(wiki_scored(wiki_candidates(names, kb.pages, kb.index.get("pages"))), kb.pages)), kb.items)
+    direct = wikidata_direct(names, kb.items, kb.index.get("items")).drop("score")
     best = with_extract(best, kb.pages, X.person_shaped(F.col("name"))).withColumn("page_extract", plain_extract(F.col("extract")))
     classes = kb.items.select(F.concat(F.lit(rules.WIKIDATA), "id").alias("_item"), "p31")
     by_class = lambda column, alias: classes.select(F.col("_item").alias(f"_{column.removesuffix('_item')}_key"), F.col("p31").alias(alias))
     return (
         names.join(best.select("name", "academic", F.col("url").alias("page_url"), "page_item", "page_extract"), ["name", "academic"], "left")
         .join(direct, ["name", "academic"], "left")
-        .join(graph_best(names, kb.graph), "name", "left")
+        .join(graph_best(names, kb.graph, kb.index.get("graph")), "name", "left")
         .join(product_ontology(names, kb.urls), "name", "left")
         # A name without an item asks for its own name, which is no item: the missing ones do not share a task.
         .withColumns({f"_{k}_key": F.coalesce(f"{k}_item", F.concat(F.lit("none "), "name")) for k in ("page", "direct")})
@@ -468,13 +516,22 @@ def link_names(keys: DataFrame, kb: KnowledgeBase) -> DataFrame:
 LINK_COLUMNS = ("type", "wikipedia_url", "wikidata_url", "google_kg_url", "product_ontology_url")
 
 
+def scored_keys(mentions: DataFrame, batch_size: int | None = rules.BATCH_SIZE) -> DataFrame:
+    """Mentions that are linked, with their base score and the key ``(name, topic_key)`` that their links depend on."""
+    return base_score(mentions, batch_size).withColumn("topic_key", topic_key(F.col("name"), F.col("main_topic")))
+
+
 def link_mentions(mentions: DataFrame, kb: KnowledgeBase, batch_size: int | None = rules.BATCH_SIZE) -> DataFrame:
     """``mentions(page_id, pos, name, main_topic[, cached])`` to linked entities with ``confidence``.
 
     Skipped names and cache hits are not in the result; :func:`merge_cached` puts them back.
     """
-    scored = base_score(mentions, batch_size).withColumn("topic_key", topic_key(F.col("name"), F.col("main_topic")))
-    links = link_names(scored.select("name", "topic_key").distinct(), kb)
+    scored = scored_keys(mentions, batch_size)
+    return with_links(scored, link_names(scored.select("name", "topic_key").distinct(), kb))
+
+
+def with_links(scored: DataFrame, links: DataFrame) -> DataFrame:
+    """:func:`scored_keys` with their ``links(name, topic_key, …)`` and ``confidence``."""
     linked = spread_join(scored, links, ["name", "topic_key"], "page_id")
     score = confidence(*[F.col(c) for c in ("base", "wikipedia_url", "wikidata_url", "google_kg_url", "product_ontology_url", "type")])
     return linked.select("page_id", "pos", "batch", "name", *LINK_COLUMNS, score.alias("confidence"))

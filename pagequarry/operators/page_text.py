@@ -85,8 +85,13 @@ def main_content(text: Column, nodes: Column, removed: Column) -> Column:
     Ties go by selector order, then document order. ``array_max`` over (length, order) picks it without sorting, and
     the text is only cut out for the candidates.
     """
-    candidates = N.select(nodes, *rules.MAIN_CONTENT)
-    outside = F.filter(candidates, lambda n: ~N.within(removed, n))
+    kept = F.struct(N.kept_runs(text, removed).alias("runs"), N.removed_flags(nodes, removed).alias("gone"))
+    return X.let(kept, lambda k: _main_content(k["runs"], k["gone"], nodes))
+
+
+def _main_content(runs: Column, gone: Column, nodes: Column) -> Column:
+    outside = F.filter(N.select(nodes, *rules.MAIN_CONTENT), lambda n: ~F.get(gone, n["pre"]))
+    shown = lambda n: X.trim(N.run_text(runs, n))
 
     def rank(n: Column) -> Column:
         order = F.lit(len(rules.MAIN_CONTENT))
@@ -97,16 +102,16 @@ def main_content(text: Column, nodes: Column, removed: Column) -> Column:
     scored = F.transform(
         outside,
         lambda n: F.struct(
-            F.length(X.trim(N.kept_text(text, removed, n))).alias("size"),
+            F.length(shown(n)).alias("size"),
             (-rank(n)).alias("first_selector"),
             (-n["pre"]).alias("first_node"),
         ),
     )
     picked = X.let(
         F.array_max(scored),
-        lambda best: F.when(best["size"] > 0, X.trim(N.kept_text(text, removed, F.get(nodes, -best["first_node"])))),
+        lambda best: F.when(best["size"] > 0, X.let(F.get(nodes, -best["first_node"]), shown)),
     )
-    return F.coalesce(picked, X.trim(N.kept_text(text, removed, N.first(nodes, "body"))), F.lit(""))
+    return F.coalesce(picked, X.let(N.first(nodes, "body"), shown), F.lit(""))
 
 
 def page_text(parsed: DataFrame, keep: tuple[str, ...] = (), also: Sequence[Column] = ()) -> DataFrame:
@@ -114,18 +119,18 @@ def page_text(parsed: DataFrame, keep: tuple[str, ...] = (), also: Sequence[Colu
 
     A map over the parsed pages: no shuffle.
     """
+    return strip_boilerplate(parsed).select("page_id", "url", *keep, *_text_columns(), *also)
+
+
+@X.built_once
+def _text_columns() -> list[Column]:
     text, nodes = F.col("text"), F.col("nodes")
-    stripped = strip_boilerplate(parsed)
-    return stripped.select(
-        "page_id",
-        "url",
-        *keep,
+    return [
         page_title(text, nodes).alias("title"),
         page_description(nodes).alias("description"),
         page_headings(text, nodes).alias("headings"),
         X.trim(X.collapse(main_content(text, nodes, F.col("removed")))).alias("body"),
-        *also,
-    )
+    ]
 
 
 def full_text(title: Column, description: Column, headings: Column, body: Column) -> Column:

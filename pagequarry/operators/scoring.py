@@ -25,7 +25,7 @@ ENTITY = T.StructType(
 
 
 def entities_by_page(linked: DataFrame) -> DataFrame:
-    """``(page_id, entities)`` in input order; at most 40 per page, so the list is small."""
+    """``(page_id, entities)`` in input order. A page's list is as long as its mentions: the extraction's cap, or its text, bounds it."""
     if "linkedin_url" not in linked.columns:
         linked = linked.withColumn("linkedin_url", F.lit(None))
     row = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ENTITY.fields])
@@ -129,12 +129,12 @@ def salience_tips(entities: Column, topic: Column, irrelevant: Column) -> Column
 RECOMMENDATION = "array<struct<category:string,advice:string>>"
 
 
-def recommend_basic(entities: Column, title: Column, description: Column, headings: Column, body: Column) -> Column:
-    """The first five rule-based recommendations of a page."""
+def recommend_basic(entities: Column, title: Column, description: Column, headings: Column, body: Column, limits: rules.Limits = rules.LIMITS) -> Column:
+    """The first ``limits.recommendations`` rule-based recommendations of a page."""
     before, after = rules.ADVICE_ENTITY[1].split("%s")
     rare = X.let(F.lower(body), lambda low: F.filter(entities, lambda e: X.count_occurrences(low, F.lower(e["name"])) <= 1))
     per_entity = F.transform(
-        F.slice(rare, 1, 5),
+        X.head(rare, limits.recommendations),
         lambda e: F.struct(F.lit(rules.ADVICE_ENTITY[0]).alias("category"), F.concat(F.lit(before), e["name"], F.lit(after)).alias("advice")),
     )
 
@@ -151,7 +151,7 @@ def recommend_basic(entities: Column, title: Column, description: Column, headin
     )
     found = F.concat(per_entity.cast(RECOMMENDATION), page_level.cast(RECOMMENDATION))
     general = F.array(F.struct(F.lit(rules.ADVICE_NONE[0]).alias("category"), F.lit(rules.ADVICE_NONE[1]).alias("advice")))
-    return X.let(found, lambda f: F.slice(F.when(F.size(f) > 0, f).otherwise(general.cast(RECOMMENDATION)), 1, 5))
+    return X.let(found, lambda f: X.head(F.when(F.size(f) > 0, f).otherwise(general.cast(RECOMMENDATION)), limits.recommendations))
 
 
 # ── recommendation requests and responses ─────────────────────────────────────
@@ -194,19 +194,19 @@ def schema_context(jsonld: Column) -> Column:
 
 
 def recommendation_requests(
-    pages: DataFrame, prompt: str = DEFAULT_RECOMMENDATION_PROMPT, task: str = DEFAULT_RECOMMENDATION_TASK
+    pages: DataFrame, prompt: str = DEFAULT_RECOMMENDATION_PROMPT, task: str = DEFAULT_RECOMMENDATION_TASK, limits: rules.Limits = rules.LIMITS
 ) -> DataFrame:
-    """One request per page: 2,500 characters of body, the first five entities above 50, the schema context.
+    """One request per page: the start of the body, the first entities above 50, the schema context; ``limits`` says how much.
 
     ``pages`` has ``page_id``, ``body``, ``entities`` and ``jsonld``.
     """
-    top = F.slice(F.filter("entities", lambda e: e["confidence"] > 50), 1, 5)
+    top = X.head(F.filter("entities", lambda e: e["confidence"] > 50), limits.request_entities)
     settings = rules.EXTRACTION_MODEL
     return pages.select(
         "page_id",
         F.concat(
             F.lit(prompt),
-            F.substring("body", 1, 2500),
+            X.cut(F.col("body"), limits.request_chars),
             F.lit("...\n\n**Most Salient Topical Entities Identified:**\n"),
             F.array_join(F.transform(top, lambda e: e["name"]), ", "),
             schema_context(F.col("jsonld")),
@@ -226,7 +226,7 @@ def parse_recommendations(body: Column, fallback: Column) -> Column:
 
 def recommendation_rows(pages: DataFrame, column: str = "recommendations") -> DataFrame:
     """``(page_id, rank, category, advice)``."""
-    return pages.select("page_id", F.posexplode(column).alias("rank", "r")).select(
+    return pages.select("page_id", F.posexplode_outer(column).alias("rank", "r")).filter("rank IS NOT NULL").select(
         "page_id", (F.col("rank") + 1).alias("rank"), "r.category", "r.advice"
     )
 

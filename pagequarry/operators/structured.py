@@ -136,8 +136,8 @@ def _answer_among(text: Column, later: Column) -> Column:
     return F.coalesce(by_class, X.let(F.filter(later, lambda n: n["chars"] > 20), first_long))
 
 
-def faq(text: Column, nodes: Column) -> Column:
-    """Up to 15 questions with answers as an FAQ page, NULL if there are none.
+def faq(text: Column, nodes: Column, limits: rules.Limits = rules.LIMITS) -> Column:
+    """Up to ``limits.faq`` questions with answers as an FAQ page, NULL if there are none.
 
     Questions inside FAQ containers come first (container selector, container, question selector, position), then
     headings anywhere. The first usable answer per question counts.
@@ -182,7 +182,7 @@ def faq(text: Column, nodes: Column) -> Column:
         return X.let(F.transform(items, key), pick)
 
     page = lambda q: F.when(F.size(q) > 0, _part("FAQPage", questions=q))
-    return X.let(F.slice(X.let(usable, first_per_question), 1, 15), page)
+    return X.let(X.head(X.let(usable, first_per_question), limits.faq), page)
 
 
 def _part(kind: str, questions=None, name=None, steps=None, description=None, time=None, supply=None) -> Column:
@@ -198,9 +198,10 @@ def clean_step_name(text: Column) -> Column:
     return X.trim(X.sub(text, rules.STEP_PREFIX, "", "i"))
 
 
-def clean_step(text: Column) -> Column:
-    """Step prefix stripped, white space collapsed, cut at 1,000 characters."""
-    return X.clip_at_period(X.collapse(clean_step_name(text)), 1000, 800)
+def clean_step(text: Column, most: int | None = rules.LIMITS.step_chars) -> Column:
+    """Step prefix stripped, white space collapsed, cut at ``most`` characters, after a period in their last fifth if there is one."""
+    bare = X.collapse(clean_step_name(text))
+    return bare if most is None else X.clip_at_period(bare, most, most * 4 // 5)
 
 
 def howto_time(text: Column) -> Column:
@@ -212,18 +213,18 @@ def howto_time(text: Column) -> Column:
     return F.coalesce(*found)
 
 
-def howto_supplies(text: Column, nodes: Column, container: Column) -> Column:
-    """Up to ten list items under the first supply selector that has any; NULL if none."""
-    return X.let(N.inside(nodes, container), lambda inner: _supplies(text, nodes, inner))
+def howto_supplies(text: Column, nodes: Column, container: Column, limits: rules.Limits = rules.LIMITS) -> Column:
+    """Up to ``limits.supplies`` list items under the first supply selector that has any; NULL if none."""
+    return X.let(N.inside(nodes, container), lambda inner: _supplies(text, nodes, inner, limits))
 
 
-def _supplies(text: Column, nodes: Column, inner: Column) -> Column:
+def _supplies(text: Column, nodes: Column, inner: Column, limits: rules.Limits) -> Column:
     def under(groups: Column) -> Column:
         items = F.filter(
             inner, lambda n: (n["tag"] == "li") & F.exists(groups, lambda g: (n["pre"] > g["pre"]) & (n["pre"] <= g["pre_end"]))
         )
         names = F.filter(F.transform(items, lambda n: X.trim(N.node_text(text, n))), lambda t: F.length(t).between(1, 99))
-        rows = F.transform(F.slice(names, 1, 10), lambda t: F.struct(F.lit("HowToSupply"), t).cast(SUPPLY))
+        rows = F.transform(X.head(names, limits.supplies), lambda t: F.struct(F.lit("HowToSupply"), t).cast(SUPPLY))
         return X.let(rows, some)
 
     return N.first_value(F.transform(N.turns(nodes, *rules.HOWTO_SUPPLIES), under))
@@ -237,22 +238,22 @@ def _remove_first(text: Column, part: Column) -> Column:
     return X.let(F.position(part, text), at)
 
 
-def _numbered(container_text: Column, pattern: str, flags: str) -> Column:
+def _numbered(container_text: Column, pattern: str, flags: str, limits: rules.Limits) -> Column:
     """Steps from numbered lines."""
     regex = X.rx(pattern, flags)
     numbers = F.regexp_extract_all(container_text, F.lit(regex), F.lit(1))
     bodies = F.regexp_extract_all(container_text, F.lit(regex), F.lit(2))
     both = F.zip_with(numbers, bodies, lambda n, b: F.struct(n.cast("int").alias("n"), X.trim(b).alias("b")))
     kept = F.filter(both, lambda s: F.length(s["b"]) > 15)
-    return F.transform(kept, lambda s: F.struct(F.lit("HowToStep"), s["n"], clean_step(s["b"]), F.lit(None)).cast(STEP))
+    return F.transform(kept, lambda s: F.struct(F.lit("HowToStep"), s["n"], clean_step(s["b"], limits.step_chars), F.lit(None)).cast(STEP))
 
 
-def howto_steps(text: Column, nodes: Column, container: Column) -> Column:
-    """Up to 25 steps: elements of the first step selector that yields any, else numbered lines."""
-    return X.let(container, lambda c: X.let(N.inside(nodes, c), lambda inner: _steps(text, nodes, c, inner)))
+def howto_steps(text: Column, nodes: Column, container: Column, limits: rules.Limits = rules.LIMITS) -> Column:
+    """Up to ``limits.steps`` steps: elements of the first step selector that yields any, else numbered lines."""
+    return X.let(container, lambda c: X.let(N.inside(nodes, c), lambda inner: _steps(text, nodes, c, inner, limits)))
 
 
-def _steps(text: Column, nodes: Column, container: Column, inner: Column) -> Column:
+def _steps(text: Column, nodes: Column, container: Column, inner: Column, limits: rules.Limits) -> Column:
     none = F.array().cast(f"array<{STEP}>")
 
     def from_elements(found: Column) -> Column:
@@ -266,7 +267,7 @@ def _steps(text: Column, nodes: Column, container: Column, inner: Column) -> Col
         return F.transform(
             kept,
             lambda s, i: F.struct(
-                F.lit("HowToStep"), (i + 1).cast("int"), clean_step(s["body"]), F.when(s["name"] != "", clean_step_name(s["name"]))
+                F.lit("HowToStep"), (i + 1).cast("int"), clean_step(s["body"], limits.step_chars), F.when(s["name"] != "", clean_step_name(s["name"]))
             ).cast(STEP),
         )
 
@@ -275,13 +276,13 @@ def _steps(text: Column, nodes: Column, container: Column, inner: Column) -> Col
     structured = F.get(F.filter(found, lambda steps: F.size(steps) > 0), F.lit(0))
     body = N.node_text(text, container)
     numbered = [
-        _numbered(body, r"(?:^|\n)\s*(\d+)[.)]\s*([^\n]+)", "m"),
-        _numbered(body, r"(?:^|\n)\s*Step\s+(\d+):?\s*([^\n]+)", "im"),
+        _numbered(body, r"(?:^|\n)\s*(\d+)[.)]\s*([^\n]+)", "m", limits),
+        _numbered(body, r"(?:^|\n)\s*Step\s+(\d+):?\s*([^\n]+)", "im", limits),
     ]
-    return F.slice(F.coalesce(structured, *[X.let(s, some) for s in numbered], none), 1, 25)
+    return X.head(F.coalesce(structured, *[X.let(s, some) for s in numbered], none), limits.steps)
 
 
-def howto(text: Column, nodes: Column) -> Column:
+def howto(text: Column, nodes: Column, limits: rules.Limits = rules.LIMITS) -> Column:
     """How-to of the first container that has steps, else from step headings, else NULL."""
     page_title = X.trim(F.array_join(F.transform(N.select(nodes, "title"), lambda n: N.node_text(text, n)), ""))
     named = F.coalesce(F.concat(F.lit("How to "), X.first_match(page_title, r"how\s+to\s+(.+)", 1)), F.lit("How-to Guide"))
@@ -296,33 +297,33 @@ def howto(text: Column, nodes: Column) -> Column:
         description = N.first_of_each(inner, (*rules.HOWTO_DESCRIPTIONS, "p"), long)
         whole = lambda steps: _part(
             "HowTo", name=title, steps=steps, description=description, time=X.let(N.node_text(text, c), howto_time),
-            supply=howto_supplies(text, nodes, c),
+            supply=howto_supplies(text, nodes, c, limits),
         )
-        return X.let(howto_steps(text, nodes, c), lambda steps: F.when(F.size(steps) > 0, whole(steps)))
+        return X.let(howto_steps(text, nodes, c, limits), lambda steps: F.when(F.size(steps) > 0, whole(steps)))
 
     firsts = F.transform(N.turns(nodes, *rules.HOWTO_CONTAINERS), lambda found: F.get(found, F.lit(0))["pre"])
     containers = F.array_distinct(F.array_compact(firsts))
     built = F.transform(containers, lambda p: X.let(F.get(nodes, p), from_container))
-    return F.coalesce(N.first_value(built), howto_from_headings(text, nodes))
+    return F.coalesce(N.first_value(built), howto_from_headings(text, nodes, limits))
 
 
-def howto_from_headings(text: Column, nodes: Column) -> Column:
+def howto_from_headings(text: Column, nodes: Column, limits: rules.Limits = rules.LIMITS) -> Column:
     """How-to of a page whose first h1 announces one and that has at least two step headings."""
     title = X.trim(N.node_text(text, N.first(nodes, "h1")))
-    return X.let(title, lambda t: F.when(X.hits(t, rules.HOWTO_PAGE_TITLE), _headed_steps(text, nodes, t)))
+    return X.let(title, lambda t: F.when(X.hits(t, rules.HOWTO_PAGE_TITLE), _headed_steps(text, nodes, t, limits)))
 
 
-def _headed_steps(text: Column, nodes: Column, title: Column) -> Column:
+def _headed_steps(text: Column, nodes: Column, title: Column, limits: rules.Limits) -> Column:
     heading_text = lambda n: X.trim(N.node_text(text, n))
     heads = F.filter(N.select(nodes, "h2", "h3"), lambda n: X.hits(heading_text(n), rules.HOWTO_STEP_TITLE, ""))
 
     def one(n: Column, i: Column) -> Column:
         between = until(N.later_siblings(nodes, n), lambda s: s["tag"].rlike(r"^h[1-6]\z"))
         body = X.trim(F.array_join(F.transform(between, heading_text), " "))
-        step = lambda b: F.struct(F.lit("HowToStep"), (i + 1).cast("int"), clean_step(b), clean_step_name(heading_text(n)))
+        step = lambda b: F.struct(F.lit("HowToStep"), (i + 1).cast("int"), clean_step(b, limits.step_chars), clean_step_name(heading_text(n)))
         return X.let(body, lambda b: F.when(b != "", step(b).cast(STEP)))
 
-    whole = lambda steps: F.when(F.size(steps) >= 2, _part("HowTo", name=title, steps=F.slice(steps, 1, 20)))
+    whole = lambda steps: F.when(F.size(steps) >= 2, _part("HowTo", name=title, steps=X.head(steps, limits.heading_steps)))
     return X.let(F.array_compact(F.transform(heads, one)), whole)
 
 

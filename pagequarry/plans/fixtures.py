@@ -6,14 +6,17 @@ from ``documents``, response bodies from page and document keys. Everything grow
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagequarry import rules
 from pagequarry.operators import dom
 from pagequarry.operators import mentions as M
 from pagequarry.operators import page_text as P
-from pagequarry.operators.linking import KnowledgeBase
-from pagequarry.session import settle
+from pagequarry.operators.linking import KnowledgeBase, indexed
+from pagequarry.session import checkpoint_dir, settle
 from pagequarry.sources.pages import clean_pages
 
 
@@ -75,9 +78,9 @@ def annotated_parsed(spark: SparkSession, sf: str) -> DataFrame:
     return dom.parse_pages(annotated(spark, sf))
 
 
-def text_mentions(spark: SparkSession, sf: str) -> DataFrame:
+def text_mentions(spark: SparkSession, sf: str, cap: int | None = rules.MAX_MENTIONS) -> DataFrame:
     """``(page_id, pos, name)`` over the cleaned page text."""
-    return M.mentions(pages(spark, sf), P.clean_text(F.col("html")))
+    return M.mentions(pages(spark, sf), P.clean_text(F.col("html")), cap=cap)
 
 
 def scored_mentions(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +109,19 @@ def phrases(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("phrase").agg(F.min("doc_id").alias("doc_id"))
 
 
+_BUILT: dict[tuple[str, str], KnowledgeBase] = {}
+
+
 def knowledge_base(spark: SparkSession, sf: str) -> KnowledgeBase:
+    """The snapshot of ``sf`` with stored search indexes, built once a session, as a snapshot is once for many runs."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _BUILT:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        _BUILT[at] = indexed(snapshot(spark, sf), f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}", buckets)
+    return _BUILT[at]
+
+
+def snapshot(spark: SparkSession, sf: str) -> KnowledgeBase:
     """Snapshot tables. ``rank`` orders hits by the text itself, so it needs no global numbering."""
     docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("extract"))
     base = settle(phrases(spark, sf))

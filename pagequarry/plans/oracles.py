@@ -208,7 +208,8 @@ SQL["drop_common"] = f"""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_e
 n AS (SELECT doc_id, CASE WHEN length(w) = 1 THEN upper(w) WHEN length(w) = 2 THEN upper(w[1]) || ' ' || upper(w[2]) ELSE upper(w[1]) || lower(w[2:]) END AS name FROM w)
 SELECT name, count(*) AS docs FROM n WHERE NOT ({COMMON}) GROUP BY name"""
 SQL["mentions"] = f"WITH {M} SELECT page_id, pos, name FROM m"
-SQL["top_mentions"] = f"WITH {M} SELECT name, count(*) AS pages, min(page_id) AS first_page FROM m GROUP BY name ORDER BY pages DESC, name LIMIT 100"
+EVERY = mentions(f"SELECT page_id, {CLEAN} AS t FROM pages", cap=None)
+SQL["top_mentions"] = f"WITH {EVERY} SELECT name, count(*) AS pages, min(page_id) AS first_page FROM m GROUP BY name ORDER BY pages DESC, name LIMIT 100"
 DM = mentions("SELECT doc_id, text AS t FROM documents", "doc_id")
 SQL["extract_entities"] = f"""WITH {DM}, n AS (SELECT doc_id, string_agg(name, '|' ORDER BY pos) AS names FROM m GROUP BY 1)
 SELECT d.doc_id AS page_id, CASE d.doc_id % 5 WHEN 1 THEN 'Topic ' || d.doc_id WHEN 4 THEN 'T' ELSE '' END AS main_topic, CASE WHEN d.doc_id % 5 IN (1, 2, 4) THEN 0.85 ELSE 0 END::DOUBLE AS confidence,
@@ -285,6 +286,7 @@ best AS (SELECT * REPLACE (score - CASE WHEN contains(t, 'disambiguation') THEN
 items AS (SELECT num, CASE WHEN length(phrase) % 11 = 0 THEN '' ELSE phrase END AS label, CASE WHEN length(phrase) % 2 = 0 THEN 'the ' || lower(phrase) || ' of page ' || doc_id ELSE '' END AS description,
   CASE length(phrase) % 6 WHEN 0 THEN 'Q5' WHEN 1 THEN 'Q43229' WHEN 2 THEN 'Q571' WHEN 3 THEN 'Q12737077' END AS p31 FROM kb),
 pg AS (SELECT b.name, b.url, b.extract, CASE WHEN label <> '' AND {label("lower(replace(b.title, ' ', '_'))", "lower(label)", "''")} >= 50 THEN 'https://www.wikidata.org/wiki/Q' || b.num END AS page_item FROM best b JOIN items USING (num))"""
+SQL["search_index"] = f"""WITH {KB.split("n AS (SELECT DISTINCT")[0].rstrip().rstrip(",")}, {index("pidx")} SELECT key, hit, phrase AS title FROM pidx"""
 SQL["wiki_candidates"] = f"WITH {M}, {WIKI} SELECT name, hit, title, url FROM cand"
 SQL["wiki_score"] = f"WITH {M}, {WIKI} SELECT name, title, score::DOUBLE AS score FROM sc"
 SQL["wiki_verify"] = f"WITH {M}, {WIKI} SELECT name, title, score::DOUBLE AS score FROM ver"
@@ -567,8 +569,8 @@ d AS (SELECT *, list_filter(t, lambda x, i: list_position(t, x) = i)[1:20] AS te
 a AS (SELECT page_id, 1 AS o, 'primary_topic' AS type, substring(topic, 1, 600) AS content FROM d WHERE topic <> '' UNION ALL SELECT page_id, 2, 'paragraphs', substring(array_to_string(paras, ' | '), 1, 1200) FROM d WHERE len(paras) > 0
   UNION ALL SELECT page_id, 3, 'key_terms', substring(array_to_string(terms, ' | '), 1, 400) FROM d WHERE len(terms) > 0)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS pos, type, NULL AS heading, content FROM a"""
-SQL["fanout_requests"] = """SELECT doc_id AS page_id, md5(text) AS content_hash, 2 AS chunks_extracted, md5('Read.' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'URL: https://example.org/' || doc_id || chr(10) || chr(10) ELSE '' END
-  || 'SEMANTIC CHUNKS FROM PAGE:' || chr(10) || '[{"type":"section","heading":' || to_json(lang)::VARCHAR || ',"content":' || to_json(substring(text, 1, 500))::VARCHAR || '},{"type":"list","content":' || to_json(source)::VARCHAR || '}]'
+SQL["fanout_requests"] = """SELECT doc_id AS page_id, md5(text) AS content_hash, len(string_split(text, chr(10))) + 1 AS chunks_extracted, md5('Read.' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'URL: https://example.org/' || doc_id || chr(10) || chr(10) ELSE '' END
+  || 'SEMANTIC CHUNKS FROM PAGE:' || chr(10) || '[' || array_to_string(list_transform(string_split(text, chr(10)), lambda x: '{"type":"section","heading":' || to_json(lang)::VARCHAR || ',"content":' || to_json(x)::VARCHAR || '}'), ',') || ',{"type":"list","content":' || to_json(source)::VARCHAR || '}]'
   || chr(10) || 'Answer.') AS prompt_md5, 0.3::DOUBLE AS temperature, 12288 AS "maxOutputTokens" FROM documents"""
 SQL["parse_fanout"] = """SELECT md5('page ' || page_id) AS content_hash, 'Page ' || page_id AS primary_entity, CASE WHEN page_id % 3 = 0 THEN 5 ELSE 4 END AS n_queries, 'Next ' || page_id || '|Then what' AS follow_ups,
   (page_id % 7) || '/' || (page_id % 5) || ' queries' AS coverage_score, '** add more a table and a list' AS recommendations FROM pages"""

@@ -340,7 +340,7 @@ def mentions(spark, sf):
 @query
 def top_mentions(spark, sf):
     """A report of the :data:`TOP` names on most pages."""
-    return fx.text_mentions(spark, sf).groupBy("name").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page")).orderBy(F.col("pages").desc(), "name").limit(TOP)
+    return fx.text_mentions(spark, sf, cap=None).groupBy("name").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page")).orderBy(F.col("pages").desc(), "name").limit(TOP)
 
 
 @query
@@ -425,9 +425,20 @@ def wiki_search_terms(spark, sf):
     return L.wiki_search_terms(asked.select("name", "academic").distinct())
 
 
+@query
+def search_index(spark, sf):
+    """The stored index of page titles: each run of leading words with its best entries."""
+    return fx.knowledge_base(spark, sf).index["pages"].table.select("key", "hit", "title")
+
+
+def _candidates(spark, sf):
+    kb = fx.knowledge_base(spark, sf)
+    return L.wiki_candidates(fx.names(spark, sf), kb.pages, kb.index["pages"])
+
+
 @query
 def wiki_candidates(spark, sf):
-    found = L.wiki_candidates(fx.names(spark, sf), fx.knowledge_base(spark, sf).pages)
+    found = _candidates(spark, sf)
     return found.select("name", "hit", "title", "url")
 
 
@@ -443,7 +454,7 @@ def wiki_reject(spark, sf):
 
 @query
 def wiki_score(spark, sf):
-    found = L.wiki_scored(L.wiki_candidates(fx.names(spark, sf), fx.knowledge_base(spark, sf).pages))
+    found = L.wiki_scored(_candidates(spark, sf))
     return found.select("name", "title", "score")
 
 
@@ -461,7 +472,7 @@ def wiki_score_forms(spark, sf):
 
 def _verified(spark, sf):
     kb = fx.knowledge_base(spark, sf)
-    return L.wiki_verified(L.wiki_scored(L.wiki_candidates(fx.names(spark, sf), kb.pages)), kb.pages), kb
+    return L.wiki_verified(L.wiki_scored(_candidates(spark, sf)), kb.pages), kb
 
 
 @query
@@ -482,7 +493,8 @@ def wikidata_from_page(spark, sf):
 
 @query
 def wikidata_direct(spark, sf):
-    return L.wikidata_direct(fx.names(spark, sf), fx.knowledge_base(spark, sf).items).select("name", "direct_item", "score")
+    kb = fx.knowledge_base(spark, sf)
+    return L.wikidata_direct(fx.names(spark, sf), kb.items, kb.index["items"]).select("name", "direct_item", "score")
 
 
 @query
@@ -507,7 +519,8 @@ def academic_mismatch(spark, sf):
 
 @query
 def google_kg(spark, sf):
-    return L.graph_best(fx.names(spark, sf), fx.knowledge_base(spark, sf).graph)
+    kb = fx.knowledge_base(spark, sf)
+    return L.graph_best(fx.names(spark, sf), kb.graph, kb.index["graph"])
 
 
 @query
@@ -784,7 +797,8 @@ def author_and_organization(spark, sf):
 @query
 def faq(spark, sf):
     found = fx.annotated_parsed(spark, sf).select("page_id", S.faq(F.col("text"), F.col("nodes")).alias("faq"))
-    return found.select("page_id", F.posexplode("faq.mainEntity").alias("pos", "q")).select("page_id", "pos", "q.name", F.col("q.acceptedAnswer.text").alias("answer"))
+    rows = found.select("page_id", F.posexplode_outer("faq.mainEntity").alias("pos", "q")).filter("pos IS NOT NULL")
+    return rows.select("page_id", "pos", "q.name", F.col("q.acceptedAnswer.text").alias("answer"))
 
 
 @query
@@ -922,7 +936,7 @@ def semantic_chunks_fallback(spark, sf):
 def fanout_requests(spark, sf):
     docs = fx.table(spark, sf, "documents").selectExpr(
         "doc_id AS page_id", "CASE WHEN doc_id % 2 = 0 THEN concat('https://example.org/', doc_id) ELSE '' END AS url", "md5(text) AS content_hash",
-        "array(named_struct('type', 'section', 'heading', lang, 'content', substring(text, 1, 500)), named_struct('type', 'list', 'heading', CAST(NULL AS STRING), 'content', source)) AS chunks",
+        "concat(transform(split(text, '\\n', -1), line -> named_struct('type', 'section', 'heading', lang, 'content', line)), array(named_struct('type', 'list', 'heading', CAST(NULL AS STRING), 'content', source))) AS chunks",
     )
     asked = G.fanout_requests(docs, prompt="Read.\n", task="\nAnswer.")
     return asked.select("page_id", "content_hash", "chunks_extracted", F.md5("prompt").alias("prompt_md5"), "temperature", "maxOutputTokens")
@@ -1016,7 +1030,7 @@ def _stream_events(spark, sf):
 def stream_new_content(spark, sf):
     keyed = _stream_events(spark, sf).selectExpr("event_id", "ts", "md5(concat('content ', user_id % 97)) AS content_hash")
     keyed = keyed.withColumn("ts", F.col("ts").cast("timestamp"))
-    return spark.read.parquet(ST.write_append(ST.new_content(keyed), ST.run_folder(spark, "content"))).groupBy("content_hash").agg(F.count("*").alias("extractions"))
+    return ST.write_new_content(keyed, ST.run_folder(spark, "content")).groupBy("content_hash").agg(F.count("*").alias("extractions"))
 
 
 @query

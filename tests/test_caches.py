@@ -112,12 +112,12 @@ def test_streams_over_arriving_files(spark, tmp_path):
     usage_folder, rate_folder, content_folder = (str(tmp_path / n) for n in ("usage", "rate", "content"))
     ST.write_usage(ST.usage_counts(arriving), usage_folder)
     ST.write_hit_rate(ST.hit_rate(arriving), rate_folder)
-    ST.write_append(ST.new_content(arriving), content_folder)
+    ST.write_new_content(arriving, content_folder)
     spark.createDataFrame(second, schema).coalesce(1).write.mode("append").parquet(folder)
     rates = ST.write_hit_rate(ST.hit_rate(arriving), rate_folder)
     # Event 4 is later than the watermark and is dropped; the open hour of event 5 is there.
     assert sorted((r["requests"], r["hits"]) for r in rates.collect()) == [(1, 0), (1, 1), (1, 1), (1, 1)]
-    content = spark.read.parquet(ST.write_append(ST.new_content(arriving), content_folder))
+    content = ST.write_new_content(arriving, content_folder)
     assert sorted(r["event_id"] for r in content.collect()) == [1, 3, 4]
 
 
@@ -130,8 +130,7 @@ def test_new_content_is_the_same_for_one_batch_and_many(spark, tmp_path):
         for at in range(0, 8, cut):
             spark.createDataFrame(rows[at : at + cut], "event_id long, ts timestamp_ntz, content_hash string").coalesce(1).write.mode("append").parquet(folder)
         arriving = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
-        path = ST.write_append(ST.new_content(arriving), out)
-        assert sorted(r["event_id"] for r in spark.read.parquet(path).collect()) == [1, 2, 4, 5, 7, 8]
+        assert sorted(r["event_id"] for r in ST.write_new_content(arriving, out).collect()) == [1, 2, 4, 5, 7, 8]
 
 
 def test_stream_usage_keeps_the_latest_count(spark, tmp_path):
