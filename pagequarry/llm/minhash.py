@@ -95,20 +95,25 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             data, offsets = base.strings(batch["text"])
             sets = list(shingle_sets(data, offsets, size))
-            n = np.array([len(s) for s in sets], dtype=np.int64)
-            low, high = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
             keys = np.zeros((len(sets), 2 * HALF), np.uint64)
             for at, some in _some(sets):
                 keys[at] = half_keys(minhashes(some, 2 * HALF * EACH))
-                starts = np.concatenate([[0], np.cumsum([len(s) for s in some])[:-1]])
-                every = np.concatenate(some)
-                low[at], high[at] = np.add.reduceat(every, starts), np.add.reduceat(text.mix(every ^ _XOR[0]), starts)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(k).view(np.int64).reshape(-1)), HALF).cast(pa.list_(pa.int64())) for k in (keys[:, :HALF], keys[:, HALF:])]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), *lists], names=["doc_id", "n", "low", "high", "first", "second"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *map(pa.array, _identities(sets)), *lists], names=["doc_id", "n", "low", "high", "first", "second"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, low long, high long, first array<long>, second array<long>")
 
 
+def _identities(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and two sums of each set, by which equal sets are known."""
+    low, high = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
+    for at, some in _some(sets):
+        starts = np.concatenate([[0], np.cumsum([len(s) for s in some])[:-1]])
+        every = np.concatenate(some)
+        low[at], high[at] = np.add.reduceat(every, starts), np.add.reduceat(text.mix(every ^ _XOR[0]), starts)
+    return np.array([len(s) for s in sets], dtype=np.int64), low.view(np.int64), high.view(np.int64)
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``; links are ``100 * intersection >= threshold * union``."""
     rows = written(signatures(docs, size))
@@ -119,7 +124,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, size: int = 5) -> Data
     sets = written(_sets(docs, members.select("id").distinct(), size))
     near = written(confirmed(written(_pivot_pairs(members)), sets, threshold))
     found = components(near)
-    points = reps.select("id", "n", "first", "second").join(sets.select("id", "long"), "id")
+    points = reps.select("id", *identity, "first", "second").join(sets.select("id", *identity, "long"), ["id", *identity]).drop("low", "high")
     rest = written(_rest_pairs(members, found, points, threshold))
     more = written(confirmed(rest, sets, threshold))
     if more.head(1):
@@ -143,7 +148,10 @@ def bucket_members(reps: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """``(id, shingles, long)`` of the documents named in ``ids``: sorted 64-bit hashes, and a byte of each long minhash."""
+    """``(id, n, low, high, shingles, long)`` of the documents named in ``ids``: sorted 64-bit hashes, and a byte of each long minhash.
+
+    An id that occurs with different texts has a row for each of its sets; pairs that name it are confirmed with all of them.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,12 +159,14 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             data, offsets = base.strings(batch["text"])
             sets = list(shingle_sets(data, offsets, size))
             long = np.zeros((len(sets), LONG), np.uint8)
+            n, low, high = _identities(sets)
             for at, some in _some(sets):
                 long[at] = minhashes(some, LONG).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch["id"], *(pa.array([r.tobytes() for r in v], pa.binary()) for v in (sets, long))], names=["id", "shingles", "long"])
+            packs = (pa.array([r.tobytes() for r in v], pa.binary()) for v in (sets, long))
+            yield pa.RecordBatch.from_arrays([batch["id"], *map(pa.array, (n, low, high)), *packs], names=["id", "n", "low", "high", "shingles", "long"])
 
     wanted = docs.select(F.col("doc_id").alias("id"), "text").join(written(ids), "id", "left_semi")
-    return wanted.mapInArrow(run, f"id {kind}, shingles binary, long binary").dropDuplicates(["id"])
+    return wanted.mapInArrow(run, f"id {kind}, n long, low long, high long, shingles binary, long binary").dropDuplicates(["id", "n", "low", "high"])
 
 
 def least_agreement(threshold: int) -> int:

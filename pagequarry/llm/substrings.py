@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from pagequarry.llm import base, text
 from pagequarry.llm.base import written
 
-#: Rows of a group, and hashes that one task compares.
-GROUP_ROWS, TASK_HASHES = 4096, 1_500_000
+#: Rows and bytes of a group, whichever makes more groups, and hashes that one task compares.
+GROUP_ROWS, GROUP_BYTES, TASK_HASHES = 4096, 1 << 26, 1_500_000
 #: Bits of a probe's hash that travel beside its bucket's.
 PROBE_BITS = 46
 
@@ -43,7 +43,7 @@ def _grouped(docs: DataFrame, columns: list[str], groups: int, name: str = "_gro
 
 def _words(table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
     """Runs of documents: numbers of the rows, bytes, word hashes, word starts and ends, word owners."""
-    data, offsets = base.strings(table["text"].combine_chunks())
+    data, offsets = base.strings(table["text"].cast(pa.large_string()).combine_chunks())
     for low, high in base.runs(offsets):
         cut = offsets[low : high + 1] - offsets[low]
         here = data[offsets[low] : offsets[high]]
@@ -81,7 +81,7 @@ def repeats(docs: DataFrame, size: int = 13) -> tuple[DataFrame, int]:
     """``(_group, first, second, least)`` packed: windows each group must know, with the smallest document; and the groups."""
     anchor = (size + 1) // 2
     shape = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    groups = base.parts(shape["rows"], GROUP_ROWS)
+    groups = max(base.parts(shape["rows"], GROUP_ROWS), base.parts(shape["bytes"], GROUP_BYTES))
     bits = max(1, base.parts(shape["bytes"] // 5, TASK_HASHES).bit_length())
     bits = min(bits, 18)
     shift, buckets = np.uint64(64 - PROBE_BITS - bits), 1 << bits
@@ -246,7 +246,7 @@ def drop_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
 
     def run(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
         table = table.drop_columns([group])
-        whole = table["text"].combine_chunks().to_pylist()
+        whole = table["text"].cast(pa.large_string()).combine_chunks().to_pylist()
         for row, data, starts, ends, gone in _removed(table, known, size):
             if gone.any():
                 # Each kept word goes out with the blanks that follow it; what stood before the first word stays too.

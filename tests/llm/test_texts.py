@@ -219,6 +219,32 @@ def test_near_duplicates_of_odd_documents(spark, odd):
     assert minhash.near_duplicates(odd.filter("false")).count() == 0
 
 
+def test_ids_with_different_texts_lose_no_links(spark, monkeypatch):
+    """Rows (1, A), (1, B), (2, near A), (3, near B): all in one class, also where only leftover pairs join them."""
+    base.prepare(spark)
+    random.seed(21)
+    words = lambda: [f"v{random.randrange(10**6)}" for _ in range(120)]
+    near = lambda w: " ".join([*w[:60], "other", *w[61:]])
+    for block in (minhash.BLOCK, 2):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        rows, wanted = [], {}
+        for k in range(0, 300, 10):
+            a, b = words(), words()
+            rows += [(k + 1, " ".join(a)), (k + 1, " ".join(b)), (k + 2, near(a)), (k + 3, near(b)), (k + 4, " ".join(words()))]
+            wanted.update({k + 1: k + 1, k + 2: k + 1, k + 3: k + 1, k + 4: k + 4})
+        found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
+        assert len(found) == len(rows) and {r["doc_id"]: r["component_id"] for r in found} == wanted
+
+
+def test_long_texts_make_more_groups(spark, monkeypatch):
+    """Groups follow bytes as well as rows, so that long texts do not share a task."""
+    monkeypatch.setattr(substrings, "GROUP_BYTES", 1000)
+    docs = spark.createDataFrame([(k, "the same passage of words that is long enough to be seen as a repeat here " * 30) for k in range(6)], "doc_id long, text string")
+    assert substrings.repeats(docs)[1] >= 13
+    wanted = collections.Counter((i, len(w), sum(g), digest(w, g)) for i, w, g in passages([(r["doc_id"], r["text"]) for r in docs.collect()]))
+    assert collections.Counter(tuple(r) for r in substrings.digests(docs).collect()) == wanted
+
+
 def test_near_duplicates_equal_brute_force_in_a_large_group(spark, monkeypatch):
     """One text with many copies that are edited more and more: some link with the first, some only with each other."""
     monkeypatch.setattr(minhash, "BLOCK", 16)
