@@ -26,6 +26,8 @@ def test_stages_on_their_own_inputs(spark):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     gone = {r["doc_id"] for r in before.collect()} - {r["doc_id"] for r in after.collect()}
     assert sum(labels.get(i) == 0 for i in gone) <= 2
+    marked = {r["doc_id"] for r in before.collect() if labels.get(r["doc_id"]) == 1}
+    assert marked and len(marked & gone) >= 0.95 * len(marked)
 
     before, after = tables["minhash_near_dedup"]
     of = near_duplicates([(r["doc_id"], r["text"]) for r in before.collect()], 80)
