@@ -82,10 +82,13 @@ class CacheStore:
         only entries that are asked for are shuffled twice, and a small set of keys prunes the buckets that are read. The
         way back is a join of plain exchanges, whose hot keys the adaptive skew join splits.
         """
+        payload = T.StructType([f for f in T.StructType.fromDDL(self.schema).fields if f.name not in (self.key, *PARTITIONS)])
+        if not folder_exists(self.spark, self.root):  # nothing was ever stored
+            return requests.withColumn("_entry", F.lit(None).cast(payload))
         asked = requests.select(self.key).filter(F.coalesce(self.key, F.lit("")) != "").distinct().withColumn("bucket", self._bucket(F.col(self.key)))
         served = self.rows().filter((F.col("expires_day") >= as_of.cast("date")) & (F.col("expires_at") > as_of))
         found = self._newest(served.join(asked, [self.key, "bucket"], "left_semi")).drop(*PARTITIONS)
-        entry = found.select(self.key, F.struct(*[c for c in found.columns if c != self.key]).alias("_entry"))
+        entry = found.select(self.key, F.struct(*payload.names).alias("_entry"))
         return requests.join(settle(entry), self.key, "left")
 
     def upsert(self, rows: DataFrame) -> None:

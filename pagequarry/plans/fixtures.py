@@ -7,6 +7,7 @@ from ``documents``, response bodies from page and document keys. Everything grow
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,21 @@ def annotated(spark: SparkSession, sf: str) -> DataFrame:
     return marked.select("page_id", "url", html.alias("html"))
 
 
+#: What the description of a page says besides, by page, so that every page type occurs.
+TYPE_WORDS = """CASE page_id % 5 WHEN 1 THEN ': SEO services of an agency for universities' WHEN 2 THEN ': restaurant and shop, phone, address and opening hours'
+  WHEN 3 THEN ': a degree program with its tuition and curriculum' WHEN 4 THEN ': a guide by its author, published in a blog' ELSE '' END"""
+#: What stands at the start of an education page's article.
+PROGRAM = "<article><div>It takes 18 months online, a certificate for 30 credits.</div>"
+
+
+def typed(spark: SparkSession, sf: str) -> DataFrame:
+    """The annotated pages with descriptions, and on some a programme, that make them pages of the five types."""
+    words = F.expr(f"concat('content=\"About page ', page_id, {TYPE_WORDS}, '\"')")
+    html = F.replace("html", F.concat(F.lit('content="About page '), "page_id", F.lit('"')), words)
+    program = F.when(F.col("page_id") % 5 == 3, F.replace(html, F.lit("<article>"), F.lit(PROGRAM))).otherwise(html)
+    return annotated(spark, sf).withColumn("html", program)
+
+
 def annotated_parsed(spark: SparkSession, sf: str) -> DataFrame:
     return dom.parse_pages(annotated(spark, sf))
 
@@ -163,6 +179,7 @@ def names(spark: SparkSession, sf: str) -> DataFrame:
 # ── events: caches, profiles, runs ────────────────────────────────────────────
 
 AS_OF = "TIMESTAMP_NTZ '2024-01-29 12:00:00'"
+AS_OF_TIME = datetime(2024, 1, 29, 12)
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:

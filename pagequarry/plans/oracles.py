@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pagequarry import rules
+from pagequarry.plans.fixtures import PROGRAM, TYPE_WORDS
 
 SQL: dict[str, str] = {}
 
@@ -127,6 +128,16 @@ SQL["purge_expired"] = f"WITH {REQUESTS}, {CACHE_CTES} " + " UNION ALL ".join(
     f"SELECT '{n}_cache' AS cache_name, count(*) AS deleted FROM c_{n} WHERE {'false AND ' if n == 'fanout' else ''}expires_at < {AS_OF}" for n in CACHES
 )
 SQL["purge_kept"] = f"WITH {REQUESTS}, {CACHE_CTES} SELECT url_hash, payload FROM c_url WHERE NOT expires_at < {AS_OF}"
+SQL["store_purge"] = f"WITH {REQUESTS}, {CACHE_CTES} " + " UNION ALL ".join(
+    f"SELECT '{n}_cache' AS cache_name, {CACHES[n][1]} AS key, payload, (SELECT count(*) FROM c_{n} WHERE expires_at < {AS_OF}) AS deleted FROM c_{n} WHERE NOT expires_at < {AS_OF}"
+    for n in CACHES if n != "fanout"
+)
+SQL["store_upsert"] = f"""WITH {REQUESTS}, {cache("c", "view", "url_hash", "1 HOUR")},
+n AS (SELECT url_hash, ts AS written_at, event_id AS payload, ts + INTERVAL 1 HOUR AS expires_at, 1 AS new FROM requests WHERE event_type = 'click' AND user_id % 9 <> 0),
+a AS (SELECT url_hash, written_at, payload, expires_at, 0 AS new FROM c UNION ALL SELECT * FROM n)
+SELECT url_hash, written_at, payload, expires_at FROM a QUALIFY row_number() OVER (PARTITION BY url_hash ORDER BY written_at DESC, new DESC) = 1"""
+SQL["store_lookup"] = f"""WITH {REQUESTS}, {cache("c", "signup", "entity_hash", "7 DAYS")}
+SELECT r.event_id, r.entity_hash, c.payload, c.expires_at FROM requests r LEFT JOIN c ON c.entity_hash = r.entity_hash AND c.expires_at > {AS_OF}"""
 SQL["cache_tiers"] = (
     f"WITH {REQUESTS}, {CACHE_CTES} SELECT event_id, CASE "
     + " ".join(
@@ -554,6 +565,29 @@ k AS (SELECT CASE WHEN service >= 2 AND agency >= 1 THEN 'Service' WHEN article
   WHEN service = top THEN 'Service' WHEN business = top THEN 'LocalBusiness' WHEN education = top THEN 'EducationalOccupationalProgram' ELSE 'Article' END AS schema_type FROM g)
 SELECT schema_type, count(*) AS pages, count(*) AS documents FROM k GROUP BY 1"""
 
+SERVICE_KEYS = """CASE WHEN page_id % 5 = 1 THEN ',"sameAs":["https://en.wikipedia.org/wiki/Search_engine_optimization","https://www.wikidata.org/wiki/Q180711"],"additionalType":"http://www.productontology.org/id/Search_Engine_Optimization"' ELSE '' END"""
+AUDIENCE_KEYS = """CASE WHEN page_id % 5 = 1 THEN ',"audience":{"@type":"EducationalAudience","name":"Higher Education Institutions","educationalRole":"Administrator"},"areaServed":{"@type":"AdministrativeArea","name":"United States"},"category":"Higher Education"' ELSE '' END"""
+PROGRAM_KEYS = """CASE WHEN page_id % 5 = 3 THEN ',"timeToComplete":"P18M","numberOfCredits":30,"educationalCredentialAwarded":{"@type":"EducationalOccupationalCredential","credentialCategory":"Certificate"},"educationalProgramMode":"online"' ELSE '' END"""
+TYPE_DOCUMENTS = {kind: SQL[f"jsonld_{query}"].removeprefix(JSONLD).removesuffix(" AS jsonld FROM o") for kind, query in (
+    ("WebPage", "webpage"), ("Service", "service"), ("Article", "article"), ("LocalBusiness", "local_business"), ("EducationalOccupationalProgram", "educational"))}
+TYPE_DOCUMENTS["Service"] = (
+    TYPE_DOCUMENTS["Service"]
+    .replace('"serviceType":"Professional Service",', """"serviceType":"' || CASE WHEN page_id % 5 = 1 THEN 'Search Engine Optimization' ELSE 'Professional Service' END || '",""")
+    .replace("""'","provider":{"@id":"' || origin || '/#organization"}'""", f"""'"' || {SERVICE_KEYS} || ',"provider":{{"@id":"' || origin || '/#organization"}}' || {AUDIENCE_KEYS}""")
+)
+TYPE_DOCUMENTS["EducationalOccupationalProgram"] = TYPE_DOCUMENTS["EducationalOccupationalProgram"].replace(
+    """description || '","provider":' || """ + PROVIDER + """ || '},"hasPart":'""", f"""description || '"' || {PROGRAM_KEYS} || ',"provider":' || {PROVIDER} || '}},"hasPart":'"""
+)
+TYPED_DESCRIPTION = f"'About page ' || page_id || {TYPE_WORDS}"
+TYPED_SITE = SITE.replace("'About page ' || page_id AS description", f"{TYPED_DESCRIPTION} AS description")
+TYPED_COUNTS = ANNOTATED_TYPED.replace("' About page ' || page_id", f"' ' || {TYPED_DESCRIPTION}").replace(
+    "FROM pages", f"FROM (SELECT page_id, CASE WHEN page_id % 5 = 3 THEN replace(html, '<article>', '{PROGRAM}') ELSE html END AS html FROM pages)"
+)
+SQL["generate_jsonld_types"] = f"""WITH {M}, {SCORED}, {THINGS}, {FAQ}, {TYPED_SITE}, {DOCS}, {TYPED_COUNTS}, c AS (SELECT page_id, {COUNTS} FROM d), g AS (SELECT *, greatest(service, business, education, article) AS top FROM c),
+k AS (SELECT page_id, CASE WHEN service >= 2 AND agency >= 1 THEN 'Service' WHEN article >= 3 AND article > service THEN 'Article' WHEN top < 2 THEN 'WebPage'
+  WHEN service = top THEN 'Service' WHEN business = top THEN 'LocalBusiness' WHEN education = top THEN 'EducationalOccupationalProgram' ELSE 'Article' END AS schema_type FROM g)
+SELECT page_id, schema_type, CASE schema_type {" ".join(f"WHEN '{kind}' THEN {text}" for kind, text in TYPE_DOCUMENTS.items())} END AS jsonld FROM o JOIN k USING (page_id)"""
+
 # ── fan-out ───────────────────────────────────────────────────────────────────
 
 SQL["semantic_chunks"] = f"""SELECT page_id, 0 AS pos, 'primary_topic' AS type, NULL AS heading, substring(concat_ws(' — ', nullif({TITLE}, ''), nullif({H1}, ''), 'About page ' || page_id), 1, 600) AS content FROM pages
@@ -577,6 +611,14 @@ SQL["parse_fanout"] = """SELECT md5('page ' || page_id) AS content_hash, 'Page '
 SQL["fanout_queries"] = """SELECT md5('page ' || page_id) AS content_hash, i AS pos, CASE i WHEN 0 THEN 'What is page ' || page_id || '?' WHEN 1 THEN 'How to read ' || page_id || '?' WHEN 2 THEN 'Compare ' || page_id WHEN 3 THEN 'Cost of ' || page_id ELSE 'bare item' END AS query,
   CASE i WHEN 0 THEN 'Yes' WHEN 1 THEN 'Partial' WHEN 2 THEN 'No' WHEN 3 THEN 'Yes' ELSE 'Unknown' END AS coverage, CASE i WHEN 0 THEN 'title ' || page_id || ' names it' WHEN 2 THEN 'nothing there' END AS rationale
 FROM pages, unnest(range(0, CASE WHEN page_id % 3 = 0 THEN 5 ELSE 4 END)) AS u(i)"""
+_RUN = "SELECT '{run}' AS run, page_id, url, {cached} AS cached, CASE WHEN {changed} THEN 6 ELSE 5 END AS chunks_extracted, {parsed} AS n_parsed, {linked} AS linked FROM pages"
+SQL["analyse_again"] = " UNION ALL ".join(
+    (
+        _RUN.format(run="first", cached="false", changed="false", parsed="(SELECT count(*) FROM pages)", linked="true"),
+        _RUN.format(run="same", cached="true", changed="false", parsed="0", linked="false"),
+        _RUN.format(run="changed", cached="page_id % 10 <> 3", changed="page_id % 10 = 3", parsed="(SELECT count(*) FROM pages WHERE page_id % 10 = 3)", linked="false"),
+    )
+)
 SQL["coverage_pct"] = "SELECT md5('page ' || page_id) AS content_hash, CASE WHEN page_id % 5 <> 0 THEN floor((page_id % 7) / (page_id % 5) * 100 + 0.5)::INT END AS pct FROM pages"
 SQL["coverage_rollup"] = "SELECT md5('page ' || page_id) AS content_hash, 2 AS yes, 1 AS partial, 1 AS no, (page_id % 3 = 0)::INT AS unknown FROM pages"
 SQL["coverage_corpus"] = "SELECT count(*) * 2 AS yes, count(*) AS partial, count(*) AS no, count(*) FILTER (page_id % 3 = 0) AS unknown FROM pages"

@@ -23,6 +23,7 @@ from pagequarry.operators import report as R
 from pagequarry.operators import scoring as E
 from pagequarry.operators import structured as S
 from pagequarry.operators import usage as U
+from pagequarry.operators.stores import CacheStore, purge_stores
 from pagequarry.plans import corpus
 from pagequarry.plans import fixtures as fx
 from pagequarry.session import apply_settings, settle
@@ -144,6 +145,48 @@ def purge_kept(spark, sf):
     return kept["url_cache"].select("url_hash", "payload")
 
 
+def _store(spark, name, key, ttl):
+    """An empty stored cache in a folder of its own."""
+    return CacheStore(spark, f"{ST.run_folder(spark, 'store')}/{name}", key, ttl, "payload bigint", buckets=4)
+
+
+def _stored(spark, sf, name):
+    kind, key, ttl = _CACHES[name]
+    store = _store(spark, name, key, ttl)
+    store.upsert(fx.cache_of(spark, sf, kind, key, ttl))
+    return store
+
+
+@query
+def store_upsert(spark, sf):
+    """Two writes of a stored cache: the last one of each key is its entry."""
+    store = _stored(spark, sf, "analysis")
+    new = fx.events(spark, sf).filter("event_type = 'click'").selectExpr(
+        "CASE WHEN user_id % 9 = 0 THEN '' ELSE md5(concat('https://example.org/u/', user_id)) END AS url_hash", "ts AS written_at", "event_id AS payload"
+    )
+    store.upsert(new)
+    return store.entries()
+
+
+@query
+def store_lookup(spark, sf):
+    """Every request with the live entry of a stored cache; the payload is NULL on a miss."""
+    found = _stored(spark, sf, "entity").lookup(fx.requests(spark, sf), _as_of())
+    return found.select("event_id", "entity_hash", "_entry.payload", "_entry.expires_at")
+
+
+@query
+def store_purge(spark, sf):
+    """What a purge leaves of stored caches, and how many entries went from each."""
+    as_of, rows = fx.AS_OF_TIME, None
+    for name, (_, key, _) in _CACHES.items():
+        store = _stored(spark, sf, name)
+        gone = purge_stores({name: store}, as_of)[name]
+        left = store.entries().select(F.lit(f"{name}_cache").alias("cache_name"), F.col(key).alias("key"), "payload", F.lit(gone).cast("long").alias("deleted"))
+        rows = left if rows is None else rows.unionByName(left)
+    return rows
+
+
 @query
 def cache_tiers(spark, sf):
     tiers = [(n, _CACHES[n][1], fx.cache_of(spark, sf, *_CACHES[n])) for n in ("analysis", "url", "extraction", "entity")]
@@ -919,6 +962,13 @@ def generate_jsonld(spark, sf):
     return made.groupBy("schema_type").agg(F.count("*").alias("pages"), F.count(F.when(F.length("jsonld") > 2, 1)).alias("documents"))
 
 
+@query
+def generate_jsonld_types(spark, sf):
+    """The document of every page, on pages of all five types, with audience, service type and programme details."""
+    rows = P.page_text(dom.parse_pages(fx.typed(spark, sf)), also=J.structured_values())
+    return J.generate_jsonld(E.page_entities(rows, fx.scored_mentions(spark, sf)))
+
+
 # ── fan-out ───────────────────────────────────────────────────────────────────
 
 
@@ -1022,6 +1072,22 @@ def analyse_corpus(spark, sf):
     return results.select("page_id", "url", F.size("entities").alias("n_entities"), F.size("recommendations").alias("n_recommendations"), "chunks_extracted", F.get_json_object("jsonld", "$['@context']").alias("context"))
 
 
+@query
+def analyse_again(spark, sf):
+    """A second run over the same pages, and a third after a tenth of them have changed: what was found before is used."""
+    pages, folder, kb = settle(fx.annotated(spark, sf)), ST.run_folder(spark, "again"), fx.knowledge_base(spark, sf)
+    news = F.concat(F.lit("<body><div><h2>news of page "), "page_id", F.lit("</h2><p>page "), "page_id", F.lit(" has changed.</p></div>"))
+    changed = pages.withColumn("html", F.when(F.col("page_id") % 10 == 3, F.replace("html", F.lit("<body>"), news)).otherwise(F.col("html")))
+    out = None
+    for number, (name, given) in enumerate((("first", pages), ("same", pages), ("changed", changed))):
+        at = fx.AS_OF_TIME + timedelta(minutes=10 * number)
+        results = corpus.analyse(spark, given, kb, f"{folder}/{name}", state=f"{folder}/state", as_of=at)
+        counts = corpus.stage_rows(spark, f"{folder}/{name}")
+        rows = results.select(F.lit(name).alias("run"), "page_id", "url", "cached", "chunks_extracted", F.lit(counts["parsed"]).cast("long").alias("n_parsed"), F.lit(counts["links"] > 0).alias("linked"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _stream_events(spark, sf):
     return ST.read_stream(spark, sf, "events.parquet", fx.table(spark, sf, "events").schema)
 

@@ -1,6 +1,7 @@
 """The whole analysis: runs again over the same and changed pages, shared markup, answers, and runs that were killed."""
 
 import datetime
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,36 +44,47 @@ def rows_of(results, *leave_out):
     return sorted(map(str, results.select(*columns).collect()))
 
 
-def test_second_run_and_changed_pages(spark, kb, tmp_path):
-    run = lambda name, pages, hours=0, **kw: corpus.analyse(spark, pages, kb, f"{tmp_path}/{name}", state=f"{tmp_path}/state", as_of=NOW + datetime.timedelta(hours=hours), **kw)
-    first = run("one", given(spark))
-    counts = corpus.stage_rows(spark, f"{tmp_path}/one")
-    assert counts["cached"] == 0 and counts["parsed"] == 4 < PAGES and counts["links"] > 4 and first.count() == PAGES
-    assert not first.filter("cached").count() and first.filter("size(entities) > 2 AND jsonld <> '{}' AND chunks_extracted > 1").count() == PAGES
+@pytest.fixture(scope="module")
+def first(spark, kb, tmp_path_factory):
+    """A first run: its folder, the folder of its state, and its rows."""
+    folder = tmp_path_factory.mktemp("first")
+    results = corpus.analyse(spark, given(spark), kb, f"{folder}/run", state=f"{folder}/state", as_of=NOW)
+    assert results.count() == PAGES and results.filter("NOT cached AND size(entities) > 2 AND jsonld <> '{}' AND chunks_extracted > 1 AND analysis IS NULL").count() == PAGES
+    return folder, rows_of(results)
 
-    again = run("two", given(spark), 0.5)
-    counts = corpus.stage_rows(spark, f"{tmp_path}/two")
-    assert (counts["cached"], counts["parsed"], counts["links"]) == (PAGES, 0, 0)
-    assert rows_of(again) == rows_of(first) and again.filter("cached").count() == PAGES
 
+def again(spark, kb, first, folder, name, pages, hours, **kw):
+    """A later run with a copy of the first run's state."""
+    if not (folder / "state").exists():
+        shutil.copytree(first[0] / "state", folder / "state")
+    return corpus.analyse(spark, pages, kb, f"{folder}/{name}", state=f"{folder}/state", as_of=NOW + datetime.timedelta(hours=hours), **kw)
+
+
+def test_changed_pages_alone_are_analysed(spark, kb, first, tmp_path, monkeypatch):
+    """Rows are those of a full run; one page of each markup is parsed; a long list of pages is joined, not broadcast."""
+    counts = corpus.stage_rows(spark, f"{first[0]}/run")
+    assert counts["cached"] == 0 and counts["parsed"] == 4 < PAGES and counts["links"] > 4
     pages = given(spark, changed={5})
-    changed = run("three", pages, 0.6)
     full = corpus.analyse(spark, pages, kb, f"{tmp_path}/full", as_of=NOW)
-    assert rows_of(changed) == rows_of(full)
+    monkeypatch.setattr(corpus, "PICKED", 0)
+    changed = again(spark, kb, first, tmp_path, "changed", pages, 0.6)
+    assert rows_of(changed) == rows_of(full) != first[1]
     assert {r["page_id"] for r in changed.filter("NOT cached").collect()} == {5}
-    counts = corpus.stage_rows(spark, f"{tmp_path}/three")
-    assert counts["parsed"] == 1 and 0 < counts["links"] < corpus.stage_rows(spark, f"{tmp_path}/full")["links"]
+    counts = corpus.stage_rows(spark, f"{tmp_path}/changed")
+    assert (counts["cached"], counts["parsed"]) == (PAGES - 1, 1) and 0 < counts["links"] < corpus.stage_rows(spark, f"{tmp_path}/full")["links"]
 
-    late = run("four", pages, 30)  # results live an hour, links a week
-    counts = corpus.stage_rows(spark, f"{tmp_path}/four")
-    assert counts["cached"] == 0 and counts["links"] == 0 and rows_of(late) == rows_of(full)
 
+def test_results_expire_before_links(spark, kb, first, tmp_path):
+    """Results live an hour, links a week."""
+    late = again(spark, kb, first, tmp_path, "late", given(spark), 30)
+    counts = corpus.stage_rows(spark, f"{tmp_path}/late")
+    assert (counts["cached"], counts["parsed"], counts["links"]) == (0, 4, 0) and rows_of(late) == first[1]
 
-def test_a_killed_run_carries_on_after_its_last_stage(spark, kb, tmp_path, monkeypatch):
+
+def test_a_killed_run_carries_on_after_its_last_stage(spark, kb, first, tmp_path, monkeypatch):
     def never(*args, **kw):
         raise AssertionError("this stage was finished")
 
-    whole = rows_of(corpus.analyse(spark, given(spark), kb, f"{tmp_path}/whole", as_of=NOW))
     with monkeypatch.context() as m:
         m.setattr(L, "link_names", never)
         with pytest.raises(AssertionError):
@@ -81,18 +93,15 @@ def test_a_killed_run_carries_on_after_its_last_stage(spark, kb, tmp_path, monke
     with monkeypatch.context() as m:
         for owner, name in ((dom, "parse_pages"), (G, "semantic_chunks"), (corpus.P, "page_text"), (corpus.M, "extract_entities")):
             m.setattr(owner, name, never)
-        assert rows_of(corpus.analyse(spark, given(spark), kb, f"{tmp_path}/run", as_of=NOW)) == whole
+        assert rows_of(corpus.analyse(spark, given(spark), kb, f"{tmp_path}/run", as_of=NOW)) == first[1]
     with monkeypatch.context() as m:  # other pages are another input
         m.setattr(dom, "parse_pages", never)
         with pytest.raises(AssertionError):
             corpus.analyse(spark, given(spark, changed={1}), kb, f"{tmp_path}/run", as_of=NOW)
 
 
-def test_answers_come_back_with_the_next_run(spark, kb, tmp_path):
-    run = lambda name, hours, **kw: corpus.analyse(spark, given(spark), kb, f"{tmp_path}/{name}", state=f"{tmp_path}/state", as_of=NOW + datetime.timedelta(hours=hours), **kw)
-    first = run("one", 0)
-    assert first.filter("analysis IS NOT NULL").count() == 0
-    asked = {n: spark.read.parquet(f"{tmp_path}/one/requests/{n}") for n in ("extraction", "fanout", "recommendation")}
+def test_answers_come_back_with_the_next_run(spark, kb, first, tmp_path):
+    asked = {n: spark.read.parquet(f"{first[0]}/run/requests/{n}") for n in ("extraction", "fanout", "recommendation")}
     assert [asked[n].count() for n in ("extraction", "fanout", "recommendation")] == [4, 4, PAGES]
 
     quoted = F.lit('{"choices":[{"message":{"content":"{\\"main_topic\\":\\"Quarries\\",\\"entities\\":[\\"Erie Canal\\",\\"Rochester\\"]}"}}]}')
@@ -102,7 +111,7 @@ def test_answers_come_back_with_the_next_run(spark, kb, tmp_path):
         "fanout": asked["fanout"].select("content_hash", F.concat(F.lit("COVERAGE SCORE: 1/2 of "), "content_hash").alias("body")),
         "recommendation": asked["recommendation"].filter("page_id = 3").select("page_id", F.lit('{"recommendations":[{"category":"C","advice":"Add a map"}]}').alias("body")),
     }
-    second = run("two", 0.2, responses=answers)
+    second = again(spark, kb, first, tmp_path, "two", given(spark), 0.2, responses=answers)
     hashes = {r["page_id"]: r["content_hash"] for r in spark.read.parquet(f"{tmp_path}/two/keys").collect()}
     taken = {r["content_hash"] for r in chosen.collect()}
     for r in second.collect():
@@ -112,11 +121,5 @@ def test_answers_come_back_with_the_next_run(spark, kb, tmp_path):
         assert ([a["advice"] for a in r["recommendations"]] == ["Add a map"]) == (r["page_id"] == 3)
     counts = corpus.stage_rows(spark, f"{tmp_path}/two")
     assert (counts["requests/extraction"], counts["requests/fanout"], counts["requests/recommendation"]) == (2, 0, PAGES - 1)
-    third = run("three", 0.3)
+    third = again(spark, kb, first, tmp_path, "three", given(spark), 0.3)
     assert rows_of(third) == rows_of(second) and third.filter("cached").count() == PAGES
-
-
-def test_a_long_list_of_pages_is_joined(spark, kb, tmp_path, monkeypatch):
-    whole = rows_of(corpus.analyse(spark, given(spark), kb, f"{tmp_path}/a", as_of=NOW))
-    monkeypatch.setattr(corpus, "PICKED", 0)
-    assert rows_of(corpus.analyse(spark, given(spark), kb, f"{tmp_path}/b", as_of=NOW)) == whole
