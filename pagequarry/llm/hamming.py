@@ -16,7 +16,7 @@ return a row for each vector with its links counted and the vector it hangs on,
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows with a null label, link with
 nothing (0 links, own component, kept). Rows that repeat a ``vec_id`` count as vectors of their own when counting links. A
-null ``vec_id`` takes no part: null component, kept. Other columns are ignored. Rotations are learned from a bounded
+null ``vec_id`` takes no part: null component, kept. Other columns are ignored; an empty table gives an empty result. Rotations are learned from a bounded
 sample of vectors; the bound is a parameter.
 """
 

@@ -9,6 +9,7 @@ hash stands for an n-gram. Profiles are learned from a bounded sample of the lab
 Defined results: a text that is null, empty or without letters is ``und`` with score 0. Ties between languages go to the
 smaller name, ties between n-grams to the smaller hash. Repeated rows get the same answer each, a null ``doc_id`` stays
 null, other columns are ignored, texts of any length count whole. Without any labelled row every text is ``und``.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -16,8 +16,9 @@ tables with a chance of 1e-5, at 0.85 of 4e-7.
 5. Every link is confirmed on full sets; links make components.
 
 Defined results: a document without words, or with a null text, has an empty set and links with nothing; one with fewer
-words than a shingle has its whole word sequence as its only shingle. Rows that share a ``doc_id`` are rows of one class
-if their texts link. A null ``doc_id`` takes no part: null component, kept. Other columns are ignored.
+words than a shingle has its whole word sequence as its only shingle. Rows that share a ``doc_id`` are one document with
+several texts: what links with any of them is in its class. A null ``doc_id`` takes no part: null component, kept. Texts of
+any length are read whole. Other columns are ignored, and stay in :func:`keep_one`; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ their proportions to each other. Sources without a weight of their own, and null
 Within a source, rows are ordered by a hash of ``doc_id``. Numbers along a source are counts of smaller hash buckets plus
 a rank inside a bucket, so a source with a third of all rows is as many tasks as it has buckets.
 
-Defined results: repeated rows are placed each, next to each other; a null ``doc_id`` comes first in its source; texts do
+Defined results: repeated rows are placed each, next to each other, and rows that share a ``doc_id`` but differ may change
+places from run to run; a null ``doc_id`` comes first in its source; texts do
 not matter, also null or empty ones; an empty table gives an empty result; other columns stay.
 """
 

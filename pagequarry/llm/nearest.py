@@ -8,7 +8,8 @@ and go through a heap of k a query. The heaps of all tiles are merged by query.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor does a null
 ``vec_id``; vectors of different length are not compared. Rows that repeat a ``vec_id`` are one row's copies: a query does
-not find its own id, and another id is found once, by its best row. Ties go to the smaller ``vec_id``.
+not find its own id, and another id is found once, by its best row; of a query id with several vectors the smallest one
+asks. Ties go to the smaller ``vec_id``. Other columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ QUERY_TILE, TILE, STEP = 4096, 16_384, 1024
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row of ``queries(vec_id, embedding)`` its ``k`` nearest rows of ``vectors``."""
     good = doubles(vectors.filter(usable() & F.col("vec_id").isNotNull()).select("vec_id", "embedding"))
-    asked = written(doubles(queries.filter(usable() & F.col("vec_id").isNotNull()).select("vec_id", "embedding")).dropDuplicates(["vec_id"]))
+    one = doubles(queries.filter(usable() & F.col("vec_id").isNotNull()).select("vec_id", "embedding")).groupBy("vec_id")
+    asked = written(one.agg(F.min("embedding").alias("embedding")))
     tiles, query_tiles = base.parts(good.count(), TILE), base.parts(asked.count(), QUERY_TILE)
     cell = lambda row, col: (row * tiles + col).cast("long").alias("cell")
     size = F.size("embedding").alias("width")

@@ -10,7 +10,7 @@ given beginning. (The path with the largest sum of scores would differ from the
 Characters without a piece become their UTF-8 bytes.
 
 Defined results: null and empty texts have no ids and decode to an empty text; repeated rows are encoded each; a null
-``doc_id`` stays null; other columns are ignored; whole texts of any length are encoded. ``▁`` in a text decodes to a
+``doc_id`` stays null; other columns are ignored; whole texts of any length are encoded; an empty table gives an empty result. ``▁`` in a text decodes to a
 blank, as the vocabulary cannot tell them apart.
 """
 

@@ -7,7 +7,7 @@ a document has at most :data:`BUCKETS` of them, so what reaches the driver is bo
 
 Defined results: a null or empty text has no features and gets the score that the bias alone gives, the share of label 1.
 Repeated rows are scored each, a null ``doc_id`` stays null, other columns are ignored, whole texts count. Training rows
-with a null label are ignored; without any labelled row every score is 0.5.
+with a null label are ignored; without any labelled row every score is 0.5. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ No two documents are paired, so a passage that a third of all documents share co
 their group in each step; nothing refers to a row's place, so a recomputed task gives the same rows.
 
 Defined results: a null or empty text has no words; a text shorter than a window loses nothing; repeated rows of one
-``doc_id`` do not remove each other's words; a null ``doc_id`` removes and loses nothing; other columns are ignored.
+``doc_id`` do not remove each other's words; a null ``doc_id`` removes and loses nothing; other columns are ignored, and
+stay in :func:`drop_repeats`; an empty table gives an empty result. Texts of any length are read whole; groups follow
+bytes as well as rows, so long texts make more groups.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ steps. All of that uses a bounded sample of labelled rows; the bounds are parame
 text: the sequence is cut into lanes that run side by side, and messages between lanes are exact.
 
 Defined results: a null, empty or letterless text has no spans and the score of a text without toxic words. Repeated rows
-are scored each, a null ``doc_id`` stays null, other columns are ignored. Rows with a null label do not train; without
+are scored each, a null ``doc_id`` stays null, other columns are ignored, and stay in :func:`reject`; texts of any length are
+read whole; an empty table gives an empty result. Rows with a null label do not train; without
 toxic labelled rows every score is 0.
 """
 

@@ -83,6 +83,14 @@ def test_nearest_equal_all_pairs(spark, monkeypatch):
     assert nearest.nearest(vectors, vectors.filter("false")).count() == 0
 
 
+def test_the_smallest_vector_of_a_query_id_asks(spark):
+    rows = [(0, [0.0, 1.0], 0), (0, [-1.0, 0.5], 0), (0, [1.0, 0.0], 0), (1, [-1.0, 0.4], 0), (2, [0.0, 2.0], 0), (3, [3.0, 0.0], 0)]
+    vectors = table(spark, rows)
+    for parts in (1, 5):
+        found = nearest.nearest(vectors, vectors.filter("vec_id = 0").repartition(parts), 1).collect()
+        assert [(r["query_id"], r["vec_id"]) for r in found] == [(0, 1)]
+
+
 def test_repeated_ids_are_found_once(spark):
     rows = [(0, [1.0, 0.0], 0), (1, [1.0, 0.1], 0), (1, [1.0, 0.5], 0), (1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (0, [0.0, 1.0], 0)]
     vectors = table(spark, rows)
