@@ -496,6 +496,10 @@ SQL["clean_qa"] = f"""SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN '' ELSE '' END
 SQL["howto"] = """SELECT page_id, 'How to file page ' || page_id AS name, 'Filing takes a moment and needs two tools.' AS description, 'PT' || (page_id % 50 + 1) || 'M' AS "totalTime",
   '1/Open folder number ' || page_id || ' in the cabinet./Open|2/Spend ' || (page_id % 50 + 1) || ' minutes to put page ' || page_id || ' in.' AS steps, 'Folder|Label ' || page_id || '|Pen' AS supply FROM pages"""
 SQL["howto_from_headings"] = """SELECT p_partkey AS page_id, 'How to use ' || p_name AS name, '1/Take ' || p_name || '/First take it. Then look.|2/2. Turn/Turn it ' || p_size || ' times.' AS steps FROM part"""
+SQL["howto_numbered"] = """SELECT p_partkey AS page_id, 'How to keep ' || p_name AS name, 'Everything here takes a little care and thought.' AS description,
+  '1/Take the ' || p_name || ' out of its box|2/Turn it ' || p_size || ' times to the left' AS steps FROM part"""
+SQL["faq_accordion"] = """SELECT p_partkey AS page_id, i AS pos, CASE i WHEN 0 THEN 'How is ' || p_name || ' made?' ELSE 'Where is ' || p_name || ' sold?' END AS name,
+  CASE i WHEN 0 THEN 'It is made of ' || p_type || ' in boxes of ' || p_size || ' pieces.' ELSE 'Shops of the brand ' || p_brand || ' sell it for a price.' END AS answer FROM part, unnest(range(0, 2)) AS u(i)"""
 SQL["howto_time"] = """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'PT5M' WHEN 1 THEN 'PT' || p_size || 'H' WHEN 2 THEN 'P' || p_size || 'D' WHEN 3 THEN 'PT' || p_size || 'M' END AS total_time FROM part"""
 SQL["clean_step"] = f"SELECT doc_id, {clip(collapse('text'), 1000, 800)} AS step FROM documents"
 SQL["program_details"] = """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'P18M' WHEN 1 THEN 'P4Y' WHEN 2 THEN 'P12W' END AS "timeToComplete", CASE WHEN p_partkey % 4 = 2 THEN 30 END AS "numberOfCredits",

@@ -868,6 +868,29 @@ def howto_from_headings(spark, sf):
     return found.select("page_id", "h.name", steps.alias("steps"))
 
 
+@query
+def howto_numbered(spark, sf):
+    """Steps from numbered lines of a container without step elements."""
+    html = """concat('<h1>Keeping ', p_name, '</h1><div class="howto"><h2>How to keep ', p_name, '</h2>\n<p>Everything here takes a little care and thought.</p>\n1. Take the ', p_name,
+      ' out of its box\n2) Step 2: Turn it ', p_size, ' times  to the left\n3. short\n</div>')"""
+    parsed = dom.parse_pages(fx.table(spark, sf, "part").selectExpr("p_partkey AS page_id", f"{html} AS html"))
+    found = parsed.select("page_id", S.howto(F.col("text"), F.col("nodes")).alias("h"))
+    steps = F.array_join(F.transform("h.step", lambda s: F.concat_ws("/", s["position"], s["name"], s["text"])), "|")
+    return found.select("page_id", "h.name", "h.description", steps.alias("steps"))
+
+
+@query
+def faq_accordion(spark, sf):
+    """Answers of accordions: the sibling with an answer's class, else the next one that is long enough."""
+    html = """concat('<div class="accordion"><div class="accordion-title">How is ', p_name, ' made?</div><p>A note that is long enough to be an answer of its own.</p>',
+      '<div class="accordion-content">It is made of ', p_type, ' in boxes of ', p_size, ' pieces.</div></div>',
+      '<div class="accordion"><button aria-expanded="false">Where is ', p_name, ' sold?</button><div>x</div><p>Shops of the brand ', p_brand, ' sell it for a price.</p></div>')"""
+    parsed = dom.parse_pages(fx.table(spark, sf, "part").selectExpr("p_partkey AS page_id", f"{html} AS html"))
+    found = parsed.select("page_id", S.faq(F.col("text"), F.col("nodes")).alias("faq"))
+    rows = found.select("page_id", F.posexplode_outer("faq.mainEntity").alias("pos", "q")).filter("pos IS NOT NULL")
+    return rows.select("page_id", "pos", "q.name", F.col("q.acceptedAnswer.text").alias("answer"))
+
+
 @query
 def howto_time(spark, sf):
     texts = "concat('About ', p_size, CASE p_partkey % 5 WHEN 0 THEN ' hrs and 5mins' WHEN 1 THEN ' Hours, 2 days' WHEN 2 THEN 'days' WHEN 3 THEN ' minute' ELSE ' moons' END)"
