@@ -86,6 +86,20 @@ def increment_usage(profiles: DataFrame, runs: DataFrame, domains: Sequence[str]
     )
 
 
+def insert_profiles(profiles: DataFrame, signups: DataFrame, as_of: Column) -> DataFrame:
+    """``profiles`` with a new one for each user of ``signups(user_id, email, signed_up_at)`` that has none yet.
+
+    A new profile starts at 0 until the first of the next month. An existing one stays as it is, also on a repeated sign-up;
+    of several sign-ups of a new user the first counts. Sign-ups without a user are dropped. Minima are combined before the
+    shuffle.
+    """
+    first = signups.filter("user_id IS NOT NULL").groupBy("user_id").agg(F.min_by("email", F.struct("signed_up_at", "email")).alias("email"))
+    new = first.join(profiles.select("user_id"), "user_id", "left_anti")
+    kinds = {f.name: f.dataType for f in profiles.schema}
+    values = {"user_id": F.col("user_id"), "email": F.col("email"), "free_analyses_used": F.lit(0), "free_analyses_reset_at": next_month(as_of)}
+    return profiles.unionByName(new.select(*[values.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in profiles.columns]))
+
+
 def log_rows(runs: DataFrame) -> DataFrame:
     """Audit rows with defaults and their month; runs without a type or a key source are dropped."""
     for name in ("analysis_type", "key_source"):

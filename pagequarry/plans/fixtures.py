@@ -132,7 +132,7 @@ def knowledge_base(spark: SparkSession, sf: str) -> KnowledgeBase:
     """The snapshot of ``sf`` with stored search indexes, built once a session, as a snapshot is once for many runs."""
     at = (spark.sparkContext.applicationId, sf)
     if at not in _BUILT:
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = min(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
         _BUILT[at] = indexed(snapshot(spark, sf), f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}", buckets)
     return _BUILT[at]
 

@@ -172,6 +172,8 @@ SQL["monthly_reset"] = f"""WITH {PROFILES} SELECT user_id, email, CASE WHEN {AS_
   CASE WHEN {AS_OF} > free_analyses_reset_at THEN TIMESTAMP '2024-02-01' ELSE free_analyses_reset_at END AS free_analyses_reset_at FROM profiles"""
 SQL["increment_usage"] = f"""WITH {PROFILES}, n AS (SELECT user_id, count(*) AS c FROM events GROUP BY 1)
 SELECT user_id, (free_analyses_used + CASE WHEN email ILIKE '%@partner.example' THEN 0 ELSE c END)::INT AS free_analyses_used FROM profiles JOIN n USING (user_id)"""
+SQL["insert_profiles"] = f"""WITH {PROFILES} SELECT * FROM profiles UNION ALL
+SELECT DISTINCT user_id, 'new' || user_id || '@mail.example', 0::INT, TIMESTAMP '2024-02-01' FROM events WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM profiles)"""
 SQL["usage_report"] = f"""WITH {RUNS} SELECT month, analysis_type, key_source, count(*) AS runs, sum(entities_found)::BIGINT AS entities, sum(processing_time_ms)::BIGINT AS total_ms
 FROM log GROUP BY ROLLUP (month, analysis_type, key_source)"""
 SQL["user_report"] = f"WITH {RUNS} SELECT user_id, month, count(*) AS runs, sum(entities_found)::BIGINT AS entities, sum(processing_time_ms)::BIGINT AS total_ms FROM log GROUP BY 1, 2"

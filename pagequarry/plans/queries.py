@@ -242,6 +242,13 @@ def increment_usage(spark, sf):
     return U.increment_usage(fx.profiles(spark, sf), fx.events(spark, sf), DOMAINS).select("user_id", "free_analyses_used")
 
 
+@query
+def insert_profiles(spark, sf):
+    """Profiles after the sign-ups of the log: users without one get it, the others keep theirs."""
+    signups = fx.events(spark, sf).filter("event_type = 'signup'").selectExpr("user_id", "concat('new', user_id, '@mail.example') AS email", "ts AS signed_up_at")
+    return U.insert_profiles(fx.profiles(spark, sf), signups, _as_of())
+
+
 @query
 def usage_report(spark, sf):
     return U.usage_report(U.log_rows(fx.runs(spark, sf)))
